@@ -54,3 +54,11 @@ judged AS (SELECT host, CASE WHEN a / (a + b) - {z!r} * SQRT(a * b / ((a + b) *
 SELECT page.page_id, page.host, page.path, {rule_case(rules, "page.host", "page.path", 1)} AS rule,
        COALESCE({rule_case(rules, "page.host", "page.path", 0)}, judged.verdict, 'allow') AS verdict
 FROM page LEFT JOIN judged ON page.host = judged.host"""
+
+
+WARC = """
+WITH page AS (SELECT page_id, CAST(octet_length(encode(COALESCE(html, ''))) AS BIGINT) AS payload_bytes, sha256(COALESCE(html, '')) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, MIN(page_id) AS first FROM page WHERE payload_bytes >= 100 GROUP BY payload_digest HAVING COUNT(*) > 1),
+joined AS (SELECT page.*, first.first, first.first IS NOT NULL AND page_id IS DISTINCT FROM first.first AS again FROM page LEFT JOIN first USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM joined"""

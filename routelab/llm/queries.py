@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.llm import bpe, compression_rules, oracles, sharding, url_reputation
+from routelab.llm import bpe, compression_rules, decontamination, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc
 from routelab.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
+#: Edits allowed in a benchmark passage, as a share of its characters.
+EDITS = 0.1
+
+#: The key of pseudonyms where the session sets no routelab.pii.key; a real run sets its own.
+DEFAULT_KEY = "routelab"
 
 #: (verdict, host/path): the url rules of the pages table.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -17,15 +24,53 @@ URL_Z, URL_LIMIT = 1.645, 0.35
 BAD_PAGE = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
 
 
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=20_000)
+    return quality_classifier.score(docs, model, threshold=0.3)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(spark, docs, sf_dir)
+    return scored.select("doc_id", (quality_classifier.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.document_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    return counted.select("doc_id", "n_tokens", "token_start")
+
+
 def op3_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = compression_rules.compression_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[name for name, _, _ in compression_rules.FIELDS])
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"), least=100)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def pseudonymised(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return pseudonyms.pseudonymise(docs, spark.conf.get("routelab.pii.key", DEFAULT_KEY))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+
+
+def leaks(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(docs, table(spark, sf_dir, "benchmark"), EDITS)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), spark, sf_dir)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "token_ids")
@@ -48,12 +93,18 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_token_counts": op2_token_counts,
     "op3_compression_rules": op3_compression_rules,
+    "op4_warc_archives": op4_warc_archives,
     "op5_jump_sharding": op5_jump_sharding,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op7_decontamination": op7_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_reputation": op10_host_reputation,
 }
 
 ORACLE_SQL = {
+    "op4_warc_archives": oracles.WARC,
     "op10_host_reputation": oracles.judge_sql(URL_RULES, URL_Z, URL_LIMIT, outcomes=f"(SELECT doc_id AS page_id, {BAD_PAGE} AS bad FROM labels) l"),
 }
