@@ -5,16 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from routelab.llm import decontamination, jaccard_join
 from routelab.llm import queries as q
 from routelab.llm.common import staged, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return q.quality_scores(spark, docs, sf_dir).filter("predicted = 1").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle sets with a similarity of 0.8 or more."""
+    return jaccard_join.one_of_each_class(docs, width=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"), q.EDITS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by pseudonyms; n_chars follows texts that changed."""
+    hidden = q.pseudonymised(spark, docs)
+    return hidden.withColumn("n_chars", F.when(F.col("n_pseudonyms") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and of their decoded bytes."""
     return q.token_digests(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("byte-level BPE", token_ids)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("personal data", without_personal_data),
+    ("byte-level BPE", token_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

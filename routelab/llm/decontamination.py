@@ -180,3 +180,20 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, doc: str
         found = own.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def without_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
+    """The documents that contain no item, all columns as they are; rows of null id are judged like others."""
+    spark = docs.sparkSession
+    ship(spark)
+    for block in blocks(items, item, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Matcher(shared.value, budget)
+            for batch in batches:
+                clean = [not search(t.as_py()) for t in batch.column(batch.schema.names.index(text))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.llm import bpe, compression_rules, decontamination, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc
+from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc
 from routelab.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -71,6 +71,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), spark, sf_dir)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "token_ids")
@@ -100,6 +104,7 @@ QUERIES = {
     "op5_jump_sharding": op5_jump_sharding,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_reputation": op10_host_reputation,
 }
