@@ -5,6 +5,12 @@ from __future__ import annotations
 import posixpath
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
+
+
+def tasks_for(spark: SparkSession, size: int, task_bytes: int = 1 << 23) -> int:
+    """Tasks for reading so many bytes: at least two for each core, else one for each ``task_bytes``."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
 
 
 def write_bytes(uri: str, parts: list[bytes]) -> int:

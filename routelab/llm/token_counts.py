@@ -78,7 +78,8 @@ def count_tokens(files: DataFrame, eod: int, width: int = 2, block_bytes: int =
                     names=["file", "block", "tokens", "last", "ends"],
                 )
 
-    found = blocks.repartition("file", "block").mapInArrow(run, "file string, block int, tokens bigint, last boolean, ends array<bigint>")
+    tasks = storage.tasks_for(files.sparkSession, files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], block_bytes)
+    found = blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block int, tokens bigint, last boolean, ends array<bigint>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = found.select(
         "*",
@@ -97,4 +98,5 @@ def document_tokens(df: DataFrame, ranks_path: str, pattern: str, eod: int, widt
     written = staged(write_files(df, ranks_path, pattern, eod, width, id_), "token-files")
     counts = count_tokens(written.filter("ordinal = -1").select("file", "bytes"), eod, width)
     ids = written.filter("ordinal >= 0").select("file", "ordinal", F.col("id").alias(id_))
-    return ids.join(counts, ["file", "ordinal"]).select(id_, "file", "ordinal", "token_start", "n_tokens")
+    # Both sides have a row for each document: never a broadcast, however well they compress.
+    return ids.hint("merge").join(counts, ["file", "ordinal"]).select(id_, "file", "ordinal", "token_start", "n_tokens")

@@ -183,7 +183,7 @@ def decided(pages: DataFrame, least: int = 100, page: str = "page_id", url: str
 
 
 def write_archives(rows: DataFrame, archive_bytes: int = 1 << 25) -> DataFrame:
-    """Write the rows of :func:`decided` to archives of about ``archive_bytes``; archive and records of each that was committed."""
+    """Write the rows of :func:`decided` to archives of about ``archive_bytes``; archive, records and bytes of each that was committed."""
     spark = rows.sparkSession
     ship(spark)
     folder = fresh_uri(spark, "warc")
@@ -193,8 +193,8 @@ def write_archives(rows: DataFrame, archive_bytes: int = 1 << 25) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             uri = f"{folder}/{uuid.uuid4().hex}.wacz"
-            storage.write_bytes(uri, zip_parts([(DATA, b"".join(data)), (INDEX, "".join(lines).encode())]))
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(lines)], pa.int64())], names=["archive", "records"])
+            written = storage.write_bytes(uri, zip_parts([(DATA, b"".join(data)), (INDEX, "".join(lines).encode())]))
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(lines)], pa.int64()), pa.array([written], pa.int64())], names=["archive", "records", "bytes"])
 
         for batch in batches:
             for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
@@ -209,10 +209,10 @@ def write_archives(rows: DataFrame, archive_bytes: int = 1 << 25) -> DataFrame:
         if lines:
             yield close()
 
-    return rows.mapInArrow(run, "archive string, records bigint")
+    return rows.mapInArrow(run, "archive string, records bigint, bytes bigint")
 
 
-def record_ranges(archives: DataFrame, range_bytes: int = 1 << 22) -> DataFrame:
+def record_ranges(archives: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
     """archive, offset, lengths: runs of neighbouring records, from each archive's own directory and index."""
     ship(archives.sparkSession)
 
@@ -238,8 +238,11 @@ def record_ranges(archives: DataFrame, range_bytes: int = 1 << 22) -> DataFrame:
     return archives.select("archive").mapInArrow(run, "archive string, offset bigint, lengths array<bigint>")
 
 
-def read_records(ranges: DataFrame) -> DataFrame:
-    """Every record of the ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
+def read_records(ranges: DataFrame, tasks: int) -> DataFrame:
+    """Every record of the ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
+
+    The rows of ranges are small and their records large, so they are dealt to ``tasks`` tasks rather than by the rows' size.
+    """
     ship(ranges.sparkSession)
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
 
@@ -254,10 +257,11 @@ def read_records(ranges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in kinds.items()], names=list(kinds))
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
-    return ranges.repartition("archive", "offset").mapInArrow(run, schema)
+    return ranges.repartition(tasks, "archive", "offset").mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame, least: int = 100) -> DataFrame:
     """Write every page as a record, then read all archives back."""
     archives = staged(write_archives(decided(pages, least)), "archives")
-    return read_records(record_ranges(archives))
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return read_records(record_ranges(archives), storage.tasks_for(pages.sparkSession, size))
