@@ -8,30 +8,25 @@ from pyspark.sql import functions as F
 from routelab.llm.common import staged
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Every (u, v) gains the least of u and u's neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("c")).select("u", "v", "m")
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of every node of an edge (u, v), component being the least node that it reaches.
 
-    Each round is staged in the shared folder; only a count and a checksum of the edges come to the driver. Stars are aggregates
-    and joins by node, which a hot node doesn't collect in one task: its minimum is pre-aggregated and its join is split.
+    Edges point from the greater node to the smaller. A round moves each edge's smaller end to that end's least smaller neighbour
+    (large star), then each node to its least smaller neighbour, to which its others are tied too (small star). It ends when no
+    edge moved and no node had two smaller neighbours. Each round is staged in the shared folder, and only a count comes to the
+    driver. Minima are pre-aggregated, and joins by a hot node can be split.
     """
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        starred = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = staged(small, "edges")
-        new = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if new == mark:
+        least = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        large = now.join(least, F.col("v") == F.col("c"), "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"), F.max("moved").alias("moved"))
+        tied = large.join(small.filter("far > m").select(F.col("u").alias("c"), "m"), F.col("u") == F.col("c")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = small.select("u", F.col("m").alias("v"), (F.col("moved") | (F.col("far") > F.col("m"))).alias("busy")).unionByName(tied.withColumn("busy", F.lit(True)))
+        after = staged(moved, "edges")
+        now = after.select("u", "v")
+        if not after.filter("busy").limit(1).count():
             break
-        mark = new
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

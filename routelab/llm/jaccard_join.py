@@ -3,11 +3,13 @@
 1. Every text's distinct shingles are hashed; equal sets become one representative, the least id.
 2. Shingles have a global order, rare first, from counters of fixed size over the whole corpus. Two sets that are alike enough share
    one of the first ``n - ceil(s n) + 1`` of each. Sets that share such a shingle meet under its least id, the leader: a group.
-3. In each group an R-tree indexes the sets' count vectors; its bound, the sum of coordinate minima, picks the pairs to verify
-   exactly. Sets already joined are not compared again, so a group of near copies costs a search and a comparison each.
-4. Large groups are split into blocks that share their leader. What lies outside a group's largest class after that is searched for,
-   as a query set and in blocks, among all of the group: no pair of different classes is left out.
-5. Links become classes by connected components.
+3. In each group an R-tree indexes the sets' count vectors. Its bound, the sum of coordinate minima, joins the sets that may be
+   alike into candidate classes; no text moves for that.
+4. In each candidate class an R-tree over the texts' sets picks the pairs that are then verified exactly, best bound first. Sets
+   already joined are not compared again, so a class of near copies costs a search and a comparison each.
+5. Both steps split large groups into blocks that share their leader. What lies outside a group's largest class after that is
+   searched for, as a query set and in blocks, among all of the group: no pair of different classes is left out.
+6. Links become classes by connected components.
 
 Links found span the same classes as all links; pairs within a class are not expanded. Defined cases: null and empty texts have an
 empty set, link with nothing and are their own class. Rows that repeat an id are one document; rows of null id take no part and have
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from routelab.llm.bpe import slices
 from routelab.llm.common import staged
 from routelab.llm.components import connected_components
-from routelab.llm.rtree import links
+from routelab.llm.rtree import MORE_GROUPS, point, point_links, set_links
 from routelab.llm.shingles import shingle_sets
 from routelab.shipping import ship
 
@@ -86,7 +88,7 @@ def summed_counters(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
-    """id, digest and the rarest shingles of each set that isn't empty: as many as two like sets can't both do without."""
+    """id, digest, count vector and the rarest shingles of each set that isn't empty: so many that two like sets share one."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,37 +96,50 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
         for batch in batches:
             for start, stop in slices(batch.column(1), SLICE):
                 part = batch.slice(start, stop - start)
-                ids, digests, keys = [], [], []
+                ids, digests, keys, points = [], [], [], []
                 for id_, own in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), width)):
                     if len(own):
                         rare = np.argsort(counts[(own & mask).astype(np.int64)], kind="stable")  # ties by hash: the set is ascending
                         ids.append(id_)
                         digests.append(_digest(own))
+                        points.append(point(own).astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes())
                         keys.append(own[rare[: len(own) - (percent * len(own) + 99) // 100 + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "point", "keys"])
 
-    return docs.mapInArrow(run, "id bigint, digest binary, keys array<bigint>")
+    return docs.mapInArrow(run, "id bigint, digest binary, point binary, keys array<bigint>")
 
 
-def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) within each (leader, block, chunk) of rows (leader, block, chunk, id, class, query, text)."""
-    keyed = rows.repartition("leader", "block", "chunk").sortWithinPartitions("leader", "block", "chunk").select("leader", "block", "chunk", "id", "class", "query", "text")
+def read_point(raw: bytes) -> np.ndarray:
+    """A count vector of 2- or 4-byte numbers, by its length one of GROUPS or MORE_GROUPS."""
+    wide = len(raw) == 4 * MORE_GROUPS
+    return np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.int64)
+
+
+def block_links(rows: DataFrame, payload: str, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes within each (leader, block, chunk) of rows (leader, block, chunk, class, query, payload).
+
+    Payload ``point`` links by bounds, payload ``text`` exactly.
+    """
+    keyed = rows.repartition("leader", "block", "chunk").sortWithinPartitions("leader", "block", "chunk").select("leader", "block", "chunk", "class", "query", payload)
 
     def found(held: list[tuple]) -> list[tuple[int, int]]:
-        ids, classes, queries, sets = zip(*held)
-        return links(list(ids), list(sets), list(classes), percent, None if all(queries) else list(queries))
+        classes, queries, values = map(list, zip(*held))
+        return (set_links if payload == "text" else point_links)(classes, values, percent, None if all(queries) else queries)
+
+    def values_of(column: list) -> list[np.ndarray]:
+        return shingle_sets(column, width) if payload == "text" else list(map(read_point, column))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            for start, stop in slices(batch.column(6), SLICE):
-                part = [batch.column(k).slice(start, stop - start).to_pylist() for k in range(7)]
+            for start, stop in slices(batch.column(5), SLICE):
+                part = [batch.column(k).slice(start, stop - start).to_pylist() for k in range(6)]
                 out = []
-                for *key, id_, class_, query, own in zip(*part[:6], shingle_sets(part[6], width)):
+                for *key, class_, query, own in zip(*part[:5], values_of(part[5])):
                     if key != group:
                         out += found(held) if len(held) > 1 else []
                         group, held = key, []
-                    held.append((id_, class_, query, own))
+                    held.append((class_, query, own))
                 if out:
                     yield _links(out)
         if len(held) > 1 and (out := found(held)):
@@ -144,10 +159,6 @@ def _all(of: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), (of - 1).cast("int")))
 
 
-def _with_text(routed: DataFrame, docs: DataFrame) -> DataFrame:
-    return routed.join(docs, "id")
-
-
 def group_blocks(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows (leader, id) dealt into blocks; the leader is in all of its blocks. ``sizes`` has the large groups' blocks."""
     dealt = groups.join(sizes, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -170,6 +181,23 @@ def query_blocks(groups: DataFrame, sizes: DataFrame, classes: DataFrame) -> Dat
     return index.unionByName(asked)
 
 
+def group_classes(groups: DataFrame, payloads: DataFrame, payload: str, width: int, percent: int) -> DataFrame:
+    """(node, component) of the ids that links within the groups (leader, id) join; ``payloads`` has id and the payload."""
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK + 1)
+    sizes = staged(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    routed = staged(group_blocks(groups, sizes), "blocks")
+    found = staged(block_links(routed.join(payloads, "id"), payload, width, percent), "links")
+    classes = staged(connected_components(found), "classes")
+    if sizes.isEmpty():
+        return classes
+    routed = staged(query_blocks(groups, sizes, classes), "query-blocks")
+    more = staged(block_links(routed.join(payloads, "id"), payload, width, percent), "links")
+    if more.isEmpty():
+        return classes
+    stars = classes.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return staged(connected_components(stars.unionByName(more)), "classes")
+
+
 def jaccard_classes(df: DataFrame, width: int = 4, percent: int = 85, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles (size of its set) and component_id (the least id that its links reach, itself included)."""
     ship(df.sparkSession)
@@ -182,22 +210,13 @@ def jaccard_classes(df: DataFrame, width: int = 4, percent: int = 85, id_: str =
     leaders = sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
 
     keys = prefixes(known, counters, width, percent).join(leaders.select("digest", F.col("rep").alias("id")), ["digest", "id"])
-    keys = staged(keys.groupBy("digest", "id").agg(F.first("keys").alias("keys")).select("id", "keys"), "prefixes")
-    keys = keys.select("id", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    groups = staged(keys.join(buckets, "key").select("leader", "id").distinct(), "groups")
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK + 1)
-    sizes = staged(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    keys = staged(keys.groupBy("digest", "id").agg(F.first("keys").alias("keys"), F.first("point").alias("point")).drop("digest"), "prefixes")
+    each = keys.select("id", F.explode("keys").alias("key"))
+    buckets = each.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    groups = staged(each.join(buckets, "key").select("leader", "id").distinct(), "groups")
 
-    routed = staged(group_blocks(groups, sizes), "blocks")
-    found = staged(block_links(_with_text(routed, known), width, percent), "links")
-    classes = staged(connected_components(found), "classes")
-    if not sizes.isEmpty():
-        routed = staged(query_blocks(groups, sizes, classes), "query-blocks")
-        more = staged(block_links(_with_text(routed, known), width, percent), "links")
-        if not more.isEmpty():
-            stars = classes.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            classes = staged(connected_components(stars.unionByName(more)), "classes")
+    candidates = group_classes(groups, keys.select("id", "point"), "point", width, percent)
+    classes = group_classes(candidates.select(F.col("component").alias("leader"), F.col("node").alias("id")), known, "text", width, percent)
 
     of_rep = leaders.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sets.join(of_rep, "digest", "left")

@@ -6,9 +6,12 @@ minima, and a set shares at most the sum of minima with the upper corner of a no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 GROUPS = 64
+MORE_GROUPS, LARGE = 512, 1000
 LEAF = 16
 
 
@@ -19,6 +22,12 @@ def counts(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
     return np.bincount(rows * groups + places.astype(np.int64), minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.int32)
 
 
+def point(own: np.ndarray) -> np.ndarray:
+    """A set's counts in GROUPS groups, or in MORE_GROUPS, which fold onto the same GROUPS, for sets of LARGE or more."""
+    groups = MORE_GROUPS if len(own) >= LARGE else GROUPS
+    return np.bincount((own % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
 class Tree:
     """Bulk-loaded: points sorted by size and then along the coordinate that varies most within runs of like size.
 
@@ -28,6 +37,9 @@ class Tree:
     def __init__(self, points: np.ndarray):
         size = points.sum(1)
         order = np.argsort(size, kind="stable")
+        if len(points) <= LEAF:
+            self.order, self.points, self.size, self.levels = order, points[order], size[order], []
+            return
         slab = LEAF * max(1, int(np.sqrt(len(points) / LEAF)))
         for a in range(0, len(order), slab):
             own = order[a : a + slab]
@@ -48,7 +60,7 @@ class Tree:
         A Jaccard similarity of at least a/b is up = a, down = a + b. ``after`` leaves out points at or before that place.
         """
         least, most = -(-size * up // (down - up)), size * (down - up) // up
-        nodes = np.zeros(1, np.int64)
+        nodes = np.zeros(1, np.int64) if self.levels else np.arange(len(self.points))
         for corner, low, high in reversed(self.levels):
             nodes = nodes[nodes < len(corner)]
             fits = (high[nodes] >= least) & (low[nodes] <= most)
@@ -91,33 +103,53 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(ids: list[int], sets: list[np.ndarray], classes: list[int], percent: int, queries: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links (id, id) that join up every two sets whose Jaccard similarity is at least ``percent``.
+def fits(up: int, down: int, size_a: int, size_b: int, overlap: int) -> bool:
+    return down * overlap >= up * (size_a + size_b)
+
 
-    Sets of one class count as joined already; a link is only looked for between sets that aren't joined yet, best bound first.
-    So the links span the same classes as all links do. ``queries`` marks the sets to search for; the default is all.
+def links(ids: list[int], points: np.ndarray, percent: int, agree: Callable[[int, int], bool], queries: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Edges (id, least id) that join up the rows whose Jaccard similarity may be at least ``percent`` and which ``agree``.
+
+    Rows of one id count as joined. A pair whose bound suffices is only put to ``agree`` while its ids aren't joined yet, best bound
+    first; so the edges span the same classes as all pairs do. ``queries`` marks the rows to search for; the default is all.
     """
     if len(ids) < 2:
         return []
     up, down = percent, 100 + percent
-    points = counts(sets)
     tree = Tree(points)
-    forest, out = Forest(classes), []
+    forest = Forest(ids)
     order = tree.order.tolist()
-    of = [classes[k] for k in order]
     for place, k in enumerate(order):
         if queries is not None and not queries[k]:
             continue
-        # each pair once, from its first place; a search set looks at places before it only for sets that don't search
+        # each pair once, from its first place; a search set that is part of the rows looks at all places
         found, bound = tree.search(points[k], int(tree.size[place]), up, down, place if queries is None else -1)
-        own = forest.find(of[place])
+        own = forest.find(ids[k])
         for f in found[np.argsort(-bound, kind="stable")].tolist():
-            root = forest.find(of[f])
-            if root == own:
-                continue
             other = order[f]
-            if down * shared(sets[k], sets[other]) >= up * (len(sets[k]) + len(sets[other])):
-                out.append((ids[k], ids[other]))
+            root = forest.find(ids[other])
+            if root != own and agree(k, other):
                 forest.join(own, root)
                 own = forest.find(own)
-    return out
+    return [(i, root) for i in forest.parent if (root := forest.find(i)) != i]
+
+
+def set_links(ids: list[int], sets: list[np.ndarray], percent: int, queries: list[bool] | None = None) -> list[tuple[int, int]]:
+    """:func:`links` of sets, each pair verified exactly."""
+    up, down = percent, 100 + percent
+    return links(ids, counts(sets), percent, lambda a, b: fits(up, down, len(sets[a]), len(sets[b]), shared(sets[a], sets[b])), queries)
+
+
+def point_links(ids: list[int], points: list[np.ndarray], percent: int, queries: list[bool] | None = None) -> list[tuple[int, int]]:
+    """:func:`links` by bounds alone: of GROUPS coordinates and, between points that both have more, of all of theirs."""
+    if len(ids) < 2:
+        return []
+    up, down = percent, 100 + percent
+    coarse = np.array([p.reshape(-1, GROUPS).sum(0) for p in points], np.int32)
+
+    def agree(a: int, b: int) -> bool:
+        if len(points[a]) == GROUPS or len(points[b]) == GROUPS:
+            return True
+        return fits(up, down, int(points[a].sum()), int(points[b].sum()), int(np.minimum(points[a], points[b]).sum()))
+
+    return links(ids, coarse, percent, agree, queries)
