@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelab.config import TRUE_BETAS
 from routelab.operators.graph import simple_paths
 from routelab.operators.network import mirrored
 from routelab.operators.paths import choice_table
-from routelab.config import TRUE_BETAS
 from routelab.staging import staged
 
 
@@ -89,11 +89,11 @@ WALKS = """walk AS (SELECT from_stop AS origin, to_stop AS dest, [from_stop, to_
   WHERE NOT list_contains(walk.path, e.to_stop)),
 paths AS (SELECT origin, dest, path, seconds, array_to_string(path, '|') AS path_text FROM walk)"""
 
-LINKS = """spread AS (SELECT origin, dest, path_text, len(path) AS n, UNNEST(range(1, len(path))) AS at, path FROM paths),
-links AS (SELECT s.origin, s.dest, s.path_text, s.at, s.path[s.at] AS u, s.path[s.at + 1] AS v, s.n, e.route_id, e.duration, e.link_type FROM spread s
-  JOIN edges e ON e.from_stop = s.path[s.at] AND e.to_stop = s.path[s.at + 1])"""
+LINKS = """spread AS (SELECT origin, dest, path_text, len(path) AS n, UNNEST(range(1, len(path))) AS step, path FROM paths),
+links AS (SELECT s.origin, s.dest, s.path_text, s.step, s.path[s.step] AS u, s.path[s.step + 1] AS v, s.n, e.route_id, e.duration, e.link_type FROM spread s
+  JOIN edges e ON e.from_stop = s.path[s.step] AND e.to_stop = s.path[s.step + 1])"""
 
-COMPONENTS = """lagged AS (SELECT links.*, LAG(CASE WHEN link_type <> 'transfer' THEN route_id END) OVER (PARTITION BY origin, dest, path_text ORDER BY at) AS before FROM links),
+COMPONENTS = """lagged AS (SELECT links.*, LAG(CASE WHEN link_type <> 'transfer' THEN route_id END) OVER (PARTITION BY origin, dest, path_text ORDER BY step) AS before FROM links),
 boarded AS (SELECT lagged.*, link_type <> 'transfer' AND (before IS NULL OR before <> lagged.route_id) AS boards, COALESCE(headway_min, 10::DOUBLE) AS h
   FROM lagged LEFT JOIN headway ON lagged.route_id = headway.route_id),
 parts AS (SELECT origin, dest, path_text, SUM(CASE WHEN link_type <> 'transfer' THEN duration ELSE 0 END) / 60 AS ivt_min,
