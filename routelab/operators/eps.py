@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.config import TRUE_BETAS, Betas
-from routelab.functions.scalar import kumaraswamy_weight
+from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
 from routelab.operators.graph import adjacency, all_pairs
 from routelab.operators.optim import Minimum, minimise, standard_errors
 from routelab.operators.paths import exploded_links, path_components
@@ -40,11 +40,12 @@ def link_weights(edges: DataFrame, times: DataFrame, a: float = 2.0, b: float =
 
 def path_log_q(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path_text and log_q of each path: the exact log probability that a walk takes it; null where none can."""
-    own = paths.select(*keys, "path", F.array_join("path", "|").alias("path_text"), F.element_at("path", -1).alias("dest"))
-    steps = own.select("*", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "u")).withColumn("took", F.get("path", F.col("at") + 1))
-    steps = steps.withColumn("visited", F.slice("path", F.lit(1), F.col("at") + 1))
-    open_ = steps.join(weights, ["dest", "u"], "left").filter(F.col("v").isNull() | (F.col("v") == F.col("dest")) | ~F.array_contains("visited", F.col("v")))
-    each = open_.groupBy(*keys, "path_text", "at").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("v") == F.col("took"), F.col("weight"))).alias("one"))
+    own = paths.select(*keys, "path", F.array_join("path", "|").alias("path_text"), F.element_at("path", -1).alias("__end"))
+    steps = own.select("*", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("__at", "u")).withColumn("__took", F.get("path", F.col("__at") + 1))
+    steps = steps.withColumn("__visited", F.slice("path", F.lit(1), F.col("__at") + 1))
+    open_ = steps.join(weights.withColumnRenamed("dest", "__end"), ["__end", "u"], "left")
+    open_ = open_.filter(F.col("v").isNull() | (F.col("v") == F.col("__end")) | ~F.array_contains("__visited", F.col("v")))
+    each = open_.groupBy(*keys, "path_text", "__at").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("v") == F.col("__took"), F.col("weight"))).alias("one"))
     n_steps = F.count("*")
     total = each.groupBy(*keys, "path_text").agg(F.sum(F.ln(F.col("one") / F.col("all"))).alias("q"), F.count("one").alias("ok"), n_steps.alias("n"))
     return total.select(*keys, "path_text", F.when(F.col("ok") == F.col("n"), F.col("q")).alias("log_q"))
@@ -99,6 +100,21 @@ def sampled_sets(observations: DataFrame, edges: DataFrame, times: DataFrame, dr
     return observations.select("obs_id", "origin", "dest").mapInPandas(run, "obs_id bigint, origin string, dest string, path array<string>, n_sampled bigint, log_q double")
 
 
+def hashed_sets(observations: DataFrame, paths: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:
+    """obs_id, origin, dest, path, n_sampled and log_q of ``draws`` hashed draws among enumerated paths (origin, dest, path, log_q).
+
+    A draw takes the first path, in string order, whose cumulated probability reaches its uniform; beyond the last it is a walk that
+    fails, which counts in R only.
+    """
+    order = Window.partitionBy("origin", "dest").orderBy("path_text")
+    upto = paths.filter("log_q is not null").withColumn("path_text", F.array_join("path", "|")).withColumn("high", F.sum(F.exp("log_q")).over(order))
+    bands = upto.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(-1.0)))
+    drawn = observations.select("obs_id", "origin", "dest", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.withColumn("x", hashed_uniform("obs_id", "draw", F.lit(seed)))
+    hit = drawn.join(bands, ["origin", "dest"]).filter((F.col("x") > F.col("low")) & (F.col("x") <= F.col("high")))
+    return hit.groupBy("obs_id", "origin", "dest", "path", "log_q").agg(F.count("*").alias("n_sampled")).select("obs_id", "origin", "dest", "path", "n_sampled", "log_q")
+
+
 def with_observed(sampled: DataFrame, observed: DataFrame, weights: DataFrame) -> DataFrame:
     """Sampled sets with each observation's own path (obs_id, origin, dest, path) put in once where it wasn't drawn.
 

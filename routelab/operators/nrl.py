@@ -128,11 +128,11 @@ def value_table(lines: DataFrame, edges: DataFrame, dests: DataFrame, p: Paramet
 
 def path_log_probability(paths: DataFrame, moves: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path_text and log_p: the sum of (utility + next value - value) / scale along each path's transitions."""
-    own = paths.select(*keys, F.array_join("path", "|").alias("path_text"), F.element_at("path", -1).alias("dest"), F.concat(F.array(F.lit(START)), "path").alias("stops"))
-    steps = own.select("*", F.explode(F.sequence(F.lit(0), F.size("stops") - 3)).alias("at")).select(*keys, "path_text", "dest", *[F.get("stops", F.col("at") + k).alias(c) for k, c in enumerate("uvw")])
-    here = values.select("dest", "u", "v", F.col("value").alias("now"))
-    there = values.select("dest", F.col("u").alias("v"), F.col("v").alias("w"), F.col("value").alias("next"))
-    joined = steps.join(moves, ["u", "v", "w"]).join(here, ["dest", "u", "v"]).join(there, ["dest", "v", "w"])
+    own = paths.select(*keys, F.array_join("path", "|").alias("path_text"), F.element_at("path", -1).alias("__end"), F.concat(F.array(F.lit(START)), "path").alias("stops"))
+    steps = own.select("*", F.explode(F.sequence(F.lit(0), F.size("stops") - 3)).alias("at")).select(*keys, "path_text", "__end", *[F.get("stops", F.col("at") + k).alias(c) for k, c in enumerate("uvw")])
+    here = values.select(F.col("dest").alias("__end"), "u", "v", F.col("value").alias("now"))
+    there = values.select(F.col("dest").alias("__end"), F.col("u").alias("v"), F.col("v").alias("w"), F.col("value").alias("next"))
+    joined = steps.join(moves, ["u", "v", "w"]).join(here, ["__end", "u", "v"]).join(there, ["__end", "v", "w"])
     return joined.groupBy(*keys, "path_text").agg(F.sum((F.col("utility") + F.col("next") - F.col("now")) / F.col("mu")).alias("log_p"))
 
 
