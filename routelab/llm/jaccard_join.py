@@ -7,6 +7,7 @@
    alike into candidate classes; no text moves for that.
 4. In each candidate class an R-tree over the texts' sets picks the pairs that are then verified exactly, best bound first. Sets
    already joined are not compared again, so a class of near copies costs a search and a comparison each.
+   Joins on the way are sort-merge joins at every size: no table that grows with the corpus is broadcast.
 5. Both steps split large groups into blocks that share their leader. What lies outside a group's largest class after that is
    searched for, as a query set and in blocks, among all of the group: no pair of different classes is left out.
 6. Links become classes by connected components.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelab.llm.bpe import slices
-from routelab.llm.common import staged
+from routelab.llm.common import staged, tidy
 from routelab.llm.components import connected_components
 from routelab.llm.rtree import MORE_GROUPS, point, point_links, set_links
 from routelab.llm.shingles import shingle_sets
@@ -68,7 +69,7 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
                 [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "digest", "part", "counts"]
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, part int, counts binary")
+    return docs.mapInArrow(tidy(run), "id bigint, n bigint, digest binary, part int, counts binary")
 
 
 def summed_counters(parts: DataFrame) -> np.ndarray:
@@ -106,7 +107,7 @@ def prefixes(docs: DataFrame, counters: np.ndarray, width: int, percent: int) ->
                         keys.append(own[rare[: len(own) - (percent * len(own) + 99) // 100 + 1]].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "point", "keys"])
 
-    return docs.mapInArrow(run, "id bigint, digest binary, point binary, keys array<bigint>")
+    return docs.mapInArrow(tidy(run), "id bigint, digest binary, point binary, keys array<bigint>")
 
 
 def read_point(raw: bytes) -> np.ndarray:
@@ -148,7 +149,7 @@ def block_links(rows: DataFrame, payload: str, width: int, percent: int) -> Data
     def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["u", "v"])
 
-    return keyed.mapInArrow(run, "u bigint, v bigint")
+    return keyed.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def _share(id_: str, of: Column) -> Column:
@@ -185,13 +186,14 @@ def group_classes(groups: DataFrame, payloads: DataFrame, payload: str, width: i
     """(node, component) of the ids that links within the groups (leader, id) join; ``payloads`` has id and the payload."""
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK + 1)
     sizes = staged(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    own = staged(payloads.hint("merge").join(groups.select("id").distinct(), "id", "left_semi"), "payloads")
     routed = staged(group_blocks(groups, sizes), "blocks")
-    found = staged(block_links(routed.join(payloads, "id"), payload, width, percent), "links")
+    found = staged(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
     classes = staged(connected_components(found), "classes")
     if sizes.isEmpty():
         return classes
     routed = staged(query_blocks(groups, sizes, classes), "query-blocks")
-    more = staged(block_links(routed.join(payloads, "id"), payload, width, percent), "links")
+    more = staged(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
     if more.isEmpty():
         return classes
     stars = classes.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
@@ -207,19 +209,19 @@ def jaccard_classes(df: DataFrame, width: int = 4, percent: int = 85, id_: str =
     digests = staged(set_digests(docs, width), "digests")
     sets = digests.filter("part is null").select("id", "n", "digest")
     counters = summed_counters(digests.filter("part is not null").select("part", "counts"))
-    leaders = sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    leaders = staged(sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "leaders")
 
-    keys = prefixes(known, counters, width, percent).join(leaders.select("digest", F.col("rep").alias("id")), ["digest", "id"])
+    keys = prefixes(known, counters, width, percent).hint("merge").join(leaders.select("digest", F.col("rep").alias("id")), ["digest", "id"])
     keys = staged(keys.groupBy("digest", "id").agg(F.first("keys").alias("keys"), F.first("point").alias("point")).drop("digest"), "prefixes")
     each = keys.select("id", F.explode("keys").alias("key"))
     buckets = each.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    groups = staged(each.join(buckets, "key").select("leader", "id").distinct(), "groups")
+    groups = staged(each.hint("merge").join(buckets, "key").select("leader", "id").distinct(), "groups")
 
     candidates = group_classes(groups, keys.select("id", "point"), "point", width, percent)
     classes = group_classes(candidates.select(F.col("component").alias("leader"), F.col("node").alias("id")), known, "text", width, percent)
 
-    of_rep = leaders.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(of_rep, "digest", "left")
+    of_rep = leaders.hint("merge").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = sets.hint("merge").join(of_rep, "digest", "left")
     least = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), least.alias("component_id"))
 
