@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from routelab.llm.common import tidy
 from routelab.shipping import ship
 
 NO_RANK = np.int32(2**31 - 1)
@@ -86,7 +87,7 @@ class PairTable:
 class Codec:
     """Encoder and decoder of one vocabulary. ``cache`` bounds the remembered pieces, ``cells`` a matrix, ``giant`` a row."""
 
-    def __init__(self, raw: bytes, pattern: str, cache: int = 300_000, cells: int = 2_000_000, giant: int = 4096):
+    def __init__(self, raw: bytes, pattern: str, cache: int = 100_000, cells: int = 2_000_000, giant: int = 4096):
         self.ranks = parse_ranks(raw)
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -238,7 +239,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
                 part = batch.slice(start, stop - start)
                 yield with_column(part, ids, pa.array(own.encode(texts.slice(start, stop - start).to_pylist()), pa.binary()))
 
-    return df.mapInArrow(run, _schema_with(df, ids))
+    return df.mapInArrow(tidy(run), _schema_with(df, ids))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded", batch_bytes: int = 8_000_000) -> DataFrame:
@@ -254,4 +255,23 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
                 part = batch.slice(start, stop - start)
                 yield with_column(part, decoded, pa.array([own.decode(x or b"") for x in column.slice(start, stop - start).to_pylist()], pa.binary()))
 
-    return df.mapInArrow(run, _schema_with(df, decoded))
+    return df.mapInArrow(tidy(run), _schema_with(df, decoded))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", batch_bytes: int = 1_000_000) -> DataFrame:
+    """:func:`encode` and then :func:`decode` in one worker, which holds the vocabulary once."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    schema = _schema_with(df, ids)
+    schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared, pattern)
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text))
+            for start, stop in slices(texts, batch_bytes):
+                encoded = own.encode(texts.slice(start, stop - start).to_pylist())
+                part = with_column(batch.slice(start, stop - start), ids, pa.array(encoded, pa.binary()))
+                yield with_column(part, decoded, pa.array(list(map(own.decode, encoded)), pa.binary()))
+
+    return df.mapInArrow(tidy(run), schema)

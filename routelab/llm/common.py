@@ -1,36 +1,20 @@
-"""Shared folders, staged tables and column helpers of the corpus operators."""
+"""Tables, columns and worker memory of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelab.staging import fresh_uri, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, a single machine) one is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='routelab-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_uri(spark: SparkSession, name: str) -> str:
-    """A new URI below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["fresh_uri", "shared_dir", "staged", "table", "tidy", "utf8"]
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
-    uri = fresh_uri(df.sparkSession, name)
-    df.write.parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
+Batches = Iterable[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; none for null."""
     return F.encode(F.coalesce(text, F.lit("")), "utf-8")
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Batches], Iterator[pa.RecordBatch]], every: int = 8) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system every few batches and at the end.
+
+    Python workers outlive their tasks, and several share an executor: what they don't use mustn't stay theirs.
+    """
+
+    def wrapped(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(run(batches), 1):
+            yield batch
+            if n % every == 0:
+                _release()
+        _release()
+
+    return wrapped

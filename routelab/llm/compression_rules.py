@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from routelab.llm.common import tidy
 from routelab.shipping import ship
 
 #: What parts words, and the characters that count as symbols.
@@ -112,4 +113,4 @@ def compression_rules(df: DataFrame, text: str = "text", bands: Bands = Bands())
             columns = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*found) if found else [()] * len(FIELDS), FIELDS)]
             yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in keep] + columns, names=keep + names)
 
-    return df.mapInArrow(run, T.StructType(fields + [T.StructField(name, kind) for name, kind, _ in FIELDS]))
+    return df.mapInArrow(tidy(run), T.StructType(fields + [T.StructField(name, kind) for name, kind, _ in FIELDS]))

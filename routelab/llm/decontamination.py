@@ -19,6 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from routelab.llm.common import tidy
 from routelab.shipping import ship
 
 NOT_WORD = re.compile(r"[\W_]+")
@@ -177,7 +178,7 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, doc: str
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=[doc, item, "edits", "match_start", "match_end"])
 
-        found = own.mapInArrow(run, schema)
+        found = own.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -195,5 +196,5 @@ def without_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, text:
                 clean = [not search(t.as_py()) for t in batch.column(batch.schema.names.index(text))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

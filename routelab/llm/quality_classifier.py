@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routelab.llm.bpe import slices
+from routelab.llm.common import tidy
 from routelab.shipping import ship
 
 BITS = 18
@@ -214,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str =
 
     rows = training_rows(docs, labels, label, id_, text, max_rows)
     schema = T.StructType([rows.schema["id"], rows.schema["y"], T.StructField("found", T.BinaryType())])
-    got = rows.mapInArrow(run, schema).toArrow().to_pydict()
+    got = rows.mapInArrow(tidy(run), schema).toArrow().to_pydict()
     order = sorted(range(len(got["y"])), key=lambda k: (got["id"][k], got["found"][k]))
     model = fit([np.frombuffer(got["found"][k], "<i4").astype(np.int64) for k in order], np.array([got["y"][k] for k in order], np.int64))
     model.words_too = words_too
@@ -241,4 +242,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 columns = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(at(c)) for c in keep] + columns, names=[*keep, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -77,8 +77,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "token_ids")
-    both = bpe.decode(ids, path, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),

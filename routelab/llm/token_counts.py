@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.llm import bpe, storage
-from routelab.llm.common import fresh_uri, staged
+from routelab.llm.common import fresh_uri, staged, tidy
 from routelab.shipping import ship
 
 
@@ -56,7 +56,7 @@ def write_files(df: DataFrame, ranks_path: str, pattern: str, eod: int, width: i
         at = pa.array(list(ordinals), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([uri] * len(at)), at, ids, pa.array([size] * len(at), pa.int64())], names=["file", "ordinal", "id", "bytes"])
 
-    return df.select(id_, text).mapInArrow(run, "file string, ordinal bigint, id bigint, bytes bigint")
+    return df.select(id_, text).mapInArrow(tidy(run), "file string, ordinal bigint, id bigint, bytes bigint")
 
 
 def count_tokens(files: DataFrame, eod: int, width: int = 2, block_bytes: int = 1 << 23) -> DataFrame:
@@ -79,7 +79,7 @@ def count_tokens(files: DataFrame, eod: int, width: int = 2, block_bytes: int =
                 )
 
     tasks = storage.tasks_for(files.sparkSession, files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], block_bytes)
-    found = blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block int, tokens bigint, last boolean, ends array<bigint>")
+    found = blocks.repartition(tasks, "file", "block").mapInArrow(tidy(run), "file string, block int, tokens bigint, last boolean, ends array<bigint>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = found.select(
         "*",

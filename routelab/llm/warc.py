@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelab.llm import storage
-from routelab.llm.common import fresh_uri, staged, utf8
+from routelab.llm.common import fresh_uri, staged, tidy, utf8
 from routelab.shipping import ship
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -209,7 +209,7 @@ def write_archives(rows: DataFrame, archive_bytes: int = 1 << 25) -> DataFrame:
         if lines:
             yield close()
 
-    return rows.mapInArrow(run, "archive string, records bigint, bytes bigint")
+    return rows.mapInArrow(tidy(run), "archive string, records bigint, bytes bigint")
 
 
 def record_ranges(archives: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
@@ -235,7 +235,7 @@ def record_ranges(archives: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
                     end = offset + length
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(runs)), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.list_(pa.int64()))], names=["archive", "offset", "lengths"])
 
-    return archives.select("archive").mapInArrow(run, "archive string, offset bigint, lengths array<bigint>")
+    return archives.select("archive").mapInArrow(tidy(run), "archive string, offset bigint, lengths array<bigint>")
 
 
 def read_records(ranges: DataFrame, tasks: int) -> DataFrame:
@@ -257,7 +257,7 @@ def read_records(ranges: DataFrame, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in kinds.items()], names=list(kinds))
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
-    return ranges.repartition(tasks, "archive", "offset").mapInArrow(run, schema)
+    return ranges.repartition(tasks, "archive", "offset").mapInArrow(tidy(run), schema)
 
 
 def archive_and_read(pages: DataFrame, least: int = 100) -> DataFrame:
