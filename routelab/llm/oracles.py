@@ -38,7 +38,7 @@ host AS (SELECT host, CAST(COUNT(bad) AS BIGINT) AS n, CAST(COALESCE(SUM(bad), 0
          FROM page LEFT JOIN outcome ON page.page_id = outcome.page_id GROUP BY host),
 domain_ AS (SELECT domain, suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM host WHERE n > 0 GROUP BY domain, suffix),
 suffix_ AS (SELECT suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM domain_ GROUP BY suffix),
-base AS (SELECT (COALESCE(SUM(k), 0) + 5e-1) / (COALESCE(SUM(n), 0) + 1e0) AS m FROM suffix_),
+base AS (SELECT CASE WHEN COALESCE(SUM(n), 0) = 0 THEN 0e0 ELSE (SUM(k) + 5e-1) / (SUM(n) + 1e0) END AS m FROM suffix_),
 suffix_in AS (SELECT suffix, n, k, (SELECT m FROM base) AS up FROM suffix_),
 suffix_k AS ({_strength("suffix_in", "up")}),
 suffix_m AS (SELECT suffix, (k + (SELECT kappa FROM suffix_k) * up) / (n + (SELECT kappa FROM suffix_k)) AS m FROM suffix_in),

@@ -62,7 +62,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    base = (k + 0.5) / (n + 1)
+    base = (k + 0.5) / (n + 1) if n else 0.0
 
     def shrunk(level: DataFrame, strength: float) -> Column:
         return (level["k"] + strength * level["up"]) / (level["n"] + strength)
