@@ -32,22 +32,23 @@ class Betas:
 
 @dataclass(frozen=True)
 class BusRoute:
+    """A bus route that runs beside the metro, cut to the part between two stations or up to a stop."""
+
+    name: str
     route_id: str
+    anchors: tuple[str, str]
     trim_at_stop_id: str | None = None
-    radius_m: float | None = None
 
 
 @dataclass(frozen=True)
 class City:
-    """What a run needs to know of a city; feeds and ridership files are named by URI."""
+    """What a run needs to know of a city: routes with their headsigns, services and demand files."""
 
-    name: str
     headsigns: dict[str, str | None]
-    demand: str  # "entry_exit", "ridership" or none
-    pattern_selection: dict[str, str] = field(default_factory=dict)  # route to "longest"; others take the commonest
+    demand: str  # "entry_exit" or "ridership"
+    longest: tuple[str, ...] = ()  # routes that take their longest pattern; others take the commonest
     service_filter: str | None = None
-    service_by_route: dict[str, str] = field(default_factory=dict)
-    headway_service_by_route: dict[str, str] = field(default_factory=dict)
+    headway_services: dict[str, str] = field(default_factory=dict)
     branch_boundaries: tuple[str, ...] = ()
     bus_routes: tuple[BusRoute, ...] = ()
     has_od: bool = False
@@ -55,3 +56,25 @@ class City:
 
 SETTINGS = Settings()
 TRUE_BETAS = Betas()
+
+# Ids and names as the two cities' public feeds have them.
+CITIES = {
+    "sydney": City(
+        headsigns={"2-T1-W-sj2-1": "Penrith Via Parramatta", "2-T2-sj2-1": "City Circle Via Museum", "78-L2-sj2-1": None},
+        demand="entry_exit",
+        longest=("2-T1-W-sj2-1",),
+        headway_services={"2-T1-W-sj2-1": "TA+d9+7", "2-T2-sj2-1": "TA+p2+7", "78-L2-sj2-1": "TA+c9+44"},
+    ),
+    "bengaluru": City(
+        headsigns={"GREEN": "Silk Institute", "PURPLE": "Whitefield (Kadugodi)"},
+        demand="ridership",
+        service_filter="weekday",
+        branch_boundaries=("Rajajinagar", "Lalbagh", "Mahatma Gandhi Road"),
+        bus_routes=(
+            BusRoute("252-F", "1621", ("Nadaprabhu Kempegowda Station, Majestic", "Rajajinagar")),
+            BusRoute("25-A", "1771", ("Lalbagh", "Nadaprabhu Kempegowda Station, Majestic")),
+            BusRoute("314-D", "1127", ("Nadaprabhu Kempegowda Station, Majestic", "Mahatma Gandhi Road"), "22278"),
+        ),
+        has_od=True,
+    ),
+}

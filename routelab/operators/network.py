@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from routelab.functions.scalar import TRANSFER, TRANSIT, WALK, haversine_m, walk_seconds
+from routelab.config import BusRoute
+from routelab.functions.scalar import TRANSFER, TRANSIT, WALK, gtfs_seconds, haversine_m, walk_seconds
+from routelab.operators.gtfs import headway_table, median_gap_minutes, pattern_of_routes, signatures
+from routelab.sources.tables import trip_stop_times
 
 EDGE = ["from_stop", "to_stop", "route_id", "duration", "link_type"]
 
@@ -101,11 +104,16 @@ def trim_branches(stations: DataFrame, edges: DataFrame, boundaries: DataFrame,
     return stations.join(kept, "station_id", "left_semi"), inside
 
 
-def anchor_segments(pattern: DataFrame, tags: DataFrame, trim_at: str | None = None) -> DataFrame:
-    """The stops (stop_id, at) of a pattern between its first and last stop near an anchor, cut after ``trim_at`` where it has it."""
-    rows = pattern.join(tags.select("stop_id", F.lit(True).alias("near")), "stop_id", "left")
-    bounds = rows.agg(F.min(F.when(F.col("near"), F.col("at"))).alias("first"), F.max(F.when(F.col("near"), F.col("at"))).alias("last"), F.min(F.when(F.col("stop_id") == F.lit(trim_at), F.col("at"))).alias("cut"))
-    return rows.join(F.broadcast(bounds), (F.col("at") >= F.col("first")) & (F.col("at") <= F.least("last", F.coalesce("cut", "last")))).select("stop_id", "at")
+def anchor_segments(pattern: DataFrame, tags: DataFrame, first: str, last: str, trim_at: str | None = None) -> DataFrame:
+    """The stops (stop_id, at) of a pattern between its first stop near anchor ``first`` and its first near ``last``, or ``trim_at``.
+
+    The part is the same whichever comes first; it is empty where an end isn't found.
+    """
+    rows = pattern.join(tags.select("stop_id", "anchors"), "stop_id", "left")
+    place = lambda here: F.min(F.when(here, F.col("at")))
+    end = F.col("stop_id") == F.lit(trim_at) if trim_at is not None else F.array_contains("anchors", F.lit(last))
+    bounds = rows.agg(place(F.array_contains("anchors", F.lit(first))).alias("a"), place(end).alias("b"))
+    return rows.join(F.broadcast(bounds), F.col("at").between(F.least("a", "b"), F.greatest("a", "b")) & F.col("a").isNotNull() & F.col("b").isNotNull()).select("stop_id", "at")
 
 
 def bus_edges(pattern: DataFrame, times: DataFrame, route_id: str) -> DataFrame:
@@ -117,13 +125,40 @@ def bus_edges(pattern: DataFrame, times: DataFrame, route_id: str) -> DataFrame:
     return mirrored(timed.select(bus("from_stop"), bus("to_stop"), F.lit(f"BUS_{route_id}").alias("route_id"), "duration", F.lit(TRANSIT).alias("link_type")))
 
 
+def parallel_bus_route(stations: DataFrame, feed: dict[str, DataFrame], route: BusRoute, max_gap_sec: float = 7200.0, radius_m: float = 500.0, default: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stations, edges and headway (route_id, headway_min) of one bus route's part between its anchors.
+
+    The pattern is the commonest of the route's trips, times are means over the trips that follow it, and the headway is that of all
+    the route's trips at the first anchor's stop.
+    """
+    trips = feed["trips"].filter(F.col("route_id") == route.route_id).select("trip_id", "route_id")
+    calls = trip_stop_times(feed["stop_times"], trips)
+    best = pattern_of_routes(trips, calls)
+    pattern = best.select(F.posexplode("signature").alias("at", "stop_id"))
+    points = lambda df, key: df.select(F.col(key).alias("id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    tags = anchor_tags(points(feed["stops"], "stop_id"), points(stations.filter(F.col("station_name").isin(*route.anchors)), "station_name"), radius_m)
+    part = anchor_segments(pattern, tags, *route.anchors, route.trim_at_stop_id)
+
+    matching = signatures(calls).join(best.select("signature"), "signature", "left_semi").select("trip_id")
+    timed = calls.join(matching, "trip_id", "left_semi").join(trips, "trip_id").select("trip_id", "route_id", "stop_id", "stop_sequence", gtfs_seconds("arrival_time").alias("arrival"), gtfs_seconds("departure_time").alias("departure"))
+    edges = bus_edges(part, segment_times(timed, ["stop_sequence"]), route.name)
+    places = feed["stops"].join(part.select("stop_id").distinct(), "stop_id", "left_semi")
+    own = places.select(F.concat(F.lit("BUS_"), "stop_id").alias("station_id"), F.col("stop_name").alias("station_name"), "stop_lat", "stop_lon")
+
+    start = pattern.join(tags.filter(F.array_contains("anchors", F.lit(route.anchors[0]))), "stop_id", "left_semi").orderBy("at").limit(1)
+    leaving = calls.join(F.broadcast(start.select("stop_id")), "stop_id", "left_semi").select(F.lit(f"BUS_{route.name}").alias("route_id"), gtfs_seconds("departure_time").alias("second"))
+    gaps = median_gap_minutes(leaving, ["route_id"], "second", max_gap_sec)
+    named = feed["trips"].sparkSession.createDataFrame([(f"BUS_{route.name}",)], "route_id string")
+    return own, edges, headway_table(named, gaps, default)
+
+
 def build_supernetwork(stations: DataFrame, metro: DataFrame, max_m: float = 500.0, speed: float = 1.2, trim=None, bus_stations: DataFrame | None = None, bus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Metro edges, then walking edges, then ``trim`` (stations, edges) -> both, then bus stations and edges with their walking edges."""
     edges = metro.select(EDGE).unionByName(walking_transfers(stations, metro, max_m, speed).select(EDGE))
     if trim:
         stations, edges = trim(stations, edges)
     if bus is not None:
-        stations = stations.unionByName(bus_stations).distinct()
+        stations = stations.unionByName(bus_stations).dropDuplicates(["station_id"])
         edges = edges.unionByName(bus.select(EDGE))
         edges = edges.unionByName(walking_transfers(stations, edges, max_m, speed).select(EDGE))
     return stations.distinct(), edges.distinct()

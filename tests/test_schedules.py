@@ -83,13 +83,15 @@ def test_collapse_edges_and_mirror(spark):
     assert reached == {"C": 0.0, "B": 100.0, "A": 190.0}
 
 
-def test_bus_route(spark):
+def test_bus_part(spark):
     pattern = spark.createDataFrame([(s, k) for k, s in enumerate("PQRST")], "stop_id string, at int")
-    tags = spark.createDataFrame([("Q", ["1"]), ("S", ["2"])], "stop_id string, anchors array<string>")
-    cut = network.anchor_segments(pattern, tags)
-    assert [r["stop_id"] for r in cut.orderBy("at").collect()] == ["Q", "R", "S"]
-    assert [r["stop_id"] for r in network.anchor_segments(pattern, tags, "R").orderBy("at").collect()] == ["Q", "R"]
+    tags = spark.createDataFrame([("Q", ["one"]), ("S", ["two"]), ("T", ["one", "two"])], "stop_id string, anchors array<string>")
+    part = lambda *a: [r["stop_id"] for r in network.anchor_segments(pattern, tags, *a).orderBy("at").collect()]
+    assert part("one", "two") == ["Q", "R", "S"] == part("two", "one")
+    assert part("one", "two", "R") == ["Q", "R"] and part("one", "two", "P") == ["P", "Q"]
+    assert part("one", "three") == []
     times = spark.createDataFrame([("Q", "R", 60.0), ("R", "S", None)], "from_stop string, to_stop string, duration double")
+    cut = network.anchor_segments(pattern, tags, "one", "two")
     assert rows(network.bus_edges(cut, times, "9").select("from_stop", "to_stop", "route_id")) == [("BUS_Q", "BUS_R", "BUS_9"), ("BUS_R", "BUS_Q", "BUS_9")]
 
 
