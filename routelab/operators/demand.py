@@ -46,10 +46,10 @@ def gravity_od(stations: DataFrame, times: DataFrame, beta: float = 0.05, target
     """Doubly constrained gravity model in long form: seed by impedance, then rows and columns scaled in turn, then to the target.
 
     ``stations`` has station_id, total_entries and total_exits; ``times`` origin, dest and seconds. Sums are windows by origin and
-    by destination, staged every five iterations. Ends balanced by column; pairs under the threshold and self-pairs go.
+    by destination, staged every three iterations. Ends balanced by column; pairs under the threshold and self-pairs go.
     """
     known = stations.filter("total_entries is not null and total_exits is not null")
-    on_graph = known.join(times.select(F.col("origin").alias("station_id")).distinct(), "station_id", "left_semi")
+    on_graph = staged(known.join(times.select(F.col("origin").alias("station_id")).distinct(), "station_id", "left_semi").select("station_id", "total_entries", "total_exits"), "totals")
     n, o, d = on_graph.agg(F.count("*"), F.sum("total_entries"), F.sum("total_exits")).first()
     if n < 2:
         raise ValueError("fewer than two stations with demand")
@@ -59,7 +59,7 @@ def gravity_od(stations: DataFrame, times: DataFrame, beta: float = 0.05, target
     dests = on_graph.select(F.col("station_id").alias("dest"), F.col("total_exits").cast("double").alias("d"))
     # An origin-destination table has a row a pair: the product is its size, not a detour.
     pairs = origins.crossJoin(dests).join(times.select("origin", "dest", "seconds"), ["origin", "dest"], "left")
-    cells = pairs.withColumn("t", F.col("o") * F.col("d") * impedance(F.col("seconds") / 60.0, beta, F.col("origin") == F.col("dest")))
+    cells = staged(pairs.withColumn("t", F.col("o") * F.col("d") * impedance(F.col("seconds") / 60.0, beta, F.col("origin") == F.col("dest"))), "cells")
     if not cells.filter("t > 0").limit(1).count():
         raise ValueError("no pair can be reached")
     by_row, by_column = Window.partitionBy("origin"), Window.partitionBy("dest")
@@ -70,7 +70,7 @@ def gravity_od(stations: DataFrame, times: DataFrame, beta: float = 0.05, target
 
     for k in range(iterations):
         cells = scaled(scaled(cells, "o", by_row), "d", by_column)
-        if k % 5 == 4:
+        if k % 3 == 2:
             cells = staged(cells, "cells")
     total = cells.agg(F.sum("t")).first()[0]
     if not total:
