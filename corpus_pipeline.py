@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routelab.llm import decontamination, jaccard_join
 from routelab.llm import queries as q
-from routelab.llm.common import staged, table
+from routelab.llm.common import spread, staged, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"), q.EDITS)
+    return decontamination.without_items(spread(docs), table(spark, sf_dir, "benchmark"), q.EDITS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from routelab.staging import fresh_uri, shared_dir, staged
 
-__all__ = ["fresh_uri", "shared_dir", "staged", "table", "tidy", "utf8"]
+__all__ = ["fresh_uri", "shared_dir", "spread", "staged", "table", "tidy", "utf8"]
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, dealt out to all cores where its files give fewer tasks than there are cores.
+
+    Small inputs only: a corpus has more splits than a cluster has cores, and then no row moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; none for null."""
     return F.encode(F.coalesce(text, F.lit("")), "utf-8")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc
-from routelab.llm.common import table
+from routelab.llm.common import spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
@@ -26,7 +26,7 @@ BAD_PAGE = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND t
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=20_000)
-    return quality_classifier.score(docs, model, threshold=0.3)
+    return quality_classifier.score(spread(docs), model, threshold=0.3)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = token_counts.document_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    counted = token_counts.document_tokens(spread(docs.select("doc_id", "text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
     return counted.select("doc_id", "n_tokens", "token_start")
 
 
 def op3_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = compression_rules.compression_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = compression_rules.compression_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", *[name for name, _, _ in compression_rules.FIELDS])
 
 
@@ -64,7 +64,7 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_items(docs, table(spark, sf_dir, "benchmark"), EDITS)
+    return decontamination.find_items(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), EDITS)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    both = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    both = bpe.round_trip(spread(docs.select("doc_id", "text")), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
