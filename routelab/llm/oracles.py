@@ -62,3 +62,14 @@ first AS (SELECT payload_digest, MIN(page_id) AS first FROM page WHERE payload_b
 joined AS (SELECT page.*, first.first, first.first IS NOT NULL AND page_id IS DISTINCT FROM first.first AS again FROM page LEFT JOIN first USING (payload_digest))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
 FROM joined"""
+
+JACCARD = f"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(TRANSLATE(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, UNNEST(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM cut),
+size AS (SELECT doc_id, COUNT(*) AS n FROM shingle GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ends.b FROM reach JOIN ends ON reach.r = ends.a)
+SELECT reach.doc_id, COALESCE(ANY_VALUE(n), 0) AS n_shingles, MIN(r) AS component_id FROM reach LEFT JOIN size ON size.doc_id = reach.doc_id GROUP BY reach.doc_id"""

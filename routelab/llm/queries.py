@@ -110,5 +110,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_warc_archives": oracles.WARC,
+    "op8_jaccard_join": oracles.JACCARD,
     "op10_host_reputation": oracles.judge_sql(URL_RULES, URL_Z, URL_LIMIT, outcomes=f"(SELECT doc_id AS page_id, {BAD_PAGE} AS bad FROM labels) l"),
 }

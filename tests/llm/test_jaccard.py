@@ -116,6 +116,10 @@ def test_query(spark, docs):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingles(t)) for i, t in rows}
 
 
+def test_query_against_sql(compare):
+    compare(queries.op8_jaccard_join, queries.ORACLE_SQL["op8_jaccard_join"], "/root/testdata/sf0.01")
+
+
 def test_large_groups_of_chains(spark, monkeypatch):
     """Blocks far smaller than the groups: links across blocks must be found, also along chains of ever farther texts."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
