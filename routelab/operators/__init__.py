@@ -1 +1 @@
-
+"""Schedule, network, demand, path and choice-model operators over DataFrames."""

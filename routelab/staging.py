@@ -20,9 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_uri(spark: SparkSession, name: str) -> str:
     """A new URI below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -30,3 +34,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     uri = fresh_uri(df.sparkSession, name)
     df.write.parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has staged, once no result that reads it is needed any more; the number of tables deleted."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return done

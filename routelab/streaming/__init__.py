@@ -1 +1 @@
-
+"""Streaming has no counterpart: every source of the domain is a complete file, read in batch by :mod:`routelab.sources`."""
