@@ -36,10 +36,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def _delete(spark: SparkSession, uri: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+class Scratch:
+    """Stages the tables of one computation and deletes them when its result has been staged elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.uris = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        self.uris.append(_made[-1])
+        return out
+
+    def clear(self) -> None:
+        for uri in self.uris:
+            _made.remove(uri)
+            _delete(self.spark, uri)
+        self.uris.clear()
+
+
 def clear(spark: SparkSession) -> int:
     """Delete what this process has staged, once no result that reads it is needed any more; the number of tables deleted."""
-    jvm, done = spark.sparkContext._jvm, 0
+    done = 0
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        done += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        done += _delete(spark, _made.pop())
     return done

@@ -10,3 +10,11 @@ def test_stage_and_clear(spark):
     made, staging._made[:] = staging._made[:], [staging._made[-1]]  # others' tables stay
     assert staging.clear(spark) == 1 and not os.path.exists(folder)
     staging._made[:] = made[:-1]
+
+
+def test_scratch(spark):
+    scratch = staging.Scratch(spark)
+    folders = [scratch(spark.range(k), "part").inputFiles()[0].removeprefix("file://").rpartition("/")[0] for k in (1, 2)]
+    kept = staging.staged(spark.range(3), "kept")
+    scratch.clear()
+    assert not any(map(os.path.exists, folders)) and kept.count() == 3
