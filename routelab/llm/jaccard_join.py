@@ -34,6 +34,7 @@ from routelab.llm.components import connected_components
 from routelab.llm.rtree import MORE_GROUPS, point, point_links, set_links
 from routelab.llm.shingles import shingle_sets
 from routelab.shipping import ship
+from routelab.staging import Scratch
 
 COUNTERS = 1 << 18
 PART = 1 << 12
@@ -81,7 +82,7 @@ def summed_counters(parts: DataFrame) -> np.ndarray:
             total += np.frombuffer(x, "<i8")
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
 
-    first = parts.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(61))).groupBy("part", "share").applyInPandas(add, "part int, counts binary")
+    first = parts.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(509))).groupBy("part", "share").applyInPandas(add, "part int, counts binary")
     out = np.zeros(COUNTERS, np.int64)
     for row in first.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
         out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(row["counts"], "<i8")
@@ -168,10 +169,10 @@ def group_blocks(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return every.unionByName(rest).select("leader", "block", F.lit(0).alias("chunk"), "id", F.col("id").alias("class"), F.lit(True).alias("query"))
 
 
-def query_blocks(groups: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+def query_blocks(groups: DataFrame, sizes: DataFrame, classes: DataFrame, stage: Scratch) -> DataFrame:
     """Of large groups, the documents outside the largest class as queries against blocks of the whole group."""
     labelled = groups.join(sizes, "leader").join(classes, F.col("id") == F.col("node"), "left").select("leader", "id", F.coalesce("component", "id").alias("class"))
-    labelled = staged(labelled, "large-groups")
+    labelled = stage(labelled, "large-groups")
     by_class = labelled.groupBy("leader", "class").agg(F.count("*").alias("n"))
     group = by_class.groupBy("leader").agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("largest"), F.sum("n").alias("m"), F.max("n").alias("most"))
     up = lambda n: F.ceil(n / QUERY_BLOCK).cast("int")
@@ -182,48 +183,51 @@ def query_blocks(groups: DataFrame, sizes: DataFrame, classes: DataFrame) -> Dat
     return index.unionByName(asked)
 
 
-def group_classes(groups: DataFrame, payloads: DataFrame, payload: str, width: int, percent: int) -> DataFrame:
+def group_classes(groups: DataFrame, payloads: DataFrame, payload: str, width: int, percent: int, stage: Scratch) -> DataFrame:
     """(node, component) of the ids that links within the groups (leader, id) join; ``payloads`` has id and the payload."""
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK + 1)
-    sizes = staged(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
-    own = staged(payloads.hint("merge").join(groups.select("id").distinct(), "id", "left_semi"), "payloads")
-    routed = staged(group_blocks(groups, sizes), "blocks")
-    found = staged(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
-    classes = staged(connected_components(found), "classes")
+    sizes = stage(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    own = stage(payloads.hint("merge").join(groups.select("id").distinct(), "id", "left_semi"), "payloads")
+    routed = stage(group_blocks(groups, sizes), "blocks")
+    found = stage(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
+    classes = stage(connected_components(found, stage), "classes")
     if sizes.isEmpty():
         return classes
-    routed = staged(query_blocks(groups, sizes, classes), "query-blocks")
-    more = staged(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
+    routed = stage(query_blocks(groups, sizes, classes, stage), "query-blocks")
+    more = stage(block_links(own.hint("merge").join(routed, "id"), payload, width, percent), "links")
     if more.isEmpty():
         return classes
     stars = classes.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return staged(connected_components(stars.unionByName(more)), "classes")
+    return stage(connected_components(stars.unionByName(more), stage), "classes")
 
 
 def jaccard_classes(df: DataFrame, width: int = 4, percent: int = 85, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles (size of its set) and component_id (the least id that its links reach, itself included)."""
     ship(df.sparkSession)
+    stage = Scratch(df.sparkSession)
     docs = df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"))
     known = docs.filter("id is not null")
 
-    digests = staged(set_digests(docs, width), "digests")
+    digests = stage(set_digests(docs, width), "digests")
     sets = digests.filter("part is null").select("id", "n", "digest")
     counters = summed_counters(digests.filter("part is not null").select("part", "counts"))
-    leaders = staged(sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "leaders")
+    leaders = stage(sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "leaders")
 
     keys = prefixes(known, counters, width, percent).hint("merge").join(leaders.select("digest", F.col("rep").alias("id")), ["digest", "id"])
-    keys = staged(keys.groupBy("digest", "id").agg(F.first("keys").alias("keys"), F.first("point").alias("point")).drop("digest"), "prefixes")
+    keys = stage(keys.groupBy("digest", "id").agg(F.first("keys").alias("keys"), F.first("point").alias("point")).drop("digest"), "prefixes")
     each = keys.select("id", F.explode("keys").alias("key"))
     buckets = each.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    groups = staged(each.hint("merge").join(buckets, "key").select("leader", "id").distinct(), "groups")
+    groups = stage(each.hint("merge").join(buckets, "key").select("leader", "id").distinct(), "groups")
 
-    candidates = group_classes(groups, keys.select("id", "point"), "point", width, percent)
-    classes = group_classes(candidates.select(F.col("component").alias("leader"), F.col("node").alias("id")), known, "text", width, percent)
+    candidates = group_classes(groups, keys.select("id", "point"), "point", width, percent, stage)
+    classes = group_classes(candidates.select(F.col("component").alias("leader"), F.col("node").alias("id")), known, "text", width, percent, stage)
 
     of_rep = leaders.hint("merge").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sets.hint("merge").join(of_rep, "digest", "left")
     least = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), least.alias("component_id"))
+    result = staged(out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), least.alias("component_id")), "result")
+    stage.clear()
+    return result
 
 
 def one_of_each_class(df: DataFrame, width: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
