@@ -167,19 +167,13 @@ def diagnose_city(
     found |= {"attributes": metrics.describe(chosen, columns), "correlations": metrics.correlations(chosen, columns), "transfers": metrics.value_counts(chosen, "n_transfers")}
 
     split = simulate.train_test_split(trips, PAIR, "obs_id", SETTINGS.test_fraction, SETTINGS.seed)
-    rows = split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "is_test")
+    rows = split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size", "is_test")
     train, test = staged(rows.filter("not is_test"), "train"), staged(rows.filter("is_test"), "test")
     fit = timer.run("eps train", lambda: eps.fit(staged(eps.estimation_data(train, edges, headways, draws), "estimation")))
     timer.run("eps test", lambda: eps.log_likelihood(eps.estimation_data(test, edges, headways, draws), Betas(**fit["betas"])).first())
     found["eps_recovery"] = _bias(spark, fit)
     if not skip_sweep:
-        sweep = []
-        for r in (10, 20, 40, 80):
-            table = staged(eps.estimation_data(train, edges, headways, r), "estimation")
-            own = timer.run(f"eps draws {r}", lambda table=table: eps.fit(table))
-            size = table.groupBy("obs_id").count().agg(F.avg("count")).first()[0]
-            sweep.append((r, float(size), timer.seconds[f"eps draws {r}"], own["log_likelihood"], own["converged"], *own["betas"].values()))
-        found["sweep"] = spark.createDataFrame(sweep, "draws int, mean_set_size double, seconds double, log_likelihood double, converged boolean, " + ", ".join(f"{n} double" for n in eps.NAMES))
+        found["sweep"] = eps.draw_sweep(train, test, edges, headways, timer=timer)
     if skip_nrl:
         timer.skip("nrl train")
         timer.skip("nrl test")

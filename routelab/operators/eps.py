@@ -5,7 +5,9 @@ The sampled set of an observation weighs a path by n / (R q): n draws of R had p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
@@ -16,12 +18,19 @@ from pyspark.sql.window import Window
 from routelab.config import TRUE_BETAS, Betas
 from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
 from routelab.operators.graph import adjacency, all_pairs
+from routelab.operators.metrics import Timer
 from routelab.operators.optim import Minimum, minimise, standard_errors
 from routelab.operators.paths import exploded_links, path_components
 from routelab.shipping import ship
+from routelab.staging import staged
 
 FLOOR_Q = 1e-6
 NAMES = ("ivt", "wait", "walk", "transfer", "pathsize")
+DRAW_LEVELS = (10, 20, 40, 80)
+SWEEP_SCHEMA = ", ".join(
+    ["draws int, mean_choice_set_size double, mean_set_size double, n_obs bigint, log_likelihood double, test_log_likelihood double, seconds double, converged boolean"]
+    + [f"{prefix}{n} double" for prefix in ("", "bias_", "z_") for n in NAMES]
+)
 
 
 def link_weights(edges: DataFrame, times: DataFrame, a: float = 2.0, b: float = 2.0) -> DataFrame:
@@ -213,6 +222,30 @@ def estimation_data(trips: DataFrame, edges: DataFrame, headways: DataFrame, dra
     return estimation_table(with_observed(sampled, trips, weights), trips, edges, headways, draws)
 
 
+def draw_sweep(train: DataFrame, test: DataFrame, edges: DataFrame, headways: DataFrame, levels: tuple[int, ...] = DRAW_LEVELS, timer: Timer | None = None) -> DataFrame:
+    """A fit of ``train`` for each number of draws: set sizes, observations retained, log-likelihoods, seconds, estimates, biases and z.
+
+    Trips have obs_id, origin, dest, path and choice_set_size. Seconds are those of sampling and fit; ``test`` is sampled with as many
+    draws. The held-out log-likelihood is null over no trips, z where the curvature gives none.
+    """
+    timer, true, rows = timer or Timer(), asdict(TRUE_BETAS), []
+    universal = train.agg(F.avg("choice_set_size")).first()[0]
+    for draws in levels:
+        step = f"eps draws {draws}"
+
+        def sample_and_fit(draws: int = draws) -> tuple[DataFrame, dict]:
+            table = staged(estimation_data(train, edges, headways, draws), "estimation")
+            return table, fit(table, errors=True)
+
+        table, own = timer.run(step, sample_and_fit)
+        held = log_likelihood(estimation_data(test, edges, headways, draws), Betas(**own["betas"])).first()["log_likelihood"]
+        size = table.groupBy("obs_id").count().agg(F.avg("count")).first()[0]
+        biases = [own["betas"][n] - true[n] for n in NAMES]
+        z = [own["z"][n] if math.isfinite(own["z"][n]) else None for n in NAMES]
+        rows.append((draws, universal, size, own["n_obs"], float(own["log_likelihood"]), held, timer.seconds[step], own["converged"], *(own["betas"][n] for n in NAMES), *biases, *z))
+    return edges.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
+
+
 def hit_rate(table: DataFrame, betas: Betas) -> DataFrame:
     """One row: the share of observations whose most probable alternative is the observed path; ties take the first path in string order."""
     best = with_probabilities(table, betas).groupBy("obs_id").agg(F.max_by("chosen", F.struct("probability", F.col("chosen"))).alias("hit"))

@@ -129,16 +129,12 @@ def hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draw_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fit for each number of draws: draws, mean set size, log-likelihood and the in-vehicle coefficient."""
+    """A fit for each of 10, 20, 40 and 80 draws, held-out trips included."""
     edges = a.grid_edges(spark, sf_dir)
-    trips = staged(observed_trips(edges), "trips")
-    rows = []
-    for draws in (10, 20, 40):
-        table = staged(eps.estimation_data(trips, edges, a.grid_headways(edges), draws), "estimation")
-        fit = eps.fit(table)
-        size = table.groupBy("obs_id").count().agg(F.avg("count")).first()[0]
-        rows.append((draws, float(size), float(fit["log_likelihood"]), fit["betas"]["ivt"], fit["converged"]))
-    return spark.createDataFrame(rows, "draws int, mean_set_size double, log_likelihood double, ivt double, converged boolean")
+    choices = a.grid_choices(edges, a.grid_paths(edges).filter("origin = '0' and dest = '12'"))
+    split = simulate.train_test_split(simulate.universal_trips(choices, OBSERVATIONS), PAIR, "obs_id")
+    trips = staged(split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size", "is_test"), "trips")
+    return eps.draw_sweep(trips.filter("not is_test"), trips.filter("is_test"), edges, a.grid_headways(edges))
 
 
 def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
