@@ -3,7 +3,8 @@
 A ratio is UTF-8 bytes over bytes of one zstandard frame at a fixed level. Repetitive text passes the upper limit of its length
 band, incompressible text falls below the lower one. Short texts compress badly and long ones well, so limits go by length.
 Chunks catch long documents of which only part is bad: a document goes if chunks with more than ``chunk_share`` of the bytes in
-chunks lie outside the chunk band.
+chunks lie outside the chunk band. Every byte of a text longer than a chunk counts once: a
+rest under ``least_chunk`` is judged with the bytes before it, as the text's last ``chunk`` bytes.
 
 Defined cases: a null or empty text has no words and fails the base rule. Repeated rows stay. Other columns pass through, but
 those named like an output are replaced; nulls in them pass through. Texts of any length are read whole.
@@ -82,6 +83,14 @@ class Judge:
     def ratio(self, raw: bytes) -> float:
         return len(raw) / len(self.compress(raw)) if raw else 0.0
 
+    def chunks(self, raw: bytes) -> list[tuple[int, bytes]]:
+        """(bytes it stands for, chunk) of a text longer than a chunk; a short rest is judged as part of the last ``chunk`` bytes."""
+        size = self.bands.chunk
+        if len(raw) <= size:
+            return []
+        parts = [raw[at : at + size] for at in range(0, len(raw), size)]
+        return [(len(p), p if len(p) >= self.bands.least_chunk else raw[-size:]) for p in parts]
+
     def __call__(self, text: str | None) -> tuple:
         bands, text = self.bands, text or ""
         raw = text.encode()
@@ -90,9 +99,8 @@ class Judge:
         repeats = repeated_words(words)
         failed = n < bands.min_words or 100 * repeats > bands.max_repeat_percent * n
         ratio, (low, high) = self.ratio(raw), self.band(len(raw))
-        chunks = [c for c in (raw[at : at + bands.chunk] for at in range(0, len(raw), bands.chunk)) if len(c) >= bands.least_chunk] if len(raw) > bands.chunk else []
-        bad = sum(len(c) for c in chunks if not bands.chunk_limits[0] <= self.ratio(c) <= bands.chunk_limits[1])
-        share = bad / sum(map(len, chunks)) if chunks else 0.0
+        bad = sum(n_bytes for n_bytes, c in self.chunks(raw) if not bands.chunk_limits[0] <= self.ratio(c) <= bands.chunk_limits[1])
+        share = bad / len(raw) if raw else 0.0
         kept = not failed and low <= ratio <= high and share <= bands.chunk_share
         word_chars = len(text) - sum(map(text.count, SPACES))
         return n, word_chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, kept, ratio, share

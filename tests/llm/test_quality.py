@@ -54,6 +54,17 @@ def test_bands():
     assert not judge(shout)[6]
 
 
+def test_a_short_tail_is_judged():
+    judge = compression_rules.Judge(compression_rules.Bands())
+    rng = np.random.default_rng(0)
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(900))[:2048]
+    assert judge(prose)[6] and not judge(prose + "a" * 940)[6] and judge(prose + "a" * 940)[8] == 940 / 2988
+    for n in (2048, 2049, 3071, 3072, 4096, 5000, 9999):
+        raw = rng.integers(97, 123, n, np.uint8).tobytes()
+        cut = judge.chunks(raw)
+        assert sum(k for k, _ in cut) == (n if n > 2048 else 0) and all(1024 <= len(c) <= 2048 and raw.count(c) for _, c in cut)
+
+
 def test_rules_odd_rows(odd):
     out = compression_rules.compression_rules(odd)
     assert out.count() == odd.count() and "id" in out.columns and dict(out.dtypes)["n_words"] == "bigint"
