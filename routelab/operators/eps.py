@@ -248,5 +248,5 @@ def draw_sweep(train: DataFrame, test: DataFrame, edges: DataFrame, headways: Da
 
 def hit_rate(table: DataFrame, betas: Betas) -> DataFrame:
     """One row: the share of observations whose most probable alternative is the observed path; ties take the first path in string order."""
-    best = with_probabilities(table, betas).groupBy("obs_id").agg(F.max_by("chosen", F.struct("probability", F.col("chosen"))).alias("hit"))
+    best = with_probabilities(table, betas).groupBy("obs_id").agg(F.min_by("chosen", F.struct(-F.col("probability"), F.col("path_text"))).alias("hit"))
     return best.agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))

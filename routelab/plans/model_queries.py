@@ -14,6 +14,7 @@ from routelab.staging import staged
 
 PAIR = ["origin", "dest"]
 DRAWS = 20
+HIT_DRAWS = 30
 OBSERVATIONS = 40
 ITERATIONS = 25
 TRUE = nrl.Parameters()
@@ -125,7 +126,14 @@ def standard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eps.hit_rate(_estimation(spark, sf_dir), TRUE_BETAS)
+    """Hits in sets of their own, in which the observed path is only where it is drawn."""
+    return eps.hit_rate(_hit_table(a.grid_edges(spark, sf_dir)), TRUE_BETAS)
+
+
+def _hit_table(edges: DataFrame) -> DataFrame:
+    trips = staged(observed_trips(edges), "trips")
+    sets = eps.hashed_sets(trips, _log_q(edges), HIT_DRAWS)
+    return eps.estimation_table(staged(sets, "sets"), trips, edges, a.grid_headways(edges), HIT_DRAWS)
 
 
 def draw_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,12 @@ def test_recovery_of_a_logit(spark):
     assert 0.3 < eps.hit_rate(table, true).first()[0] <= 1
 
 
+def test_hit_rate_ties_take_the_first_path(spark):
+    rows = [(obs, path, path == own, 1.0, 1.0, 1.0, 0, 1.0, 0.0) for obs, own in ((0, "A|B"), (1, "A|C|B")) for path in ("A|C|B", "A|B")]
+    schema = "obs_id bigint, path_text string, chosen boolean, ivt_min double, wait_min double, walk_min double, n_transfers bigint, expanded_path_size double, sampling_correction double"
+    assert eps.hit_rate(spark.createDataFrame(rows, schema), Betas()).first()[0] == 0.5
+
+
 def test_optimisers():
     f = lambda x: (x[0] - 3) ** 2 + 10 * (x[1] + 1) ** 2 + x[0] * x[1]
     want = np.linalg.solve([[2, 1], [1, 20]], [6, -20])

@@ -2,7 +2,7 @@
 
 import pytest
 
-from routelab.plans import registry
+from routelab.plans import model_queries, registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -32,3 +32,11 @@ def test_draw_sweep_is_whole(spark):
         for name, true in (("ivt", 0.025), ("wait", 0.05), ("walk", 0.035), ("transfer", 0.4), ("pathsize", 1.0)):
             assert abs(r[f"bias_{name}"] - (r[name] - true)) < 1e-12
             assert r[f"z_{name}"] is None or r[f"z_{name}"] == r[f"z_{name}"]
+
+
+def test_hit_rate_draws_sets_of_its_own(spark, monkeypatch):
+    draws, hashed_sets = [], model_queries.eps.hashed_sets
+    monkeypatch.setattr(model_queries.eps, "hashed_sets", lambda trips, paths, n, *rest: draws.append(n) or hashed_sets(trips, paths, n, *rest))
+    monkeypatch.setattr(model_queries.eps, "with_observed", lambda *_: pytest.fail("the observed path is forced in"))
+    assert 0 <= QUERIES["hit_rate"](spark, "/root/testdata/sf0.001").first()[0] <= 1
+    assert draws == [30]
