@@ -151,7 +151,7 @@ def diagnose_city(
     spark: SparkSession, name: str, out: str, origin: str | None = None, dest: str | None = None, n_observations: int = 3000, max_paths: int = 500,
     skip_sweep: bool = False, skip_nrl: bool = False, nrl_sample: int = 60, nrl_se: bool = False, draws: int = 50,
 ) -> dict[str, DataFrame]:
-    """Both models on one pair's universal choice set, over the tables of an earlier run: attributes, recovery, sweep and runtimes."""
+    """Both models on one pair's universal choice set, over the tables of an earlier run: attributes, recovery, sweep, held-out fit and runtimes."""
     folder, timer, found = f"{out}/{name}", metrics.Timer(), {}
     edges, headways = staged(network.graph_edges(spark.read.parquet(f"{folder}/supernetwork_edges")), "graph"), spark.read.parquet(f"{folder}/route_headways")
     if origin is None or dest is None:
@@ -170,7 +170,7 @@ def diagnose_city(
     rows = split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size", "is_test")
     train, test = staged(rows.filter("not is_test"), "train"), staged(rows.filter("is_test"), "test")
     fit = timer.run("eps train", lambda: eps.fit(staged(eps.estimation_data(train, edges, headways, draws), "estimation")))
-    timer.run("eps test", lambda: eps.log_likelihood(eps.estimation_data(test, edges, headways, draws), Betas(**fit["betas"])).first())
+    held_out = [("eps", timer.run("eps test", lambda: eps.log_likelihood(eps.estimation_data(test, edges, headways, draws), Betas(**fit["betas"])).first())["log_likelihood"])]
     found["eps_recovery"] = _bias(spark, fit)
     if not skip_sweep:
         found["sweep"] = eps.draw_sweep(train, test, edges, headways, timer=timer)
@@ -181,9 +181,20 @@ def diagnose_city(
         sample = lambda df: staged(df.orderBy(F.md5(F.col("obs_id").cast("string").cast("binary"))).limit(nrl_sample), "sample")
         small, held = sample(train), sample(test)
         own = timer.run("nrl train", lambda: nrl.fit(small, edges, headways, errors=nrl_se))
-        timer.run("nrl test", lambda: nrl.Likelihood(nrl.line_graph(edges, headways), edges, held)(nrl.Parameters(**own["betas"])))
+        held_out.append(("nrl", float(timer.run("nrl test", lambda: nrl.Likelihood(nrl.line_graph(edges, headways), edges, held)(nrl.Parameters(**own["betas"]))))))
         found["nrl_recovery"] = _bias(spark, own)
+    found["held_out"] = spark.createDataFrame(held_out, "model string, log_likelihood double")
     found["runtimes"] = timer.table(spark)
     for key, df in found.items():
         tables.write_table(df, f"{folder}/diagnostic_{key}", "csv")
     return found
+
+
+def compare_sweeps(sweeps: dict[str, DataFrame], out: str) -> DataFrame:
+    """The cities' sweeps as one table (city and a sweep's columns), which is written too; their columns must agree."""
+    columns = {name: df.dtypes for name, df in sweeps.items()}
+    if any(c != next(iter(columns.values())) for c in columns.values()):
+        raise ValueError(f"the sweeps' columns differ: {columns}")
+    table = _union([df.select(F.lit(name).alias("city"), "*") for name, df in sweeps.items()])
+    tables.write_table(table, f"{out}/eps_draw_sweeps", "csv")
+    return table

@@ -60,6 +60,21 @@ def test_run_and_diagnose(spark, raw, toy, tmp_path):
     assert found["attributes"].count() == 4
 
 
+def test_diagnose_sweep_and_held_out(spark, raw, toy, tmp_path):
+    _, edges, headways = city.build_network(spark, "toy", raw)
+    edges.write.parquet(f"{tmp_path}/toy/supernetwork_edges")
+    headways.write.parquet(f"{tmp_path}/toy/route_headways")
+    found = city.diagnose_city(spark, "toy", str(tmp_path), "A", "C", n_observations=20, draws=5, nrl_sample=10)
+    held = {r["model"]: r["log_likelihood"] for r in found["held_out"].collect()}
+    assert set(held) == {"eps", "nrl"} and all(x < 0 for x in held.values())
+    sweep = found["sweep"]
+    assert [r["draws"] for r in sweep.collect()] == [10, 20, 40, 80] and sweep.filter("n_obs > 0 and test_log_likelihood < 0").count() == 4
+    both = city.compare_sweeps({"toy": sweep, "other": sweep}, str(tmp_path))
+    assert both.columns == ["city", *sweep.columns] and both.count() == 8 == spark.read.csv(f"{tmp_path}/eps_draw_sweeps", header=True).count()
+    with pytest.raises(ValueError, match="columns differ"):
+        city.compare_sweeps({"toy": sweep, "other": sweep.drop("z_ivt")}, str(tmp_path))
+
+
 def test_command_line():
     assert parser().parse_args(["run", "--city", "sydney", "--model", "eps"]).eps_draws == 20
     with pytest.raises(SystemExit):
