@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
 Features are indicators of hashed n-grams of word shapes (case, length, first and last character, digits, equality with either
-of the two words before), one to three words long; on request also of the words themselves. Each indicator is scaled by its log-count ratio between the classes; a
+of the two words before), one to three words long; on request also of the words themselves, as long. Each indicator is scaled by its log-count ratio between the classes; a
 linear hinge-loss model of unit-length rows is fitted by dual coordinate descent; Platt's sigmoid over margins of models fitted
 without the row turns margins into scores.
 
@@ -16,6 +16,7 @@ output are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -58,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[str | None], words_too: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and feature numbers of the distinct features of each text, by row; ``words_too`` adds single words."""
+    """Row numbers and feature numbers of the distinct features of each text, by row; ``words_too`` adds one to three words."""
     chars = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass") + b"\x20\0\0\0", np.uint32) for t in texts]
     sizes = np.fromiter(map(len, chars), np.int64, len(chars))
     code = np.concatenate(chars) if chars else np.empty(0, np.uint32)
@@ -81,12 +82,12 @@ def features(texts: list[str | None], words_too: bool = False) -> tuple[np.ndarr
     for part, most in ((np.minimum(kind[starts], 6), 7), (kind[ends - 1], 64), ((upper > 1) & (lower == 0), 2), (digits > 0, 2), (same(1), 2), (same(2), 2)):
         shape = shape * most + part
     shape = _mixed(shape.astype(np.uint64) + np.uint64(3))
-    grams = [shape]
-    for n in (1, 2):
-        grams.append(_mixed(grams[-1][:-1] * np.uint64(31) + shape[n:] + np.uint64(n)))
-    found = [row[: len(g)][row[: len(g)] == row[n:]] * SIZE + (_mixed(g)[row[: len(g)] == row[n:]] >> np.uint64(64 - BITS)).astype(np.int64) for n, g in enumerate(grams)]
-    if words_too:
-        found.append(row * SIZE + (_mixed(word) >> np.uint64(64 - BITS)).astype(np.int64))
+    found = []
+    for ones in (shape, word) if words_too else (shape,):
+        grams = [ones]
+        for n in (1, 2):
+            grams.append(_mixed(grams[-1][:-1] * np.uint64(31) + ones[n:] + np.uint64(n)))
+        found += [row[: len(g)][row[: len(g)] == row[n:]] * SIZE + (_mixed(g)[row[: len(g)] == row[n:]] >> np.uint64(64 - BITS)).astype(np.int64) for n, g in enumerate(grams)]
     found = np.unique(np.concatenate(found))
     return found >> BITS, found & (SIZE - 1)
 
@@ -111,7 +112,9 @@ class Model:
 
 
 def log_count_ratio(sets: list[np.ndarray], good: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    counts = [np.bincount(np.concatenate([s for s, g in zip(sets, good) if g == side] or [np.empty(0, np.int64)]), minlength=SIZE) + alpha for side in (0, 1)]
+    counts = np.full((2, SIZE), alpha)
+    for s, g in zip(sets, good):
+        counts[int(g), s] += 1  # a set's features are distinct
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
@@ -164,8 +167,8 @@ def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float =
     def linear(rows: np.ndarray) -> Model:
         own, y = [sets[k] for k in rows], good[rows]
         ratio = log_count_ratio(own, y)
-        values = [ratio[s] for s in own]
-        values = [v / max(np.sqrt(v @ v), 1e-12) for v in values]
+        norms = [max(np.sqrt(v @ v), 1e-12) for v in (ratio[s] for s in own)]
+        values = [(ratio[s] / norm).astype(np.float32) for s, norm in zip(own, norms)]
         share = y.mean()
         cost = np.where(y == 1, c * 0.5 / share, c * 0.5 / (1 - share))
         weights, bias = descend(own, values, y, cost, epochs)
@@ -179,8 +182,9 @@ def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float =
         rest, out = np.flatnonzero(part != f), np.flatnonzero(part == f)
         if good[rest].min() == good[rest].max() or not len(out):
             continue
-        rows = np.repeat(np.arange(len(out)), [len(sets[k]) for k in out])
-        margins[out] = linear(rest).margins(rows, np.concatenate([sets[k] for k in out]), len(out))
+        other = linear(rest)
+        for k in out:
+            margins[k] = other.margins(np.zeros(len(sets[k]), np.int64), sets[k], 1)[0]
     model = linear(np.arange(len(good)))
     model.a, model.c = sigmoid_of(margins, good)
     return model
@@ -215,9 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str =
 
     rows = training_rows(docs, labels, label, id_, text, max_rows)
     schema = T.StructType([rows.schema["id"], rows.schema["y"], T.StructField("found", T.BinaryType())])
-    got = rows.mapInArrow(tidy(run), schema).toArrow().to_pydict()
-    order = sorted(range(len(got["y"])), key=lambda k: (got["id"][k], got["found"][k]))
-    model = fit([np.frombuffer(got["found"][k], "<i4").astype(np.int64) for k in order], np.array([got["y"][k] for k in order], np.int64))
+    got = rows.mapInArrow(tidy(run), schema).toArrow()
+    ids, good = got["id"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
+    found = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]  # views: the sets are the most of the driver's memory
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], hashlib.md5(found[k]).digest()))
+    model = fit([found[k] for k in order], good[order])
     model.words_too = words_too
     return model
 

@@ -25,7 +25,7 @@ BAD_PAGE = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND t
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=20_000)
+    model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=20_000, words_too=True)
     return quality_classifier.score(spread(docs), model, threshold=0.3)
 
 

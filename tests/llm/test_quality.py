@@ -106,6 +106,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([q == s["predicted"] for q, s in held]) > 0.98
 
 
+def test_the_query_sees_vocabulary(spark, tmp_path):
+    texts = [(k, f"{'pear' if k % 2 else 'poor'} {'aeiou'[k // 2 % 5] * 4}") for k in range(200)]  # all of the same shapes
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    scored = queries.op1_quality_classifier(spark, str(tmp_path)).filter("held_out").collect()
+    assert scored and all(r["predicted"] == r["doc_id"] % 2 for r in scored)
+
+
 def test_classifier_odd_rows(spark, odd):
     labels = spark.createDataFrame([(2, 1), (5, 0), (5, 1), (None, 1), (6, None), (77, 0)], "doc_id bigint, quality int")
     model = qc.train(odd, labels)
