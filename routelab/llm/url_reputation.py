@@ -1,6 +1,7 @@
 """URL rules and empirical-Bayes host reputation, in SQL functions only.
 
-Labelled page outcomes are counted by host, registered domain (last two labels) and suffix (last label). Each level's bad rate
+Labelled page outcomes are counted by host, registered domain and suffix, port cut
+off: the suffix is the last label, or the last two where ``suffixes`` lists them, and the domain has one label more. Each level's bad rate
 is shrunk towards that of the level above by a beta-binomial prior whose strength is estimated from the spread of the level's
 groups (method of moments). A host is blocked when the lower bound of its posterior bad rate passes a limit.
 
@@ -19,6 +20,25 @@ from routelab.llm.common import staged
 #: The alphabet whose letters are lower-cased in hosts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Suffixes of two labels under which names are registered: the common ones; pass a longer list where the pages need it.
+TWO_LABEL_SUFFIXES = tuple(
+    f"{second}.{top}"
+    for top, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt net org school", "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or re",
+        "in": "ac co edu firm gen gov ind net org res", "br": "com edu gov net org", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org", "sg": "com edu gov net org per",
+        "za": "ac co gov net org web", "mx": "com edu gob net org", "ar": "com edu gob net org", "tr": "com edu gov net org", "il": "ac co gov net org", "id": "ac co go or web", "th": "ac co go in or", "my": "com edu gov net org",
+    }.items()
+    for second in seconds.split()
+)
+
+
+def domain_suffix(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; a port is none of either."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two = F.regexp_extract(name, "([^.]+[.])?[^.]*$", 0)
+    listed = two.isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(listed, F.regexp_extract(name, "([^.]+[.])?[^.]+[.][^.]*$", 0)).otherwise(two), F.when(listed, two).otherwise(F.regexp_extract(name, "[^.]*$", 0))
+
 
 def url_host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) after the first ``://`` and the path after it, both empty where there is none."""
@@ -46,7 +66,7 @@ def prior_strength(level: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], z: float = 1.645, limit: float = 0.35) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], z: float = 1.645, limit: float = 0.35, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; ``outcomes`` has page_id and bad (1: a bad page).
 
     Counts by host are staged once; the levels above are aggregates of that narrow table, and only each level's prior strength
@@ -56,7 +76,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     page = pages.select("page_id", host.alias("host"), path.alias("path"))
     outcome = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counts = page.join(outcome, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    counts = staged(counts, "hosts").withColumns({"domain": F.regexp_extract("host", "([^.]+[.])?[^.]*$", 0), "suffix": F.regexp_extract("host", "[^.]*$", 0)})
+    domain, suffix = domain_suffix(F.col("host"), suffixes)
+    counts = staged(counts, "hosts").withColumns({"domain": domain, "suffix": suffix})
 
     labelled = counts.filter("n > 0")
     domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))

@@ -34,5 +34,15 @@ def test_a_bad_host_is_blocked(spark):
     assert got == {("bad", "block"), ("good", "allow")}
 
 
+def test_domains_and_suffixes(spark):
+    want = {
+        "a.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "x.a.co.uk": ("a.co.uk", "co.uk"), "b.co.uk:80": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "b:": ("b", "b"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    got = df.select("host", *url_reputation.domain_suffix(df["host"])).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
 def test_oracle_of_no_rules():
     assert "CAST(NULL AS VARCHAR)" in oracles.rule_case([], "h", "p", 0)
