@@ -49,7 +49,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, same: bool =
     """(a, b, metres) of points (id, lat, lon) within the radius; with ``same`` each unordered pair of one table once.
 
     An equi-join on grid cells at least as wide as the radius: one side in its own cell, the other in the nine around it. Cells get
-    wider in longitude with latitude, by the widest degree of a band, so no near pair is missed.
+    wider in longitude with latitude, by the widest degree of a band, so no near pair is missed between 89 degrees south and north.
+    Bound: cells don't wrap, so pairs across the 180th meridian, or beyond 89 degrees, may be missed.
     """
     degree_m = 111_194.9  # metres of a degree of latitude, rounded down
     step = radius_m / degree_m * 1.0001
