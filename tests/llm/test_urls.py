@@ -1,4 +1,4 @@
-from routelab.llm import oracles, queries, url_reputation
+from routelab.llm import queries, url_reputation
 
 
 def test_query(compare):
@@ -20,7 +20,7 @@ def test_rules_and_odd_urls(spark):
     assert got[3][0][:3] == ("", "", None) and got[4][0][:3] == ("", "", None) and got[5][0][:3] == ("", "", None)
     assert got[6][0][:3] == ("notexample.com", "", None)
     assert got[7] == [("com", "/en/", "com/en/", "block")]
-    assert got[8] == [("de.example.net", "/de/8/1", "example.net/de/8", "block")] and got[9][0][2] == "net/de/"
+    assert got[8] == [("de.example.net", "/de/8/1", "example.net/de/8", "block")] and got[9] == [("de.example.net", "/de/9", "net/de/", "allow")]
     assert len(got[10]) == 2 and got[10][0][:2] == ("b:", "//c/d")
     assert got[None][0][2:] == ("org/es/", "block") and got[12][0][:3] == ("É.org", "/es/y", "org/es/")
     assert url_reputation.judge_urls(pages.limit(0), outcomes, []).count() == 0
@@ -44,5 +44,21 @@ def test_domains_and_suffixes(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == want
 
 
-def test_oracle_of_no_rules():
-    assert "CAST(NULL AS VARCHAR)" in oracles.rule_case([], "h", "p", 0)
+def test_the_contract_rules():
+    assert queries.URL_RULES == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def test_the_method_decides(spark):
+    rows = queries.op10_host_reputation(spark, "/root/testdata/sf0.1").groupBy("rule", "verdict").count().collect()
+    assert {r["verdict"] for r in rows if r["rule"] is None} == {"allow", "block"}
+    assert {(r["rule"], r["verdict"]) for r in rows if r["rule"]} == {(rule, verdict) for verdict, rule in queries.URL_RULES}
+
+
+def test_null_and_long_urls(spark):
+    long = "http://" + "a" * 200_000 + ".com/" + "b" * 200_000
+    pages = spark.createDataFrame([(k, None) for k in range(30)] + [(30, long)], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([(k, 1) for k in range(30)] + [(30, 0)], "page_id bigint, bad int")
+    got = url_reputation.judge_urls(pages, outcomes, []).collect()
+    assert {(r["host"], r["verdict"]) for r in got if r["page_id"] < 30} == {("", "allow")}  # their labels count for no host
+    assert [(len(r["host"]), len(r["path"])) for r in got if r["page_id"] == 30] == [(200_004, 200_001)]
+    assert {r["verdict"] for r in url_reputation.judge_urls(pages, outcomes, [], z=0.0, limit=0.0).collect()} == {"block"}
