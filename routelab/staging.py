@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) one is made and set.
+    Where the session names none one is made and set on a single machine; on a cluster that raises, as no local folder is shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='routelab-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,15 +44,23 @@ def _delete(spark: SparkSession, uri: str) -> bool:
 
 
 class Scratch:
-    """Stages the tables of one computation and deletes them when its result has been staged elsewhere."""
+    """Stages the tables of one computation and deletes them at its end, whether its result has been staged elsewhere or it failed."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.uris = spark, []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        out = staged(df, name)
-        self.uris.append(_made[-1])
-        return out
+        before = len(_made)
+        try:
+            return staged(df, name)
+        finally:
+            self.uris += _made[before:]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
 
     def clear(self) -> None:
         for uri in self.uris:
