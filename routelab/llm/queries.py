@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ END_OF_DOCUMENT = 50256
 #: Edits allowed in a benchmark passage, as a share of its characters.
 EDITS = 0.1
 
-#: The key of pseudonyms where the session sets no routelab.pii.key; a real run sets its own.
-DEFAULT_KEY = "routelab"
+#: The session's setting with the key of pseudonyms.
+KEY = "routelab.pii.key"
 
 #: (verdict, host/path): the url rules of the pages table.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -37,12 +39,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = token_counts.document_tokens(spread(docs.select("doc_id", "text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
-    return counted.select("doc_id", "n_tokens", "token_start")
+    return counted.select("doc_id", "n_tokens")
 
 
 def op3_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = compression_rules.compression_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return judged.select("doc_id", *[name for name, _, _ in compression_rules.FIELDS])
+    return judged.select("doc_id", *compression_rules.FIELDS)
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +56,15 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key that the session sets. One that sets none gets a random key and keeps it: nobody else can link or undo its pseudonyms."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
 def pseudonymised(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return pseudonyms.pseudonymise(docs, spark.conf.get("routelab.pii.key", DEFAULT_KEY))
+    return pseudonyms.pseudonymise(docs, pii_key(spark))
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
