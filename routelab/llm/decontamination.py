@@ -6,8 +6,12 @@ finds piece hits. A hit climbs a binary tree over the item's pieces: a node of p
 hit, by Myers' bit-parallel distance; the root is the item with its whole budget. (If a node occurs within its budget one of its
 children does too, so no match is lost on the way.)
 
+Each item is reported once a document, at its place of least edits; of places with as few, at that of the least start, then end.
+
 Defined cases: null or empty texts match nothing, and neither do items without word characters. Repeated items are reported
-each; repeated documents too. Extra columns are dropped. Very long texts are searched whole.
+each; repeated documents too. Ids of either table keep their type, nulls included. Extra columns are dropped. Very long texts are
+searched whole. Items beyond ``block_bytes`` take a further pass over the documents for each such block, so that a worker never
+holds more than one block's automaton.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from routelab.llm.common import tidy
 from routelab.shipping import ship
@@ -132,16 +138,13 @@ class Matcher:
         for last, (size, where) in self.pieces.iter(text):
             start = last + 1 - size
             for k, j in where:
-                if k in best and (best[k][0] == 0 or best[k][1] <= start < best[k][2]):
+                if k in best and best[k][0] == 0 and best[k][1] <= start:
                     continue
                 if (found := self.climb(text, start, k, j)) and (k not in best or found < best[k]):
                     best[k] = found
         return [(self.ids[k], *found) for k, found in best.items()]
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items' ids and normal forms in blocks of bounded size: the stated query set, whatever its size."""
     held, size = [], 0
@@ -165,8 +168,10 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, doc: str
     """
     spark = docs.sparkSession
     ship(spark)
-    schema = f"{doc} bigint, {item} bigint, edits int, match_start bigint, match_end bigint"
     own = docs.select(doc, text)
+    schema = T.StructType([T.StructField(doc, own.schema[doc].dataType), T.StructField(item, items.schema[item].dataType)])
+    schema = schema.add("edits", T.IntegerType()).add("match_start", T.LongType()).add("match_end", T.LongType())
+    doc_kind, item_kind = (to_arrow_type(f.dataType) for f in schema.fields[:2])
     out = None
     for block in blocks(items, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(block)
@@ -176,7 +181,7 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, doc: str
             for batch in batches:
                 rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for found in search(t.as_py())]
                 columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=[doc, item, "edits", "match_start", "match_end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (doc_kind, item_kind, pa.int32(), pa.int64(), pa.int64()))], names=[doc, item, "edits", "match_start", "match_end"])
 
         found = own.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)

@@ -1,18 +1,25 @@
 """Format-preserving Feistel pseudonyms for validated numbers and dates, in DataFrame functions only.
 
-One pattern finds candidates; those that pass their check are replaced, all others stay as they are:
+One pattern finds candidates; each is permuted among the values of its format that pass the same check, so that what was valid stays
+valid and what can't exist stays impossible:
 
 - payment cards: 13 to 19 digits, whole or in the usual groups of 4-4-4-4 and 4-6-5, right Luhn digit. The digits before the last are
-  permuted and the Luhn digit is made anew; separators stay.
-- phone numbers (ten digits, optional +1) and social security numbers: digits permuted, punctuation stays.
+  permuted and the Luhn digit is made anew; separators stay. Digits of a wrong Luhn digit are no card and stay as they are.
+- phone numbers (ten digits, optional +1): permuted among the numbers whose area and exchange begin with 2 to 9, others among the
+  others; punctuation stays.
+- social security numbers: permuted among the numbers that can be issued (area 001 to 899 but 666, group and serial not zero), those
+  of an impossible area and those of a zero group or serial among their like.
 - IPv4 addresses: the 32 bits are permuted.
-- dates from 1900 to 2099, as yyyy-MM-dd or dd/MM/yyyy, that exist in the calendar: day numbers permuted, with cycle walking.
-- e-mail addresses: the local part becomes letters keyed by the whole address; the domain stays.
-- secrets of hexadecimal digits after token, key, secret or password: keyed digits of the same length.
+- dates from 1900 to 2099, as yyyy-MM-dd or dd/MM/yyyy, that exist in the calendar: day numbers permuted, with cycle walking. Others
+  stay as they are.
+- e-mail addresses, which have no finite format: the local part, of any length, becomes letters keyed by the whole address; the domain
+  stays.
+- secrets of 32 or more hexadecimal digits after token, key, secret or password: keyed digits of the same length.
 
 The permutations depend on the key and the kind of value only: equal values stay equal in all documents, and different numbers
-and dates of one format stay different. Defined cases: null and empty texts stay; repeated rows get the same text; every other
-column passes through; the count column replaces one of its name. Texts of any length are read whole.
+and dates of one format stay different. Whoever knows the key can undo them: it has no default. Defined cases: null and empty texts
+stay; repeated rows get the same text; every other column passes through, whatever its name; the count column replaces one of its
+name. Texts of any length are read whole; every pattern takes linear time.
 """
 
 from __future__ import annotations
@@ -21,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<=(?i:token|key|secret|password)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+SECRET = r"(?<=(?i:token|key|secret|password)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 ADDRESS = rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
@@ -92,13 +99,42 @@ def card(value: Column, key: str) -> Column:
     return F.when(luhn_sum(digits, False) % 10 == 0, filled(value, F.concat(body, check))).otherwise(value)
 
 
-def number(value: Column, key: str, kind: str) -> Column:
-    return filled(value, permuted_digits(digits_of(value), key, kind))
+def _digits(value: Column, width: int) -> Column:
+    return F.lpad(value.cast("string"), width, "0")
 
 
 def phone(value: Column, key: str) -> Column:
+    """Ten digits: 800 areas and 800 exchanges can exist; of the other 360,000 beginnings 200,000 have a low area."""
     prefix = F.regexp_extract(value, r"^(\+1[ .-]?)?", 0)
-    return F.concat(prefix, number(F.substring(value, F.length(prefix) + 1, F.length(value)), key, "phone"))
+    form = F.substring(value, F.length(prefix) + 1, F.length(value))
+    digits = digits_of(form)
+    area, exchange, line = (F.substring(digits, at, n).cast("int") for at, n in ((1, 3), (4, 3), (7, 4)))
+    lines = F.lit(10_000)
+    real = feistel((area - 200) * 800 + exchange - 200, line, F.lit(640_000), lines, key, "phone")
+    low = feistel(F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange), line, F.lit(360_000), lines, key, "phone-low")
+    start = lambda a, e: F.concat(_digits(a, 3), _digits(e, 3))
+    real_start = start(F.floor(real["a"] / 800) + 200, real["a"] % 800 + 200)
+    rest = low["a"] - 200_000
+    low_start = F.when(rest < 0, _digits(low["a"], 6)).otherwise(start(F.floor(rest / 200) + 200, rest % 200))
+    valid = (area >= 200) & (exchange >= 200)
+    return F.concat(prefix, filled(form, F.when(valid, F.concat(real_start, _digits(real["b"], 4))).otherwise(F.concat(low_start, _digits(low["b"], 4)))))
+
+
+def ssn(value: Column, key: str) -> Column:
+    """898 areas are issued, 102 never; of a million rests 99 groups of 9,999 serials are, 10,099 have a zero group or serial."""
+    digits = digits_of(value)
+    area, group, serial = (F.substring(digits, at, n).cast("int") for at, n in ((1, 3), (4, 2), (6, 4)))
+    issued = (area > 0) & (area < 900) & (area != 666)
+    place = area - F.when(area > 666, 2).otherwise(1)
+    area_at = lambda p: _digits(p + F.when(p >= 665, 2).otherwise(1), 3)
+    real = feistel(place, (group - 1) * 9_999 + serial - 1, F.lit(898), F.lit(989_901), key, "ssn")
+    shown = F.concat(area_at(real["a"]), _digits(F.floor(real["b"] / 9_999) + 1, 2), _digits(real["b"] % 9_999 + 1, 4))
+    zero = feistel(place, F.when(group == 0, serial).otherwise(9_999 + group), F.lit(898), F.lit(10_099), key, "ssn-zero")
+    shown_zero = F.concat(area_at(zero["a"]), F.when(zero["b"] < 10_000, F.concat(F.lit("00"), _digits(zero["b"], 4))).otherwise(F.concat(_digits(zero["b"] - 9_999, 2), F.lit("0000"))))
+    strange = F.when(area == 0, 0).when(area == 666, 1).otherwise(area - 898)
+    never = feistel(strange, group * 10_000 + serial, F.lit(102), F.lit(1_000_000), key, "ssn-area")
+    shown_never = F.concat(F.when(never["a"] == 0, "000").when(never["a"] == 1, "666").otherwise(_digits(never["a"] + 898, 3)), _digits(never["b"], 6))
+    return filled(value, F.when(~issued, shown_never).when((group == 0) | (serial == 0), shown_zero).otherwise(shown))
 
 
 def address(value: Column, key: str) -> Column:
@@ -136,7 +172,9 @@ def email(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    return F.substring(_keyed(value, key, "secret"), F.lit(1), F.length(value))
+    block = lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), k.cast("string"), F.lower(value)).cast("binary"), 256)
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), block), "")
+    return F.substring(digits, F.lit(1), F.length(value))
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -144,27 +182,34 @@ def pseudonym(value: Column, key: str) -> Column:
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     return (
         F.when(F.instr(value, "@") > 0, email(value, key))
-        .when(value.rlike("^[0-9A-Fa-f]{32,64}$"), secret(value, key))
+        .when(value.rlike("^[0-9A-Fa-f]{32,}$"), secret(value, key))
         .when(whole(ADDRESS), address(value, key))
         .when(whole(DATE), date(value, key))
-        .when(whole(SSN), number(value, key, "ssn"))
+        .when(whole(SSN), ssn(value, key))
         .when(whole(PHONE), phone(value, key))
         .otherwise(card(value, key))
     )
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_pseudonyms") -> DataFrame:
     """Replace ``text``; ``count`` is the number of values that changed.
 
     Only rows with a candidate are cut up: between candidates the text's pieces stay as they are.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    marked = df.withColumn("__found", F.when(F.col(text).rlike("[0-9@]|(?i:token|key|secret|password)"), found))
-    new = F.transform("__found", lambda v: pseudonym(v, key))
-    marked = marked.withColumn("__new", F.when(F.size("__found") > 0, new))
+    old, new = (fresh_name(df, name) for name in ("found", "new"))
+    marked = df.withColumn(old, F.when(F.col(text).rlike("[0-9@]|(?i:token|key|secret|password)"), found))
+    marked = marked.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda v: pseudonym(v, key))))
     parts = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, "__new", lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    changed = F.aggregate(F.zip_with("__found", "__new", lambda old, v: F.when(old != v, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+    changed = F.aggregate(F.zip_with(old, new, lambda was, v: F.when(was != v, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     out = {c: F.col(c) for c in df.columns if c not in (text, count)}
-    columns = [F.when(F.col("__new").isNotNull(), joined).otherwise(F.col(text)).alias(c) if c == text else out[c] for c in df.columns if c != count]
+    columns = [F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)).alias(c) if c == text else out[c] for c in df.columns if c != count]
     return marked.select(*columns, F.coalesce(changed, F.lit(0)).alias(count))
