@@ -5,11 +5,13 @@ of the two words before), one to three words long; on request also of the words
 linear hinge-loss model of unit-length rows is fitted by dual coordinate descent; Platt's sigmoid over margins of models fitted
 without the row turns margins into scores.
 
-The fit sees at most ``max_rows`` labelled rows, those of least md5 of the id: a documented bound, so driver memory is bounded.
+The fit sees at most ``max_rows`` labelled ids, those of least md5 of the id, and of those, in that order, as many as have feature
+sets of at most ``max_bytes`` together: a documented bound, so that driver memory is bounded. Whole texts make the features.
 Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has no features; its margin is the bias. Rows with a null label don't train, and neither do
-labels without a document; of repeated labels of a document the least counts, of repeated documents each row trains. Without
+labels without a document; of repeated labels of a document the least counts; of rows that repeat an id
+that with the least feature set in byte order trains. Without
 rows of both classes the score is the share of label 1 (0.5 without labels). Other columns pass through, those named like an
 output are replaced.
 """
@@ -25,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from routelab.llm.bpe import slices
-from routelab.llm.common import tidy
+from routelab.llm.common import staged, tidy
 from routelab.shipping import ship
 
 BITS = 18
@@ -201,11 +204,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_: str, text
     known = known.groupBy(F.col(id_).alias("__id")).agg(F.min(label).cast("int").alias("y")).filter("y in (0, 1)")
     known = known.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(max_rows)
     # max_rows rows of two numbers: the bound of what is broadcast.
-    return docs.join(F.broadcast(known), F.col(id_) == F.col("__id")).select(F.col(id_).alias("id"), "y", F.col(text).alias("text"))
+    own = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    return own.join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "y", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False) -> Model:
-    """Fit on the labelled rows outside fold 0; only their distinct feature numbers come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False, max_bytes: int = 1 << 27) -> Model:
+    """Fit on the labelled rows outside fold 0; only their distinct feature numbers, ``max_bytes`` at most, come to the driver."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str =
 
     rows = training_rows(docs, labels, label, id_, text, max_rows)
     schema = T.StructType([rows.schema["id"], rows.schema["y"], T.StructField("found", T.BinaryType())])
-    got = rows.mapInArrow(tidy(run), schema).toArrow()
+    once = staged(rows.mapInArrow(tidy(run), schema).groupBy("id", "y").agg(F.min("found").alias("found")), "features")
+    # max_rows rows of two numbers in this window, and at most as many ids in the broadcast.
+    first = Window.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id")
+    upto = once.select("id", F.octet_length("found").alias("size")).withColumn("upto", F.sum("size").over(first)).filter(F.col("upto") <= max_bytes)
+    got = once.join(F.broadcast(upto.select("id")), "id").select("id", "y", "found").toArrow()
     ids, good = got["id"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
     found = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]  # views: the sets are the most of the driver's memory
     order = sorted(range(len(ids)), key=lambda k: (ids[k], hashlib.md5(found[k]).digest()))
