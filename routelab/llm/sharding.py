@@ -59,22 +59,25 @@ def jump_shard(id_: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), zero, step, lambda s: s["b"].cast("int"))
 
 
-def shard(df: DataFrame, shards: int, id_: str = "doc_id", text: str = "text", buckets: int = 256) -> DataFrame:
+def shard(df: DataFrame, shards: int, id_: str = "doc_id", text: str = "text", buckets: int = 2048) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     Slots count a shard's rows without gaps. They are numbered within ``buckets`` hash buckets of each shard, each after the
-    rows of the buckets before it, so that no task sorts a whole shard. The narrow rows are staged first: the texts are read
-    once.
+    rows of the buckets before it, so that no task sorts a whole shard. Rows that are alike are one row with a count for each
+    partition they lie in, and become rows again when they have their slots: no task meets a hot row more often than there are
+    partitions. The narrow rows are staged first: the texts are read once.
     """
     size = F.octet_length(utf8(F.col(text))).cast("long") + 8
-    narrow = df.select(F.col(id_).alias("doc_id"), size.alias("size"), F.crc32(utf8(F.col(text))).alias("text_crc32"))
+    narrow = df.select(F.col(id_).alias("doc_id"), size.alias("size"), F.crc32(utf8(F.col(text))).alias("text_crc32"), F.spark_partition_id().alias("part"))
     narrow = narrow.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1)})
     mixed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size").cast("binary"))
     rows = staged(narrow.withColumn("bucket", (F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") % buckets).cast("int")), "shards")
+    alike = rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard", "part").agg(F.count("*").alias("n"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    within = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
     # shards * buckets rows at most: the bound of what is broadcast.
-    numbered = rows.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["shard", "bucket"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+    numbered = alike.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offsets), ["shard", "bucket"])
+    each = numbered.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("first") + F.col("at")).cast("long").alias("slot"), "grown_shard")

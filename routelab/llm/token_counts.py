@@ -5,7 +5,7 @@ size, whichever task gets them; numpy finds the separators of a block at once. A
 carries the number of documents and the place of the last separator across block boundaries.
 
 Defined cases: two separators in a row are an empty document; ids after a file's last separator are a document that isn't
-``ended``; an empty file has no documents. The writer gives null and empty texts no ids; repeated rows become documents of their
+``ended``; an empty file has no documents. Ids that don't fit the width raise before anything is written. The writer gives null and empty texts no ids; repeated rows become documents of their
 own; other columns are dropped.
 """
 
@@ -32,7 +32,10 @@ def write_files(df: DataFrame, ranks_path: str, pattern: str, eod: int, width: i
     """
     spark = df.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(bpe.read_ranks(ranks_path))
+    raw = bpe.read_ranks(ranks_path)
+    if max(eod, max(bpe.parse_ranks(raw).values())) >= 1 << 8 * width:
+        raise ValueError(f"ids don't fit into {width} bytes")
+    shared = spark.sparkContext.broadcast(raw)
     folder = fresh_uri(spark, "tokens")
     kind = f"<u{width}"
 
@@ -74,19 +77,21 @@ def count_tokens(files: DataFrame, eod: int, width: int = 2, block_bytes: int =
                     ids = np.frombuffer(f.read(first, min(block_bytes, size - first)), kind)
                 ends = np.flatnonzero(ids == eod) + first // width
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([block], pa.int32()), pa.array([size // width], pa.int64()), pa.array([first + block_bytes >= size]), pa.array([ends], pa.list_(pa.int64()))],
-                    names=["file", "block", "tokens", "last", "ends"],
+                    [pa.array([file]), pa.array([block], pa.int32()), pa.array([size // width], pa.int64()), pa.array([first + block_bytes >= size])]
+                    + [pa.array([ends], pa.list_(pa.int64())), pa.array([len(ends)], pa.int64()), pa.array([int(ends[-1]) if len(ends) else None], pa.int64())],
+                    names=["file", "block", "tokens", "last", "ends", "n_ends", "last_end"],
                 )
 
     tasks = storage.tasks_for(files.sparkSession, files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], block_bytes)
-    found = blocks.repartition(tasks, "file", "block").mapInArrow(tidy(run), "file string, block int, tokens bigint, last boolean, ends array<bigint>")
+    schema = "file string, block int, tokens bigint, last boolean, ends array<bigint>, n_ends bigint, last_end bigint"
+    found = staged(blocks.repartition(tasks, "file", "block").mapInArrow(tidy(run), schema), "separators")
+    # The scan's rows are two numbers a block; places of separators are joined back afterwards.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = found.select(
-        "*",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("documents"),
-        F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)).alias("open"),
-    )
-    last = F.coalesce(F.array_max("ends"), F.col("open"))
+    carried = found.select(
+        "file", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("documents"), F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("open")
+    )
+    scanned = found.join(carried, ["file", "block"])
+    last = F.coalesce("last_end", "open")
     unended = F.when(F.col("last") & (last < F.col("tokens") - 1), F.array("tokens")).otherwise(F.array().cast("array<bigint>"))
     each = scanned.select("file", "documents", "open", "tokens", "ends", F.posexplode(F.concat("ends", unended)).alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("open")).otherwise(F.get("ends", F.col("k") - 1)) + 1

@@ -32,6 +32,7 @@ from routelab.shipping import ship
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 FAR16, FAR32 = 0xFFFF, 0xFFFFFFFF
+SALTS = 32
 
 # --- ZIP -------------------------------------------------------------------------------------------------------------------
 
@@ -174,7 +175,9 @@ def decided(pages: DataFrame, least: int = 100, page: str = "page_id", url: str
     rows = pages.select(F.col(page).cast("bigint").alias("page_id"), F.col(url).alias("url"), utf8(F.col(html)).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
     first = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
+    # One digest may be that of a third of all pages: rows of a digest are dealt to SALTS keys, each with its own copy of the short row.
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["payload_digest", "salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -238,23 +241,31 @@ def record_ranges(archives: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
     return archives.select("archive").mapInArrow(tidy(run), "archive string, offset bigint, lengths array<bigint>")
 
 
-def read_records(ranges: DataFrame, tasks: int) -> DataFrame:
+def read_records(ranges: DataFrame, tasks: int, batch_bytes: int = 1 << 23) -> DataFrame:
     """Every record of the ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
 
-    The rows of ranges are small and their records large, so they are dealt to ``tasks`` tasks rather than by the rows' size.
+    The rows of ranges are small and their records large, so they are dealt to ``tasks`` tasks rather than by the rows' size. Records
+    are handed on whenever their payloads make ``batch_bytes``, however well they were packed.
     """
     ship(ranges.sparkSession)
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
 
+    def batch_of(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in kinds.items()], names=list(kinds))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, offset, lengths in zip(*(c.to_pylist() for c in batch.columns)):
                 with storage.RangeFile(uri) as file:
-                    raw, at, found = file.read(offset, sum(lengths)), 0, []
+                    raw, at, found, held = file.read(offset, sum(lengths)), 0, [], 0
                 for n in lengths:
                     found.append(parse_record(gzip.decompress(raw[at : at + n])))
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in kinds.items()], names=list(kinds))
+                    at, held = at + n, held + len(found[-1]["payload"] or b"")
+                    if held >= batch_bytes:
+                        yield batch_of(found)
+                        found, held = [], 0
+                if found:
+                    yield batch_of(found)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
     return ranges.repartition(tasks, "archive", "offset").mapInArrow(tidy(run), schema)

@@ -47,6 +47,13 @@ def test_token_files_odd_rows(odd):
     assert token_counts.document_tokens(odd.limit(0), PATH, P.PATTERN, 50256).count() == 0
 
 
+def test_ids_wider_than_the_file_raise(odd):
+    with pytest.raises(ValueError):
+        token_counts.write_files(odd, PATH, P.PATTERN, 1 << 16)
+    with pytest.raises(ValueError):
+        token_counts.write_files(odd, PATH, P.PATTERN, 7, width=1)
+
+
 def test_warc_query(compare):
     compare(queries.op4_warc_archives, queries.ORACLE_SQL["op4_warc_archives"])
 
@@ -86,6 +93,13 @@ def test_zip_both_ways(tmp_path, zip64):
         warc.central_directory(f)
 
 
+def test_well_packed_records_come_in_small_batches(spark):
+    pages = spark.createDataFrame([(k, "u", f"{k}" + "a" * 300_000) for k in range(40)], "page_id bigint, url string, html string")
+    ranges = warc.record_ranges(warc.write_archives(warc.decided(pages.coalesce(1))))
+    read = warc.read_records(ranges, 1, 1 << 20).collect()
+    assert sorted(r["page_id"] for r in read) == list(range(40)) and all(len(r["payload"]) == r["payload_bytes"] for r in read)
+
+
 def test_damaged_record():
     raw = warc.record_bytes(1, "u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), "response", None)
     assert warc.parse_record(gzip.decompress(gzip.compress(raw)))["payload"] == b"payload"

@@ -8,7 +8,7 @@ import pytest
 
 from routelab.llm import jaccard_join, queries
 from routelab.llm.components import connected_components
-from routelab.llm.rtree import Forest, Tree, counts, set_links
+from routelab.llm.rtree import Forest, Tree, counts, folded, groups_of, packed, point, point_links, set_links, unpacked
 from routelab.llm.shingles import shingle_sets
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -136,6 +136,46 @@ def test_large_groups_of_chains(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), rows)
 
 
+def test_points_fold_and_pack():
+    rng = np.random.default_rng(0)
+    for n in (1, 256, 257, 5000, 70_000):
+        own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        p = point(own)
+        assert len(p) == groups_of(len(own)) and p.sum() == len(own) and len(own) <= 4 * len(p) and (len(p) == 64 or len(own) > 2 * len(p))
+        assert (unpacked(packed(p)) == p).all() and (folded(p, 64) == counts([own])[0]).all()
+    assert (unpacked(packed(np.array([1, 300, 70_000]))) == [1, 300, 70_000]).all()
+
+
+@pytest.mark.parametrize("n", [300, 3000, 27_000])
+def test_bounds_part_sets_that_share_little(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, n, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: n // 4], rng.integers(0, 2**63, n - n // 4, dtype=np.uint64)])) for _ in range(6)]
+    near = np.unique(np.concatenate([sets[0][: int(0.97 * n)], rng.integers(0, 2**63, n // 50, dtype=np.uint64)]))
+    assert point_links(list(range(7)), [point(s) for s in [*sets, near]], 80) == [(6, 0)]
+
+
+def test_repeated_ids_tie_their_texts(spark):
+    x, y, z, other = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(0, x), (1, x), (1, y), (2, y), (3, z), (5, z), (5, other), (4, other), (None, x), (7, None), (7, y)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+    kept = jaccard_join.one_of_each_class(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85)
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == [(0, x), (3, z), (None, x)]
+    twice = spark.createDataFrame([(1, x), (1, y), (1, y), (1, z)], "doc_id bigint, text string")
+    assert len({str(jaccard_join.one_of_each_class(twice.repartition(n)).collect()) for n in (1, 3)}) == 1
+
+
+def test_classes_too_wide_to_join(spark, monkeypatch):
+    """Texts that one passage ties into a group but none resembles: blocks by shingles, and no text is compared with all."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard_join, "QUERY_SHINGLES", 4000)
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, " ".join(f"{k}w{j}" for j in range(20)) + " " + passage + " " + " ".join(f"{k}v{j}" for j in range(rng.randint(0, 3)))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + f" tail{k}") for k in range(0, 400, 7)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), rows)
+
+
 def test_odd_rows(spark, odd):
     check(odd, [(r["doc_id"], r["text"]) for r in odd.collect()])
     check(odd.limit(0), [])

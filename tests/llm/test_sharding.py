@@ -39,6 +39,12 @@ def test_odd_rows(odd):
     assert sharding.shard(odd.limit(0), 24).count() == 0
 
 
+def test_a_hot_row(spark):
+    rows = [(7, "the same text")] * 5000 + [(k, f"text {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    check(sharding.shard(df, 24, buckets=8).collect(), df.collect())
+
+
 def test_shard_counts(spark):
     for shards in (1, 2, 7, 60):
         got = {r["id"]: r["s"] for r in spark.range(300).select("id", sharding.jump_shard(F.col("id"), shards).alias("s")).collect()}
