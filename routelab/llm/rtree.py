@@ -11,7 +11,8 @@ from collections.abc import Callable
 import numpy as np
 
 GROUPS = 64
-MORE_GROUPS, LARGE = 512, 1000
+#: Shingles a group at most. Sets that share nothing have a bound of about 0.72 of their size at this many, whatever their size.
+CROWD = 4
 LEAF = 16
 
 
@@ -22,12 +23,31 @@ def counts(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
     return np.bincount(rows * groups + places.astype(np.int64), minlength=len(sets) * groups).reshape(len(sets), groups).astype(np.int32)
 
 
+def groups_of(size: int) -> int:
+    """Groups of a set: GROUPS times the least power of two that leaves CROWD shingles a group or fewer."""
+    return GROUPS << max(0, (-(-size // (GROUPS * CROWD)) - 1).bit_length())
+
+
 def point(own: np.ndarray) -> np.ndarray:
-    """A set's counts in GROUPS groups, or in MORE_GROUPS, which fold onto the same GROUPS, for sets of LARGE or more."""
-    groups = MORE_GROUPS if len(own) >= LARGE else GROUPS
+    """A set's counts in as many groups as its size asks for; they fold onto any smaller number of groups."""
+    groups = groups_of(len(own))
     return np.bincount((own % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector as one byte for the width of its numbers, then the numbers."""
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(0)
+
+
 class Tree:
     """Bulk-loaded: points sorted by size and then along the coordinate that varies most within runs of like size.
 
@@ -141,15 +161,16 @@ def set_links(ids: list[int], sets: list[np.ndarray], percent: int, queries: lis
 
 
 def point_links(ids: list[int], points: list[np.ndarray], percent: int, queries: list[bool] | None = None) -> list[tuple[int, int]]:
-    """:func:`links` by bounds alone: of GROUPS coordinates and, between points that both have more, of all of theirs."""
+    """:func:`links` by bounds alone: the tree's of GROUPS coordinates, then of as many as the pair's smaller point has."""
     if len(ids) < 2:
         return []
     up, down = percent, 100 + percent
-    coarse = np.array([p.reshape(-1, GROUPS).sum(0) for p in points], np.int32)
+    coarse = np.array([folded(p, GROUPS) for p in points], np.int32)
 
     def agree(a: int, b: int) -> bool:
-        if len(points[a]) == GROUPS or len(points[b]) == GROUPS:
-            return True
-        return fits(up, down, int(points[a].sum()), int(points[b].sum()), int(np.minimum(points[a], points[b]).sum()))
+        x, y = points[a], points[b]
+        if len(x) != len(y):
+            x, y = (folded(p, min(len(x), len(y))) for p in (x, y))
+        return fits(up, down, int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum()))
 
     return links(ids, coarse, percent, agree, queries)
