@@ -114,7 +114,7 @@ def fit_models(spark: SparkSession, name: str, out: str, train: DataFrame, test:
         rows += [(k, "eps", float(v)) for k, v in fit["betas"].items()] + [("log_likelihood", "eps", fit["log_likelihood"]), ("n_obs", "eps", float(fit["n_obs"]))]
     if model in ("nrl", "both"):
         fit = nrl.fit(train, edges, headways)
-        held = nrl.Likelihood(nrl.line_graph(edges, headways), edges, test)(nrl.Parameters(**fit["betas"])) if not test.isEmpty() else None
+        held = nrl.held_out_log_likelihood(test, edges, headways, fit["betas"])
         tables.write_table(_bias(spark, fit), f"{out}/{name}_nrl_parameter_bias", "csv")
         tables.write_fit(spark, fit | {"test_log_likelihood": held}, f"{out}/{name}_nrl_params")
         rows += [(k, "nrl", float(v)) for k, v in fit["betas"].items()] + [("log_likelihood", "nrl", fit["log_likelihood"]), ("n_obs", "nrl", float(fit["n_obs"]))]
@@ -155,7 +155,7 @@ def diagnose_city(
     folder, timer, found = f"{out}/{name}", metrics.Timer(), {}
     edges, headways = staged(network.graph_edges(spark.read.parquet(f"{folder}/supernetwork_edges")), "graph"), spark.read.parquet(f"{folder}/route_headways")
     if origin is None or dest is None:
-        best = graph.richest_pair(graph.simple_paths(edges), 2, max_paths).first()
+        best = graph.richest_pair(graph.path_counts(edges, None, max_paths), 2, max_paths).first()
         if best is None:
             raise ValueError(f"no pair has 2 to {max_paths} paths")
         origin, dest = best["origin"], best["dest"]
@@ -181,7 +181,7 @@ def diagnose_city(
         sample = lambda df: staged(df.orderBy(F.md5(F.col("obs_id").cast("string").cast("binary"))).limit(nrl_sample), "sample")
         small, held = sample(train), sample(test)
         own = timer.run("nrl train", lambda: nrl.fit(small, edges, headways, errors=nrl_se))
-        held_out.append(("nrl", float(timer.run("nrl test", lambda: nrl.Likelihood(nrl.line_graph(edges, headways), edges, held)(nrl.Parameters(**own["betas"]))))))
+        held_out.append(("nrl", timer.run("nrl test", lambda: nrl.held_out_log_likelihood(held, edges, headways, own["betas"]))))
         found["nrl_recovery"] = _bias(spark, own)
     found["held_out"] = spark.createDataFrame(held_out, "model string, log_likelihood double")
     found["runtimes"] = timer.table(spark)

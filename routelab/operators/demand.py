@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from routelab.functions.scalar import impedance
 from routelab.staging import staged
 
+#: Stations whose factors (an id and a number each) are broadcast.
+MAX_FACTORS = 200_000
+
 
 def _with_totals(stations: DataFrame, totals: DataFrame) -> DataFrame:
     """Stations with total_entries, total_exits and total_demand; null where their name has none."""
@@ -45,8 +47,9 @@ def measured_od(rows: DataFrame, stations: DataFrame) -> DataFrame:
 def gravity_od(stations: DataFrame, times: DataFrame, beta: float = 0.05, target: float = 18_000.0, iterations: int = 15, threshold: float = 0.5) -> DataFrame:
     """Doubly constrained gravity model in long form: seed by impedance, then rows and columns scaled in turn, then to the target.
 
-    ``stations`` has station_id, total_entries and total_exits; ``times`` origin, dest and seconds. Sums are windows by origin and
-    by destination, staged every three iterations. Ends balanced by column; pairs under the threshold and self-pairs go.
+    ``stations`` has station_id, total_entries and total_exits; ``times`` origin, dest and seconds. The cells, a row a pair, are
+    staged once and never rewritten: what iterates are the two factors, a row a station, which are broadcast up to MAX_FACTORS
+    stations and merged beyond. Ends balanced by column; pairs under the threshold and self-pairs go.
     """
     known = stations.filter("total_entries is not null and total_exits is not null")
     on_graph = staged(known.join(times.select(F.col("origin").alias("station_id")).distinct(), "station_id", "left_semi").select("station_id", "total_entries", "total_exits"), "totals")
@@ -57,25 +60,33 @@ def gravity_od(stations: DataFrame, times: DataFrame, beta: float = 0.05, target
         raise ValueError("no demand")
     origins = on_graph.select(F.col("station_id").alias("origin"), F.col("total_entries").cast("double").alias("o"))
     dests = on_graph.select(F.col("station_id").alias("dest"), F.col("total_exits").cast("double").alias("d"))
-    # An origin-destination table has a row a pair: the product is its size, not a detour.
-    pairs = origins.crossJoin(dests).join(times.select("origin", "dest", "seconds"), ["origin", "dest"], "left")
-    cells = staged(pairs.withColumn("t", F.col("o") * F.col("d") * impedance(F.col("seconds") / 60.0, beta, F.col("origin") == F.col("dest"))), "cells")
+    # Pairs without a time have no trips in any iteration.
+    pairs = times.select("origin", "dest", "seconds").join(origins, "origin").join(dests, "dest")
+    seed = F.col("o") * F.col("d") * impedance(F.col("seconds") / 60.0, beta, F.col("origin") == F.col("dest"))
+    cells = staged(pairs.select("origin", "dest", "o", "d", seed.alias("t")).filter("t <> 0"), "cells")
     if not cells.filter("t > 0").limit(1).count():
         raise ValueError("no pair can be reached")
-    by_row, by_column = Window.partitionBy("origin"), Window.partitionBy("dest")
+    sided = F.broadcast if n <= MAX_FACTORS else lambda df: df.hint("merge")
 
-    def scaled(df: DataFrame, goal: str, w) -> DataFrame:
-        total = F.sum("t").over(w)
-        return df.withColumn("s", F.when(total == 0, 1.0).otherwise(total)).withColumn("t", F.col("t") * F.col(goal) / F.col("s")).drop("s")
+    def factor(side: str, goal: str, other: DataFrame | None, by: str) -> DataFrame:
+        """What scales each ``side``'s cells, already scaled by the ``other`` side's factor, to its goal."""
+        rows = cells.select("*", F.lit(1.0).alias("f")) if other is None else cells.join(sided(other), by)
+        total = F.sum(F.col("t") * F.col("f"))
+        return rows.groupBy(side).agg((F.first(goal) / F.when(total == 0, 1.0).otherwise(total)).alias("f"))
 
+    by_row, by_column = None, None
     for k in range(iterations):
-        cells = scaled(scaled(cells, "o", by_row), "d", by_column)
-        if k % 3 == 2:
-            cells = staged(cells, "cells")
-    total = cells.agg(F.sum("t")).first()[0]
+        by_row = factor("origin", "o", by_column, "dest")
+        by_column = factor("dest", "d", by_row, "origin")
+        if k % 3 == 2 and k + 1 < iterations:
+            by_column = staged(by_column, "factors")
+    by_column = staged(by_column, "columns")
+    by_row = staged(by_row, "rows")
+    scaled = cells.join(sided(by_row.withColumnRenamed("f", "a")), "origin").join(sided(by_column.withColumnRenamed("f", "b")), "dest").select("origin", "dest", (F.col("t") * F.col("a") * F.col("b")).alias("t"))
+    total = scaled.agg(F.sum("t")).first()[0]
     if not total:
         raise ValueError("the balanced table is empty")
-    out = cells.select("origin", "dest", (F.col("t") * F.lit(target) / F.lit(total)).alias("trips")).filter((F.col("trips") >= threshold) & (F.col("origin") != F.col("dest")))
+    out = scaled.select("origin", "dest", (F.col("t") * F.lit(target) / F.lit(total)).alias("trips")).filter((F.col("trips") >= threshold) & (F.col("origin") != F.col("dest")))
     return out.select(F.col("origin").alias("origin_station_id"), F.col("dest").alias("dest_station_id"), F.col("trips").alias("total_trips"))
 
 

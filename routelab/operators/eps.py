@@ -6,7 +6,7 @@ The sampled set of an observation weighs a path by n / (R q): n draws of R had p
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from routelab.config import TRUE_BETAS, Betas
 from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
-from routelab.operators.graph import adjacency, all_pairs
+from routelab.operators.graph import Adjacency, adjacency, all_pairs, dijkstra, reversed_graph
 from routelab.operators.metrics import Timer
 from routelab.operators.optim import Minimum, minimise, standard_errors
 from routelab.operators.paths import exploded_links, path_components
@@ -60,16 +60,36 @@ def path_log_q(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFra
     return total.select(*keys, "path_text", F.when(F.col("ok") == F.col("n"), F.col("q")).alias("log_q"))
 
 
-def _walk(graph: dict, weights: dict, origin: str, dest: str, max_steps: int, rng: np.random.Generator) -> tuple[list[str], float] | None:
-    path, visited, log_q = [origin], {origin}, 0.0
+def _weight(best: float, through: float | None, a: float, b: float) -> float:
+    """The weight that :func:`link_weights` gives, for kernels."""
+    x = min(1.0, max(0.0, best / through)) if through else 0.0
+    return max(1e-12, 1 - (1 - x**a) ** b)
+
+
+class _Towards:
+    """Weights of the links out of each node towards one destination, made when a walk first leaves the node."""
+
+    def __init__(self, graph: Adjacency, back: Adjacency, dest: str, a: float, b: float):
+        self.graph, self.dest, self.shape, self.known = graph, dest, (a, b), {}
+        self.left = {node: seconds for node, (seconds, _) in dijkstra(back, dest).items()} if dest in back else {}
+
+    def __call__(self, node: str) -> dict[str, float] | None:
+        if node not in self.known:
+            best, left = self.left.get(node, 0.0), self.left
+            self.known[node] = {v: _weight(best, cost + left[v] if v in left else None, *self.shape) for v, cost in self.graph.get(node, ())} if best > 0 else None
+        return self.known[node]
+
+
+def _walk(graph: Adjacency, towards: _Towards, origin: str, max_steps: int, rng: np.random.Generator) -> tuple[list[str], float] | None:
+    path, visited, log_q, dest = [origin], {origin}, 0.0, towards.dest
     for _ in range(max_steps):
         node = path[-1]
         if node == dest:
             return path, log_q
         ends = [v for v, _ in graph.get(node, ()) if v == dest or v not in visited]
-        if not ends or (node, dest) not in weights:
+        table = towards(node)
+        if not ends or table is None:
             return None
-        table = weights[node, dest]
         p = np.array([table[v] for v in ends])
         p /= p.sum()
         k = rng.choice(len(ends), p=p)
@@ -79,31 +99,32 @@ def _walk(graph: dict, weights: dict, origin: str, dest: str, max_steps: int, rn
     return None
 
 
-def sampled_sets(observations: DataFrame, edges: DataFrame, times: DataFrame, draws: int = 20, max_steps: int = 25, seed: int = 42, a: float = 2.0, b: float = 2.0) -> DataFrame:
+def sampled_sets(observations: DataFrame, edges: DataFrame, draws: int = 20, max_steps: int = 25, seed: int = 42, a: float = 2.0, b: float = 2.0) -> DataFrame:
     """obs_id, path, n_sampled and log_q of the paths that ``draws`` biased walks of each observation (obs_id, origin, dest) take.
 
-    Walks are numpy kernels over broadcast weights; each observation has its own generator, seeded by its id, so any task that
-    repeats it draws the same. A walk of ``max_steps`` tests arrival before each step: it has one link less at most.
+    Walks are numpy kernels over the graph, a broadcast of checked size; a task solves each destination that it meets in a batch
+    once, so no table of nodes by destinations exists anywhere. Each observation has its own generator, seeded by its whole id, so
+    any task that repeats it draws the same. A walk of ``max_steps`` tests arrival before each step: it has one link less at most.
     """
     spark = edges.sparkSession
     ship(spark)
-    table: dict[tuple[str, str], dict[str, float]] = {}
-    for row in link_weights(edges, times, a, b).toLocalIterator():
-        table.setdefault((row["u"], row["dest"]), {})[row["v"]] = row["weight"]
-    shared = spark.sparkContext.broadcast((adjacency(edges), table))
+    shared = spark.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, weights = shared.value
+        graph = shared.value
+        back = reversed_graph(graph)
         for batch in batches:
             rows = []
-            for obs, origin, dest in zip(batch["obs_id"], batch["origin"], batch["dest"]):
-                rng, found = np.random.default_rng([seed, int(obs) & 0xFFFFFFFF]), {}
-                for _ in range(draws):
-                    walk = _walk(graph, weights, origin, dest, max_steps, rng)
-                    if walk:
-                        n, _ = found.get(tuple(walk[0]), (0, 0.0))
-                        found[tuple(walk[0])] = (n + 1, walk[1])
-                rows += [(obs, origin, dest, list(p), n, q) for p, (n, q) in found.items()]
+            for dest, own in batch.groupby("dest"):
+                towards = _Towards(graph, back, dest, a, b)
+                for obs, origin in zip(own["obs_id"], own["origin"]):
+                    rng, found = np.random.default_rng([seed, int(obs) & 0xFFFFFFFFFFFFFFFF]), {}
+                    for _ in range(draws):
+                        walk = _walk(graph, towards, origin, max_steps, rng)
+                        if walk:
+                            n, _ = found.get(tuple(walk[0]), (0, 0.0))
+                            found[tuple(walk[0])] = (n + 1, walk[1])
+                    rows += [(obs, origin, dest, list(p), n, q) for p, (n, q) in found.items()]
             yield pd.DataFrame(rows, columns=["obs_id", "origin", "dest", "path", "n_sampled", "log_q"])
 
     return observations.select("obs_id", "origin", "dest").mapInPandas(run, "obs_id bigint, origin string, dest string, path array<string>, n_sampled bigint, log_q double")
@@ -113,15 +134,16 @@ def hashed_sets(observations: DataFrame, paths: DataFrame, draws: int = 20, seed
     """obs_id, origin, dest, path, n_sampled and log_q of ``draws`` hashed draws among enumerated paths (origin, dest, path, log_q).
 
     A draw takes the first path, in string order, whose cumulated probability reaches its uniform; beyond the last it is a walk that
-    fails, which counts in R only.
+    fails, which counts in R only. Each pair's bounds are one array, which joins its observations once; draws search it.
     """
     order = Window.partitionBy("origin", "dest").orderBy("path_text")
     upto = paths.filter("log_q is not null").withColumn("path_text", F.array_join("path", "|")).withColumn("high", F.sum(F.exp("log_q")).over(order))
-    bands = upto.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(-1.0)))
-    drawn = observations.select("obs_id", "origin", "dest", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = drawn.withColumn("x", hashed_uniform("obs_id", "draw", F.lit(seed)))
-    hit = drawn.join(bands, ["origin", "dest"]).filter((F.col("x") > F.col("low")) & (F.col("x") <= F.col("high")))
-    return hit.groupBy("obs_id", "origin", "dest", "path", "log_q").agg(F.count("*").alias("n_sampled")).select("obs_id", "origin", "dest", "path", "n_sampled", "log_q")
+    bands = upto.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct("path_text", "high", "path", "log_q"))).alias("bands"))
+    number = F.lit(seed)
+    take = lambda draw: F.get(F.filter("bands", lambda b: b["high"] >= hashed_uniform("obs_id", draw, number)), F.lit(0))
+    drawn = observations.select("obs_id", "origin", "dest").join(bands, ["origin", "dest"])
+    hit = drawn.select("obs_id", "origin", "dest", F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), take)).alias("hit")).filter("hit is not null")
+    return hit.groupBy("obs_id", "origin", "dest", "hit.path", "hit.log_q").agg(F.count("*").alias("n_sampled")).select("obs_id", "origin", "dest", "path", "n_sampled", "log_q")
 
 
 def with_observed(sampled: DataFrame, observed: DataFrame, weights: DataFrame) -> DataFrame:
@@ -185,40 +207,48 @@ def log_likelihood(table: DataFrame, betas: Betas) -> DataFrame:
 
 
 class Design:
-    """The estimation table as numpy arrays: for tables under ``most`` rows the driver evaluates the likelihood itself."""
+    """The estimation table as numpy arrays."""
 
-    def __init__(self, table: DataFrame, most: int = 5_000_000):
-        rows = table.select("obs_id", "chosen", "ivt_min", "wait_min", "walk_min", "n_transfers", "expanded_path_size", "sampling_correction").limit(most + 1).toPandas()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} alternatives: evaluate log_likelihood in Spark")
+    def __init__(self, table: DataFrame):
+        rows = table.select("obs_id", "chosen", "ivt_min", "wait_min", "walk_min", "n_transfers", "expanded_path_size", "sampling_correction").toPandas()
         rows = rows.sort_values("obs_id", kind="stable")
         self.x = np.column_stack([-rows[c].to_numpy(float) for c in ("ivt_min", "wait_min", "walk_min", "n_transfers")] + [np.log(np.maximum(rows["expanded_path_size"].to_numpy(float), 1e-9))])
         self.offset, self.chosen = rows["sampling_correction"].to_numpy(float), rows["chosen"].to_numpy(bool)
         _, self.starts, self.group = np.unique(rows["obs_id"].to_numpy(), return_index=True, return_inverse=True)
 
     def negative(self, beta: np.ndarray) -> float:
-        if not len(self.offset):
-            return 0.0
         u = self.x @ beta + self.offset
         e = np.exp(u - np.maximum.reduceat(u, self.starts)[self.group])
         p = e / np.add.reduceat(e, self.starts)[self.group]
         return float(-np.log(np.maximum(p[self.chosen], 1e-12)).sum())
 
 
-def fit(table: DataFrame, start: Betas = TRUE_BETAS, least_alternatives: int = 2, bound: float = 5.0, method: str = "bfgs", errors: bool = False) -> dict:
-    """Maximum likelihood over observations with a real choice; ``errors`` adds standard errors, which hold for the sampled sets."""
-    design = Design(with_alternatives(table, least_alternatives))
-    x0 = [getattr(start, n) for n in NAMES]
-    found: Minimum = minimise(design.negative, x0, [(-bound, bound)] * len(NAMES), method)
-    out = {"betas": dict(zip(NAMES, map(float, found.x))), "log_likelihood": -found.value, "n_obs": len(design.starts), "converged": found.converged}
-    return out | (standard_errors(design.negative, found.x, NAMES) if errors else {})
+def objective(table: DataFrame, most: int = 5_000_000) -> Callable[[np.ndarray], float]:
+    """The negative log-likelihood as a function of the parameters: on the driver for up to ``most`` alternatives, else a Spark job a call."""
+    if table.count() <= most:
+        return Design(table).negative
+    return lambda beta: -log_likelihood(table, Betas(**dict(zip(NAMES, map(float, beta))))).first()["log_likelihood"]
+
+
+def fit(table: DataFrame, start: Betas = TRUE_BETAS, least_alternatives: int = 2, bound: float = 5.0, method: str = "bfgs", errors: bool = False, most: int = 5_000_000) -> dict:
+    """Maximum likelihood over observations with a real choice; ``errors`` adds standard errors, which hold for the sampled sets.
+
+    Raises where no observation has ``least_alternatives``: there is nothing to fit.
+    """
+    known = staged(with_alternatives(table, least_alternatives), "choices")
+    n = known.select("obs_id").distinct().count()
+    if not n:
+        raise ValueError(f"no observation has {least_alternatives} alternatives")
+    negative = objective(known, most)
+    found: Minimum = minimise(negative, [getattr(start, n) for n in NAMES], [(-bound, bound)] * len(NAMES), method)
+    out = {"betas": dict(zip(NAMES, map(float, found.x))), "log_likelihood": -found.value, "n_obs": n, "converged": found.converged}
+    return out | (standard_errors(negative, found.x, NAMES) if errors else {})
 
 
 def estimation_data(trips: DataFrame, edges: DataFrame, headways: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:
     """Estimation table of trips (obs_id, origin, dest, path): sampling, forced observed paths and corrections."""
-    times = all_pairs(edges).select("origin", "dest", "seconds")
-    weights = link_weights(edges, times)
-    sampled = sampled_sets(trips, edges, times, draws, seed=seed)
+    weights = link_weights(edges, all_pairs(edges).select("origin", "dest", "seconds"))
+    sampled = sampled_sets(trips, edges, draws, seed=seed)
     return estimation_table(with_observed(sampled, trips, weights), trips, edges, headways, draws)
 
 
@@ -247,6 +277,7 @@ def draw_sweep(train: DataFrame, test: DataFrame, edges: DataFrame, headways: Da
 
 
 def hit_rate(table: DataFrame, betas: Betas) -> DataFrame:
-    """One row: the share of observations whose most probable alternative is the observed path; ties take the first path in string order."""
-    best = with_probabilities(table, betas).groupBy("obs_id").agg(F.min_by("chosen", F.struct(-F.col("probability"), F.col("path_text"))).alias("hit"))
+    """One row: the share of observations whose most probable alternative is the observed path; of paths as good to nine
+    places the first in string order."""
+    best = with_probabilities(table, betas).groupBy("obs_id").agg(F.min_by("chosen", F.struct(-F.round("utility", 9), F.col("path_text"))).alias("hit"))
     return best.agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,52 +95,141 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     return shortest_paths(edges, nodes)
 
 
-def min_plus_times(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def min_plus_times(edges: DataFrame) -> DataFrame:
     """origin, dest and least seconds of all pairs by doubling path lengths: joins and minima only, for graphs too large to broadcast.
 
-    Stops when a round changes nothing; each round is staged.
+    Stops when a round shortens and finds no pair, after about log2 of the longest path's links; each round is staged.
     """
     links = edges.groupBy(F.col("from_stop").alias("origin"), F.col("to_stop").alias("dest")).agg(F.min("duration").alias("seconds"))
     nodes = links.select("origin").union(links.select("dest")).distinct()
     now = links.unionByName(nodes.select("origin", F.col("origin").alias("dest"), F.lit(0.0).alias("seconds"))).groupBy("origin", "dest").agg(F.min("seconds").alias("seconds"))
-    mark = None
-    for _ in range(rounds):
+    while True:
         onward = now.select(F.col("origin").alias("via"), F.col("dest").alias("end"), F.col("seconds").alias("rest"))
-        now = now.join(onward, F.col("dest") == F.col("via")).groupBy("origin", F.col("end").alias("dest")).agg(F.min(F.col("seconds") + F.col("rest")).alias("seconds"))
-        now = staged(now, "times")
-        new = tuple(now.agg(F.count("*"), F.round(F.sum("seconds"), 6)).first())
-        if new == mark:
-            break
-        mark = new
-    return now
+        both = now.join(onward, F.col("dest") == F.col("via")).withColumn("through", F.col("seconds") + F.col("rest"))
+        before = F.min(F.when(F.col("via") == F.col("end"), F.col("seconds")))
+        after = staged(both.groupBy("origin", F.col("end").alias("dest")).agg(F.min("through").alias("seconds"), before.alias("before")), "times")
+        now = after.select("origin", "dest", "seconds")
+        if after.filter("before is null or seconds < before").isEmpty():
+            return now
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Few rows that each take long, over all cores."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def asked_pairs(edges: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """Distinct (origin, dest); without pairs every node with a null dest, which stands for all others."""
+    if pairs is not None:
+        return dealt(pairs.select("origin", "dest").distinct())
+    nodes = edges.select(F.col("from_stop").alias("origin")).union(edges.select("to_stop")).distinct()
+    return dealt(nodes.select("origin", F.lit(None).cast("string").alias("dest")))
+
+
+def reversed_graph(graph: Adjacency) -> Adjacency:
+    out: Adjacency = {a: [] for a in graph}
+    for a, ends in graph.items():
+        for b, cost in ends:
+            out[b].append((a, cost))
+    return out
+
+
+def links_left(back: Adjacency, dest: str, closed: set[str], wanted: set[str]) -> dict[str, int]:
+    """Fewest links from nodes to ``dest`` that stay out of ``closed``; ends once all of ``wanted`` are known."""
+    known, layer, left = {dest: 0}, [dest], wanted - {dest}
+    while layer and left:
+        new = []
+        for node in layer:
+            for other, _ in back[node]:
+                if other not in known and other not in closed:
+                    known[other] = known[node] + 1
+                    left.discard(other)
+                    new.append(other)
+        layer = new
+    return known
+
+
+def walks(graph: Adjacency, back: Adjacency, origin: str, dest: str, max_links: int | None = None) -> Iterator[tuple[float, tuple[str, ...]]]:
+    """(seconds, path) of the simple paths from ``origin`` to ``dest``, depth first, which end where they arrive.
+
+    A step is only taken to a node from which the destination can still be reached, so every branch gives a path and the first
+    n paths cost no more than n times a path's links times the graph.
+    """
+    if origin == dest or origin not in graph or dest not in graph:
+        return
+
+    def onward(path: list[str], visited: set[str]) -> Iterator[tuple[str, float]]:
+        ends = [(v, cost) for v, cost in graph[path[-1]] if v not in visited]
+        left = links_left(back, dest, visited, {v for v, _ in ends})
+        return iter([(v, cost) for v, cost in ends if v in left and (max_links is None or left[v] <= max_links - len(path))])
+
+    path, visited, seconds = [origin], {origin}, [0.0]
+    stack = [onward(path, visited)]
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            visited.discard(path.pop())
+            seconds.pop()
+        elif step[0] == dest:
+            yield seconds[-1] + step[1], (*path, dest)
+        else:
+            path.append(step[0])
+            visited.add(step[0])
+            seconds.append(seconds[-1] + step[1])
+            stack.append(onward(path, visited))
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame | None = None, max_links: int | None = None, max_paths: int | None = None) -> DataFrame:
     """origin, dest, path and seconds of all simple paths of at least one link, between ``pairs`` (origin, dest) or all nodes.
 
-    With ``max_paths`` a pair that has more raises; nothing is cut off.
+    With ``max_paths`` a pair that has more raises as soon as one path more is found; nothing is cut off.
     """
     spark = edges.sparkSession
-    start = edges if pairs is None else edges.join(pairs.select(F.col("origin").alias("from_stop")).distinct(), "from_stop", "left_semi")
-    bound = "" if max_links is None else f"AND size(path) <= {int(max_links)}"
-    walks = spark.sql(
-        f"""
-        WITH RECURSIVE walk(origin, dest, path, seconds) AS (
-            SELECT from_stop, to_stop, array(from_stop, to_stop), CAST(duration AS DOUBLE) FROM {{start}} WHERE from_stop <> to_stop
-            UNION ALL
-            SELECT origin, to_stop, concat(path, array(to_stop)), seconds + duration
-            FROM walk JOIN {{edges}} ON dest = from_stop WHERE NOT array_contains(path, to_stop) {bound})
-        SELECT * FROM walk""",
-        start=start.select("from_stop", "to_stop", "duration"),
-        edges=edges.select("from_stop", "to_stop", "duration"),
-    )
-    if pairs is not None:
-        walks = walks.join(pairs.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")
-    if max_paths is not None:
-        n = F.count("*").over(Window.partitionBy("origin", "dest"))
-        too_many = F.raise_error(F.concat(F.lit(f"more than {max_paths} simple paths from "), "origin", F.lit(" to "), "dest"))
-        walks = walks.withColumn("__n", n).withColumn("seconds", F.when(F.col("__n") > max_paths, too_many.cast("double")).otherwise(F.col("seconds"))).drop("__n")
-    return walks
+    ship(spark)
+    shared = spark.sparkContext.broadcast(adjacency(edges))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        back, nodes, columns = reversed_graph(graph), sorted(graph), ["origin", "dest", "path", "seconds"]
+        for batch in batches:
+            for origin, asked in zip(batch["origin"], batch["dest"]):
+                rows = []
+                for dest in nodes if asked is None else [asked]:
+                    for n, (seconds, path) in enumerate(walks(graph, back, origin, dest, max_links)):
+                        if n == max_paths:
+                            raise ValueError(f"more than {max_paths} simple paths from {origin} to {dest}")
+                        rows.append((origin, dest, list(path), seconds))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    return asked_pairs(edges, pairs).mapInPandas(run, "origin string, dest string, path array<string>, seconds double")
+
+
+def path_counts(edges: DataFrame, pairs: DataFrame | None = None, max_paths: int = 500) -> DataFrame:
+    """origin, dest, n_paths and hops (fewest links) of ``pairs``, or of all pairs, that have a path.
+
+    Counting ends at ``max_paths`` + 1, which stands for too many: a pair of a large network may have more paths than can be counted.
+    """
+    spark = edges.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(adjacency(edges))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        back, nodes = reversed_graph(graph), sorted(graph)
+        for batch in batches:
+            rows = []
+            for origin, asked in zip(batch["origin"], batch["dest"]):
+                for dest in nodes if asked is None else [asked]:
+                    n = sum(1 for _ in islice(walks(graph, back, origin, dest), max_paths + 1))
+                    if n:
+                        rows.append((origin, dest, n, links_left(back, dest, set(), {origin})[origin]))
+            yield pd.DataFrame(rows, columns=["origin", "dest", "n_paths", "hops"])
+
+    return asked_pairs(edges, pairs).mapInPandas(run, "origin string, dest string, n_paths bigint, hops bigint")
 
 
 def shortest_of(paths: DataFrame, k: int) -> DataFrame:
@@ -148,21 +238,24 @@ def shortest_of(paths: DataFrame, k: int) -> DataFrame:
     return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def k_shortest(edges: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
-    """origin, dest, path, seconds and rank of the k shortest simple paths of each pair: no enumeration, one kernel call a pair."""
+def k_shortest(edges: DataFrame, pairs: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """origin, dest, path, seconds and rank of the k shortest simple paths of each pair, or of all: no enumeration, one kernel call a pair."""
     spark = edges.sparkSession
     ship(spark)
-    graph = spark.sparkContext.broadcast(adjacency(edges))
+    shared = spark.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        nodes = sorted(graph)
         for batch in batches:
-            rows = [(o, d, list(p), s, n) for o, d in zip(batch["origin"], batch["dest"]) if o != d for n, (s, p) in enumerate(yen(graph.value, o, d, k), 1)]
-            yield pd.DataFrame(rows, columns=["origin", "dest", "path", "seconds", "rank"])
+            for origin, asked in zip(batch["origin"], batch["dest"]):
+                ends = nodes if asked is None else [asked]
+                rows = [(origin, dest, list(p), s, n) for dest in ends if dest != origin for n, (s, p) in enumerate(yen(graph, origin, dest, k), 1)]
+                yield pd.DataFrame(rows, columns=["origin", "dest", "path", "seconds", "rank"])
 
-    return pairs.select("origin", "dest").distinct().mapInPandas(run, "origin string, dest string, path array<string>, seconds double, rank int")
+    return asked_pairs(edges, pairs).mapInPandas(run, "origin string, dest string, path array<string>, seconds double, rank int")
 
 
-def richest_pair(paths: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
-    """The pair of most simple paths among those with ``least`` to ``most``, its count and its fewest links; ties by ids."""
-    counts = paths.groupBy("origin", "dest").agg(F.count("*").alias("n_paths"), (F.min(F.size("path")) - 1).cast("bigint").alias("hops"))
+def richest_pair(counts: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
+    """The pair of most paths among those with ``least`` to ``most``, of a table that :func:`path_counts` made; ties by ids."""
     return counts.filter(F.col("n_paths").between(least, most)).orderBy(F.desc("n_paths"), "origin", "dest").limit(1)

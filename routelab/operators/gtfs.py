@@ -77,9 +77,17 @@ def reference_stops(trips: DataFrame, stop_times: DataFrame, routes: DataFrame)
 
 
 def median_gap_minutes(departures: DataFrame, keys: list[str], second: str, max_gap_sec: float) -> DataFrame:
-    """Exact median, in minutes, of the gaps between neighbouring departures that are above 0 and below the limit."""
-    gap = F.col(second) - F.lag(second).over(Window.partitionBy(*keys).orderBy(second))
-    gaps = departures.filter(F.col(second).isNotNull()).withColumn("gap", gap).filter((F.col("gap") > 0) & (F.col("gap") < max_gap_sec))
+    """Exact median, in minutes, of the gaps between neighbouring departures that are above 0 and below the limit.
+
+    Departures are sorted within the hours of each key, however many one key has; the gaps between an hour's last and the next known
+    hour's first are stitched in from a row an hour.
+    """
+    rows = departures.filter(F.col(second).isNotNull()).select(*keys, F.col(second).alias("__s"), F.floor(F.col(second) / 3600).alias("__hour"))
+    within = F.col("__s") - F.lag("__s").over(Window.partitionBy(*keys, "__hour").orderBy("__s"))
+    hours = rows.groupBy(*keys, "__hour").agg(F.min("__s").alias("first"), F.max("__s").alias("last"))
+    between = F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("__hour"))
+    gaps = rows.select(*keys, within.alias("gap")).unionByName(hours.select(*keys, between.alias("gap")))
+    gaps = gaps.filter((F.col("gap") > 0) & (F.col("gap") < max_gap_sec))
     return gaps.groupBy(*keys).agg((F.median("gap") / 60.0).alias("headway_min"))
 
 

@@ -19,10 +19,10 @@ def null_log_likelihood(trips: DataFrame, size: str = "choice_set_size") -> Data
 
 
 def parameter_bias(fitted: DataFrame, true: DataFrame) -> DataFrame:
-    """name, true, fitted, bias and pct_bias (null where the true value is 0) of the fitted names; tables have name and value."""
+    """name, true, fitted, bias and pct_bias (of the signed true value, null where it is 0) of the fitted names; tables have name and value."""
     rows = fitted.select("name", F.col("value").alias("fitted")).join(true.select("name", F.col("value").alias("true")), "name")
     bias = F.col("fitted") - F.col("true")
-    return rows.select("name", "true", "fitted", bias.alias("bias"), F.when(F.col("true") != 0, 100 * bias / F.abs("true")).alias("pct_bias"))
+    return rows.select("name", "true", "fitted", bias.alias("bias"), F.when(F.col("true") != 0, 100 * bias / F.col("true")).alias("pct_bias"))
 
 
 def comparison(values: DataFrame) -> DataFrame:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from routelab.functions.scalar import TRANSFER, nest_scale
 from routelab.operators.optim import minimise, standard_errors
 from routelab.shipping import ship
+from routelab.staging import staged
 
 START = "START"
+MAX_TRANSITIONS = 20_000_000
+UNSETTLED = -1e12
 NAMES = ("ivt", "wait", "walk", "transfer", "scale_transfer")
 
 
@@ -78,6 +81,7 @@ class LineGraph:
         self.x = lines[["ivt_min", "wait_min", "walk_min", "transfers"]].to_numpy(float)
         self.kind = lines["prev_type"].to_numpy(object)
         self.live, self.starts = np.unique(self.k, return_index=True)
+        self.moves = {(k, a): n for n, (k, a) in enumerate(zip(self.k.tolist(), self.a.tolist()))}
 
     def set(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
         """Utility of each transition and the scale of its earlier link."""
@@ -106,6 +110,10 @@ class LineGraph:
 
 
 def _arrays(lines: DataFrame, edges: DataFrame) -> LineGraph:
+    """The network's line graph: a row a pair of neighbouring links, which the network's size bounds, as checked here."""
+    n = lines.count()
+    if n > MAX_TRANSITIONS:
+        raise ValueError(f"{n} transitions are more than the {MAX_TRANSITIONS} that a worker holds")
     return LineGraph(lines.toPandas(), [tuple(r) for r in edges.select("from_stop", "to_stop").distinct().collect()])
 
 
@@ -137,28 +145,60 @@ def path_log_probability(paths: DataFrame, moves: DataFrame, values: DataFrame,
 
 
 class Likelihood:
-    """Log-likelihood of distinct paths with counts; each destination is solved once for a parameter set."""
-
-    def __init__(self, lines: DataFrame, edges: DataFrame, trips: DataFrame):
-        self.graph = _arrays(lines, edges)
-        counted = trips.groupBy("path").agg(F.count("*").alias("n")).orderBy("path").collect()
-        at = {(k, a): n for n, (k, a) in enumerate(zip(self.graph.k.tolist(), self.graph.a.tolist()))}
-        index = self.graph.index
-        self.by_dest: dict[str, list[tuple[int, np.ndarray]]] = {}
-        for path, n in counted:
-            links = [(START, path[0]), *zip(path, path[1:])]
-            ks = [index[x] for x in links]
-            self.by_dest.setdefault(path[-1], []).append((n, np.array([at[a, b] for a, b in zip(ks, ks[1:])], np.int64)))
-        self.n = sum(n for _, n in counted)
+    """Log-likelihood of distinct paths (path, n: how often); each destination is solved once for a parameter set.
+
+    Up to ``most`` distinct paths the driver holds them and evaluates; beyond, they stay a table, sorted by destination, and every
+    evaluation is a Spark job whose tasks solve the destinations that they meet.
+    """
+
+    def __init__(self, lines: DataFrame, edges: DataFrame, counted: DataFrame, most: int = 100_000):
+        spark = lines.sparkSession
+        self.graph, self.table = _arrays(lines, edges), None
+        self.n, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        if distinct <= most:
+            self.by_dest = grouped_moves(self.graph, ((r["path"], r["n"]) for r in counted.orderBy("path").collect()))
+        else:
+            ship(spark)
+            self.shared = spark.sparkContext.broadcast(self.graph)
+            self.table = staged(counted.withColumn("dest", F.element_at("path", -1)).repartitionByRange("dest", "path").sortWithinPartitions("dest", "path"), "paths")
 
     def __call__(self, p: Parameters) -> float:
-        g, total = self.graph, 0.0
-        utility, mu = g.set(p)
-        for dest, paths in self.by_dest.items():
-            v, _, _ = g.values(dest, utility, mu)
-            step = (utility + v[g.a] - v[g.k]) / mu
-            total += sum(n * step[moves].sum() for n, moves in paths)
-        return float(total)
+        if self.table is None:
+            return summed_log_probability(self.graph, self.by_dest, p)
+        shared = self.shared
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph, total = shared.value, 0.0
+            for batch in batches:
+                total += summed_log_probability(graph, grouped_moves(graph, zip(batch["path"], batch["n"])), p)
+            yield pd.DataFrame({"part": [total]})
+
+        return float(self.table.select("path", "n").mapInPandas(run, "part double").agg(F.sum("part")).first()[0])
+
+
+def grouped_moves(graph: LineGraph, counted: Iterable[tuple[list[str], int]]) -> dict[str, list[tuple[int, np.ndarray]]]:
+    """By destination: how often each path is taken, and its transitions' numbers."""
+    out: dict[str, list[tuple[int, np.ndarray]]] = {}
+    for path, n in counted:
+        links = [(START, path[0]), *zip(path, path[1:])]
+        ks = [graph.index[tuple(x)] for x in links]
+        out.setdefault(path[-1], []).append((n, np.array([graph.moves[a, b] for a, b in zip(ks, ks[1:])], np.int64)))
+    return out
+
+
+def summed_log_probability(graph: LineGraph, by_dest: dict[str, list[tuple[int, np.ndarray]]], p: Parameters) -> float:
+    """Of all paths; UNSETTLED where a destination has no values, as costs are too small for the sum over all walks to settle."""
+    utility, mu = graph.set(p)
+    total = 0.0
+    for dest, paths in by_dest.items():
+        v, settled, n = graph.values(dest, utility, mu)
+        if not settled:
+            v, settled, n = graph.values(dest, utility, mu, max_iter=10 * n)
+        if not settled:
+            return UNSETTLED
+        step = (utility + v[graph.a] - v[graph.k]) / mu
+        total += sum(n * step[moves].sum() for n, moves in paths)
+    return float(total)
 
 
 def parameters_of(x: np.ndarray, variant: str = "current") -> Parameters:
@@ -172,13 +212,24 @@ def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[flo
     bounds = [(1e-5, 5.0)] * 4 + [(-5.0, 5.0)] if variant == "current" else [(-5.0, 5.0)] * 6
     x = np.array(start if start is not None else [1.0, 1.0, 1.0, 1.0, 0.5, 0.5][: len(names)], float)
     lines = line_graph(edges, headways)
-    n = trips.count()
+    counted = staged(trips.groupBy("path").agg(F.count("*").alias("n")), "counted")
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        raise ValueError("no trips to fit")
     if n > warm_rows:
-        order = F.md5(F.concat_ws(":", F.array_join("path", "|"), F.monotonically_increasing_id().cast("string")).cast("binary"))
-        warm = Likelihood(lines, edges, trips.orderBy(order).limit(max(warm_rows, n // 4)))
+        # Trips of one path are alike: numbering them makes the hashed order the same however the rows lie.
+        each = counted.select("path", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"))
+        order = F.md5(F.concat_ws(":", F.array_join("path", "|"), F.col("k").cast("string")).cast("binary"))
+        warm = Likelihood(lines, edges, each.orderBy(order, "path", "k").limit(max(warm_rows, n // 4)).groupBy("path").agg(F.count("*").alias("n")))
         x = minimise(lambda b: -warm(parameters_of(b, variant)), x, bounds, method).x
-    full = Likelihood(lines, edges, trips)
+    full = Likelihood(lines, edges, counted)
     negative = lambda b: -full(parameters_of(b, variant))
     found = minimise(negative, x, bounds, method)
     out = {"betas": dict(zip(names, map(float, found.x))), "log_likelihood": -found.value, "n_obs": full.n, "converged": found.converged}
     return out | (standard_errors(negative, found.x, names) if errors else {})
+
+
+def held_out_log_likelihood(trips: DataFrame, edges: DataFrame, headways: DataFrame, betas: dict[str, float]) -> float | None:
+    """Of trips (path) under fitted parameters; null over none."""
+    own = Likelihood(line_graph(edges, headways), edges, staged(trips.groupBy("path").agg(F.count("*").alias("n")), "counted"))
+    return own(Parameters(**betas)) if own.n else None

@@ -17,13 +17,16 @@ def synthetic_trips(choices: DataFrame, od: DataFrame, scale: float, least: int
     Pairs without paths (unreachable, unknown, within a station) draw nothing. A draw takes the first path, by rank of length, whose
     cumulated probability reaches a uniform hashed from the pair, the draw's number and the seed.
     """
+    shown = ["path_text", "path", "ivt_min", "wait_min", "walk_min", "n_transfers", "path_size", "utility"]
     order = Window.partitionBy(*PAIR).orderBy("seconds", "path_text")
-    ranked = choices.select("*", F.sum("probability").over(order).alias("upto"), F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy(*PAIR)).alias("choice_set_size"))
-    high = F.when(F.col("rank") == F.col("choice_set_size"), 2.0).otherwise(F.col("upto"))
-    lagged = ranked.withColumn("low", F.coalesce(F.lag("upto").over(order), F.lit(-1.0))).withColumn("high", high)
+    ranked = choices.select("*", F.sum("probability").over(order).alias("upto"), F.row_number().over(order).alias("rank"))
+    sets = ranked.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("rank", "upto", *shown))).alias("set"))
     draws = od.filter("origin <> dest").withColumn("n", trips_to_draw(F.col("total_trips"), scale, least)).select(*PAIR, "total_trips", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("draw"))
-    draws = draws.withColumn("u", hashed_uniform(*PAIR, "draw", F.lit(seed)))
-    chosen = draws.join(lagged, PAIR).filter((F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
+    # A pair's set is one row: draws search its bounds instead of meeting all of its paths.
+    drawn = draws.withColumn("u", hashed_uniform(*PAIR, "draw", F.lit(seed))).join(sets, PAIR)
+    first = F.get(F.filter("set", lambda c: c["upto"] >= F.col("u")), F.lit(0))
+    taken = F.coalesce(first, F.element_at("set", -1)).alias("taken")
+    chosen = drawn.select(*PAIR, "total_trips", "draw", F.size("set").cast("bigint").alias("choice_set_size"), taken).select("*", *[F.col(f"taken.{c}") for c in shown])
     return chosen.select(
         F.concat_ws("_", *PAIR, F.col("draw").cast("string")).alias("trip_id"), *PAIR, F.col("path_text").alias("chosen_path"), F.size("path").cast("bigint").alias("n_stops"),
         F.round("ivt_min", 2).alias("ivt_min"), F.round("wait_min", 2).alias("wait_min"), F.round("walk_min", 2).alias("walk_min"), "n_transfers",

@@ -15,7 +15,8 @@ from routelab.staging import staged
 PAIR = ["origin", "dest"]
 DRAWS = 20
 HIT_DRAWS = 30
-OBSERVATIONS = 40
+#: Of each pair.
+OBSERVATIONS = 2
 ITERATIONS = 25
 TRUE = nrl.Parameters()
 
@@ -42,9 +43,10 @@ def path_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed_trips(edges: DataFrame, n: int = OBSERVATIONS) -> DataFrame:
-    """Gumbel choices among all paths from 0 to 12: obs_id, origin, dest, path."""
-    choices = a.grid_choices(edges, a.grid_paths(edges).filter("origin = '0' and dest = '12'"))
-    return simulate.universal_trips(choices, n).select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"))
+    """``n`` Gumbel choices among all paths of every pair: obs_id, origin, dest, path and choice_set_size."""
+    chosen = simulate.universal_trips(a.grid_choices(edges, a.grid_paths(edges)), n)
+    number = (F.col("origin").cast("bigint") * 1000 + F.col("dest").cast("bigint")) * n + F.col("obs_id")
+    return chosen.select(number.alias("obs_id"), *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size")
 
 
 def _estimation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ def nrl_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def biased_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = a.grid_edges(spark, sf_dir)
-    sets = eps.sampled_sets(observed_trips(edges), edges, _times(edges), DRAWS)
+    sets = eps.sampled_sets(observed_trips(edges), edges, DRAWS)
     return sets.select("obs_id", *PAIR, F.array_join("path", "|").alias("path_text"), "n_sampled", "log_q")
 
 
@@ -139,9 +141,7 @@ def _hit_table(edges: DataFrame) -> DataFrame:
 def draw_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit for each of 10, 20, 40 and 80 draws, held-out trips included."""
     edges = a.grid_edges(spark, sf_dir)
-    choices = a.grid_choices(edges, a.grid_paths(edges).filter("origin = '0' and dest = '12'"))
-    split = simulate.train_test_split(simulate.universal_trips(choices, OBSERVATIONS), PAIR, "obs_id")
-    trips = staged(split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size", "is_test"), "trips")
+    trips = staged(simulate.train_test_split(observed_trips(edges), PAIR, "obs_id"), "trips")
     return eps.draw_sweep(trips.filter("not is_test"), trips.filter("is_test"), edges, a.grid_headways(edges))
 
 
@@ -167,20 +167,28 @@ open_ AS (SELECT s.origin, s.dest, path_text, step, weight, w.v = s.path[step +
   WHERE w.v = s.dest OR NOT list_contains(s.path[1:step], w.v)),
 probs AS (SELECT origin, dest, path_text, step, SUM(weight) FILTER (took) / SUM(weight) AS p FROM open_ GROUP BY origin, dest, path_text, step),
 logq AS (SELECT origin, dest, path_text, SUM(LN(p)) AS log_q FROM probs GROUP BY origin, dest, path_text)"""
-OBSERVED = f"""shocked AS (SELECT obs_id, path_text, utility - LN(-LN({a.uniform("obs_id", "path_text", "42")})) AS total FROM choices, range(0, {OBSERVATIONS}) t(obs_id) WHERE origin = '0' AND dest = '12'),
-observed AS (SELECT obs_id, ARG_MAX(path_text, total) AS path_text FROM shocked GROUP BY obs_id)"""
-SETS = f"""bands AS (SELECT path_text, log_q, SUM(EXP(log_q)) OVER (ORDER BY path_text) AS high FROM logq WHERE origin = '0' AND dest = '12'),
-low AS (SELECT *, COALESCE(LAG(high) OVER (ORDER BY path_text), -1) AS low FROM bands),
-drawn AS (SELECT obs_id, {a.uniform("obs_id", "draw", "42")} AS u FROM range(0, {OBSERVATIONS}) o(obs_id), range(0, {DRAWS}) d(draw)),
-sampled AS (SELECT obs_id, path_text, log_q, COUNT(*) AS n FROM drawn JOIN low ON u > low AND u <= high GROUP BY ALL),
-sets AS (SELECT * FROM sampled UNION ALL SELECT obs_id, o.path_text, log_q, 1 FROM observed o JOIN logq ON logq.path_text = o.path_text
-  WHERE origin = '0' AND dest = '12' AND NOT EXISTS (SELECT 1 FROM sampled s WHERE s.obs_id = o.obs_id AND s.path_text = o.path_text)),
-phied AS (SELECT *, n / ({DRAWS}::DOUBLE * EXP(log_q)) AS phi, LN(n / ({DRAWS}::DOUBLE * EXP(log_q))) AS sampling_correction FROM sets),
+OBSERVED = f"""shocked AS (SELECT origin, dest, n, path_text, utility - LN(-LN({a.uniform("n", "path_text", "42")})) AS total FROM choices, range(0, {OBSERVATIONS}) t(n)),
+observed AS (SELECT (CAST(origin AS BIGINT) * 1000 + CAST(dest AS BIGINT)) * {OBSERVATIONS} + n AS obs_id, origin, dest, ARG_MAX(path_text, total) AS path_text FROM shocked GROUP BY origin, dest, n)"""
+
+
+def sets_sql(draws: int, forced: bool) -> str:
+    """Sampled sets of the observed trips, the observed path put in where ``forced``, up to the estimation table."""
+    put_in = """
+  UNION ALL SELECT obs_id, o.path_text, log_q, 1 FROM observed o JOIN logq ON logq.path_text = o.path_text
+  WHERE NOT EXISTS (SELECT 1 FROM sampled s WHERE s.obs_id = o.obs_id AND s.path_text = o.path_text)""" if forced else ""
+    return f"""bands AS (SELECT origin, dest, path_text, log_q, SUM(EXP(log_q)) OVER (PARTITION BY origin, dest ORDER BY path_text) AS high FROM logq),
+low AS (SELECT *, COALESCE(LAG(high) OVER (PARTITION BY origin, dest ORDER BY path_text), -1) AS low FROM bands),
+drawn AS (SELECT obs_id, origin, dest, {a.uniform("obs_id", "draw", "42")} AS u FROM observed, range(0, {draws}) d(draw)),
+sampled AS (SELECT obs_id, path_text, log_q, COUNT(*) AS n FROM drawn JOIN low USING (origin, dest) WHERE u > low AND u <= high GROUP BY ALL),
+sets AS (SELECT * FROM sampled{put_in}),
+phied AS (SELECT *, n / ({draws}::DOUBLE * EXP(log_q)) AS phi, LN(n / ({draws}::DOUBLE * EXP(log_q))) AS sampling_correction FROM sets),
 used AS (SELECT p.obs_id, p.path_text, sampling_correction, duration / SUM(duration) OVER (PARTITION BY p.obs_id, p.path_text) / SUM(phi) OVER (PARTITION BY p.obs_id, u, v) AS part
   FROM phied p JOIN links ON links.path_text = p.path_text),
 expanded AS (SELECT obs_id, path_text, SUM(part) AS expanded_path_size, ANY_VALUE(sampling_correction) AS sampling_correction FROM used GROUP BY ALL),
 estimation AS (SELECT e.*, e.path_text = o.path_text AS chosen, ivt_min, wait_min, walk_min, n_transfers FROM expanded e JOIN observed o USING (obs_id)
   JOIN parts ON parts.path_text = e.path_text)"""
+
+
 MOVES = """prior AS (SELECT from_stop AS u, to_stop AS v, route_id, link_type FROM edges UNION ALL SELECT DISTINCT 'START', from_stop, NULL, 'start' FROM edges),
 moves AS (SELECT p.u, p.v, e.to_stop AS w, CASE WHEN e.link_type = 'transfer' THEN -0.035::DOUBLE * e.duration / 60
     WHEN p.link_type IN ('start', 'transfer') OR p.route_id <> e.route_id THEN -0.025::DOUBLE * e.duration / 60 - 0.05::DOUBLE * headway_min / 2 - CASE WHEN p.link_type = 'start' THEN 0 ELSE 0.4::DOUBLE END
@@ -196,21 +204,24 @@ logp AS (SELECT h.origin, h.dest, path_text, SUM((m.utility + b.value - f.value)
   JOIN final f ON f.dest = h.dest AND f.u = m.u AND f.v = m.v JOIN final b ON b.dest = h.dest AND b.u = m.v AND b.v = m.w GROUP BY h.origin, h.dest, path_text)"""
 
 _Q = a.with_(a.GRID, a.WALKS, a.TIMES, WEIGHTS, LOG_Q)
-_SETS = a.with_(a.GRID, a.WALKS, a.TIMES, WEIGHTS, LOG_Q, a.LINKS, a.COMPONENTS, a.SIZES, a.CHOICES, OBSERVED, SETS)
+_SETS, _DRAWN = (a.with_(a.GRID, a.WALKS, a.TIMES, WEIGHTS, LOG_Q, a.LINKS, a.COMPONENTS, a.SIZES, a.CHOICES, OBSERVED, sets_sql(n, forced)) for n, forced in ((DRAWS, True), (HIT_DRAWS, False)))
+_VALUED = """, valued_ AS (SELECT obs_id, path_text, chosen, COUNT(*) OVER (PARTITION BY obs_id) AS n, LN(GREATEST(expanded_path_size, 1e-9)) + sampling_correction
+  - (0.025::DOUBLE * ivt_min + 0.05::DOUBLE * wait_min + 0.035::DOUBLE * walk_min + 0.4::DOUBLE * n_transfers) AS v FROM estimation)"""
 _P = a.with_(a.GRID, a.WALKS, MOVES, VALUES, LOG_P)
 
 ORACLE_SQL = {
     "link_probs": a.with_(a.GRID, a.WALKS, a.TIMES, WEIGHTS) + "SELECT dest, u, v, ROUND(weight / SUM(weight) OVER (PARTITION BY dest, u), 6) AS probability FROM weights",
     "path_log_q": _Q + "SELECT origin, dest, path_text, ROUND(log_q, 6) AS log_q FROM logq",
-    "expanded_path_size": _SETS + "SELECT obs_id, path_text, chosen, ROUND(expanded_path_size, 6) AS expanded_path_size, ROUND(sampling_correction, 6) AS sampling_correction FROM estimation WHERE path_text LIKE '0|%|12'",
-    "eps_nll": _SETS + """, u AS (SELECT obs_id, chosen, COUNT(*) OVER (PARTITION BY obs_id) AS n, LN(GREATEST(expanded_path_size, 1e-9)) + sampling_correction
-  - (0.025::DOUBLE * ivt_min + 0.05::DOUBLE * wait_min + 0.035::DOUBLE * walk_min + 0.4::DOUBLE * n_transfers) AS v FROM estimation),
-p AS (SELECT obs_id, chosen, n, EXP(v) / SUM(EXP(v)) OVER (PARTITION BY obs_id) AS p FROM u)
+    "expanded_path_size": _SETS + "SELECT obs_id, path_text, chosen, ROUND(expanded_path_size, 6) AS expanded_path_size, ROUND(sampling_correction, 6) AS sampling_correction FROM estimation",
+    "eps_nll": _SETS + _VALUED + """, p AS (SELECT obs_id, chosen, n, EXP(v) / SUM(EXP(v)) OVER (PARTITION BY obs_id) AS p FROM valued_)
 SELECT ROUND(-SUM(LN(GREATEST(p, 1e-12))), 4) AS nll, COUNT(*) AS n_obs FROM p WHERE chosen AND n >= 2""",
+    "hit_rate": _DRAWN + _VALUED + """, best AS (SELECT obs_id, chosen FROM valued_ QUALIFY ROW_NUMBER() OVER (PARTITION BY obs_id ORDER BY ROUND(v, 9) DESC, path_text) = 1)
+SELECT AVG(CAST(chosen AS INT)) AS hit_rate FROM best""",
     "line_graph": a.with_(a.GRID, MOVES) + "SELECT u, v, w, ROUND(utility, 6) AS utility, mu FROM moves",
     "nrl_values": a.with_(a.GRID, MOVES, VALUES) + "SELECT dest, u, v, ROUND(value, 5) AS value FROM final",
     "nrl_path_logprob": _P + "SELECT origin, dest, path_text, ROUND(log_p, 5) AS log_p FROM logp",
     "nrl_ll": a.with_(a.GRID, a.WALKS, MOVES, VALUES, LOG_P, a.LINKS, a.COMPONENTS, a.SIZES, a.CHOICES, OBSERVED)
     + "SELECT ROUND(SUM(log_p), 4) AS log_likelihood, COUNT(*) AS n_obs FROM observed JOIN logp ON logp.path_text = observed.path_text",
 }
-ORACLE_SQL["eps_nll"] = ORACLE_SQL["eps_nll"].replace("\n, u AS", ",\nu AS")
+for _name in ("eps_nll", "hit_rate"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("\n, valued_ AS", ",\nvalued_ AS")

@@ -110,22 +110,22 @@ def anchor_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def branch_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, stations = a.grid_edges(spark, sf_dir), a.grid_stations(spark, sf_dir)
-    ends = stations.filter("station_id in ('0', '12')").select("station_name").unionByName(spark.createDataFrame([("NOWHERE",)], "station_name string"))
+    edges, stations = a.grid_edges(spark, sf_dir), a.nation_stations(spark, sf_dir)
+    ends = stations.filter("station_id in ('0', '18', '24')").select("station_name").unionByName(spark.createDataFrame([("NOWHERE",)], "station_name string"))
     _, kept = network.trim_branches(stations, edges, ends, all_pairs(edges))
     return kept.withColumn("duration", F.round("duration", 6))
 
 
 def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viz.network_stats(a.grid_edges(spark, sf_dir), a.grid_stations(spark, sf_dir))
+    return viz.network_stats(a.grid_edges(spark, sf_dir), a.nation_stations(spark, sf_dir))
 
 
 def interchange_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viz.station_flags(a.grid_edges(spark, sf_dir), a.grid_stations(spark, sf_dir)).select("station_id", "n_routes", "has_transfer", "is_interchange")
+    return viz.station_flags(a.grid_edges(spark, sf_dir), a.nation_stations(spark, sf_dir)).select("station_id", "n_routes", "has_transfer", "is_interchange")
 
 
 def plot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = viz.plot_edges(a.grid_edges(spark, sf_dir), a.grid_stations(spark, sf_dir))
+    rows = viz.plot_edges(a.grid_edges(spark, sf_dir), a.nation_stations(spark, sf_dir))
     return rows.select("from_stop", "to_stop", "route_id", "colour", *[F.round(c, 6).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")])
 
 
@@ -195,8 +195,8 @@ UNION ALL SELECT b, a, 'walk', ROUND(duration, 6), 'transfer' FROM free""",
     "anchor_tags": f"WITH {STATIONS}, pairs AS (SELECT a, b, bk, {METRES}) SELECT a AS stop_id, string_agg(b, '|' ORDER BY b) AS anchors FROM pairs WHERE bk % 7 = 0 AND metres <= 500 GROUP BY a",
     "branch_trim": a.with_(a.GRID, a.WALKS) + """, ends AS (SELECT from_stop AS id FROM edges UNION ALL SELECT to_stop FROM edges),
 hub AS (SELECT id FROM ends GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 1),
-best AS (SELECT path FROM paths WHERE origin = (SELECT id FROM hub) AND dest IN ('0', '12') QUALIFY ROW_NUMBER() OVER (PARTITION BY dest ORDER BY seconds, path_text) = 1),
-kept AS (SELECT DISTINCT UNNEST(path) AS id FROM best UNION SELECT id FROM hub WHERE id IN ('0', '12'))
+best AS (SELECT path FROM paths WHERE origin = (SELECT id FROM hub) AND dest IN ('0', '18', '24') QUALIFY ROW_NUMBER() OVER (PARTITION BY dest ORDER BY seconds, path_text) = 1),
+kept AS (SELECT DISTINCT UNNEST(path) AS id FROM best UNION SELECT id FROM hub WHERE id IN ('0', '18', '24'))
 SELECT from_stop, to_stop, route_id, ROUND(duration, 6) AS duration, link_type FROM edges WHERE from_stop IN (SELECT id FROM kept) AND to_stop IN (SELECT id FROM kept)""",
     "network_stats": f"""WITH {a.GRID}, {FLAGS} SELECT COUNT(*) FILTER (link_type <> 'transfer') AS transit_links, COUNT(*) FILTER (link_type = 'transfer') AS walking_links,
 COUNT(DISTINCT CASE WHEN link_type <> 'transfer' THEN route_id END) AS routes, (SELECT COUNT(*) FROM nat) AS stations, (SELECT COUNT(*) FROM flags WHERE n_routes > 1) AS interchanges FROM edges""",

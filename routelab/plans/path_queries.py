@@ -12,7 +12,8 @@ from routelab.plans import adapters as a
 
 PAIR = ["origin", "dest"]
 SCALE = 0.01
-OBSERVATIONS = 300
+OBSERVATIONS = 20
+MAX_PATHS = 500
 ATTRIBUTES = ["ivt_min", "wait_min", "walk_min", "n_transfers", "path_size"]
 
 
@@ -26,20 +27,22 @@ def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.simple_paths(a.grid_edges(spark, sf_dir), max_paths=500)
+    found = graph.simple_paths(a.grid_edges(spark, sf_dir), max_paths=MAX_PATHS)
     return found.select(*PAIR, path_text("path").alias("path"), F.round("seconds", 6).alias("seconds"))
 
 
 def k_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = a.grid_edges(spark, sf_dir)
-    nodes = edges.select("from_stop").distinct()
-    pairs = nodes.toDF("origin").crossJoin(nodes.toDF("dest"))  # every ordered pair is asked for
-    found = graph.k_shortest(edges, pairs, 10)
+    found = graph.k_shortest(a.grid_edges(spark, sf_dir), None, 10)
     return found.select(*PAIR, path_text("path").alias("path"), F.round("seconds", 6).alias("seconds"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def richest_od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.richest_pair(graph.simple_paths(a.grid_edges(spark, sf_dir)))
+    return graph.richest_pair(graph.path_counts(a.grid_edges(spark, sf_dir), max_paths=MAX_PATHS), 2, MAX_PATHS)
+
+
+def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted up to 10: one more means too many."""
+    return graph.path_counts(a.grid_edges(spark, sf_dir), max_paths=10)
 
 
 def path_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +87,7 @@ def synthetic_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gumbel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    choices = _choices(spark, sf_dir).filter("origin = '0' and dest = '12'")
-    return simulate.universal_trips(choices, OBSERVATIONS).select(*PAIR, "obs_id", "chosen_path", "choice_set_size")
+    return simulate.universal_trips(_choices(spark, sf_dir), OBSERVATIONS).select(*PAIR, "obs_id", "chosen_path", "choice_set_size")
 
 
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def transfer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.value_counts(_choices(spark, sf_dir), "n_transfers")
 
 
-PARAMETERS = [("ivt", 0.03, 0.025), ("wait", 0.04, 0.05), ("walk", 0.035, 0.035), ("transfer", 0.5, 0.4), ("pathsize", 0.9, 0.0)]
+PARAMETERS = [("ivt", 0.03, 0.025), ("wait", 0.04, 0.05), ("walk", 0.035, 0.035), ("transfer", 0.5, 0.4), ("pathsize", 0.9, 0.0), ("constant", -0.4, -0.5), ("sign", 0.1, -0.2)]
 METRICS = [("log_likelihood", "eps", -10.5), ("log_likelihood", "nrl", -11.0), ("n_obs", "eps", 40.0), ("n_obs", "nrl", 40.0), ("ivt", "eps", 0.03), ("ivt", "true", 0.025)]
 
 
@@ -134,7 +136,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "simple_paths": simple_paths, "k_shortest": k_shortest, "richest_od": richest_od, "path_components": path_components, "path_size": path_size,
+    "simple_paths": simple_paths, "path_counts": path_counts, "k_shortest": k_shortest, "richest_od": richest_od, "path_components": path_components, "path_size": path_size,
     "path_utility": path_utility, "choice_probabilities": choice_probabilities, "generalized_time": generalized_time, "synthetic_trips": synthetic_trips,
     "gumbel_choice": gumbel_choice, "train_test_split": train_test_split, "null_ll": null_ll, "rho_squared": rho_squared, "attribute_summary": attribute_summary,
     "attribute_corr": attribute_corr, "transfer_distribution": transfer_distribution, "parameter_bias": parameter_bias, "model_comparison": model_comparison,
@@ -157,6 +159,7 @@ ORACLE_SQL = {
     "simple_paths": _WALKED + "SELECT origin, dest, path_text AS path, ROUND(seconds, 6) AS seconds FROM paths",
     "k_shortest": _WALKED + "SELECT origin, dest, path_text AS path, ROUND(seconds, 6) AS seconds, ROW_NUMBER() OVER (PARTITION BY origin, dest ORDER BY seconds, path_text) AS rank FROM paths QUALIFY rank <= 10",
     "richest_od": _WALKED + "SELECT origin, dest, COUNT(*) AS n_paths, MIN(len(path)) - 1 AS hops FROM paths GROUP BY ALL HAVING COUNT(*) BETWEEN 2 AND 500 ORDER BY n_paths DESC, origin, dest LIMIT 1",
+    "path_counts": _WALKED + "SELECT origin, dest, LEAST(COUNT(*), 11) AS n_paths, MIN(len(path)) - 1 AS hops FROM paths GROUP BY ALL",
     "path_components": _PARTS + "SELECT origin, dest, path_text, ROUND(ivt_min, 6) AS ivt_min, ROUND(wait_min, 6) AS wait_min, ROUND(walk_min, 6) AS walk_min, n_transfers FROM parts",
     "path_size": a.with_(a.GRID, a.WALKS, a.LINKS, a.SIZES) + "SELECT origin, dest, path_text, ROUND(path_size, 6) AS path_size FROM sizes",
     "path_utility": _CHOSEN + "SELECT origin, dest, path_text, ROUND(utility, 6) AS utility FROM choices",
@@ -164,7 +167,7 @@ ORACLE_SQL = {
     "generalized_time": _PARTS + "SELECT origin, dest, path_text, ROUND(ivt_min + 2 * wait_min + 2 * walk_min, 6) AS generalized_min FROM parts",
     "synthetic_trips": _SIMULATED + "SELECT CONCAT_WS('_', origin, dest, draw) AS trip_id, origin, dest, path_text AS chosen_path, n_stops, n_transfers, choice_set_size, total_trips AS od_total_trips FROM trips",
     "gumbel_choice": _CHOSEN + f""", shocked AS (SELECT origin, dest, obs_id, path_text, utility - LN(-LN({a.uniform("obs_id", "path_text", "42")})) AS total
-  FROM choices, range(0, {OBSERVATIONS}) t(obs_id) WHERE origin = '0' AND dest = '12')
+  FROM choices, range(0, {OBSERVATIONS}) t(obs_id))
 SELECT origin, dest, obs_id, ARG_MAX(path_text, total) AS chosen_path, COUNT(*) AS choice_set_size FROM shocked GROUP BY ALL""",
     "train_test_split": f"""WITH r AS (SELECT o_orderkey, o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY {a.uniform("o_orderkey", "42")}, o_orderkey) AS at_ FROM orders)
 SELECT o_orderkey, o_custkey, at_ <= CASE WHEN n >= 2 THEN GREATEST(1, round_even(n * 0.2::DOUBLE, 0)) ELSE 0 END AS is_test FROM r""",
@@ -173,7 +176,7 @@ SELECT o_orderkey, o_custkey, at_ <= CASE WHEN n >= 2 THEN GREATEST(1, round_eve
     "attribute_summary": _CHOSEN + " UNION ALL ".join(map(_Q, ATTRIBUTES)),
     "attribute_corr": _CHOSEN + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, ROUND(CORR({x}, {y}), 6) AS r FROM choices" for x in ATTRIBUTES for y in ATTRIBUTES),
     "transfer_distribution": _CHOSEN + "SELECT n_transfers, COUNT(*) AS n FROM choices GROUP BY ALL",
-    "parameter_bias": "SELECT name, t AS true, f AS fitted, ROUND(f - t, 6) AS bias, CASE WHEN t <> 0 THEN ROUND(100 * (f - t) / ABS(t), 4) END AS pct_bias FROM (VALUES "
+    "parameter_bias": "SELECT name, t AS true, f AS fitted, ROUND(f - t, 6) AS bias, CASE WHEN t <> 0 THEN ROUND(100 * (f - t) / t, 4) END AS pct_bias FROM (VALUES "
     + ", ".join(f"('{n}', {f}::DOUBLE, {t}::DOUBLE)" for n, f, t in PARAMETERS) + ") v(name, f, t)",
     "model_comparison": "SELECT metric, MAX(value) FILTER (model = 'eps') AS eps, MAX(value) FILTER (model = 'nrl') AS nrl, MAX(value) FILTER (model = 'true') AS true FROM (VALUES "
     + ", ".join(f"('{m}', '{k}', {v}::DOUBLE)" for m, k, v in METRICS) + ") v(metric, model, value) GROUP BY metric",

@@ -78,7 +78,47 @@ def test_simple_paths_bound(spark, toy):
     assert graph.simple_paths(toy[0], pair, max_paths=2).count() == 2
     with pytest.raises(Exception, match="more than 1 simple paths"):
         graph.simple_paths(toy[0], pair, max_paths=1).collect()
-    assert tuple(graph.richest_pair(graph.simple_paths(toy[0])).first()) == ("A", "D", 2, 2)
+    assert tuple(graph.richest_pair(graph.path_counts(toy[0])).first()) == ("A", "D", 2, 2)
+    assert {r["n_paths"] for r in graph.path_counts(toy[0], max_paths=1).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_walks_are_all_simple_paths(seed):
+    rng = random.Random(seed)
+    nodes = "abcdefg"
+    adj = {a: [(b, float(rng.randint(1, 9))) for b in nodes if b != a and rng.random() < 0.4] for a in nodes}
+    back = graph.reversed_graph(adj)
+    for o, d in itertools.permutations(nodes, 2):
+        want = brute_paths(adj, o, d)
+        assert sorted(graph.walks(adj, back, o, d)) == want
+        for most in (1, 3):
+            assert sorted(graph.walks(adj, back, o, d, most)) == [x for x in want if len(x[1]) <= most + 1]
+
+
+def lattice(spark, rows, columns, extra=()):
+    """Both directions of a grid's links, and of more."""
+    links = [((r, c), (r + dr, c + dc)) for r in range(rows) for c in range(columns) for dr, dc in ((0, 1), (1, 0)) if r + dr < rows and c + dc < columns]
+    links = [(f"{a}", f"{b}") for a, b in links] + list(extra)
+    return spark.createDataFrame([(a, b, "R", 60.0 + k % 7, "transit") for k, link in enumerate(links) for a, b in (link, link[::-1])], EDGES)
+
+
+def test_enumeration_ends_at_the_destination(spark):
+    """One path only, whatever lies behind its end; and a pair of far too many paths is given up after as many as asked for."""
+    edges = lattice(spark, 5, 6, [("A", "B"), ("B", "(0, 0)")])
+    pair = spark.createDataFrame([("A", "B")], "origin string, dest string")
+    assert [r["path"] for r in graph.simple_paths(edges, pair, max_paths=500).collect()] == [["A", "B"]]
+    far = spark.createDataFrame([("A", "(4, 5)")], "origin string, dest string")
+    assert tuple(graph.path_counts(edges, far, 500).first()) == ("A", "(4, 5)", 501, 11)
+    with pytest.raises(Exception, match="more than 500 simple paths"):
+        graph.simple_paths(edges, far, max_paths=500).collect()
+    best = graph.richest_pair(graph.path_counts(lattice(spark, 2, 20), max_paths=40), 2, 40).first()  # all pairs of forty nodes
+    assert 2 <= best["n_paths"] <= 40
+
+
+def test_min_plus_settles_on_a_long_line(spark):
+    edges = spark.createDataFrame([(str(k), str(k + 1), "R", 1.0 + k * 1e-9, "transit") for k in range(150)], EDGES)
+    got = {(r["origin"], r["dest"]): r["seconds"] for r in graph.min_plus_times(edges).collect()}
+    assert len(got) == 151 * 152 // 2 and got["0", "150"] == pytest.approx(sum(1.0 + k * 1e-9 for k in range(150)), abs=1e-9)
 
 
 def test_log_q_sums_to_one(spark, toy):
@@ -94,13 +134,13 @@ def test_sampling(spark, toy):
     edges, headways = toy
     times = graph.all_pairs(edges).select("origin", "dest", "seconds")
     obs = spark.createDataFrame([(k, "A", "D", ["A", "C", "D"]) for k in range(8)], "obs_id bigint, origin string, dest string, path array<string>")
-    sets = eps.sampled_sets(obs, edges, times, draws=30)
-    again = eps.sampled_sets(obs.repartition(3), edges, times, draws=30)
+    sets = eps.sampled_sets(obs, edges, draws=30)
+    again = eps.sampled_sets(obs.repartition(3), edges, draws=30)
     key = lambda df: sorted((r["obs_id"], "|".join(r["path"]), r["n_sampled"]) for r in df.collect())
     assert key(sets) == key(again)
     assert all(r["path"][0] == "A" and r["path"][-1] == "D" for r in sets.collect())
     assert sets.agg(F.sum("n_sampled")).first()[0] == 240
-    assert eps.sampled_sets(obs, edges, times, draws=5, max_steps=2).count() == 0  # two steps end before arrival is tested
+    assert eps.sampled_sets(obs, edges, draws=5, max_steps=2).count() == 0  # two steps end before arrival is tested
     weights = eps.link_weights(edges, times)
     full = eps.with_observed(sets.filter("array_contains(path, 'B')"), obs, weights)
     forced = full.filter("array_contains(path, 'C')").collect()
@@ -143,6 +183,43 @@ def test_recovery_of_a_logit(spark):
     assert 0.3 < eps.hit_rate(table, true).first()[0] <= 1
 
 
+def test_a_likelihood_on_executors_is_the_drivers(spark, toy):
+    rng = np.random.default_rng(0)
+    rows = [(obs, str(k), k == obs % 3, *map(float, rng.uniform(1, 9, 3)), int(rng.integers(0, 3)), float(rng.uniform(0.2, 1)), 0.1) for obs in range(30) for k in range(3)]
+    schema = "obs_id bigint, path_text string, chosen boolean, ivt_min double, wait_min double, walk_min double, n_transfers bigint, expanded_path_size double, sampling_correction double"
+    table = spark.createDataFrame(rows, schema)
+    x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
+    assert eps.objective(table, 10)(x) == pytest.approx(eps.objective(table)(x), rel=1e-9)
+    with pytest.raises(ValueError, match="no observation"):
+        eps.fit(table.limit(0))
+    with pytest.raises(ValueError, match="no observation"):
+        eps.fit(table.filter("path_text = '0'"))
+    edges, headways = toy
+    counted = spark.createDataFrame([(["A", "B", "D"], 3), (["A", "C", "D"], 2), (["A", "B"], 4)], "path array<string>, n bigint")
+    lines = nrl.line_graph(edges, headways)
+    here, there = (nrl.Likelihood(lines, edges, counted, most) for most in (10, 1))
+    assert here.n == there.n == 9 and there(nrl.Parameters()) == pytest.approx(here(nrl.Parameters()), rel=1e-12)
+    with pytest.raises(ValueError, match="no trips"):
+        nrl.fit(counted.select("path").limit(0), edges, headways)
+    assert nrl.held_out_log_likelihood(counted.select("path").limit(0), edges, headways, nrl.Parameters().__dict__) is None
+
+
+def test_the_warm_sample_ignores_partitions(spark, toy, monkeypatch):
+    edges, headways = toy
+    trips = spark.createDataFrame([(["A", "B", "D"],)] * 45 + [(["A", "C", "D"],)] * 35, "path array<string>")
+    seen = []
+    monkeypatch.setattr(nrl, "Likelihood", type("Kept", (), {"__init__": lambda self, lines, edges, counted: seen.append(sorted(map(str, counted.collect()))), "__call__": lambda self, p: -p.ivt**2, "n": 80}))
+    for n in (1, 5):
+        nrl.fit(trips.repartition(n), edges, headways)
+    assert len(seen) == 4 and seen[:2] == seen[2:]
+
+
+def test_bias_of_negative_values(spark):
+    table = lambda rows: spark.createDataFrame(rows, "name string, value double")
+    r = metrics.parameter_bias(table([("a", -0.4), ("b", 1.0)]), table([("a", -0.5), ("b", 0.0)])).orderBy("name").collect()
+    assert r[0]["bias"] == pytest.approx(0.1) and r[0]["pct_bias"] == pytest.approx(-20) and r[1]["pct_bias"] is None
+
+
 def test_hit_rate_ties_take_the_first_path(spark):
     rows = [(obs, path, path == own, 1.0, 1.0, 1.0, 0, 1.0, 0.0) for obs, own in ((0, "A|B"), (1, "A|C|B")) for path in ("A|C|B", "A|B")]
     schema = "obs_id bigint, path_text string, chosen boolean, ivt_min double, wait_min double, walk_min double, n_transfers bigint, expanded_path_size double, sampling_correction double"

@@ -28,7 +28,7 @@ def test_draw_sweep_is_whole(spark):
     rows = [r.asDict() for r in QUERIES["draw_sweep"](spark, "/root/testdata/sf0.001").collect()]
     assert [r["draws"] for r in rows] == [10, 20, 40, 80]
     for r in rows:
-        assert 0 < r["n_obs"] <= 32 and r["test_log_likelihood"] < 0 and r["mean_set_size"] <= r["mean_choice_set_size"]
+        assert 0 < r["n_obs"] <= 1200 and r["test_log_likelihood"] < 0 and r["mean_set_size"] <= r["mean_choice_set_size"]
         for name, true in (("ivt", 0.025), ("wait", 0.05), ("walk", 0.035), ("transfer", 0.4), ("pathsize", 1.0)):
             assert abs(r[f"bias_{name}"] - (r[name] - true)) < 1e-12
             assert r[f"z_{name}"] is None or r[f"z_{name}"] == r[f"z_{name}"]
