@@ -25,15 +25,15 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 BAD_PAGE = "CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END"
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, text: str = "text") -> DataFrame:
+    """``docs`` with score and predicted; the model learns from the whole documents table."""
     model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=20_000, words_too=True)
-    return quality_classifier.score(spread(docs), model, threshold=0.3)
+    return quality_classifier.score(spread(docs), model, text, threshold=0.3)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality_scores(spark, docs, sf_dir)
-    return scored.select("doc_id", (quality_classifier.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return scored(spark, docs, sf_dir).select("doc_id", (quality_classifier.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +63,8 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY)
 
 
-def pseudonymised(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return pseudonyms.pseudonymise(docs, pii_key(spark))
-
-
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_pseudonyms")
 
 
 def leaks(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """The Jaccard join, its parts and the pipeline."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from routelab.llm import jaccard_join, queries
 from routelab.llm.components import connected_components
@@ -216,7 +218,21 @@ def test_pipeline_odd_rows(spark, odd, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    assert p.run(spark, str(tmp_path)).count() >= 0
+    rows = p.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} <= {None, 1, 2, 4, 5, 6, 7} and len({r["doc_id"] for r in rows}) == len(rows)
+    clean = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in p.STAGES[1:4]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name  # columns of clashing names pass through
+        kept = sorted(str(r["doc_id"]) for r in out.collect())
+        assert kept == sorted(["1", "2", "4", "5", "6", "7", "None"] + ["5"] * (name != "n-gram Jaccard join")), name
+    empties = {r["doc_id"]: r for r in p.token_ids(spark, clean, str(tmp_path)).collect() if r["doc_id"] in (1, 2)}
+    assert all(r["n_tokens"] == 0 and r["ids_sha256"] == hashlib.sha256(b"").hexdigest() == r["decoded_sha256"] for r in empties.values())
+    scores = {r["doc_id"]: r["predicted"] for r in queries.scored(spark, clean, str(tmp_path)).collect()}
+    assert {r["doc_id"] for r in p.good_quality(spark, clean, str(tmp_path)).collect()} == {i for i, s in scores.items() if s == 1}
+    clash = clean.withColumns({"score": F.lit("own"), "predicted": F.lit("own"), "n_pseudonyms": F.lit("own")})
+    for stage in (p.good_quality, p.without_personal_data):
+        assert all(r["score"] == r["predicted"] == r["n_pseudonyms"] == "own" for r in stage(spark, clash, str(tmp_path)).collect())
     empty = odd.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
