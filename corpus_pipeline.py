@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality classifier, near duplicates, benchmark decontamination, personal data, token ids."""
+"""Corpus pipeline: quality classifier, near duplicates, benchmark decontamination, personal data, token ids.
+
+Every stage takes and gives whole tables. For all of them: null and empty texts, texts of any length, nulls in any column, repeated
+rows and empty tables are allowed; columns beside those of ``documents``, whatever their names, pass through all stages but the last.
+What each case gives is stated at the stage; the operators' modules say more.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +12,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.llm import decontamination, jaccard_join
+from routelab.llm import decontamination, jaccard_join, pseudonyms
 from routelab.llm import queries as q
 from routelab.llm.common import spread, staged, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return q.quality_scores(spark, docs, sf_dir).filter("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier accepts.
+
+    The model learns from the whole ``documents`` table's labelled rows, not from ``docs``. A null or empty text has the score of the
+    bias alone and stays or goes by it; repeated rows share their score; a score at the threshold is accepted.
+    """
+    numbered = [f"c{k}" for k in range(len(docs.columns))]  # no name of the table's own can clash with a score's
+    scored = q.scored(spark, docs.toDF(*numbered), sf_dir, numbered[docs.columns.index("text")])
+    return scored.filter("predicted = 1").select(numbered).toDF(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word shingle sets with a similarity of 0.8 or more."""
+    """One document of each class of five-word shingle sets with a similarity of 0.8 or more: that of the least id.
+
+    A null or empty text is like no other and stays; so does every row of null id, which is never compared. Rows that repeat an id
+    are one document, of which the row of least hash over all columns stays.
+    """
     return jaccard_join.one_of_each_class(docs, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage, within a tenth of the passage's characters as edits.
+
+    A null or empty text holds none and stays; items without word characters match nothing; repeated rows and rows of null id are
+    judged like others. An empty benchmark lets everything pass.
+    """
     return decontamination.without_items(spread(docs), table(spark, sf_dir, "benchmark"), q.EDITS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; n_chars follows texts that changed."""
-    hidden = q.pseudonymised(spark, docs)
-    return hidden.withColumn("n_chars", F.when(F.col("n_pseudonyms") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Personal data replaced by pseudonyms; n_chars follows texts that changed.
+
+    Null and empty texts, and texts without personal data, stay as they are, with their n_chars, null or wrong as it may be. Rows
+    that repeat get the same text.
+    """
+    count = pseudonyms.fresh_name(docs, "n_pseudonyms")
+    hidden = pseudonyms.pseudonymise(docs, q.pii_key(spark), count=count)
+    return hidden.withColumn("n_chars", F.when(F.col(count) > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and of their decoded bytes."""
+    """doc_id, n_tokens and digests of each document's ids and of their decoded bytes.
+
+    A null or empty text has no tokens and the digests of no bytes; repeated rows stay repeated; a null id stays null.
+    """
     return q.token_digests(docs)
 
 
