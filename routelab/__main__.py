@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from routelab.city import compare_sweeps, diagnose_city, run_city
+from routelab.city import compare_runtimes, compare_sweeps, diagnose_city, run_city
 from routelab.config import CITIES
 
 
@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "diagnose" and args.city == "both" and (args.origin or args.dest):
         p.error("--origin and --dest need one --city")
     spark = SparkSession.builder.appName("routelab").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    sweeps = {}
+    sweeps, runtimes = {}, {}
     for city in CITIES if args.city == "both" else [args.city]:
         if args.command == "run":
             table = run_city(spark, city, args.raw, args.out, args.skip_models, args.model, args.eps_draws)
@@ -49,8 +49,11 @@ def main(argv: list[str] | None = None) -> None:
             for key, df in found.items():
                 print(key)
                 df.show(50, truncate=False)
+            runtimes[city] = found["runtimes"]
             if "sweep" in found:
                 sweeps[city] = found["sweep"]
+    if runtimes:
+        compare_runtimes(runtimes, args.out).show(truncate=False)
     if len(sweeps) > 1:
         compare_sweeps(sweeps, args.out).show(50, truncate=False)
 

@@ -6,9 +6,10 @@ files. Tables go to ``out/<city>`` as Parquet, reports as CSV, fits as JSON line
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelab.config import CITIES, SETTINGS, TRUE_BETAS, Betas, City
@@ -98,6 +99,20 @@ def _bias(spark: SparkSession, fit: dict) -> DataFrame:
     return metrics.parameter_bias(values(fit["betas"]), values(asdict(TRUE_BETAS)))
 
 
+def recovery(spark: SparkSession, fit: dict) -> DataFrame:
+    """The bias table with se, z and pval of each parameter, null where the fit has none."""
+    rows = [(name, *(x if x is not None and math.isfinite(x) else None for x in (fit.get(k, {}).get(name) for k in ("se", "z", "pval")))) for name in fit["betas"]]
+    return _bias(spark, fit).join(spark.createDataFrame(rows, "name string, se double, z double, pval double"), "name")
+
+
+def bus_precedence(city: City) -> Column:
+    """Of parallel edges those of a bus route go before others, and of bus routes the one configured last."""
+    order = F.lit(0)
+    for at, route in enumerate(city.bus_routes, 1):
+        order = F.when(F.col("route_id") == f"BUS_{route.name}", at).otherwise(order)
+    return order
+
+
 def observations(trips: DataFrame) -> DataFrame:
     """Trips as the models take them: obs_id, origin, dest and path."""
     return trips.select(F.xxhash64("trip_id").alias("obs_id"), *PAIR, path_nodes("chosen_path").alias("path"))
@@ -127,7 +142,7 @@ def run_city(spark: SparkSession, name: str, raw: str, out: str, skip_models: bo
     """Network, demand, headways, simulated trips, map features and, unless skipped, both models; the comparison."""
     out = f"{out}/{name}"
     stations, edges, headways = build_network(spark, name, raw)
-    one = staged(network.graph_edges(edges), "graph")
+    one = staged(network.graph_edges(edges, bus_precedence(CITIES[name])), "graph")
     times = staged(graph.all_pairs(one), "times")
     with_demand, od = load_demand(spark, name, raw, stations, times)
     od = staged(od, "od")
@@ -151,9 +166,12 @@ def diagnose_city(
     spark: SparkSession, name: str, out: str, origin: str | None = None, dest: str | None = None, n_observations: int = 3000, max_paths: int = 500,
     skip_sweep: bool = False, skip_nrl: bool = False, nrl_sample: int = 60, nrl_se: bool = False, draws: int = 50,
 ) -> dict[str, DataFrame]:
-    """Both models on one pair's universal choice set, over the tables of an earlier run: attributes, recovery, sweep, held-out fit and runtimes."""
+    """Both models on one pair's universal choice set, over the tables of an earlier run: attributes, recovery, sweep, held-out fit and runtimes.
+
+    Attributes are those of the paths that were chosen at least once, path size among them.
+    """
     folder, timer, found = f"{out}/{name}", metrics.Timer(), {}
-    edges, headways = staged(network.graph_edges(spark.read.parquet(f"{folder}/supernetwork_edges")), "graph"), spark.read.parquet(f"{folder}/route_headways")
+    edges, headways = staged(network.graph_edges(spark.read.parquet(f"{folder}/supernetwork_edges"), bus_precedence(CITIES[name])), "graph"), spark.read.parquet(f"{folder}/route_headways")
     if origin is None or dest is None:
         best = graph.richest_pair(graph.path_counts(edges, None, max_paths), 2, max_paths).first()
         if best is None:
@@ -163,15 +181,16 @@ def diagnose_city(
     choices = staged(paths.choice_table(graph.simple_paths(edges, pair, max_paths=max_paths), edges, headways, PAIR, TRUE_BETAS), "choices")
     trips = staged(simulate.universal_trips(choices, n_observations, SETTINGS.seed), "trips")
     chosen = choices.join(trips.select(F.col("chosen_path").alias("path_text")).distinct(), "path_text", "left_semi")
-    columns = ["ivt_min", "wait_min", "walk_min", "n_transfers"]
+    columns = ["ivt_min", "wait_min", "walk_min", "n_transfers", "path_size"]
+    found["choice_set"] = choices.agg(F.count("*").alias("universal")).crossJoin(chosen.agg(F.count("*").alias("chosen")))  # a row and a row
     found |= {"attributes": metrics.describe(chosen, columns), "correlations": metrics.correlations(chosen, columns), "transfers": metrics.value_counts(chosen, "n_transfers")}
 
     split = simulate.train_test_split(trips, PAIR, "obs_id", SETTINGS.test_fraction, SETTINGS.seed)
     rows = split.select("obs_id", *PAIR, path_nodes("chosen_path").alias("path"), "choice_set_size", "is_test")
     train, test = staged(rows.filter("not is_test"), "train"), staged(rows.filter("is_test"), "test")
-    fit = timer.run("eps train", lambda: eps.fit(staged(eps.estimation_data(train, edges, headways, draws), "estimation")))
+    fit = timer.run("eps train", lambda: eps.fit(staged(eps.estimation_data(train, edges, headways, draws), "estimation"), errors=True))
     held_out = [("eps", timer.run("eps test", lambda: eps.log_likelihood(eps.estimation_data(test, edges, headways, draws), Betas(**fit["betas"])).first())["log_likelihood"])]
-    found["eps_recovery"] = _bias(spark, fit)
+    found["eps_recovery"] = recovery(spark, fit)
     if not skip_sweep:
         found["sweep"] = eps.draw_sweep(train, test, edges, headways, timer=timer)
     if skip_nrl:
@@ -182,14 +201,23 @@ def diagnose_city(
         small, held = sample(train), sample(test)
         own = timer.run("nrl train", lambda: nrl.fit(small, edges, headways, errors=nrl_se))
         held_out.append(("nrl", timer.run("nrl test", lambda: nrl.held_out_log_likelihood(held, edges, headways, own["betas"]))))
-        found["nrl_recovery"] = _bias(spark, own)
+        found["nrl_recovery"] = recovery(spark, own)
     found["held_out"] = spark.createDataFrame(held_out, "model string, log_likelihood double")
-    found["runtimes"] = timer.table(spark)
+    found["runtimes"] = metrics.runtimes(spark, [(name, model, timer.seconds[f"{model} train"], timer.seconds[f"{model} test"]) for model in ("eps", "nrl")])
     for key, df in found.items():
         tables.write_table(df, f"{folder}/diagnostic_{key}", "csv")
     return found
 
 
+def compare_runtimes(runtimes: dict[str, DataFrame], out: str) -> DataFrame:
+    """The cities' runtimes as one table, which is written too, with a last row of their grand total; what was skipped has none."""
+    rows = staged(_union(list(runtimes.values())), "runtimes")
+    total = rows.agg(F.lit("all").alias("city"), F.lit("all").alias("model"), *[F.sum(c).alias(c) for c in ("train_s", "test_s", "total_s")])
+    table = rows.unionByName(total)
+    tables.write_table(table, f"{out}/runtime_summary", "csv")
+    return table
+
+
 def compare_sweeps(sweeps: dict[str, DataFrame], out: str) -> DataFrame:
     """The cities' sweeps as one table (city and a sweep's columns), which is written too; their columns must agree."""
     columns = {name: df.dtypes for name, df in sweeps.items()}

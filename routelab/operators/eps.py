@@ -20,7 +20,7 @@ from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
 from routelab.operators.graph import Adjacency, adjacency, all_pairs, dijkstra, reversed_graph
 from routelab.operators.metrics import Timer
 from routelab.operators.optim import Minimum, minimise, standard_errors
-from routelab.operators.paths import exploded_links, path_components
+from routelab.operators.paths import exploded_links, path_components, with_softmax
 from routelab.shipping import ship
 from routelab.staging import staged
 
@@ -189,10 +189,7 @@ def corrected_utility(betas: Betas):
 
 
 def with_probabilities(table: DataFrame, betas: Betas) -> DataFrame:
-    w = Window.partitionBy("obs_id")
-    rows = table.withColumn("utility", corrected_utility(betas))
-    rows = rows.withColumn("e", F.exp(F.col("utility") - F.max("utility").over(w)))
-    return rows.withColumn("probability", F.col("e") / F.sum("e").over(w)).drop("e")
+    return with_softmax(table.withColumn("utility", corrected_utility(betas)), "utility", ["obs_id"])
 
 
 def with_alternatives(table: DataFrame, least: int = 2) -> DataFrame:

@@ -60,7 +60,7 @@ def canonical_trips(trips: DataFrame, stop_times: DataFrame, routes: DataFrame,
     ``routes`` has route_id, headsign and service_id; a null headsign or service filters nothing. A route's own service goes before
     ``service_filter``.
     """
-    wanted = trips.join(F.broadcast(routes.select("route_id", "headsign", F.col("service_id").alias("own_service"))), "route_id")
+    wanted = trips.join(routes.select("route_id", "headsign", F.col("service_id").alias("own_service")), "route_id")
     service = F.coalesce("own_service", F.lit(service_filter))
     chosen = wanted.filter((F.col("headsign").isNull() | (F.col("trip_headsign") == F.col("headsign"))) & (service.isNull() | (F.col("service_id") == service)))
     patterns = pattern_of_routes(chosen, stop_times, F.col("route_id").isin(longest or []))
@@ -71,7 +71,7 @@ def canonical_trips(trips: DataFrame, stop_times: DataFrame, routes: DataFrame,
 
 def reference_stops(trips: DataFrame, stop_times: DataFrame, routes: DataFrame) -> DataFrame:
     """route_id and the commonest first stop (sequence 1) of its trips with the route's headsign; none without a headsign."""
-    own = trips.join(F.broadcast(routes.filter("headsign is not null").select("route_id", "headsign")), "route_id").filter("trip_headsign = headsign")
+    own = trips.join(routes.filter("headsign is not null").select("route_id", "headsign"), "route_id").filter("trip_headsign = headsign")
     first = stop_times.filter("stop_sequence = 1").join(own.select("trip_id", "route_id"), "trip_id")
     return most_frequent(first, ["route_id"], "stop_id")
 
@@ -94,9 +94,9 @@ def median_gap_minutes(departures: DataFrame, keys: list[str], second: str, max_
 def route_headways(trips: DataFrame, stop_times: DataFrame, routes: DataFrame, max_gap_sec: float = 3600.0) -> DataFrame:
     """route_id and the median headway at its reference stop, of its service where it has one."""
     stops = reference_stops(trips, stop_times, routes)
-    own = trips.join(F.broadcast(routes.select("route_id", "headsign", F.col("service_id").alias("own"))), "route_id")
+    own = trips.join(routes.select("route_id", "headsign", F.col("service_id").alias("own")), "route_id")
     own = own.filter("trip_headsign = headsign and (own is null or service_id = own)").select("trip_id", "route_id")
-    calls = stop_times.join(own, "trip_id").join(F.broadcast(stops), ["route_id", "stop_id"])
+    calls = stop_times.join(own, "trip_id").join(stops, ["route_id", "stop_id"])
     return median_gap_minutes(calls.withColumn("second", gtfs_seconds("departure_time")), ["route_id"], "second", max_gap_sec)
 
 

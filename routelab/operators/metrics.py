@@ -53,6 +53,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def runtimes(spark: SparkSession, rows: list[tuple[str, str, float | None, float | None]]) -> DataFrame:
+    """city, model, train_s, test_s and total_s of (city, model, train, test); nulls where a model was skipped."""
+    full = [(city, model, train, test, None if train is None and test is None else (train or 0.0) + (test or 0.0)) for city, model, train, test in rows]
+    return spark.createDataFrame(full, "city string, model string, train_s double, test_s double, total_s double")
+
+
 class Timer:
     """Wall-clock seconds of named steps; steps that were skipped have none."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.config import BusRoute
-from routelab.functions.scalar import TRANSFER, TRANSIT, WALK, gtfs_seconds, haversine_m, walk_seconds
+from routelab.functions.scalar import TRANSFER, TRANSIT, WALK, gtfs_seconds, haversine_m, pair_ends, prefixed, walk_seconds
 from routelab.operators.gtfs import headway_table, median_gap_minutes, pattern_of_routes, signatures
 from routelab.sources.tables import trip_stop_times
 
@@ -31,7 +31,8 @@ def mirrored(edges: DataFrame) -> DataFrame:
 def transit_edges(calls: DataFrame, order: list[str]) -> DataFrame:
     """Both directions of each link, at the mean of its directions' mean times."""
     directed = legs(calls, order).filter("from_stop <> to_stop").groupBy("from_stop", "to_stop", "route_id").agg(F.avg("secs").alias("secs"))
-    pairs = directed.groupBy(F.least("from_stop", "to_stop").alias("a"), F.greatest("from_stop", "to_stop").alias("b"), "route_id").agg(F.avg("secs").alias("duration"))
+    a, b = pair_ends("from_stop", "to_stop")
+    pairs = directed.groupBy(a.alias("a"), b.alias("b"), "route_id").agg(F.avg("secs").alias("duration"))
     return mirrored(pairs.select(F.col("a").alias("from_stop"), F.col("b").alias("to_stop"), "route_id", "duration", F.lit(TRANSIT).alias("link_type")))
 
 
@@ -71,7 +72,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, same: bool =
 def walking_transfers(stations: DataFrame, edges: DataFrame, max_m: float = 500.0, speed: float = 1.2) -> DataFrame:
     """Walking edges, both ways, between near stations that have no edge of any kind in either direction."""
     points = stations.select(F.col("station_id").alias("id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
-    linked = edges.select(F.least("from_stop", "to_stop").alias("a"), F.greatest("from_stop", "to_stop").alias("b")).distinct()
+    a, b = pair_ends("from_stop", "to_stop")
+    linked = edges.select(a.alias("a"), b.alias("b")).distinct()
     free = near_pairs(points, points, max_m, same=True).join(linked, ["a", "b"], "left_anti")
     return mirrored(free.select(F.col("a").alias("from_stop"), F.col("b").alias("to_stop"), F.lit(WALK).alias("route_id"), walk_seconds(F.col("metres"), speed).alias("duration"), F.lit(TRANSFER).alias("link_type")))
 
@@ -122,7 +124,7 @@ def bus_edges(pattern: DataFrame, times: DataFrame, route_id: str) -> DataFrame:
     w = Window.partitionBy(F.lit(1)).orderBy("at")
     pairs = pattern.select(F.col("stop_id").alias("from_stop"), F.lead("stop_id").over(w).alias("to_stop")).filter("to_stop is not null")
     timed = pairs.join(times, ["from_stop", "to_stop"]).filter("duration is not null")
-    bus = lambda c: F.concat(F.lit("BUS_"), F.col(c)).alias(c)
+    bus = lambda c: prefixed("BUS_", c).alias(c)
     return mirrored(timed.select(bus("from_stop"), bus("to_stop"), F.lit(f"BUS_{route_id}").alias("route_id"), "duration", F.lit(TRANSIT).alias("link_type")))
 
 

@@ -90,23 +90,34 @@ class LineGraph:
         mu = np.where(self.kind == "start", 1.0, np.where(self.kind == TRANSFER, scale(p.scale_transfer), regular))
         return -(self.x @ np.array([p.ivt, p.wait, p.walk, p.transfer])), mu
 
-    def values(self, dest: str, u: np.ndarray, mu: np.ndarray, max_iter: int = 300, tol: float = 1e-3) -> tuple[np.ndarray, bool, int]:
-        """Values of all links towards ``dest`` by synchronous iteration, whether they settled, and the iterations."""
-        end = self.heads == dest
-        v = np.where(end, 0.0, -10.0)
+    def values(self, dests: list[str], u: np.ndarray, mu: np.ndarray, max_iter: int = 300, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of values of all links for each destination, by synchronous iteration until its own row settles; whether it did, and the iterations."""
+        end = self.heads[None, :] == np.array(dests, object)[:, None]
+        out = np.where(end, 0.0, -10.0)
+        settled, used = np.zeros(len(dests), bool), np.full(len(dests), max_iter)
         group, m = np.searchsorted(self.live, self.k), mu[self.starts] if len(self.starts) else mu
+        open_ = np.arange(len(dests))
         for at in range(max_iter):
-            new = np.where(end, 0.0, -1e6)
+            v, ends = out[open_], end[open_]
+            new = np.where(ends, 0.0, -1e6)
             if len(self.live):
-                t = (u + v[self.a]) / mu
-                top = np.maximum.reduceat(t, self.starts)
-                s = m * (top + np.log(np.add.reduceat(np.exp(t - top[group]), self.starts)))
-                new[self.live] = np.where(end[self.live], 0.0, s)
-            moved = np.abs(new - v)[~end].max() if (~end).any() else 0.0
-            v = new
-            if moved < tol:
-                return v, True, at + 1
-        return v, False, max_iter
+                t = (u + v[:, self.a]) / mu
+                top = np.maximum.reduceat(t, self.starts, axis=1)
+                s = m * (top + np.log(np.add.reduceat(np.exp(t - top[:, group]), self.starts, axis=1)))
+                new[:, self.live] = np.where(ends[:, self.live], 0.0, s)
+            moved = np.abs(new - v).max(axis=1, initial=0.0, where=~ends)
+            out[open_] = new
+            done = moved < tol
+            settled[open_[done]], used[open_[done]] = True, at + 1
+            open_ = open_[~done]
+            if not len(open_):
+                break
+        return out, settled, used
+
+    def chunks(self, dests: list[str], cells: int = 4_000_000) -> list[list[str]]:
+        """Destinations that are solved together: as many as keep a table of them by transitions below ``cells``."""
+        n = max(1, cells // max(1, len(self.k)))
+        return [dests[at : at + n] for at in range(0, len(dests), n)]
 
 
 def _arrays(lines: DataFrame, edges: DataFrame) -> LineGraph:
@@ -127,9 +138,9 @@ def value_table(lines: DataFrame, edges: DataFrame, dests: DataFrame, p: Paramet
         graph = shared.value
         utility, mu = graph.set(p)
         for batch in batches:
-            for dest in batch["dest"]:
-                v, ok, n = graph.values(dest, utility, mu, max_iter, tol)
-                yield pd.DataFrame({"dest": dest, "u": [a for a, _ in graph.links], "v": [b for _, b in graph.links], "value": v, "converged": ok, "iterations": n})
+            for some in graph.chunks(batch["dest"].tolist()):
+                for dest, v, ok, n in zip(some, *graph.values(some, utility, mu, max_iter, tol)):
+                    yield pd.DataFrame({"dest": dest, "u": [a for a, _ in graph.links], "v": [b for _, b in graph.links], "value": v, "converged": ok, "iterations": n})
 
     return dests.select("dest").distinct().mapInPandas(run, "dest string, u string, v string, value double, converged boolean, iterations bigint")
 
@@ -176,28 +187,29 @@ class Likelihood:
         return float(self.table.select("path", "n").mapInPandas(run, "part double").agg(F.sum("part")).first()[0])
 
 
-def grouped_moves(graph: LineGraph, counted: Iterable[tuple[list[str], int]]) -> dict[str, list[tuple[int, np.ndarray]]]:
-    """By destination: how often each path is taken, and its transitions' numbers."""
-    out: dict[str, list[tuple[int, np.ndarray]]] = {}
+def grouped_moves(graph: LineGraph, counted: Iterable[tuple[list[str], int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By destination: the transitions that paths take, and how often each is taken."""
+    taken: dict[str, dict[int, int]] = {}
     for path, n in counted:
-        links = [(START, path[0]), *zip(path, path[1:])]
-        ks = [graph.index[tuple(x)] for x in links]
-        out.setdefault(path[-1], []).append((n, np.array([graph.moves[a, b] for a, b in zip(ks, ks[1:])], np.int64)))
-    return out
+        ks = [graph.index[link] for link in ((START, path[0]), *zip(path, path[1:]))]
+        own = taken.setdefault(path[-1], {})
+        for move in zip(ks, ks[1:]):
+            at = graph.moves[move]
+            own[at] = own.get(at, 0) + n
+    return {dest: (np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), float, len(own))) for dest, own in taken.items()}
 
 
-def summed_log_probability(graph: LineGraph, by_dest: dict[str, list[tuple[int, np.ndarray]]], p: Parameters) -> float:
+def summed_log_probability(graph: LineGraph, by_dest: dict[str, tuple[np.ndarray, np.ndarray]], p: Parameters) -> float:
     """Of all paths; UNSETTLED where a destination has no values, as costs are too small for the sum over all walks to settle."""
     utility, mu = graph.set(p)
     total = 0.0
-    for dest, paths in by_dest.items():
-        v, settled, n = graph.values(dest, utility, mu)
-        if not settled:
-            v, settled, n = graph.values(dest, utility, mu, max_iter=10 * n)
-        if not settled:
+    for some in graph.chunks(list(by_dest)):
+        values, settled, _ = graph.values(some, utility, mu)
+        if not settled.all():
             return UNSETTLED
-        step = (utility + v[graph.a] - v[graph.k]) / mu
-        total += sum(n * step[moves].sum() for n, moves in paths)
+        for dest, v in zip(some, values):
+            moves, n = by_dest[dest]
+            total += n @ ((utility[moves] + v[graph.a[moves]] - v[graph.k[moves]]) / mu[moves])
     return float(total)
 
 

@@ -57,15 +57,14 @@ def utility(betas: Betas, size: str = "path_size") -> Column:
     return F.lit(betas.pathsize) * F.ln(F.greatest(F.col(size), F.lit(1e-9))) - cost
 
 
-def softmax(value: Column, keys: list[str]) -> Column:
+def with_softmax(df: DataFrame, value: str, keys: list[str], name: str = "probability") -> DataFrame:
     """Choice probabilities within the sets of ``keys``, shifted by the greatest value."""
     w = Window.partitionBy(*keys)
-    e = F.exp(value - F.max(value).over(w))
-    return e / F.sum(e).over(w)
+    shifted = df.withColumn("__e", F.exp(F.col(value) - F.max(value).over(w)))
+    return shifted.withColumn(name, F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
 def choice_table(paths: DataFrame, edges: DataFrame, headways: DataFrame, keys: list[str], betas: Betas) -> DataFrame:
     """Components, path_size, utility and probability of every path of each set."""
     rows = path_components(paths, edges, headways, keys).join(path_sizes(paths, edges, keys), [*keys, "path_text"]).withColumn("utility", utility(betas))
-    e = F.exp(F.col("utility") - F.max("utility").over(Window.partitionBy(*keys)))
-    return rows.withColumn("e", e).withColumn("probability", F.col("e") / F.sum("e").over(Window.partitionBy(*keys))).drop("e")
+    return with_softmax(rows, "utility", keys)

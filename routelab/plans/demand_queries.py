@@ -38,24 +38,34 @@ def demand_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.stations_without_demand(raw, _stations(spark, sf_dir))
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def counted_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders by their customer's nation and line items by their supplier's: station_name and trips."""
     names = a.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("station_name"))
     orders = a.table(spark, sf_dir, "orders").join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     lines = a.table(spark, sf_dir, "lineitem").join(a.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    entries = orders.filter("c_nationkey % 7 <> 0").groupBy("c_nationkey").agg(F.count("*").cast("double").alias("trips")).join(names, F.col("c_nationkey") == F.col("k"))
-    exits = lines.filter("s_nationkey % 5 <> 0").groupBy("s_nationkey").agg(F.count("*").cast("double").alias("trips")).join(names, F.col("s_nationkey") == F.col("k"))
+    entries = orders.groupBy("c_nationkey").agg(F.count("*").cast("double").alias("trips")).join(names, F.col("c_nationkey") == F.col("k"))
+    exits = lines.groupBy("s_nationkey").agg(F.count("*").cast("double").alias("trips")).join(names, F.col("s_nationkey") == F.col("k"))
     return entries.select("station_name", "trips"), exits.select("station_name", "trips")
 
 
 def demand_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.ridership_demand(*_counts(spark, sf_dir), _stations(spark, sf_dir))
+    """Each table has a name that the other lacks."""
+    entries, exits = counted_ends(spark, sf_dir)
+    one = lambda name, trips: spark.sql(f"SELECT '{name}' AS station_name, {trips}D AS trips")
+    stations = _stations(spark, sf_dir).unionByName(spark.sql("SELECT * FROM VALUES ('x', 'ATLANTIS'), ('y', 'MU'), ('z', 'THULE') v(station_id, station_name)"))
+    return demand.ridership_demand(entries.unionByName(one("ATLANTIS", 3)), exits.unionByName(one("MU", 4)), stations)
 
 
-def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by customer's and supplier's nation: origin, destination (names) and trips."""
     names = a.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name"))
     trips = a.nation_trips(spark, sf_dir).groupBy("origin", "dest").agg(F.count("*").cast("double").alias("trips"))
     rows = trips.join(names.toDF("origin", "o_name"), "origin").join(names.toDF("dest", "d_name"), "dest")
-    return demand.measured_od(rows.select(F.col("o_name").alias("origin"), F.col("d_name").alias("destination"), "trips"), _stations(spark, sf_dir))
+    return rows.select(F.col("o_name").alias("origin"), F.col("d_name").alias("destination"), "trips")
+
+
+def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand.measured_od(named_pairs(spark, sf_dir), _stations(spark, sf_dir))
 
 
 def all_pairs_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +111,11 @@ clean AS (SELECT TRIM(regexp_replace(station, '\\s+', ' ', 'g')) AS name, kind,
 totals AS (SELECT name, COALESCE(SUM(x) FILTER (kind = 'Entry'), 0)::DOUBLE AS total_entries, COALESCE(SUM(x) FILTER (kind = 'Exit'), 0)::DOUBLE AS total_exits FROM clean GROUP BY name) {_TOTALS}""",
     "demand_missing": f"""WITH raw(station, kind, trip) AS (VALUES {_VALUES}) SELECT CAST(n_nationkey AS VARCHAR) AS station_id, n_name AS station_name FROM nation
 WHERE n_name NOT IN (SELECT TRIM(regexp_replace(station, '\\s+', ' ', 'g')) FROM raw)""",
-    "demand_outer": f"""WITH e AS (SELECT n_name AS name, COUNT(*)::DOUBLE AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 7 <> 0 GROUP BY ALL),
-f AS (SELECT n_name AS name, COUNT(*)::DOUBLE AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey % 5 <> 0 GROUP BY ALL),
-totals AS (SELECT name, COALESCE(x, 0)::DOUBLE AS total_entries, COALESCE(y, 0)::DOUBLE AS total_exits FROM e FULL JOIN f USING (name)) {_TOTALS}""",
+    "demand_outer": f"""WITH e AS (SELECT n_name AS name, COUNT(*)::DOUBLE AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'ATLANTIS', 3),
+f AS (SELECT n_name AS name, COUNT(*)::DOUBLE AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'MU', 4),
+totals AS (SELECT name, COALESCE(x, 0)::DOUBLE AS total_entries, COALESCE(y, 0)::DOUBLE AS total_exits FROM e FULL JOIN f USING (name))
+SELECT id AS station_id, station AS station_name, total_entries, total_exits, total_entries + total_exits AS total_demand
+FROM (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS station FROM nation UNION ALL VALUES ('x', 'ATLANTIS'), ('y', 'MU'), ('z', 'THULE')) LEFT JOIN totals ON station = name""",
     "od_matrix": f"""WITH {a.GRID} SELECT CAST(origin AS VARCHAR) AS origin_station_id, CAST(dest AS VARCHAR) AS dest_station_id, COUNT(*)::DOUBLE AS total_trips, o.n_name AS origin_station_name, d.n_name AS dest_station_name
 FROM legs_ JOIN nation o ON o.n_nationkey = origin JOIN nation d ON d.n_nationkey = dest GROUP BY ALL""",
     "all_pairs_time": a.with_(a.GRID, a.WALKS, a.TIMES) + "SELECT origin, dest, ROUND(seconds, 6) AS seconds FROM times",

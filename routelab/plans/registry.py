@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routelab.plans import demand_queries, model_queries, network_queries, path_queries
+from routelab.plans import demand_queries, feed_queries, model_queries, network_queries, path_queries
 
-MODULES = (network_queries, demand_queries, path_queries, model_queries)
+MODULES = (network_queries, feed_queries, demand_queries, path_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -81,9 +81,9 @@ def read_headways(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "route_id string, headway_min double")
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, form: str = "parquet", sep: str = ",") -> None:
     writer = df.write.mode("overwrite")
-    writer.csv(path, header=True) if form == "csv" else writer.format(form).save(path)
+    writer.csv(path, header=True, sep=sep) if form == "csv" else writer.format(form).save(path)
 
 
 def write_fit(spark: SparkSession, fit: dict, path: str) -> None:

@@ -4,6 +4,7 @@ import pytest
 
 from routelab import city, config
 from routelab.__main__ import main, parser
+from routelab.operators import metrics, network
 
 
 def seconds(s):
@@ -56,8 +57,21 @@ def test_run_and_diagnose(spark, raw, toy, tmp_path):
     assert trips.count() == spark.read.parquet(f"{tmp_path}/toy/synthetic_trips_train").count() + spark.read.parquet(f"{tmp_path}/toy/synthetic_trips_test").count()
     assert abs(trips.count() - 1800) < 40
     found = city.diagnose_city(spark, "toy", str(tmp_path), "A", "C", n_observations=60, draws=5, skip_sweep=True, nrl_sample=20)
-    assert {r["step"] for r in found["runtimes"].collect()} == {"eps train", "eps test", "nrl train", "nrl test"}
-    assert found["attributes"].count() == 4
+    runtimes = {r["model"]: r for r in found["runtimes"].collect()}
+    assert set(runtimes) == {"eps", "nrl"} and all(r["city"] == "toy" and r["total_s"] == r["train_s"] + r["test_s"] > 0 for r in runtimes.values())
+    assert {r["name"] for r in found["attributes"].collect()} == {"ivt_min", "wait_min", "walk_min", "n_transfers", "path_size"}
+    assert {"se", "z", "pval", "pct_bias"} <= set(found["eps_recovery"].columns) and found["eps_recovery"].count() == 5
+    skipped = metrics.runtimes(spark, [("other", "eps", 2.0, 1.0), ("other", "nrl", None, None)])
+    total = city.compare_runtimes({"toy": found["runtimes"], "other": skipped}, str(tmp_path)).filter("city = 'all'").first()
+    assert total["total_s"] == pytest.approx(3 + sum(r["total_s"] for r in runtimes.values()))
+    assert found["choice_set"].first()["universal"] >= found["choice_set"].first()["chosen"] > 0
+
+
+def test_buses_keep_their_order(spark):
+    rows = [("A", "B", r, float(k), "transit") for k, r in enumerate(["BUS_25-A", "BUS_252-F", "GREEN", "BUS_314-D"])] + [("B", "A", r, 1.0, "transit") for r in ("BUS_25-A", "BUS_252-F", "PURPLE")]
+    edges = spark.createDataFrame(rows, "from_stop string, to_stop string, route_id string, duration double, link_type string")
+    kept = {r["from_stop"]: r["route_id"] for r in network.graph_edges(edges, city.bus_precedence(config.CITIES["bengaluru"])).collect()}
+    assert kept == {"A": "BUS_314-D", "B": "BUS_25-A"}
 
 
 def test_diagnose_sweep_and_held_out(spark, raw, toy, tmp_path):
