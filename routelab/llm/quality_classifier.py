@@ -208,7 +208,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_: str, text
     return own.join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "y", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False, max_bytes: int = 1 << 27) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False, max_bytes: int = 1 << 25) -> Model:
     """Fit on the labelled rows outside fold 0; only their distinct feature numbers, ``max_bytes`` at most, come to the driver."""
     ship(docs.sparkSession)
 
