@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from routelab.config import TRUE_BETAS, Betas
 from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
-from routelab.operators.graph import Adjacency, adjacency, all_pairs, dijkstra, reversed_graph
+from routelab.operators.graph import Adjacency, adjacency, all_pairs, dealt, dijkstra, reversed_graph
 from routelab.operators.metrics import Timer
 from routelab.operators.optim import Minimum, minimise, standard_errors
 from routelab.operators.paths import exploded_links, path_components, with_softmax
@@ -127,7 +127,7 @@ def sampled_sets(observations: DataFrame, edges: DataFrame, draws: int = 20, max
                     rows += [(obs, origin, dest, list(p), n, q) for p, (n, q) in found.items()]
             yield pd.DataFrame(rows, columns=["obs_id", "origin", "dest", "path", "n_sampled", "log_q"])
 
-    return observations.select("obs_id", "origin", "dest").mapInPandas(run, "obs_id bigint, origin string, dest string, path array<string>, n_sampled bigint, log_q double")
+    return dealt(observations.select("obs_id", "origin", "dest")).mapInPandas(run, "obs_id bigint, origin string, dest string, path array<string>, n_sampled bigint, log_q double")
 
 
 def hashed_sets(observations: DataFrame, paths: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:

@@ -115,7 +115,8 @@ def min_plus_times(edges: DataFrame) -> DataFrame:
 
 def dealt(df: DataFrame) -> DataFrame:
     """Few rows that each take long, over all cores."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def asked_pairs(edges: DataFrame, pairs: DataFrame | None) -> DataFrame:
