@@ -255,10 +255,9 @@ def least_edits(item, text):
     return row
 
 
-def test_the_query_against_brute_force(spark, docs):
-    sf = "/root/testdata/sf0.001"
-    items = [(r["item_id"], decontamination.normal(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    texts = [(d["doc_id"], decontamination.normal(d["text"])) for d in docs.collect()]
+def brute_leaks(items, texts):
+    """(doc, item, edits) of rows (id, text): every text against every item."""
+    items, texts = ([(i, decontamination.normal(t)) for i, t in rows] for rows in (items, texts))
     apart = "\0" * (max(len(t) for _, t in items) // 10 + 2)
     starts = np.cumsum([0, *[len(t) + len(apart) for _, t in texts]])
     whole = apart.join(t for _, t in texts) + apart
@@ -269,7 +268,13 @@ def test_the_query_against_brute_force(spark, docs):
             edits = int(row[a : a + len(t) + 1].min())
             if form and edits <= len(form) // 10:
                 want.add((doc, item, edits))
-    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in queries.op7_decontamination(spark, sf).collect()} == want
+    return want
+
+
+def test_the_query_against_brute_force(spark, docs):
+    sf = "/root/testdata/sf0.001"
+    want = brute_leaks(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect(), docs.select("doc_id", "text").collect())
+    assert want and {(r["doc_id"], r["item_id"], r["edits"]) for r in queries.op7_decontamination(spark, sf).collect()} == want
 
 
 def test_the_least_of_overlapping_places():

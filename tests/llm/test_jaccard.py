@@ -1,12 +1,16 @@
 """The Jaccard join, its parts and the pipeline."""
 
+import base64
 import hashlib
 import random
 import re
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from test_cleaning import Plain, brute_leaks
 
 from routelab.llm import jaccard_join, queries
 from routelab.llm.components import connected_components
@@ -205,8 +209,25 @@ def test_pipeline(spark):
             assert set(after) == set(want.values())
         if k < len(p.STAGES) - 1:
             assert out.columns == columns
+        if k == 0:
+            model = {r["doc_id"]: r["predicted"] for r in queries.op1_quality_classifier(spark, sf).collect()}
+            assert set(after) == {i for i in before if model[i] == 1}
+        if k == 2:
+            items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
+            assert set(after) == set(before) - {doc for doc, _, _ in brute_leaks(items, [(i, r["text"]) for i, r in before.items()])}
+        if k in (0, 1, 2):
+            assert all(after[i] == before[i] for i in after)
         if k == 3:
-            assert all(r["n_chars"] == len(r["text"]) for r in after.values()) and set(after) == set(before)
+            hide = Plain(queries.pii_key(spark)).hide
+            assert {i: r["text"] for i, r in after.items()} == {i: hide(r["text"]) for i, r in before.items()}
+            assert all(r["n_chars"] == len(r["text"]) for r in after.values())
+        if k == 4:
+            encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(queries.RANKS), "rb"))}, special_tokens={}).encode_ordinary
+            assert set(after) == set(before)
+            for i, r in after.items():
+                ids = encode(before[i]["text"])
+                assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+                assert r["decoded_sha256"] == hashlib.sha256(before[i]["text"].encode()).hexdigest()
         docs = out
     final = {r["doc_id"]: tuple(r) for r in docs.collect()}
     assert {r["doc_id"]: tuple(r) for r in p.run(spark, sf).collect()} == final
