@@ -140,9 +140,11 @@ def hashed_sets(observations: DataFrame, paths: DataFrame, draws: int = 20, seed
     upto = paths.filter("log_q is not null").withColumn("path_text", F.array_join("path", "|")).withColumn("high", F.sum(F.exp("log_q")).over(order))
     bands = upto.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct("path_text", "high", "path", "log_q"))).alias("bands"))
     number = F.lit(seed)
-    take = lambda draw: F.get(F.filter("bands", lambda b: b["high"] >= hashed_uniform("obs_id", draw, number)), F.lit(0))
+    # Uniforms are hashed once a draw, before the search, not once a band.
+    uniforms = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda draw: hashed_uniform("obs_id", draw, number))
+    take = lambda u: F.get(F.filter("bands", lambda b: b["high"] >= u), F.lit(0))
     drawn = observations.select("obs_id", "origin", "dest").join(bands, ["origin", "dest"])
-    hit = drawn.select("obs_id", "origin", "dest", F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), take)).alias("hit")).filter("hit is not null")
+    hit = drawn.select("obs_id", "origin", "dest", F.explode(F.transform(uniforms, take)).alias("hit")).filter("hit is not null")
     return hit.groupBy("obs_id", "origin", "dest", "hit.path", "hit.log_q").agg(F.count("*").alias("n_sampled")).select("obs_id", "origin", "dest", "path", "n_sampled", "log_q")
 
 
