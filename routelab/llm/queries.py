@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc
+from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc, word_bpe
 from routelab.llm.common import spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 END_OF_DOCUMENT = 50256
 
 #: Edits allowed in a benchmark passage, as a share of its characters.
@@ -79,9 +80,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    both = bpe.round_trip(spread(docs.select("doc_id", "text")), path, public_tokenizers.PATTERN)
+def _digests(both: DataFrame) -> DataFrame:
     return both.select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
@@ -90,6 +89,10 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    return _digests(bpe.round_trip(spread(docs.select("doc_id", "text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -99,6 +102,11 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digests(word_bpe.round_trip(spread(docs), public_tokenizers.path(WORDS)))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -110,6 +118,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_reputation": op10_host_reputation,
+    "op11_word_bpe": op11_word_bpe,
 }
 
 ORACLE_SQL = {
