@@ -66,3 +66,20 @@ link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_i
 ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ends.b FROM reach JOIN ends ON reach.r = ends.a)
 SELECT reach.doc_id, COALESCE(ANY_VALUE(n), 0) AS n_shingles, MIN(r) AS component_id FROM reach LEFT JOIN size ON size.doc_id = reach.doc_id GROUP BY reach.doc_id"""
+
+_TERMS = f"regexp_extract_all(TRANSLATE(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM doc WHERE len(w) > 0),
+total AS (SELECT CAST(COUNT(*) AS BIGINT) AS big_n, CAST(SUM(n) AS BIGINT) AS big_l FROM size),
+word AS (SELECT r, UNNEST(w) AS term FROM doc),
+held AS (SELECT r, term, CAST(COUNT(*) AS BIGINT) AS tf FROM word GROUP BY r, term),
+freq AS (SELECT term, COUNT(*) AS df FROM held GROUP BY term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2e0 * (SELECT big_n FROM total) + 2) / (2e0 * df + 1))) AS BIGINT) AS w FROM freq),
+asked AS (SELECT item_id, term, CAST(COUNT(*) AS BIGINT) AS times FROM (SELECT item_id, UNNEST({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+norm AS (SELECT r, doc_id, 75 + ((25 * n * (SELECT big_n FROM total)) // (SELECT big_l FROM total)) AS m FROM size),
+score AS (SELECT item_id, norm.r, norm.doc_id, CAST(SUM(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+          FROM asked JOIN weight USING (term) JOIN held USING (term) JOIN norm USING (r) GROUP BY item_id, norm.r, norm.doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""

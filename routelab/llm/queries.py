@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, sharding, token_counts, url_reputation, warc, word_bpe
+from routelab.llm import bpe, compression_rules, decontamination, jaccard_join, oracles, pseudonyms, quality_classifier, ranked_search, sharding, token_counts, url_reputation, warc, word_bpe
 from routelab.llm.common import spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -107,6 +107,10 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(word_bpe.round_trip(spread(docs), public_tokenizers.path(WORDS)))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -119,10 +123,12 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_host_reputation": op10_host_reputation,
     "op11_word_bpe": op11_word_bpe,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL = {
     "op4_warc_archives": oracles.WARC,
     "op8_jaccard_join": oracles.JACCARD,
     "op10_host_reputation": oracles.HOSTS,
+    "op12_ranked_search": oracles.RANKED,
 }
