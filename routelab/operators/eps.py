@@ -6,7 +6,7 @@ The sampled set of an observation weighs a path by n / (R q): n draws of R had p
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict
 
 import numpy as np
@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from routelab.config import TRUE_BETAS, Betas
 from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
 from routelab.operators.graph import Adjacency, adjacency, all_pairs, dealt, dijkstra, reversed_graph
+from routelab.operators.likelihood import ConditionalLogit, newton
 from routelab.operators.metrics import Timer
-from routelab.operators.optim import Minimum, minimise, standard_errors
+from routelab.operators.optim import errors_of, minimise
 from routelab.operators.paths import exploded_links, path_components, with_softmax
 from routelab.shipping import ship
 from routelab.staging import staged
@@ -205,43 +206,28 @@ def log_likelihood(table: DataFrame, betas: Betas) -> DataFrame:
     return chosen.agg(F.sum(F.ln(F.greatest(F.col("probability"), F.lit(1e-12)))).alias("log_likelihood"), F.count("*").alias("n_obs"))
 
 
-class Design:
-    """The estimation table as numpy arrays."""
+COLUMNS = ("ivt_min", "wait_min", "walk_min", "n_transfers", "expanded_path_size")
 
-    def __init__(self, table: DataFrame):
-        rows = table.select("obs_id", "chosen", "ivt_min", "wait_min", "walk_min", "n_transfers", "expanded_path_size", "sampling_correction").toPandas()
-        rows = rows.sort_values("obs_id", kind="stable")
-        self.x = np.column_stack([-rows[c].to_numpy(float) for c in ("ivt_min", "wait_min", "walk_min", "n_transfers")] + [np.log(np.maximum(rows["expanded_path_size"].to_numpy(float), 1e-9))])
-        self.offset, self.chosen = rows["sampling_correction"].to_numpy(float), rows["chosen"].to_numpy(bool)
-        _, self.starts, self.group = np.unique(rows["obs_id"].to_numpy(), return_index=True, return_inverse=True)
 
-    def negative(self, beta: np.ndarray) -> float:
-        u = self.x @ beta + self.offset
-        e = np.exp(u - np.maximum.reduceat(u, self.starts)[self.group])
-        p = e / np.add.reduceat(e, self.starts)[self.group]
-        return float(-np.log(np.maximum(p[self.chosen], 1e-12)).sum())
+def logit(table: DataFrame) -> ConditionalLogit:
+    """The likelihood of an estimation table, evaluated where its rows are."""
+    return ConditionalLogit(table, "obs_id", COLUMNS, "sampling_correction", [-1, -1, -1, -1, 1], logs=["expanded_path_size"])
 
 
-def objective(table: DataFrame, most: int = 5_000_000) -> Callable[[np.ndarray], float]:
-    """The negative log-likelihood as a function of the parameters: on the driver for up to ``most`` alternatives, else a Spark job a call."""
-    if table.count() <= most:
-        return Design(table).negative
-    return lambda beta: -log_likelihood(table, Betas(**dict(zip(NAMES, map(float, beta))))).first()["log_likelihood"]
-
-
-def fit(table: DataFrame, start: Betas = TRUE_BETAS, least_alternatives: int = 2, bound: float = 5.0, method: str = "bfgs", errors: bool = False, most: int = 5_000_000) -> dict:
+def fit(table: DataFrame, start: Betas = TRUE_BETAS, least_alternatives: int = 2, bound: float = 5.0, method: str = "newton", errors: bool = False) -> dict:
     """Maximum likelihood over observations with a real choice; ``errors`` adds standard errors, which hold for the sampled sets.
 
-    Raises where no observation has ``least_alternatives``: there is nothing to fit.
+    Raises where no observation has ``least_alternatives``: there is nothing to fit. Methods are newton (a job an iteration), bfgs
+    with the same gradient and nelder-mead (a job an evaluation).
     """
-    known = staged(with_alternatives(table, least_alternatives), "choices")
-    n = known.select("obs_id").distinct().count()
-    if not n:
+    likelihood = logit(with_alternatives(table, least_alternatives))
+    if not likelihood.n_obs:
         raise ValueError(f"no observation has {least_alternatives} alternatives")
-    negative = objective(known, most)
-    found: Minimum = minimise(negative, [getattr(start, n) for n in NAMES], [(-bound, bound)] * len(NAMES), method)
-    out = {"betas": dict(zip(NAMES, map(float, found.x))), "log_likelihood": -found.value, "n_obs": n, "converged": found.converged}
-    return out | (standard_errors(negative, found.x, NAMES) if errors else {})
+    x, bounds = [getattr(start, n) for n in NAMES], [(-bound, bound)] * len(NAMES)
+    one = lambda beta: likelihood.at([beta])[0]
+    found = newton(likelihood, x, bounds) if method == "newton" else minimise(lambda beta: one(beta).value, x, bounds, method, lambda beta: one(beta).gradient)
+    out = {"betas": dict(zip(NAMES, map(float, found.x))), "log_likelihood": -found.value, "n_obs": likelihood.n_obs, "converged": found.converged}
+    return out | (errors_of(one(found.x).hessian, found.x, NAMES) if errors else {})
 
 
 def estimation_data(trips: DataFrame, edges: DataFrame, headways: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:

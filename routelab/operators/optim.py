@@ -10,6 +10,7 @@ import numpy as np
 from routelab.functions.scalar import two_sided_p
 
 Objective = Callable[[np.ndarray], float]
+Slope = Callable[[np.ndarray], np.ndarray]
 
 
 @dataclass
@@ -31,11 +32,12 @@ def gradient(f: Objective, x: np.ndarray, low: np.ndarray, high: np.ndarray, ste
     return out
 
 
-def projected_bfgs(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[float, float]], max_iter: int = 200, tol: float = 1e-6) -> Minimum:
-    """Quasi-Newton descent within a box: steps bend at bounds, curvature is kept for the free coordinates."""
+def projected_bfgs(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[float, float]], max_iter: int = 200, tol: float = 1e-6, slope: Slope | None = None) -> Minimum:
+    """Quasi-Newton descent within a box: steps bend at bounds, curvature is kept for the free coordinates; without a slope by differences."""
+    slope = slope or (lambda x: gradient(f, x, low, high))
     low, high = (np.array(b, float) for b in zip(*bounds))
     x = np.clip(np.array(x0, float), low, high)
-    value, g, h = f(x), gradient(f, x, low, high), np.eye(len(x))
+    value, g, h = f(x), slope(x), np.eye(len(x))
     for at in range(max_iter):
         free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
         if np.abs(np.where(free, g, 0)).max() < tol * max(1.0, abs(value)):
@@ -52,7 +54,7 @@ def projected_bfgs(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[flo
             t /= 2
         else:
             return Minimum(x, value, False, at)
-        g_new = gradient(f, new, low, high)
+        g_new = slope(new)
         s, y = new - x, g_new - g
         if s @ y > 1e-12:
             r, i = 1 / (s @ y), np.eye(len(x))
@@ -100,11 +102,12 @@ def nelder_mead(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[float,
     return Minimum(points[0], values[0], False, max_iter)
 
 
-def minimise(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[float, float]], method: str = "bfgs") -> Minimum:
-    methods = {"bfgs": projected_bfgs, "nelder-mead": nelder_mead}
-    if method not in methods:
-        raise ValueError(f"unknown method {method}")
-    return methods[method](f, x0, bounds)
+def minimise(f: Objective, x0: Sequence[float], bounds: Sequence[tuple[float, float]], method: str = "bfgs", slope: Slope | None = None) -> Minimum:
+    if method == "bfgs":
+        return projected_bfgs(f, x0, bounds, slope=slope)
+    if method == "nelder-mead":
+        return nelder_mead(f, x0, bounds)
+    raise ValueError(f"unknown method {method}")
 
 
 def hessian(f: Objective, x: np.ndarray, eps: float = 1e-4) -> np.ndarray:
@@ -121,16 +124,15 @@ def hessian(f: Objective, x: np.ndarray, eps: float = 1e-4) -> np.ndarray:
 
 
 def standard_errors(f: Objective, x: np.ndarray, names: Sequence[str], eps: float = 1e-4) -> dict[str, dict[str, float]]:
-    """se, z and two-sided p of each parameter from the inverse Hessian; pseudo-inverse where it is singular, NaN below zero."""
-    curved = hessian(f, np.asarray(x, float), eps)
-    try:
-        variance = np.diag(np.linalg.inv(curved))
-    except np.linalg.LinAlgError:
-        variance = np.diag(np.linalg.pinv(curved))
-    se = np.sqrt(np.where(variance >= 0, variance, np.nan))
-    out: dict[str, dict[str, float]] = {"se": {}, "z": {}, "pval": {}}
-    for name, value, s in zip(names, x, se):
-        z = value / s if s > 0 else float("nan")
-        out["se"][name], out["z"][name] = float(s), float(z)
-        out["pval"][name] = two_sided_p(z) if np.isfinite(z) else float("nan")
-    return out
+    """:func:`errors_of` the numeric Hessian."""
+    return errors_of(hessian(f, np.asarray(x, float), eps), x, names)
+
+
+def errors_of(curvature: np.ndarray, x: Sequence[float], names: Sequence[str]) -> dict[str, dict[str, float]]:
+    """se, z and two-sided p of each parameter, whose variances are the inverse curvature's; NaN where that gives none."""
+    regular = np.linalg.matrix_rank(curvature) == len(names)
+    variance = np.diag(np.linalg.inv(curvature) if regular else np.linalg.pinv(curvature))
+    curved = np.abs(np.diag(curvature)) > 1e-12 * np.abs(curvature).max()  # the data say nothing of a parameter without curvature
+    se = {n: float(np.sqrt(v)) if v >= 0 and c else float("nan") for n, v, c in zip(names, variance, curved)}
+    z = {n: float(value / se[n]) if se[n] > 0 else float("nan") for n, value in zip(names, x)}
+    return {"se": se, "z": z, "pval": {n: two_sided_p(v) if np.isfinite(v) else float("nan") for n, v in z.items()}}

@@ -188,8 +188,6 @@ def test_a_likelihood_on_executors_is_the_drivers(spark, toy):
     rows = [(obs, str(k), k == obs % 3, *map(float, rng.uniform(1, 9, 3)), int(rng.integers(0, 3)), float(rng.uniform(0.2, 1)), 0.1) for obs in range(30) for k in range(3)]
     schema = "obs_id bigint, path_text string, chosen boolean, ivt_min double, wait_min double, walk_min double, n_transfers bigint, expanded_path_size double, sampling_correction double"
     table = spark.createDataFrame(rows, schema)
-    x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
-    assert eps.objective(table, 10)(x) == pytest.approx(eps.objective(table)(x), rel=1e-9)
     with pytest.raises(ValueError, match="no observation"):
         eps.fit(table.limit(0))
     with pytest.raises(ValueError, match="no observation"):
