@@ -1,7 +1,7 @@
 """Graph operators over edge tables unique on (from_stop, to_stop).
 
 Transit graphs have thousands of edges while origin-destination pairs may be many, so pairs are what is distributed: kernels get
-the adjacency as a broadcast whose size is checked, and beyond that bound shortest times come from a min-plus join loop.
+the adjacency as a broadcast whose size is checked. Beyond that bound shortest paths come from a frontier search over partitioned edges.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.shipping import ship
-from routelab.staging import staged
+from routelab.staging import Scratch, staged
 
 MAX_BROADCAST_EDGES = 2_000_000
 
@@ -27,7 +27,7 @@ def adjacency(edges: DataFrame) -> Adjacency:
     """from -> [(to, seconds)], for graphs of at most MAX_BROADCAST_EDGES edges."""
     rows = edges.select("from_stop", "to_stop", "duration").limit(MAX_BROADCAST_EDGES + 1).collect()
     if len(rows) > MAX_BROADCAST_EDGES:
-        raise ValueError(f"more than {MAX_BROADCAST_EDGES} edges: use min_plus_times")
+        raise ValueError(f"more than {MAX_BROADCAST_EDGES} edges: frontier_paths needs no copy of the graph")
     out: Adjacency = {}
     for a, b, seconds in rows:
         out.setdefault(a, []).append((b, float(seconds)))
@@ -77,8 +77,13 @@ def yen(graph: Adjacency, origin: str, dest: str, k: int) -> list[tuple[float, t
 
 
 def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
-    """origin, dest, seconds and path of every node that an origin (``origin``) reaches, itself included."""
+    """origin, dest, seconds and path of every node that an origin (``origin``) reaches, itself included.
+
+    A kernel over a broadcast graph of up to MAX_BROADCAST_EDGES edges; :func:`frontier_paths` beyond, with the same result.
+    """
     spark = edges.sparkSession
+    if edges.limit(MAX_BROADCAST_EDGES + 1).count() > MAX_BROADCAST_EDGES:
+        return frontier_paths(edges, origins)
     ship(spark)
     graph = spark.sparkContext.broadcast(adjacency(edges))
 
@@ -95,6 +100,42 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     return shortest_paths(edges, nodes)
 
 
+def frontier_paths(edges: DataFrame, origins: DataFrame, delta: float | None = None, with_path: bool = True, to_origin: bool = False) -> DataFrame:
+    """origin, dest, seconds (and path) of every node that the asked origins reach, by delta-stepping over partitioned edges.
+
+    The state has a row for each origin and node met so far, nothing else: k origins need k times the nodes. In a round those nodes whose
+    time improved since they were last left, and is below the current bound, send their successors a message; messages to one node are
+    combined with its state in one aggregate. Once none is below, the bound moves on to the bucket of ``delta`` seconds (unset: four
+    mean links) that the nearest open node is in: far nodes aren't left before their time is nearly final. A round is staged; it
+    repeats after a lost executor. Equal times go to the smallest path in string order. ``to_origin`` follows edges backwards: the times
+    are those from each dest to the origin, and paths end there.
+    """
+    spark = edges.sparkSession
+    tail, head = ("to_stop", "from_stop") if to_origin else ("from_stop", "to_stop")
+    with Scratch(spark) as scratch:
+        links = scratch(edges.groupBy(F.col(tail).alias("node"), F.col(head).alias("next")).agg(F.min("duration").cast("double").alias("cost")), "links")
+        delta = delta or 4 * (links.agg(F.avg("cost")).first()[0] or 1.0)
+        nodes = links.select("node").union(links.select("next")).distinct()
+        path = [F.array("node").alias("path")] if with_path else []
+        best = F.struct("seconds", "path") if with_path else F.struct("seconds")
+        start = nodes.join(origins.select(F.col("origin").alias("node")).distinct(), "node", "left_semi")
+        known = scratch(start.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("seconds"), *path, F.lit(True).alias("open")), "frontier")
+        bound = delta
+        while True:
+            nearest = known.filter("open").agg(F.min("seconds")).first()[0]
+            if nearest is None:
+                return staged(known.select("origin", F.col("node").alias("dest"), "seconds", *[c for c in known.columns if c == "path"]), "shortest")
+            bound = max(bound, (nearest // delta + 1) * delta)
+            onward = F.concat(F.array("next"), "path") if to_origin else F.concat("path", F.array("next"))
+            leaves = F.col("open") & (F.col("seconds") < bound)
+            sent = known.filter(leaves).join(links, "node").select("origin", F.col("next").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"), *([onward.alias("path")] if with_path else []))
+            kept = known.withColumns({"open": F.col("open") & ~leaves, "was": F.lit(True)})
+            both = kept.unionByName(sent.withColumns({"open": F.lit(True), "was": F.lit(False)}))
+            merged = both.groupBy("origin", "node").agg(F.min(best).alias("best"), F.min(F.when(F.col("was"), best)).alias("before"), F.bool_or(F.when(F.col("was"), F.col("open"))).alias("waits"))
+            better = F.col("before").isNull() | (F.col("best") < F.col("before"))
+            known = scratch(merged.select("origin", "node", "best.*", (better | F.coalesce("waits", F.lit(False))).alias("open")), "frontier")
+
+
 def min_plus_times(edges: DataFrame) -> DataFrame:
     """origin, dest and least seconds of all pairs by doubling path lengths: joins and minima only, for graphs too large to broadcast.
 

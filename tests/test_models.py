@@ -249,3 +249,27 @@ def test_features(spark, toy):
     stations = spark.createDataFrame([(s, s, 1.0, 2.0) for s in "ABCD"], "station_id string, station_name string, stop_lat double, stop_lon double")
     assert viz.features(toy[0], stations).count() == 8
     assert viz.map_centre(stations).first()["lat"] == 1.0
+
+
+def _random_edges(spark, rng, n_nodes, n_edges):
+    rows = {(f"n{rng.integers(n_nodes)}", f"n{rng.integers(n_nodes)}") for _ in range(n_edges)}
+    return spark.createDataFrame([(a, b, "r", float(rng.integers(1, 9)) * 60, "transit") for a, b in sorted(rows) if a != b], "from_stop string, to_stop string, route_id string, duration double, link_type string")
+
+
+def test_frontier_search_is_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = _random_edges(spark, rng, 14, 36)
+    want = sorted(map(repr, graph.all_pairs(edges).collect()))
+    origins = spark.createDataFrame([("n1",), ("n3",), ("n3",), ("nowhere",)], "origin string")
+    some = sorted(map(repr, graph.shortest_paths(edges, origins).collect()))
+    monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)
+    assert sorted(map(repr, graph.all_pairs(edges).collect())) == want
+    assert sorted(map(repr, graph.shortest_paths(edges, origins).collect())) == some
+    assert sorted(map(repr, graph.frontier_paths(edges, origins, delta=60.0).collect())) == some
+    back = {(r["dest"], r["origin"]): (r["seconds"], r["path"]) for r in graph.frontier_paths(edges, origins, to_origin=True).collect()}
+    times = {(r["origin"], r["dest"]): r["seconds"] for r in graph.min_plus_times(edges).collect()}
+    assert {k: v[0] for k, v in back.items()} == {k: v for k, v in times.items() if k[1] in ("n1", "n3")}
+    assert all(p[0] == a and p[-1] == b for (a, b), (_, p) in back.items())
+    assert graph.frontier_paths(edges.limit(0), origins).count() == 0
+    plain = graph.frontier_paths(edges, origins, with_path=False)
+    assert plain.columns == ["origin", "dest", "seconds"] and plain.count() == len(some)
