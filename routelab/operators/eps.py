@@ -6,26 +6,24 @@ The sampled set of an observation weighs a path by n / (R q): n draws of R had p
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 from dataclasses import asdict
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.config import TRUE_BETAS, Betas
 from routelab.functions.scalar import hashed_uniform, kumaraswamy_weight
-from routelab.operators.graph import Adjacency, adjacency, all_pairs, dealt, dijkstra, reversed_graph
+from routelab.operators.graph import shortest_paths
 from routelab.operators.likelihood import ConditionalLogit, newton
 from routelab.operators.metrics import Timer
 from routelab.operators.optim import errors_of, minimise
 from routelab.operators.paths import exploded_links, path_components, with_softmax
-from routelab.shipping import ship
 from routelab.staging import staged
 
 FLOOR_Q = 1e-6
+#: Nodes by destinations whose successors (a few ids and weights each) are broadcast to the walkers.
+MAX_SUCCESSORS = 200_000
 NAMES = ("ivt", "wait", "walk", "transfer", "pathsize")
 DRAW_LEVELS = (10, 20, 40, 80)
 SWEEP_SCHEMA = ", ".join(
@@ -61,74 +59,79 @@ def path_log_q(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFra
     return total.select(*keys, "path_text", F.when(F.col("ok") == F.col("n"), F.col("q")).alias("log_q"))
 
 
-def _weight(best: float, through: float | None, a: float, b: float) -> float:
-    """The weight that :func:`link_weights` gives, for kernels."""
-    x = min(1.0, max(0.0, best / through)) if through else 0.0
-    return max(1e-12, 1 - (1 - x**a) ** b)
+def weights_towards(edges: DataFrame, dests: DataFrame, a: float = 2.0, b: float = 2.0) -> DataFrame:
+    """:func:`link_weights` towards the destinations (``dest``) alone: each is solved once, backwards; no table of all pairs."""
+    back = edges.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "duration")
+    solved = shortest_paths(back, dests.select(F.col("dest").alias("origin")))
+    times = solved.select(F.col("dest").alias("origin"), F.col("origin").alias("dest"), "seconds")
+    return staged(link_weights(edges, staged(times, "times"), a, b), "weights")
 
 
-class _Towards:
-    """Weights of the links out of each node towards one destination, made when a walk first leaves the node."""
+def walks(observations: DataFrame, weights: DataFrame, draws: int = 20, max_steps: int = 25, seed: int = 42, rounds: int = 4) -> DataFrame:
+    """``draws`` biased walks of each observation (obs_id, origin, dest): draw, path, log_q and whether the walk arrived.
 
-    def __init__(self, graph: Adjacency, back: Adjacency, dest: str, a: float, b: float):
-        self.graph, self.dest, self.shape, self.known = graph, dest, (a, b), {}
-        self.left = {node: seconds for node, (seconds, _) in dijkstra(back, dest).items()} if dest in back else {}
-
-    def __call__(self, node: str) -> dict[str, float] | None:
-        if node not in self.known:
-            best, left = self.left.get(node, 0.0), self.left
-            self.known[node] = {v: _weight(best, cost + left[v] if v in left else None, *self.shape) for v, cost in self.graph.get(node, ())} if best > 0 else None
-        return self.known[node]
-
-
-def _walk(graph: Adjacency, towards: _Towards, origin: str, max_steps: int, rng: np.random.Generator) -> tuple[list[str], float] | None:
-    path, visited, log_q, dest = [origin], {origin}, 0.0, towards.dest
-    for _ in range(max_steps):
-        node = path[-1]
-        if node == dest:
-            return path, log_q
-        ends = [v for v, _ in graph.get(node, ()) if v == dest or v not in visited]
-        table = towards(node)
-        if not ends or table is None:
-            return None
-        p = np.array([table[v] for v in ends])
-        p /= p.sum()
-        k = rng.choice(len(ends), p=p)
-        log_q += float(np.log(p[k]))
-        path.append(ends[k])
-        visited.add(ends[k])
-    return None
+    Walkers are rows, and all of them step together: a step joins each walker's node with the successors that lead towards its
+    destination, leaves out what it has visited, and takes the first successor, in string order, whose cumulated weight reaches a uniform
+    hashed from observation, draw, step and seed. Any task that repeats a step takes it again, and SQL can follow it. Tables are
+    staged every ``rounds`` steps; walkers that arrived or have nowhere to go stay behind. A walk of ``max_steps`` tests arrival before
+    each step: it has one link less at most.
+    """
+    successors = weights.groupBy("dest", "u").agg(F.array_sort(F.collect_list(F.struct("v", "weight"))).alias("ends"))
+    successors = staged(successors, "successors")
+    near = F.broadcast if successors.limit(MAX_SUCCESSORS + 1).count() <= MAX_SUCCESSORS else lambda df: df
+    start = observations.select("obs_id", "origin", "dest", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    live = start.select("*", F.array("origin").alias("path"), F.lit(0.0).alias("log_q"), F.lit(False).alias("stuck"))
+    at_end, parts = F.element_at("path", -1) == F.col("dest"), []
+    columns = ["obs_id", "origin", "dest", "draw", "path", "log_q", "stuck"]
+    for first in range(0, max_steps - 1, rounds):
+        for step in range(first, min(first + rounds, max_steps - 1)):
+            live = _stepped(live, near(successors), step, seed)
+        block = staged(live.select(columns), "walkers")
+        parts.append(block.filter(at_end | F.col("stuck")))
+        live = block.filter(~at_end & ~F.col("stuck"))
+        if live.isEmpty():
+            break
+    else:
+        parts.append(live if max_steps > 1 else live.select(columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("obs_id", "origin", "dest", "draw", "path", "log_q", at_end.alias("arrived"))
+
+
+def _stepped(live: DataFrame, successors: DataFrame, step: int, seed: int) -> DataFrame:
+    """All walkers one step on; those that have arrived meet no successors and stay as they are."""
+    onward = live.withColumn("u", F.element_at("path", -1)).join(successors, ["dest", "u"], "left")
+    open_ = F.filter("ends", lambda s: (s["v"] == F.col("dest")) | ~F.array_contains("path", s["v"]))
+    known = onward.withColumn("ends", F.when((F.col("u") != F.col("dest")) & ~F.col("stuck"), F.coalesce(open_, F.array().cast("array<struct<v:string,weight:double>>"))))
+    known = known.withColumns({"all": F.aggregate("ends", F.lit(0.0), lambda total, s: total + s["weight"]), "goal": hashed_uniform("obs_id", "draw", F.lit(step), F.lit(seed))})
+    zero = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("weight"))
+
+    def scan(acc, s):
+        upto = acc["upto"] + s["weight"]
+        hit = upto >= F.col("goal") * F.col("all")
+        return F.when(acc["v"].isNotNull(), acc).otherwise(F.struct(upto.alias("upto"), F.when(hit, s["v"]).alias("v"), F.when(hit, s["weight"]).alias("weight")))
+
+    taken = known.withColumn("taken", F.aggregate("ends", zero, scan))
+    moved = F.col("taken.v").isNotNull()
+    return taken.select(
+        "obs_id", "origin", "dest", "draw",
+        F.when(moved, F.concat("path", F.array("taken.v"))).otherwise(F.col("path")).alias("path"),
+        F.when(moved, F.col("log_q") + F.ln(F.col("taken.weight") / F.col("all"))).otherwise(F.col("log_q")).alias("log_q"),
+        (F.col("stuck") | (F.size("ends") == 0)).alias("stuck"),
+    )
+
+
+def sets_of(walked: DataFrame, draws: int | None = None) -> DataFrame:
+    """obs_id, origin, dest, path, n_sampled and log_q of the paths that arrived, of the first ``draws`` walks (unset: all)."""
+    some = walked.filter("arrived") if draws is None else walked.filter(F.col("arrived") & (F.col("draw") < draws))
+    return some.groupBy("obs_id", "origin", "dest", "path").agg(F.count("*").alias("n_sampled"), F.first("log_q").alias("log_q"))
 
 
 def sampled_sets(observations: DataFrame, edges: DataFrame, draws: int = 20, max_steps: int = 25, seed: int = 42, a: float = 2.0, b: float = 2.0) -> DataFrame:
-    """obs_id, path, n_sampled and log_q of the paths that ``draws`` biased walks of each observation (obs_id, origin, dest) take.
-
-    Walks are numpy kernels over the graph, a broadcast of checked size; a task solves each destination that it meets in a batch
-    once, so no table of nodes by destinations exists anywhere. Each observation has its own generator, seeded by its whole id, so
-    any task that repeats it draws the same. A walk of ``max_steps`` tests arrival before each step: it has one link less at most.
-    """
-    spark = edges.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(adjacency(edges))
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
-        back = reversed_graph(graph)
-        for batch in batches:
-            rows = []
-            for dest, own in batch.groupby("dest"):
-                towards = _Towards(graph, back, dest, a, b)
-                for obs, origin in zip(own["obs_id"], own["origin"]):
-                    rng, found = np.random.default_rng([seed, int(obs) & 0xFFFFFFFFFFFFFFFF]), {}
-                    for _ in range(draws):
-                        walk = _walk(graph, towards, origin, max_steps, rng)
-                        if walk:
-                            n, _ = found.get(tuple(walk[0]), (0, 0.0))
-                            found[tuple(walk[0])] = (n + 1, walk[1])
-                    rows += [(obs, origin, dest, list(p), n, q) for p, (n, q) in found.items()]
-            yield pd.DataFrame(rows, columns=["obs_id", "origin", "dest", "path", "n_sampled", "log_q"])
-
-    return dealt(observations.select("obs_id", "origin", "dest")).mapInPandas(run, "obs_id bigint, origin string, dest string, path array<string>, n_sampled bigint, log_q double")
+    """obs_id, origin, dest, path, n_sampled and log_q of the paths that ``draws`` biased walks of each observation (obs_id, origin, dest) take."""
+    weights = weights_towards(edges, observations.select("dest"), a, b)
+    return sets_of(walks(observations, weights, draws, max_steps, seed))
 
 
 def hashed_sets(observations: DataFrame, paths: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:
@@ -232,28 +235,37 @@ def fit(table: DataFrame, start: Betas = TRUE_BETAS, least_alternatives: int = 2
 
 def estimation_data(trips: DataFrame, edges: DataFrame, headways: DataFrame, draws: int = 20, seed: int = 42) -> DataFrame:
     """Estimation table of trips (obs_id, origin, dest, path): sampling, forced observed paths and corrections."""
-    weights = link_weights(edges, all_pairs(edges).select("origin", "dest", "seconds"))
-    sampled = sampled_sets(trips, edges, draws, seed=seed)
-    return estimation_table(with_observed(sampled, trips, weights), trips, edges, headways, draws)
+    weights = weights_towards(edges, trips.select("dest"))
+    return _estimation(trips, walks(trips, weights, draws, seed=seed), weights, edges, headways, draws)
+
+
+def _estimation(trips: DataFrame, walked: DataFrame, weights: DataFrame, edges: DataFrame, headways: DataFrame, draws: int) -> DataFrame:
+    sets = staged(with_observed(sets_of(walked, draws), trips, weights), "sets")
+    return estimation_table(sets, trips, edges, headways, draws)
 
 
 def draw_sweep(train: DataFrame, test: DataFrame, edges: DataFrame, headways: DataFrame, levels: tuple[int, ...] = DRAW_LEVELS, timer: Timer | None = None) -> DataFrame:
     """A fit of ``train`` for each number of draws: set sizes, observations retained, log-likelihoods, seconds, estimates, biases and z.
 
-    Trips have obs_id, origin, dest, path and choice_set_size. Seconds are those of sampling and fit; ``test`` is sampled with as many
-    draws. The held-out log-likelihood is null over no trips, z where the curvature gives none.
+    Trips have obs_id, origin, dest, path and choice_set_size; ids don't meet between ``train`` and ``test``. Walks are drawn once, as many
+    as the greatest level asks for; a smaller level has the first of them, so levels differ by their number alone. Seconds are those of
+    a level's sets and fit. The held-out log-likelihood is null over no trips, z where the curvature gives none.
     """
     timer, true, rows = timer or Timer(), asdict(TRUE_BETAS), []
     universal = train.agg(F.avg("choice_set_size")).first()[0]
+    both = train.select("obs_id", "origin", "dest").unionByName(test.select("obs_id", "origin", "dest"))
+    weights = weights_towards(edges, both.select("dest"))
+    walked = staged(walks(both, weights, max(levels)), "walks")
+    of = lambda trips: walked.join(trips.select("obs_id"), "obs_id", "left_semi")
     for draws in levels:
         step = f"eps draws {draws}"
 
         def sample_and_fit(draws: int = draws) -> tuple[DataFrame, dict]:
-            table = staged(estimation_data(train, edges, headways, draws), "estimation")
+            table = staged(_estimation(train, of(train), weights, edges, headways, draws), "estimation")
             return table, fit(table, errors=True)
 
         table, own = timer.run(step, sample_and_fit)
-        held = log_likelihood(estimation_data(test, edges, headways, draws), Betas(**own["betas"])).first()["log_likelihood"]
+        held = log_likelihood(_estimation(test, of(test), weights, edges, headways, draws), Betas(**own["betas"])).first()["log_likelihood"]
         size = table.groupBy("obs_id").count().agg(F.avg("count")).first()[0]
         biases = [own["betas"][n] - true[n] for n in NAMES]
         z = [own["z"][n] if math.isfinite(own["z"][n]) else None for n in NAMES]

@@ -16,7 +16,7 @@ PAIR = ["origin", "dest"]
 DRAWS = 20
 HIT_DRAWS = 30
 #: Of each pair.
-OBSERVATIONS = 1
+OBSERVATIONS = 2
 ITERATIONS = 25
 TRUE = nrl.Parameters()
 
@@ -103,9 +103,10 @@ def nrl_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def biased_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths that the walks of every observed trip took, how often, and their probability."""
     edges = a.grid_edges(spark, sf_dir)
-    sets = eps.sampled_sets(observed_trips(edges), edges, DRAWS)
-    return sets.select("obs_id", *PAIR, F.array_join("path", "|").alias("path_text"), "n_sampled", "log_q")
+    sets = eps.sampled_sets(staged(observed_trips(edges), "trips"), edges, DRAWS)
+    return sets.select("obs_id", *PAIR, F.array_join("path", "|").alias("path_text"), "n_sampled", F.round("log_q", 6).alias("log_q"))
 
 
 def _fit_rows(spark: SparkSession, fit: dict) -> DataFrame:
@@ -141,7 +142,7 @@ def _hit_table(edges: DataFrame) -> DataFrame:
 def draw_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit for each of 10, 20, 40 and 80 draws, held-out trips included."""
     edges = a.grid_edges(spark, sf_dir)
-    trips = staged(simulate.train_test_split(observed_trips(edges), ["origin"], "obs_id"), "trips")
+    trips = staged(simulate.train_test_split(observed_trips(edges), PAIR, "obs_id"), "trips")
     return eps.draw_sweep(trips.filter("not is_test"), trips.filter("is_test"), edges, a.grid_headways(edges))
 
 
@@ -190,6 +191,15 @@ estimation AS (SELECT e.*, e.path_text = o.path_text AS chosen, ivt_min, wait_mi
   JOIN parts ON parts.path_text = e.path_text)"""
 
 
+WALKERS = f"""succ AS (SELECT dest, u, list({{'v': v, 'w': weight}} ORDER BY v) AS s FROM weights GROUP BY dest, u),
+walker AS (SELECT obs_id, origin, dest, draw, [origin] AS path, 0::DOUBLE AS log_q, 0 AS k FROM observed, range(0, {DRAWS}) d(draw)
+  UNION ALL SELECT obs_id, origin, dest, draw, list_append(path, ends[pick].v), log_q + LN(ends[pick].w / total), k + 1 FROM (
+    SELECT *, list_filter(range(1, len(ends) + 1), lambda i: list_sum(list_transform(ends[1:i], lambda x: x.w)) >= goal * total)[1] AS pick FROM (
+      SELECT *, list_sum(list_transform(ends, lambda x: x.w)) AS total, {a.uniform("obs_id", "draw", "k", "42")} AS goal FROM (
+        SELECT walker.*, list_filter(s, lambda x: x.v = walker.dest OR NOT list_contains(path, x.v)) AS ends
+        FROM walker JOIN succ ON succ.dest = walker.dest AND succ.u = path[-1] WHERE path[-1] <> walker.dest AND k < 24))
+    WHERE len(ends) > 0))"""
+
 MOVES = """prior AS (SELECT from_stop AS u, to_stop AS v, route_id, link_type FROM edges UNION ALL SELECT DISTINCT 'START', from_stop, NULL, 'start' FROM edges),
 moves AS (SELECT p.u, p.v, e.to_stop AS w, CASE WHEN e.link_type = 'transfer' THEN -0.035::DOUBLE * e.duration / 60
     WHEN p.link_type IN ('start', 'transfer') OR p.route_id <> e.route_id THEN -0.025::DOUBLE * e.duration / 60 - 0.05::DOUBLE * headway_min / 2 - CASE WHEN p.link_type = 'start' THEN 0 ELSE 0.4::DOUBLE END
@@ -218,6 +228,9 @@ ORACLE_SQL = {
 SELECT ROUND(-SUM(LN(GREATEST(p, 1e-12))), 4) AS nll, COUNT(*) AS n_obs FROM p WHERE chosen AND n >= 2""",
     "hit_rate": _DRAWN + _VALUED + """, best AS (SELECT obs_id, chosen FROM valued_ QUALIFY ROW_NUMBER() OVER (PARTITION BY obs_id ORDER BY ROUND(v, 9) DESC, path_text) = 1)
 SELECT AVG(CAST(chosen AS INT)) AS hit_rate FROM best""",
+    "biased_walk": a.with_(a.GRID, a.WALKS, a.TIMES, WEIGHTS, a.LINKS, a.COMPONENTS, a.SIZES, a.CHOICES, OBSERVED, WALKERS)
+    + """SELECT obs_id, origin, dest, array_to_string(path, '|') AS path_text, COUNT(*) AS n_sampled, ROUND(ANY_VALUE(log_q), 6) AS log_q
+FROM walker WHERE path[-1] = dest GROUP BY obs_id, origin, dest, path""",
     "line_graph": a.with_(a.GRID, MOVES) + "SELECT u, v, w, ROUND(utility, 6) AS utility, mu FROM moves",
     "nrl_values": a.with_(a.GRID, MOVES, VALUES) + "SELECT dest, u, v, ROUND(value, 5) AS value FROM final",
     "nrl_path_logprob": _P + "SELECT origin, dest, path_text, ROUND(log_p, 5) AS log_p FROM logp",
