@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from routelab.functions.scalar import TRANSFER, nest_scale
 from routelab.operators.optim import minimise, standard_errors
 from routelab.shipping import ship
-from routelab.staging import staged
+from routelab.staging import Scratch, staged
 
 START = "START"
 MAX_TRANSITIONS = 20_000_000
@@ -129,22 +129,68 @@ def _arrays(lines: DataFrame, edges: DataFrame) -> LineGraph:
 
 
 def value_table(lines: DataFrame, edges: DataFrame, dests: DataFrame, p: Parameters, max_iter: int = 300, tol: float = 1e-3) -> DataFrame:
-    """dest, u, v, value, converged and iterations: each destination solved once, on the executor that has it."""
+    """dest, u, v, value, converged and iterations: each destination solved once, on the executor that has it.
+
+    Up to MAX_TRANSITIONS transitions a worker holds the line graph; beyond, :func:`partitioned_values` gives the same.
+    """
     spark = lines.sparkSession
+    if lines.limit(MAX_TRANSITIONS + 1).count() > MAX_TRANSITIONS:
+        return partitioned_values(lines, edges, dests, p, max_iter, tol)
     ship(spark)
     shared = spark.sparkContext.broadcast(_arrays(lines, edges))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = shared.value
         utility, mu = graph.set(p)
+        links = pd.DataFrame(graph.links, columns=["u", "v"])
         for batch in batches:
             for some in graph.chunks(batch["dest"].tolist()):
                 for dest, v, ok, n in zip(some, *graph.values(some, utility, mu, max_iter, tol)):
-                    yield pd.DataFrame({"dest": dest, "u": [a for a, _ in graph.links], "v": [b for _, b in graph.links], "value": v, "converged": ok, "iterations": n})
+                    yield links.assign(dest=dest, value=v, converged=ok, iterations=n)[["dest", "u", "v", "value", "converged", "iterations"]]
 
     return dests.select("dest").distinct().mapInPandas(run, "dest string, u string, v string, value double, converged boolean, iterations bigint")
 
 
+def partitioned_values(lines: DataFrame, edges: DataFrame, dests: DataFrame, p: Parameters, max_iter: int = 300, tol: float = 1e-3) -> DataFrame:
+    """:func:`value_table` for line graphs of any size: value iteration as joins over partitioned links.
+
+    A state has a row for each asked destination and link. In a round every link tells its value to the links before it, and a link puts
+    together what its successors say by a log-sum-exp of its own scale; nothing is collected but the number of open destinations. Only
+    destinations whose values still move by ``tol`` or more go on to the next round; each round is staged.
+    """
+    with Scratch(lines.sparkSession) as scratch:
+        moves = scratch(transitions(lines, p), "moves")
+        ends = edges.select(F.col("from_stop").alias("u"), F.col("to_stop").alias("v")).union(lines.select("u", "v")).distinct()
+        arrived = F.col("v") == F.col("dest")
+        # A value for each asked destination and link is what is asked for: links are dealt to shares, each of which meets all destinations.
+        shares = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = dests.select("dest").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        dealt = ends.withColumn("share", F.pmod(F.xxhash64("u", "v"), F.lit(shares)).cast("int"))
+        state = dealt.join(asked, "share").select("dest", "u", "v", F.when(arrived, 0.0).otherwise(-10.0).alias("value"))
+        state, done = scratch(state, "values"), []
+        shape = lambda df, ok, n: df.select("dest", "u", "v", "value", F.lit(ok).alias("converged"), F.lit(n).cast("bigint").alias("iterations"))
+        for at in range(max_iter):
+            told = state.select("dest", F.col("u").alias("v"), F.col("v").alias("w"), F.col("value").alias("next"))
+            terms = moves.join(told, ["v", "w"]).groupBy("dest", "u", "v").agg(F.first("mu").alias("mu"), F.collect_list((F.col("utility") + F.col("next")) / F.col("mu")).alias("t"))
+            top = F.array_max("t")
+            summed = F.col("mu") * (top + F.ln(F.aggregate("t", F.lit(0.0), lambda total, t: total + F.exp(t - F.array_max("t")))))
+            new = state.withColumnRenamed("value", "old").join(terms, ["dest", "u", "v"], "left")
+            new = new.select("dest", "u", "v", "old", F.when(arrived, 0.0).otherwise(F.coalesce(summed, F.lit(-1e6))).alias("value"))
+            new = scratch(new, "values")
+            moved = scratch(new.groupBy("dest").agg(F.max(F.when(~arrived, F.abs(F.col("value") - F.col("old"))).otherwise(0.0)).alias("moved")), "moved")
+            settled = moved.filter(F.col("moved") < tol).select("dest")
+            done.append(shape(new.join(settled, "dest", "left_semi"), True, at + 1))
+            state = new.drop("old").join(moved.filter(F.col("moved") >= tol).select("dest"), "dest", "left_semi")
+            if moved.filter(F.col("moved") >= tol).isEmpty():
+                break
+        else:
+            done.append(shape(state, False, max_iter))
+        out = done[0]
+        for part in done[1:]:
+            out = out.unionByName(part)
+        return staged(out, "values")
+
+
 def path_log_probability(paths: DataFrame, moves: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path_text and log_p: the sum of (utility + next value - value) / scale along each path's transitions."""
     own = paths.select(*keys, F.array_join("path", "|").alias("path_text"), F.element_at("path", -1).alias("__end"), F.concat(F.array(F.lit(START)), "path").alias("stops"))

@@ -273,3 +273,25 @@ def test_frontier_search_is_all_pairs(spark, monkeypatch):
     assert graph.frontier_paths(edges.limit(0), origins).count() == 0
     plain = graph.frontier_paths(edges, origins, with_path=False)
     assert plain.columns == ["origin", "dest", "seconds"] and plain.count() == len(some)
+
+
+def test_partitioned_values_are_the_kernels(spark, toy, monkeypatch):
+    rng = np.random.default_rng(8)
+    ring = [(f"n{k}", f"n{(k + 1) % 7}", f"R{k % 3}", 60.0 * (2 + k % 4), "transit") for k in range(7)]
+    ring += [(b, a, r, d, t) for a, b, r, d, t in ring] + [("n0", "n3", "walk", 300.0, "transfer"), ("n3", "n0", "walk", 300.0, "transfer")]
+    edges = spark.createDataFrame(ring, "from_stop string, to_stop string, route_id string, duration double, link_type string")
+    headways = spark.createDataFrame([("R0", 6.0), ("R1", 9.0)], "route_id string, headway_min double")
+    lines, dests = nrl.line_graph(edges, headways), spark.createDataFrame([("n2",), ("n5",), ("n2",)], "dest string")
+    p = nrl.Parameters(0.2, 0.3, 0.25, 0.6, float(rng.uniform(-1, 1)), 0.4)
+
+    def rows(df):
+        return {(r["dest"], r["u"], r["v"]): r for r in df.collect()}
+
+    for how in ({}, {"max_iter": 4}):
+        monkeypatch.setattr(nrl, "MAX_TRANSITIONS", 20_000_000)
+        want = rows(nrl.value_table(lines, edges, dests, p, **how))
+        monkeypatch.setattr(nrl, "MAX_TRANSITIONS", 10)
+        got = rows(nrl.value_table(lines, edges, dests, p, **how))
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            assert got[k]["value"] == pytest.approx(r["value"], abs=1e-9) and (got[k]["converged"], got[k]["iterations"]) == (r["converged"], r["iterations"])
