@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelab.functions.scalar import TRANSFER, nest_scale
-from routelab.operators.optim import minimise, standard_errors
+from routelab.operators.optim import Minimum, errors_of, minimise
 from routelab.shipping import ship
 from routelab.staging import Scratch, staged
 
@@ -114,6 +114,49 @@ class LineGraph:
                 break
         return out, settled, used
 
+    def slopes(self, p: Parameters, n_free: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each transition, by parameter: the derivatives of its utility and of its earlier link's scale."""
+        du, dmu = np.zeros((n_free, len(self.k))), np.zeros((n_free, len(self.k)))
+        du[:4] = -self.x.T
+        slope = lambda s: (q := 1 / (1 + np.exp(-s))) * (1 - q) if 1e-4 < 1 / (1 + np.exp(-s)) < 1 else 0.0
+        dmu[4] = np.where(self.kind == TRANSFER, slope(p.scale_transfer), 0.0)
+        if n_free > 5:
+            dmu[5] = np.where((self.kind != TRANSFER) & (self.kind != "start"), slope(p.scale_regular), 0.0)
+        return du, dmu
+
+    def tangents(self, dests: list[str], values: np.ndarray, u: np.ndarray, mu: np.ndarray, du: np.ndarray, dmu: np.ndarray, tol: float, max_iter: int = 3000) -> np.ndarray:
+        """Derivatives of settled values: by parameter, destination and link.
+
+        A link's are its successors' mean by choice probability plus what its own utilities and scale add: as the values, a fixed point.
+        """
+        end = self.heads[None, :] == np.array(dests, object)[:, None]
+        out = np.zeros((len(du), *values.shape))
+        if not len(self.live):
+            return out
+        group = np.searchsorted(self.live, self.k)
+        t = (u + values[:, self.a]) / mu
+        top = np.maximum.reduceat(t, self.starts, axis=1)
+        e = np.exp(t - top[:, group])
+        total = np.add.reduceat(e, self.starts, axis=1)
+        p, level = e / total[:, group], top + np.log(total)
+        entropy = level - np.add.reduceat(p * t, self.starts, axis=1)
+        own = np.add.reduceat(p * du[:, None, :], self.starts, axis=2) + dmu[:, self.starts][:, None, :] * entropy
+        for _ in range(max_iter):
+            new = np.where(end[:, self.live], 0.0, own + np.add.reduceat(p * out[:, :, self.a], self.starts, axis=2))
+            moved = np.abs(new - out[:, :, self.live]).max(initial=0.0)
+            out[:, :, self.live] = new
+            if moved < tol:
+                break
+        return out
+
+    def taken(self, moves) -> tuple[np.ndarray, np.ndarray]:
+        """Transitions of (u, v, w, n) rows, and how often each is taken."""
+        try:
+            at = [self.moves[self.index[m["u"], m["v"]], self.index[m["v"], m["w"]]] for m in moves]
+        except KeyError as lost:
+            raise ValueError(f"a path has a link that the network lacks: {lost}") from lost
+        return np.array(at, np.int64), np.array([m["n"] for m in moves], float)
+
     def chunks(self, dests: list[str], cells: int = 4_000_000) -> list[list[str]]:
         """Destinations that are solved together: as many as keep a table of them by transitions below ``cells``."""
         n = max(1, cells // max(1, len(self.k)))
@@ -202,61 +245,68 @@ def path_log_probability(paths: DataFrame, moves: DataFrame, values: DataFrame,
 
 
 class Likelihood:
-    """Log-likelihood of distinct paths (path, n: how often); each destination is solved once for a parameter set.
+    """Log-likelihood and gradient of distinct paths (path, n: how often), one Spark job for any number of parameter sets.
 
-    Up to ``most`` distinct paths the driver holds them and evaluates; beyond, they stay a table, sorted by destination, and every
-    evaluation is a Spark job whose tasks solve the destinations that they meet.
+    Paths are reduced once to how often each transition is taken towards each destination, a staged row a destination, whose size the
+    network bounds. An evaluation is a map over those rows: a task solves its destinations' values and their derivatives for each
+    parameter set and adds up; the driver gets one row of numbers a set. A path with a link that the network lacks raises.
     """
 
-    def __init__(self, lines: DataFrame, edges: DataFrame, counted: DataFrame, most: int = 100_000):
+    def __init__(self, lines: DataFrame, edges: DataFrame, counted: DataFrame, variant: str = "current", tol: float = 1e-7):
         spark = lines.sparkSession
-        self.graph, self.table = _arrays(lines, edges), None
-        self.n, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        if distinct <= most:
-            self.by_dest = grouped_moves(self.graph, ((r["path"], r["n"]) for r in counted.orderBy("path").collect()))
-        else:
-            ship(spark)
-            self.shared = spark.sparkContext.broadcast(self.graph)
-            self.table = staged(counted.withColumn("dest", F.element_at("path", -1)).repartitionByRange("dest", "path").sortWithinPartitions("dest", "path"), "paths")
-
-    def __call__(self, p: Parameters) -> float:
-        if self.table is None:
-            return summed_log_probability(self.graph, self.by_dest, p)
-        shared = self.shared
+        ship(spark)
+        self.variant, self.tol, self.jobs = variant, tol, 0
+        self.shared = spark.sparkContext.broadcast(_arrays(lines, edges))
+        self.n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        stops = F.concat(F.array(F.lit(START)), "path")
+        steps = counted.select("n", F.element_at("path", -1).alias("dest"), stops.alias("s")).filter(F.size("s") > 2)
+        steps = steps.select("n", "dest", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 3)).alias("at"))
+        taken = steps.groupBy("dest", *[F.get("s", F.col("at") + k).alias(c) for k, c in enumerate("uvw")]).agg(F.sum("n").alias("n"))
+        self.rows = staged(taken.groupBy("dest").agg(F.collect_list(F.struct("u", "v", "w", "n")).alias("moves")), "moves")
+
+    def at(self, points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        """(log-likelihood, gradient) at each of the points."""
+        shared, variant, tol, points = self.shared, self.variant, self.tol, [np.asarray(x, float) for x in points]
+        width = 1 + len(points[0])
+        names = [f"s{k}" for k in range(width)]
 
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph, total = shared.value, 0.0
+            graph, total = shared.value, np.zeros((len(points), width))
             for batch in batches:
-                total += summed_log_probability(graph, grouped_moves(graph, zip(batch["path"], batch["n"])), p)
-            yield pd.DataFrame({"part": [total]})
+                by_dest = {dest: graph.taken(moves) for dest, moves in zip(batch["dest"], batch["moves"])}
+                for k, x in enumerate(points):
+                    total[k] += summed_log_probability(graph, by_dest, parameters_of(x, variant), width - 1, tol)
+            yield pd.DataFrame({"point": range(len(points))} | dict(zip(names, total.T)))
 
-        return float(self.table.select("path", "n").mapInPandas(run, "part double").agg(F.sum("part")).first()[0])
+        self.jobs += 1
+        parts = self.rows.mapInPandas(run, "point int, " + ", ".join(f"{s} double" for s in names))
+        found = {r["point"]: np.array(r[1:]) for r in parts.groupBy("point").agg(*[F.sum(s).alias(s) for s in names]).collect()}
+        rows = [found.get(k, np.zeros(width)) for k in range(len(points))]
+        return [(UNSETTLED, np.zeros(width - 1)) if r[0] <= UNSETTLED else (float(r[0]), r[1:]) for r in rows]
 
+    def __call__(self, x: np.ndarray) -> float:
+        return self.at([x])[0][0]
 
-def grouped_moves(graph: LineGraph, counted: Iterable[tuple[list[str], int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By destination: the transitions that paths take, and how often each is taken."""
-    taken: dict[str, dict[int, int]] = {}
-    for path, n in counted:
-        ks = [graph.index[link] for link in ((START, path[0]), *zip(path, path[1:]))]
-        own = taken.setdefault(path[-1], {})
-        for move in zip(ks, ks[1:]):
-            at = graph.moves[move]
-            own[at] = own.get(at, 0) + n
-    return {dest: (np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), float, len(own))) for dest, own in taken.items()}
 
-
-def summed_log_probability(graph: LineGraph, by_dest: dict[str, tuple[np.ndarray, np.ndarray]], p: Parameters) -> float:
-    """Of all paths; UNSETTLED where a destination has no values, as costs are too small for the sum over all walks to settle."""
+def summed_log_probability(graph: LineGraph, by_dest: dict[str, tuple[np.ndarray, np.ndarray]], p: Parameters, n_free: int, tol: float = 1e-7) -> np.ndarray:
+    """Value and gradient summed over all transitions taken; UNSETTLED where a destination has no values, as costs are too small for
+    the sum over all walks to settle."""
     utility, mu = graph.set(p)
-    total = 0.0
-    for some in graph.chunks(list(by_dest)):
-        values, settled, _ = graph.values(some, utility, mu)
+    du, dmu = graph.slopes(p, n_free)
+    out = np.zeros(1 + n_free)
+    for some in graph.chunks(list(by_dest), 4_000_000 // (1 + n_free)):
+        values, settled, _ = graph.values(some, utility, mu, tol=tol)
         if not settled.all():
-            return UNSETTLED
-        for dest, v in zip(some, values):
+            return np.array([UNSETTLED] + [0.0] * n_free)
+        slopes = graph.tangents(some, values, utility, mu, du, dmu, tol)
+        for row, dest in enumerate(some):
             moves, n = by_dest[dest]
-            total += n @ ((utility[moves] + v[graph.a[moves]] - v[graph.k[moves]]) / mu[moves])
-    return float(total)
+            v, m = values[row], mu[moves]
+            gain = utility[moves] + v[graph.a[moves]] - v[graph.k[moves]]
+            out[0] += n @ (gain / m)
+            dgain = du[:, moves] + slopes[:, row][:, graph.a[moves]] - slopes[:, row][:, graph.k[moves]]
+            out[1:] += (dgain / m - gain * dmu[:, moves] / m**2) @ n
+    return out
 
 
 def parameters_of(x: np.ndarray, variant: str = "current") -> Parameters:
@@ -265,11 +315,15 @@ def parameters_of(x: np.ndarray, variant: str = "current") -> Parameters:
 
 
 def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[float] | None = None, variant: str = "current", method: str = "bfgs", errors: bool = False, warm_rows: int = 50) -> dict:
-    """Maximum likelihood of trips (path): first on a sample of max(``warm_rows``, a quarter), then, from there, on all."""
+    """Maximum likelihood of trips (path): first on a sample of max(``warm_rows``, a quarter), then, from there, on all.
+
+    A step is one job, which gives value and gradient together. Standard errors are of the Hessian that differences of the gradient give,
+    all of them in one job.
+    """
     names = NAMES if variant == "current" else (*NAMES, "scale_regular")
     bounds = [(1e-5, 5.0)] * 4 + [(-5.0, 5.0)] if variant == "current" else [(-5.0, 5.0)] * 6
     x = np.array(start if start is not None else [1.0, 1.0, 1.0, 1.0, 0.5, 0.5][: len(names)], float)
-    lines = line_graph(edges, headways)
+    lines = staged(line_graph(edges, headways), "lines")
     counted = staged(trips.groupBy("path").agg(F.count("*").alias("n")), "counted")
     n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not n:
@@ -278,16 +332,36 @@ def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[flo
         # Trips of one path are alike: numbering them makes the hashed order the same however the rows lie.
         each = counted.select("path", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"))
         order = F.md5(F.concat_ws(":", F.array_join("path", "|"), F.col("k").cast("string")).cast("binary"))
-        warm = Likelihood(lines, edges, each.orderBy(order, "path", "k").limit(max(warm_rows, n // 4)).groupBy("path").agg(F.count("*").alias("n")))
-        x = minimise(lambda b: -warm(parameters_of(b, variant)), x, bounds, method).x
-    full = Likelihood(lines, edges, counted)
-    negative = lambda b: -full(parameters_of(b, variant))
-    found = minimise(negative, x, bounds, method)
+        warm = Likelihood(lines, edges, each.orderBy(order, "path", "k").limit(max(warm_rows, n // 4)).groupBy("path").agg(F.count("*").alias("n")), variant)
+        x = _least(warm, x, bounds, method).x
+    full = Likelihood(lines, edges, counted, variant)
+    found = _least(full, x, bounds, method)
     out = {"betas": dict(zip(names, map(float, found.x))), "log_likelihood": -found.value, "n_obs": full.n, "converged": found.converged}
-    return out | (standard_errors(negative, found.x, names) if errors else {})
+    return out | (errors_of(_curvature(full, found.x), found.x, names) if errors else {})
+
+
+def _least(likelihood: Likelihood, x: np.ndarray, bounds: list[tuple[float, float]], method: str) -> Minimum:
+    seen: dict[bytes, tuple[float, np.ndarray]] = {}
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray]:
+        if b.tobytes() not in seen:
+            seen.clear()
+            seen[b.tobytes()] = likelihood.at([b])[0]
+        return seen[b.tobytes()]
+
+    return minimise(lambda b: -at(b)[0], x, bounds, method, lambda b: -at(b)[1])
+
+
+def _curvature(likelihood: Likelihood, x: np.ndarray, step: float = 1e-4) -> np.ndarray:
+    """The negative log-likelihood's Hessian by central differences of its gradient: 2 n points, one job."""
+    h = step * np.maximum(np.abs(x), 1.0)
+    moves = [x + sign * h[k] * np.eye(len(x))[k] for k in range(len(x)) for sign in (1, -1)]
+    slopes = [g for _, g in likelihood.at(moves)]
+    rows = np.array([(slopes[2 * k] - slopes[2 * k + 1]) / (2 * h[k]) for k in range(len(x))])
+    return -(rows + rows.T) / 2
 
 
 def held_out_log_likelihood(trips: DataFrame, edges: DataFrame, headways: DataFrame, betas: dict[str, float]) -> float | None:
     """Of trips (path) under fitted parameters; null over none."""
-    own = Likelihood(line_graph(edges, headways), edges, staged(trips.groupBy("path").agg(F.count("*").alias("n")), "counted"))
-    return own(Parameters(**betas)) if own.n else None
+    own = Likelihood(line_graph(edges, headways), edges, staged(trips.groupBy("path").agg(F.count("*").alias("n")), "counted"), "current" if len(betas) == len(NAMES) else "v0")
+    return own(np.array(list(betas.values()))) if own.n else None

@@ -195,8 +195,12 @@ def test_a_likelihood_on_executors_is_the_drivers(spark, toy):
     edges, headways = toy
     counted = spark.createDataFrame([(["A", "B", "D"], 3), (["A", "C", "D"], 2), (["A", "B"], 4)], "path array<string>, n bigint")
     lines = nrl.line_graph(edges, headways)
-    here, there = (nrl.Likelihood(lines, edges, counted, most) for most in (10, 1))
-    assert here.n == there.n == 9 and there(nrl.Parameters()) == pytest.approx(here(nrl.Parameters()), rel=1e-12)
+    own, p = nrl.Likelihood(lines, edges, counted), nrl.Parameters(0.3, 0.2, 0.4, 0.5, 0.3)
+    ends = spark.createDataFrame([("D",), ("B",)], "dest string")
+    probs = nrl.path_log_probability(counted, nrl.transitions(lines, p), nrl.value_table(lines, edges, ends, p, tol=1e-7), ["n"]).collect()
+    assert own.n == 9 and own(np.array([0.3, 0.2, 0.4, 0.5, 0.3])) == pytest.approx(sum(r["n"] * r["log_p"] for r in probs), rel=1e-7)
+    with pytest.raises(Exception, match="lacks"):
+        nrl.Likelihood(lines, edges, spark.createDataFrame([(["A", "D"], 1)], "path array<string>, n bigint"))(np.ones(5))
     with pytest.raises(ValueError, match="no trips"):
         nrl.fit(counted.select("path").limit(0), edges, headways)
     assert nrl.held_out_log_likelihood(counted.select("path").limit(0), edges, headways, nrl.Parameters().__dict__) is None
@@ -206,7 +210,7 @@ def test_the_warm_sample_ignores_partitions(spark, toy, monkeypatch):
     edges, headways = toy
     trips = spark.createDataFrame([(["A", "B", "D"],)] * 45 + [(["A", "C", "D"],)] * 35, "path array<string>")
     seen = []
-    monkeypatch.setattr(nrl, "Likelihood", type("Kept", (), {"__init__": lambda self, lines, edges, counted: seen.append(sorted(map(str, counted.collect()))), "__call__": lambda self, p: -p.ivt**2, "n": 80}))
+    monkeypatch.setattr(nrl, "Likelihood", type("Kept", (), {"__init__": lambda self, lines, edges, counted, variant: seen.append(sorted(map(str, counted.collect()))), "at": lambda self, xs: [(-(x[0] ** 2), np.eye(5)[0] * -2 * x[0]) for x in xs], "n": 80}))
     for n in (1, 5):
         nrl.fit(trips.repartition(n), edges, headways)
     assert len(seen) == 4 and seen[:2] == seen[2:]
@@ -295,3 +299,19 @@ def test_partitioned_values_are_the_kernels(spark, toy, monkeypatch):
         assert got.keys() == want.keys()
         for k, r in want.items():
             assert got[k]["value"] == pytest.approx(r["value"], abs=1e-9) and (got[k]["converged"], got[k]["iterations"]) == (r["converged"], r["iterations"])
+
+
+def test_recursive_likelihood_gradient_is_differences(spark):
+    ring = [(f"n{k}", f"n{(k + 1) % 6}", f"R{k % 2}", 60.0 * (4 + k % 3), "transit") for k in range(6)]
+    ring += [(b, a, r, d, t) for a, b, r, d, t in ring] + [("n0", "n3", "walk", 500.0, "transfer"), ("n3", "n0", "walk", 500.0, "transfer")]
+    edges = spark.createDataFrame(ring, "from_stop string, to_stop string, route_id string, duration double, link_type string")
+    lines = nrl.line_graph(edges, spark.createDataFrame([("R0", 6.0)], "route_id string, headway_min double"))
+    counted = spark.createDataFrame([(["n0", "n1", "n2"], 5), (["n5", "n0", "n3", "n2"], 2), (["n4", "n3", "n0"], 3), (["n1", "n0"], 1), (["n1", "n2", "n3", "n0"], 2)], "path array<string>, n bigint")
+    for variant, x in (("current", [0.4, 0.3, 0.5, 0.7, -0.4]), ("v0", [0.4, 0.3, 0.5, 0.7, -0.4, 0.8])):
+        own, x = nrl.Likelihood(lines, edges, counted, variant, tol=1e-11), np.array(x)
+        h, n = 1e-5, len(x)
+        found = own.at([x, *(x + s * h * np.eye(n)[k] for k in range(n) for s in (1, -1))])
+        assert own.jobs == 1
+        slopes = [(found[1 + 2 * k][0] - found[2 + 2 * k][0]) / (2 * h) for k in range(n)]
+        assert found[0][1] == pytest.approx(slopes, rel=1e-4, abs=1e-5)
+    assert own(np.full(6, 1e-5)) == nrl.UNSETTLED
