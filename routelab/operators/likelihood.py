@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,19 @@ LEAST_P = 1e-12
 
 @dataclass
 class Local:
-    """Value, gradient and Hessian of the negative log-likelihood at a point."""
+    """Value, gradient and, where it comes with them, Hessian of the negative log-likelihood at a point."""
 
     value: float
     gradient: np.ndarray
-    hessian: np.ndarray
+    hessian: np.ndarray | None = None
+
+
+class Evaluator(Protocol):
+    """What :func:`newton` goes by: many points at once, and the Hessian at one."""
+
+    def at(self, points: Sequence[np.ndarray]) -> list[Local]: ...
+
+    def curvature(self, x: np.ndarray) -> np.ndarray: ...
 
 
 def packed(table: DataFrame, key: str, columns: Sequence[str], offset: str, chosen: str = "chosen") -> DataFrame:
@@ -103,11 +112,15 @@ class ConditionalLogit:
             out.append(Local(float(row[0]), row[1 : 1 + n], h + np.triu(h, 1).T))
         return out
 
+    def curvature(self, x: np.ndarray) -> np.ndarray:
+        return self.at([x])[0].hessian
+
 
-def newton(f: ConditionalLogit, start: Sequence[float], bounds: Sequence[tuple[float, float]], max_iter: int = 60, tol: float = 1e-8) -> Minimum:
-    """Newton's method within a box: each iteration is one job, which tries the whole step and shorter ones together.
+def newton(f: Evaluator, start: Sequence[float], bounds: Sequence[tuple[float, float]], max_iter: int = 60, tol: float = 1e-8) -> Minimum:
+    """Newton's method within a box: each iteration tries the whole step and shorter ones together, in one job.
 
-    Coordinates at a bound that the gradient pushes outwards rest. Directions without curvature take no step.
+    Coordinates at a bound that the gradient pushes outwards rest. Directions without curvature take no step; where the curvature is
+    negative its size counts, so that every step goes down.
     """
     low, high = (np.array(b, float) for b in zip(*bounds))
     x = np.clip(np.array(start, float), low, high)
@@ -118,7 +131,10 @@ def newton(f: ConditionalLogit, start: Sequence[float], bounds: Sequence[tuple[f
         if np.abs(np.where(free, g, 0)).max(initial=0.0) <= tol * max(1.0, abs(here.value)):
             return Minimum(x, here.value, True, at)
         step = np.zeros(len(x))
-        step[free] = -np.linalg.pinv(here.hessian[np.ix_(free, free)], hermitian=True) @ g[free]
+        size, axes = np.linalg.eigh((f.curvature(x) if here.hessian is None else here.hessian)[np.ix_(free, free)])
+        size = np.abs(size)
+        along = np.where(size > 1e-12 * size.max(initial=0.0), -(axes.T @ g[free]) / np.where(size > 0, size, 1.0), 0.0)
+        step[free] = axes @ along
         if step @ g >= 0:
             step = np.where(free, -g / max(1.0, np.abs(g).max()), 0)
         trials = [np.clip(x + t * step, low, high) for t in (1.0, 0.5, 0.25, 0.05, 0.005)]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelab.functions.scalar import TRANSFER, nest_scale
+from routelab.operators.likelihood import Local, newton
 from routelab.operators.optim import Minimum, errors_of, minimise
 from routelab.shipping import ship
 from routelab.staging import Scratch, staged
@@ -314,10 +315,10 @@ def parameters_of(x: np.ndarray, variant: str = "current") -> Parameters:
     return Parameters(*map(float, x[:5]), float(x[5]) if variant == "v0" else None)
 
 
-def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[float] | None = None, variant: str = "current", method: str = "bfgs", errors: bool = False, warm_rows: int = 50) -> dict:
+def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[float] | None = None, variant: str = "current", method: str = "newton", errors: bool = False, warm_rows: int = 50) -> dict:
     """Maximum likelihood of trips (path): first on a sample of max(``warm_rows``, a quarter), then, from there, on all.
 
-    A step is one job, which gives value and gradient together. Standard errors are of the Hessian that differences of the gradient give,
+    A step of newton is two jobs: the curvature, then some steps along it, tried together. Standard errors are of the Hessian that differences of the gradient give,
     all of them in one job.
     """
     names = NAMES if variant == "current" else (*NAMES, "scale_regular")
@@ -337,28 +338,34 @@ def fit(trips: DataFrame, edges: DataFrame, headways: DataFrame, start: list[flo
     full = Likelihood(lines, edges, counted, variant)
     found = _least(full, x, bounds, method)
     out = {"betas": dict(zip(names, map(float, found.x))), "log_likelihood": -found.value, "n_obs": full.n, "converged": found.converged}
-    return out | (errors_of(_curvature(full, found.x), found.x, names) if errors else {})
+    return out | (errors_of(_Negative(full).curvature(found.x), found.x, names) if errors else {})
 
 
-def _least(likelihood: Likelihood, x: np.ndarray, bounds: list[tuple[float, float]], method: str) -> Minimum:
-    seen: dict[bytes, tuple[float, np.ndarray]] = {}
+class _Negative:
+    """A likelihood as something to minimise."""
+
+    def __init__(self, likelihood: Likelihood):
+        self.likelihood, self.last = likelihood, (b"", None)
 
-    def at(b: np.ndarray) -> tuple[float, np.ndarray]:
-        if b.tobytes() not in seen:
-            seen.clear()
-            seen[b.tobytes()] = likelihood.at([b])[0]
-        return seen[b.tobytes()]
+    def at(self, points: list[np.ndarray]) -> list[Local]:
+        return [Local(-value, -slope) for value, slope in self.likelihood.at(points)]
 
-    return minimise(lambda b: -at(b)[0], x, bounds, method, lambda b: -at(b)[1])
+    def one(self, x: np.ndarray) -> Local:
+        if self.last[0] != x.tobytes():
+            self.last = x.tobytes(), self.at([x])[0]
+        return self.last[1]
 
+    def curvature(self, x: np.ndarray, step: float = 1e-4) -> np.ndarray:
+        """The Hessian by central differences of the gradient: 2 n points, one job."""
+        h = step * np.maximum(np.abs(x), 1.0)
+        slopes = [local.gradient for local in self.at([x + sign * h[k] * np.eye(len(x))[k] for k in range(len(x)) for sign in (1, -1)])]
+        rows = np.array([(slopes[2 * k] - slopes[2 * k + 1]) / (2 * h[k]) for k in range(len(x))])
+        return (rows + rows.T) / 2
 
-def _curvature(likelihood: Likelihood, x: np.ndarray, step: float = 1e-4) -> np.ndarray:
-    """The negative log-likelihood's Hessian by central differences of its gradient: 2 n points, one job."""
-    h = step * np.maximum(np.abs(x), 1.0)
-    moves = [x + sign * h[k] * np.eye(len(x))[k] for k in range(len(x)) for sign in (1, -1)]
-    slopes = [g for _, g in likelihood.at(moves)]
-    rows = np.array([(slopes[2 * k] - slopes[2 * k + 1]) / (2 * h[k]) for k in range(len(x))])
-    return -(rows + rows.T) / 2
+
+def _least(likelihood: Likelihood, x: np.ndarray, bounds: list[tuple[float, float]], method: str) -> Minimum:
+    f = _Negative(likelihood)
+    return newton(f, x, bounds) if method == "newton" else minimise(lambda b: f.one(b).value, x, bounds, method, lambda b: f.one(b).gradient)
 
 
 def held_out_log_likelihood(trips: DataFrame, edges: DataFrame, headways: DataFrame, betas: dict[str, float]) -> float | None:
