@@ -7,7 +7,7 @@ without the row turns margins into scores.
 
 The fit sees at most ``max_rows`` labelled ids, those of least md5 of the id, and of those, in that order, as many as have feature
 sets of at most ``max_bytes`` together: a documented bound, so that driver memory is bounded. Whole texts make the features.
-Scoring covers every row and whole texts.
+Scoring covers every row and whole texts, of any length; an empty table gives no rows, and trains a model without features.
 
 Defined cases: a null or empty text has no features; its margin is the bias. Rows with a null label don't train, and neither do
 labels without a document; of repeated labels of a document the least counts; of rows that repeat an id
@@ -121,7 +121,24 @@ def log_count_ratio(sets: list[np.ndarray], good: np.ndarray, alpha: float = 1.0
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def descend(sets: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
+class Scaled:
+    """The values of rows, their features' ratios at unit length: made when a row is visited, so that only the sets take memory."""
+
+    def __init__(self, sets: list[np.ndarray], ratio: np.ndarray):
+        self.sets, self.ratio = sets, ratio
+        self.norms = [max(np.sqrt(v @ v), 1e-12) for v in (ratio[s] for s in sets)]
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return (self.ratio[self.sets[k]] / self.norms[k]).astype(np.float32)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[k] for k in range(len(self)))
+
+
+def descend(sets: list[np.ndarray], values: list[np.ndarray] | Scaled, good: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1-loss linear SVM with a bias feature of 1: min 1/2 |w|^2 + sum cost * hinge."""
     weights, bias = np.zeros(SIZE), 0.0
     sign, alpha = np.where(good == 1, 1.0, -1.0), np.zeros(len(good))
@@ -170,8 +187,7 @@ def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float =
     def linear(rows: np.ndarray) -> Model:
         own, y = [sets[k] for k in rows], good[rows]
         ratio = log_count_ratio(own, y)
-        norms = [max(np.sqrt(v @ v), 1e-12) for v in (ratio[s] for s in own)]
-        values = [(ratio[s] / norm).astype(np.float32) for s, norm in zip(own, norms)]
+        values = Scaled(own, ratio)
         share = y.mean()
         cost = np.where(y == 1, c * 0.5 / share, c * 0.5 / (1 - share))
         weights, bias = descend(own, values, y, cost, epochs)
@@ -208,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_: str, text
     return own.join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "y", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False, max_bytes: int = 1 << 25) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", max_rows: int = 20_000, words_too: bool = False, max_bytes: int = 1 << 27) -> Model:
     """Fit on the labelled rows outside fold 0; only their distinct feature numbers, ``max_bytes`` at most, come to the driver."""
     ship(docs.sparkSession)
 
