@@ -6,11 +6,11 @@ from routelab.llm.url_reputation import LOWER, UPPER
 
 
 def _strength(level: str, parent_rate: str) -> str:
-    """SQL for kappa, the prior's weight in labels, of a level: (1 - rho) / rho of the beta-binomial's rho, kept in 0.02..0.5."""
+    """SQL for kappa, the prior's weight in labels, of a level: (1 - rho) / rho of the beta-binomial's rho, kept off 0 and 1."""
     spread = f"SUM(n * (1e0 * k / n - {parent_rate}) * (1e0 * k / n - {parent_rate}) / ({parent_rate} * (1 - {parent_rate})))"
     free = "(SUM(n) - 1e0 * SUM(n * n) / SUM(n) - COUNT(*) + 1)"
     rho = f"COALESCE(({spread} - COUNT(*) + 1) / NULLIF({free}, 0), 0e0)"
-    return f"SELECT (1 - r) / r AS kappa FROM (SELECT LEAST(GREATEST({rho}, 2e-2), 5e-1) AS r FROM {level}) x"
+    return f"SELECT (1 - r) / r AS kappa FROM (SELECT LEAST(GREATEST({rho}, 1e-7), 1 - 1e-7) AS r FROM {level}) x"
 
 
 HOSTS = f"""

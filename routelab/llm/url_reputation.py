@@ -3,15 +3,15 @@
 Labelled page outcomes are counted by host, registered domain and suffix, port cut
 off: the suffix is the last label, or the last two where ``suffixes`` lists them, and the domain has one label more. Each level's bad rate
 is shrunk towards that of the level above by a beta-binomial prior whose strength is estimated from the spread of the level's
-groups (method of moments); groups that look alike give a strong prior, but never one worth more than 49 labels (``LEAST_RHO``), so
-that a host's own outcomes always count. A host is blocked when the lower bound of its posterior bad rate, ``z`` standard deviations
+groups (method of moments): groups that differ no more than chance has it give a prior that outweighs any labels of their own, so that
+noise blocks nobody, and groups that differ give a weak one. A host is blocked when the lower bound of its posterior bad rate, ``z`` standard deviations
 below its mean, passes ``limit``: by default the bad rate of all labelled pages, so that whatever share of a corpus is bad, hosts
 that are worse than it with good odds go.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; its labels count for no host, and it is judged like
 a host without labels. Such a host has its domain's (suffix', corpus') rate. A page whose label is null, or that has none, adds
 nothing; of repeated labels of a page the worst counts once. Repeated pages are judged each. With no labels at all every host is
-allowed. Urls of any length are read whole; ties of equal rules can't occur (of rules as long the first in string order goes).
+allowed; empty tables give no rows. Urls of any length are read whole; ties of equal rules can't occur (of rules as long the first in string order goes).
 Extra columns of either table are dropped.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from routelab.llm.common import staged
 
-#: Bounds of a level's intra-class correlation: the least gives the strongest prior, (1 - 0.02) / 0.02 = 49 labels.
-LEAST_RHO, MOST_RHO = 0.02, 0.5
+#: Bounds of a level's intra-class correlation, for the numbers' sake only: below the least a prior is worth millions of labels.
+LEAST_RHO, MOST_RHO = 1e-7, 1 - 1e-7
 
 #: The alphabet whose letters are lower-cased in hosts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,3 +1,5 @@
+import numpy as np
+
 from routelab.llm import queries, url_reputation
 
 
@@ -48,12 +50,32 @@ def test_the_contract_rules():
     assert queries.URL_RULES == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
-def test_the_method_decides(spark):
+def test_the_rules_decide(spark):
     rows = queries.op10_host_reputation(spark, "/root/testdata/sf0.1").groupBy("rule", "verdict").count().collect()
-    assert {r["verdict"] for r in rows if r["rule"] is None} == {"allow", "block"}
     assert {(r["rule"], r["verdict"]) for r in rows if r["rule"]} == {(rule, verdict) for verdict, rule in queries.URL_RULES}
 
 
+def _planted(spark, bad_rate, n_hosts=200, n_pages=40, seed=3):
+    """Verdicts by host over labels drawn with ``bad_rate(host)``; a host has 4 to ``n_pages`` labelled pages."""
+    rng, pages, outcomes = np.random.default_rng(seed), [], []
+    for h in range(n_hosts):
+        for _ in range(int(rng.integers(4, n_pages))):
+            pages.append((len(pages), f"http://h{h}.site{h // 4}.{'com' if h % 3 else 'org'}/x"))
+            outcomes.append((len(outcomes), int(rng.random() < bad_rate(h))))
+    got = url_reputation.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, bad int"), [])
+    return {int(r["host"].split(".")[0][1:]): r["verdict"] for r in got.select("host", "verdict").distinct().collect()}
+
+
+def test_planted_hosts_go_and_noise_stays(spark):
+    noise = _planted(spark, lambda h: 0.2)
+    assert len(noise) == 200 and sum(v == "block" for v in noise.values()) <= 4  # hosts that are all alike: 2 % wrong at most
+    mixed = _planted(spark, lambda h: 0.85 if h % 10 == 0 else 0.08)
+    planted = [h for h in mixed if h % 10 == 0]
+    missed = sum(mixed[h] == "allow" for h in planted) / len(planted)
+    wrong = sum(v == "block" for h, v in mixed.items() if h % 10) / (len(mixed) - len(planted))
+    assert missed <= 0.05 and wrong <= 0.05  # measured: none and one in thirty, at odds of three to one
+
+
 def test_null_and_long_urls(spark):
     long = "http://" + "a" * 200_000 + ".com/" + "b" * 200_000
     pages = spark.createDataFrame([(k, None) for k in range(30)] + [(30, long)], "page_id bigint, url string")
