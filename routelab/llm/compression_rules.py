@@ -187,7 +187,10 @@ def compression_rules(df: DataFrame, text: str = "text", bands: Bands = Bands())
 
     Texts are read and compressed once; the narrow measures are staged, and verdicts follow once the limits are known.
     """
-    measured = staged(measure(df, text, bands), "compression")
+    # The table's own columns go under numbers, so that no name of theirs meets a measure's.
+    passed = {f"c{k}": c for k, c in enumerate(df.columns) if c not in FIELDS and c != text}
+    rows = df.select(F.col(text).alias("text"), *[F.col(f"`{c}`").alias(number) for number, c in passed.items()])
+    measured = staged(measure(rows, "text", bands), "compression")
     limits = limits_of(measured, bands)
     least, greatest = (F.array(*[F.lit(x[k] if x else None).cast("int") for x in limits]) for k in (0, 1))
 
@@ -201,5 +204,4 @@ def compression_rules(df: DataFrame, text: str = "text", bands: Bands = Bands())
     bad = F.when(F.size("chunks") > 0, bad / F.col("n_bytes")).otherwise(0.0)
     known = measured.withColumn("bad_chunk_share", bad).withColumn("kept", ~F.col("base_failed") & ~outside(F.col("band"), F.col("steps")) & (F.col("bad_chunk_share") <= bands.chunk_share))
     shown = {"least_ratio": F.pow(F.lit(2.0), F.get(least, F.col("band")) / STEPS), "greatest_ratio": F.pow(F.lit(2.0), F.get(greatest, F.col("band")) / STEPS)}
-    passed = [c for c in df.columns if c not in FIELDS and c in measured.columns and c not in ("band", "steps") and c not in [name for name, _, _ in MEASURES]]
-    return known.withColumns(shown).select(*passed, *FIELDS)
+    return known.withColumns(shown).select(*[F.col(number).alias(c) for number, c in passed.items()], *FIELDS)

@@ -131,6 +131,15 @@ def test_rules_odd_rows(odd):
     assert compression_rules.compression_rules(odd.limit(0)).count() == 0
 
 
+def test_rules_keep_columns_of_any_name(spark):
+    names = ["band", "steps", "text_key", "chunks", "n_bytes", "c0", "C1", "doc id", "a.b"]
+    df = spark.createDataFrame([(*range(len(names)), "some words " * 40, 7)], [*[f"x{k}" for k in range(len(names))], "text", "n_words"]).toDF(*names, "text", "n_words")
+    out = compression_rules.compression_rules(df)
+    assert out.columns == [*names, *compression_rules.FIELDS]
+    row = out.first()
+    assert list(row)[: len(names)] == list(range(len(names))) and row["n_words"] == 80
+
+
 def test_features_are_per_text():
     texts = ["One two THREE!! three three", None, "", "x", "One two THREE!! three three", "no no\nno no", "é É 三"]
     rows, found = qc.features(texts, True)
