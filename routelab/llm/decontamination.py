@@ -6,9 +6,14 @@ finds piece hits. A hit climbs a binary tree over the item's pieces: a node of p
 hit, by Myers' bit-parallel distance; the root is the item with its whole budget. (If a node occurs within its budget one of its
 children does too, so no match is lost on the way.)
 
+An item stands between word borders: it is searched with a space before and behind it, in a text with one at each end, so that "cat" is
+not found in "concatenate"; a border that is missing costs an edit. Items of fewer than ten characters have no edits to spend at a
+budget of a tenth and match as whole words only.
+
 Each item is reported once a document, at its place of least edits; of places with as few, at that of the least start, then end.
 
-Defined cases: null or empty texts match nothing, and neither do items without word characters. Repeated items are reported
+Defined cases: null or empty texts match nothing, and neither do items without word characters. Empty tables give no rows; an empty
+table of items finds nothing. Repeated items are reported
 each; repeated documents too. Ids of either table keep their type, nulls included. Extra columns are dropped. Very long texts are
 searched whole. Items beyond ``block_bytes`` take a further pass over the documents for each such block, so that a worker never
 holds more than one block's automaton.
@@ -66,15 +71,17 @@ class Pattern:
 
 
 class Matcher:
-    """Searches texts for the items of one block."""
+    """Searches texts for the items of one block; ``borders``: between word borders only."""
 
-    def __init__(self, items: list[tuple[int, str]], budget: float):
+    def __init__(self, items: list[tuple[int, str]], budget: float, borders: bool = False):
+        self.space = " " if borders else ""
         self.items, self.cuts, self.nodes, self.paths = {}, {}, {}, {}
         self.pieces = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
+            n = int(len(text) * budget) + 1
+            text = f"{self.space}{text}{self.space}"
             size = len(text)
-            n = int(size * budget) + 1
             cuts = [size * j // n for j in range(n + 1)]
             self.items[k], self.cuts[k] = text, cuts
             for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -135,6 +142,7 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         if not text:
             return []
+        length, text = len(text), f"{self.space}{text}{self.space}"
         for last, (size, where) in self.pieces.iter(text):
             start = last + 1 - size
             for k, j in where:
@@ -142,7 +150,9 @@ class Matcher:
                     continue
                 if (found := self.climb(text, start, k, j)) and (k not in best or found < best[k]):
                     best[k] = found
-        return [(self.ids[k], *found) for k, found in best.items()]
+        # Without the spaces around it a place begins where its first space does, as the text's own first space is cut too.
+        cut = 2 * len(self.space)
+        return [(self.ids[k], edits, min(start, length), max(min(start, length), min(end - cut, length))) for k, (edits, start, end) in best.items()]
 
 
 def blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -177,7 +187,7 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, doc: str
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Matcher(shared.value, budget)
+            search = Matcher(shared.value, budget, True)
             for batch in batches:
                 rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for found in search(t.as_py())]
                 columns = list(zip(*rows)) or [()] * 5
@@ -196,7 +206,7 @@ def without_items(docs: DataFrame, items: DataFrame, budget: float = 0.1, text:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Matcher(shared.value, budget)
+            search = Matcher(shared.value, budget, True)
             for batch in batches:
                 clean = [not search(t.as_py()) for t in batch.column(batch.schema.names.index(text))]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -285,6 +285,18 @@ def test_the_least_of_overlapping_places():
     assert [m[1] for m in decontamination.Matcher([(1, item)], 0.2)("a b a ba a b a ba ab")] == [distance(item, "a b a ba a b a ba ab")]
 
 
+def test_items_stand_between_word_borders(spark):
+    texts = ["concatenate a cat", "concatenate", "category", "cat", "a bobcat sat", "The CAT. sat", "sat cats", None, "the quick brown foxes jump", "thequick brown fox jumps", "xthe quick brown fox jumpsx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame([(1, "cat"), (2, "a"), (3, "the quick brown fox jumps")], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["match_start"], r["match_end"]) for r in decontamination.find_items(docs, items).collect()}
+    assert {k for k in got if k[1] == 1} == {(0, 1), (3, 1), (5, 1)} and {k for k in got if k[1] == 2} == {(0, 2), (4, 2)}
+    assert got[0, 1] == (0, 14, 17) and got[3, 1] == (0, 0, 3) and got[5, 1] == (0, 4, 7) and got[0, 2] == (0, 12, 13)
+    assert got[9, 3][0] == 1 and got[10, 3][0] == 2 and (8, 3) not in got  # a lost border costs an edit; "es", " jump" and "s" are more than two
+    kept = {r[0] for r in decontamination.without_items(docs, items).select("doc_id").collect()}
+    assert kept == {1, 2, 6, 7, 8}
+
+
 def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([("d1", "some words that leak here"), (None, "some words that leak")], "doc_id string, text string")
     items = spark.createDataFrame([("q", "words that leak")], "item_id string, text string")
