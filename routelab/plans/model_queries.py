@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,6 +101,16 @@ def nrl_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.round(F.sum("log_p"), 4).alias("log_likelihood"), F.count("*").alias("n_obs"))
 
 
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models' likelihoods of the observed trips at the true parameters, beside these."""
+    parts = {"eps": eps_nll(spark, sf_dir).select((-F.col("nll")).alias("log_likelihood"), "n_obs"), "nrl": nrl_ll(spark, sf_dir)}
+    rows = spark.createDataFrame([(k, "true", float(v)) for k, v in asdict(TRUE_BETAS).items()], "metric string, model string, value double")
+    for model, fit in parts.items():
+        long = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("log_likelihood", "n_obs")])).alias("m")
+        rows = rows.unionByName(fit.select(long).select("m.metric", F.lit(model).alias("model"), "m.value"))
+    return metrics.comparison(rows)
+
+
 # --- checked by tests: random numbers, optimisers and clocks have no SQL form ----------------------------------------------------
 
 
@@ -157,7 +169,7 @@ def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "link_probs": link_probs, "path_log_q": path_log_q, "expanded_path_size": expanded_path_size, "eps_nll": eps_nll, "line_graph": line_graph,
-    "nrl_values": nrl_values, "nrl_path_logprob": nrl_path_logprob, "nrl_ll": nrl_ll, "biased_walk": biased_walk, "eps_fit": eps_fit, "nrl_fit": nrl_fit,
+    "nrl_values": nrl_values, "nrl_path_logprob": nrl_path_logprob, "nrl_ll": nrl_ll, "model_comparison": model_comparison, "biased_walk": biased_walk, "eps_fit": eps_fit, "nrl_fit": nrl_fit,
     "standard_errors": standard_errors, "hit_rate": hit_rate, "draw_sweep": draw_sweep, "runtime_summary": runtime_summary,
 }
 
@@ -239,3 +251,7 @@ FROM walker WHERE path[-1] = dest GROUP BY obs_id, origin, dest, path""",
 }
 for _name in ("eps_nll", "hit_rate"):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("\n, valued_ AS", ",\nvalued_ AS")
+_TRUE = ", ".join(f"('{k}', NULL, NULL, {v}::DOUBLE)" for k, v in asdict(TRUE_BETAS).items())
+ORACLE_SQL["model_comparison"] = f"""SELECT 'log_likelihood' AS metric, -nll AS eps, log_likelihood AS nrl, NULL AS "true" FROM ({ORACLE_SQL["eps_nll"]}) e, ({ORACLE_SQL["nrl_ll"]}) n
+UNION ALL SELECT 'n_obs', CAST(e.n_obs AS DOUBLE), CAST(n.n_obs AS DOUBLE), NULL FROM ({ORACLE_SQL["eps_nll"]}) e, ({ORACLE_SQL["nrl_ll"]}) n
+UNION ALL SELECT * FROM (VALUES {_TRUE}) t(metric, eps, nrl, "true")"""

@@ -14,7 +14,6 @@ STOPS = [
     ("A", "Station A", None, 0.0, 1.0, 1.0), ("A_PF1", "Station A, Platform 1", "A", 0.0, 1.0, 1.002), ("A_PF2", "Station A, Platform 2", "A", 0.0, 1.0, 1.004),
     ("B", "Station B", None, 0.0, 2.0, 2.0), ("P_STAND", "Parramatta Station, Stand A1", "PRRA", 2.0, 3.0, 3.0), ("P", "Parramatta Station", "PRRA", 1.0, 3.002, 3.002),
 ]
-TIMES = ["01:02:03", "25:00:00", "garbage", " 7:05:09 ", "1:2", "1:2:3:4", "aa:bb:cc", None, ""]
 CALENDAR = [("S0", 1, 1, 1, 1, 1, 0, 0), ("S1", 0, 0, 0, 0, 0, 1, 1), ("S2", 1, 1, 1, 1, 1, 1, 0), ("S3", 0, 0, 0, 0, 1, 0, 0)]
 CALENDAR_SCHEMA = "service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int"
 
@@ -87,7 +86,14 @@ def resolved_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gtfs_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TIMES], "t string").select("t", gtfs_seconds("t").alias("seconds"))
+    """Seconds of every event's time as feeds write it: beyond midnight, unpadded and spaced, too short, too long, or no time at all."""
+    rest = F.date_format("ts", ":mm:ss")
+    loose = F.concat(F.lit(" "), F.hour("ts").cast("string"), F.lit(":"), F.minute("ts").cast("string"), F.lit(":"), F.second("ts").cast("string"), F.lit(" "))
+    ways = [F.concat((F.hour("ts") + 24).cast("string"), rest), loose, F.date_format("ts", "HH:mm"), F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(":0")), F.concat(F.col("event_type"), rest)]
+    text = F.date_format("ts", "HH:mm:ss")
+    for k, way in enumerate(ways):
+        text = F.when(F.col("event_id") % (len(ways) + 1) == k, way).otherwise(text)
+    return a.table(spark, sf_dir, "events").select("event_id", text.alias("t")).select("event_id", "t", gtfs_seconds("t").alias("seconds"))
 
 
 def station_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +188,10 @@ counts AS (SELECT route_id, stop_id, COUNT(*) AS n FROM first GROUP BY ALL) SELE
     "weekday_service": f"WITH {WEEKDAY} SELECT route_id, service_id FROM weekday",
     "resolved_service": f"""WITH {WEEKDAY}, routes AS (SELECT route_id FROM trips UNION SELECT 'X1' UNION SELECT 'X2')
 SELECT route_id, COALESCE(service_id, CASE WHEN route_id = 'X1' THEN 'S9' END, 'weekday') AS service_id FROM routes LEFT JOIN weekday USING (route_id)""",
-    "gtfs_time": f"""WITH v(t) AS (VALUES {_values([(t,) for t in TIMES])}), p AS (SELECT t, string_split(TRIM(t), ':') AS x FROM v)
-SELECT t, CASE WHEN len(x) = 3 THEN TRY_CAST(x[1] AS BIGINT) * 3600 + TRY_CAST(x[2] AS BIGINT) * 60 + TRY_CAST(x[3] AS BIGINT) END AS seconds FROM p""",
+    "gtfs_time": """WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN (hour(ts) + 24) || strftime(ts, ':%M:%S') WHEN 1 THEN ' ' || hour(ts) || ':' || minute(ts) || ':' || second(ts) || ' '
+    WHEN 2 THEN strftime(ts, '%H:%M') WHEN 3 THEN strftime(ts, '%H:%M:%S') || ':0' WHEN 4 THEN event_type || strftime(ts, ':%M:%S') ELSE strftime(ts, '%H:%M:%S') END AS t FROM events),
+p AS (SELECT event_id, t, string_split(TRIM(t), ':') AS x FROM v)
+SELECT event_id, t, CASE WHEN len(x) = 3 THEN TRY_CAST(x[1] AS BIGINT) * 3600 + TRY_CAST(x[2] AS BIGINT) * 60 + TRY_CAST(x[3] AS BIGINT) END AS seconds FROM p""",
     "station_collapse": f"""WITH v(stop_id, stop_name, parent, kind, lat, lon) AS (VALUES {_values(STOPS)}), {STATIONS},
 stops AS (SELECT * FROM v UNION ALL SELECT id, nation.n_name, 'G' || n_regionkey, NULL, lat, lon FROM stations JOIN nation ON k = n_nationkey),
 keyed AS (SELECT COALESCE(parent, stop_id) AS station_id, TRIM(regexp_replace(stop_name, ',\\s*Platform\\s*\\d+$', '')) AS name, CASE WHEN kind = 1 THEN '0' ELSE '1' END || stop_id AS r, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM stops)

@@ -121,25 +121,19 @@ def transfer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.value_counts(_choices(spark, sf_dir), "n_transfers")
 
 
-PARAMETERS = [("ivt", 0.03, 0.025), ("wait", 0.04, 0.05), ("walk", 0.035, 0.035), ("transfer", 0.5, 0.4), ("pathsize", 0.9, 0.0), ("constant", -0.4, -0.5), ("sign", 0.1, -0.2)]
-METRICS = [("log_likelihood", "eps", -10.5), ("log_likelihood", "nrl", -11.0), ("n_obs", "eps", 40.0), ("n_obs", "nrl", 40.0), ("ivt", "eps", 0.03), ("ivt", "true", 0.025)]
-
-
 def parameter_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PARAMETERS, "name string, fitted double, true double")
-    out = metrics.parameter_bias(rows.select("name", F.col("fitted").alias("value")), rows.select("name", F.col("true").alias("value")))
-    return out.select("name", "true", "fitted", F.round("bias", 6).alias("bias"), F.round("pct_bias", 4).alias("pct_bias"))
-
-
-def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.comparison(spark.createDataFrame(METRICS, "metric string, model string, value double"))
+    """How far the mean (centred) discount of returned lines is off that of all lines, by line number."""
+    lines = a.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_discount") - 0.05).alias("x"), "l_returnflag")
+    mean = lambda df: df.groupBy("name").agg(F.avg("x").alias("value"))
+    out = metrics.parameter_bias(mean(lines.filter("l_returnflag = 'R'")), mean(lines))
+    return out.select("name", F.round("true", 8).alias("true"), F.round("fitted", 8).alias("fitted"), F.round("bias", 8).alias("bias"), F.round("pct_bias", 4).alias("pct_bias"))
 
 
 QUERIES = {
     "simple_paths": simple_paths, "path_counts": path_counts, "k_shortest": k_shortest, "richest_od": richest_od, "path_components": path_components, "path_size": path_size,
     "path_utility": path_utility, "choice_probabilities": choice_probabilities, "generalized_time": generalized_time, "synthetic_trips": synthetic_trips,
     "gumbel_choice": gumbel_choice, "train_test_split": train_test_split, "null_ll": null_ll, "rho_squared": rho_squared, "attribute_summary": attribute_summary,
-    "attribute_corr": attribute_corr, "transfer_distribution": transfer_distribution, "parameter_bias": parameter_bias, "model_comparison": model_comparison,
+    "attribute_corr": attribute_corr, "transfer_distribution": transfer_distribution, "parameter_bias": parameter_bias,
 }
 
 _WALKED = a.with_(a.GRID, a.WALKS)
@@ -176,9 +170,8 @@ SELECT o_orderkey, o_custkey, at_ <= CASE WHEN n >= 2 THEN GREATEST(1, round_eve
     "attribute_summary": _CHOSEN + " UNION ALL ".join(map(_Q, ATTRIBUTES)),
     "attribute_corr": _CHOSEN + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, ROUND(CORR({x}, {y}), 6) AS r FROM choices" for x in ATTRIBUTES for y in ATTRIBUTES),
     "transfer_distribution": _CHOSEN + "SELECT n_transfers, COUNT(*) AS n FROM choices GROUP BY ALL",
-    "parameter_bias": "SELECT name, t AS true, f AS fitted, ROUND(f - t, 6) AS bias, CASE WHEN t <> 0 THEN ROUND(100 * (f - t) / t, 4) END AS pct_bias FROM (VALUES "
-    + ", ".join(f"('{n}', {f}::DOUBLE, {t}::DOUBLE)" for n, f, t in PARAMETERS) + ") v(name, f, t)",
-    "model_comparison": "SELECT metric, MAX(value) FILTER (model = 'eps') AS eps, MAX(value) FILTER (model = 'nrl') AS nrl, MAX(value) FILTER (model = 'true') AS true FROM (VALUES "
-    + ", ".join(f"('{m}', '{k}', {v}::DOUBLE)" for m, k, v in METRICS) + ") v(metric, model, value) GROUP BY metric",
+    "parameter_bias": """WITH line AS (SELECT 'line' || l_linenumber AS name, l_discount - 5e-2 AS x, l_returnflag FROM lineitem),
+mean AS (SELECT name, AVG(x) AS t, AVG(x) FILTER (l_returnflag = 'R') AS f FROM line GROUP BY name)
+SELECT name, ROUND(t, 8) AS "true", ROUND(f, 8) AS fitted, ROUND(f - t, 8) AS bias, CASE WHEN t <> 0 THEN ROUND(100 * (f - t) / t, 4) END AS pct_bias FROM mean WHERE f IS NOT NULL""",
 }
 ORACLE_SQL["gumbel_choice"] = ORACLE_SQL["gumbel_choice"].replace("\n, shocked", ",\nshocked")
