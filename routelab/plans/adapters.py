@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from routelab.config import TRUE_BETAS
 from routelab.operators.graph import simple_paths
@@ -55,6 +56,14 @@ def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(mirrored(transit.unionByName(walks)).coalesce(1), "grid")
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network that grows with the tables: parts are stops, orders trips that call at their lines' parts in turn, times are means."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    legs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), (60.0 + 10.0 * F.col("l_quantity")).alias("d"))
+    mean = legs.filter("b is not null and a <> b").groupBy("a", "b").agg(F.avg("d").alias("duration"))
+    return staged(mean.select(F.col("a").cast("string").alias("from_stop"), F.col("b").cast("string").alias("to_stop"), "duration"), "parts")
+
+
 def grid_headways(edges: DataFrame) -> DataFrame:
     return edges.filter("link_type <> 'transfer'").select("route_id", (6.0 + 2.0 * F.substring("route_id", 2, 1).cast("int")).alias("headway_min")).distinct()
 

@@ -121,6 +121,14 @@ def transfer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.value_counts(_choices(spark, sf_dir), "n_transfers")
 
 
+def order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least seconds from the ten busiest parts to all parts, over the network of orders: a frontier search."""
+    edges = a.part_edges(spark, sf_dir)
+    busiest = a.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(10)
+    found = graph.frontier_paths(edges, busiest.select(F.col("p").cast("string").alias("origin")), with_path=False)
+    return found.select("origin", "dest", F.round("seconds", 4).alias("seconds"))
+
+
 def parameter_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the mean (centred) discount of returned lines is off that of all lines, by line number."""
     lines = a.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_discount") - 0.05).alias("x"), "l_returnflag")
@@ -133,7 +141,7 @@ QUERIES = {
     "simple_paths": simple_paths, "path_counts": path_counts, "k_shortest": k_shortest, "richest_od": richest_od, "path_components": path_components, "path_size": path_size,
     "path_utility": path_utility, "choice_probabilities": choice_probabilities, "generalized_time": generalized_time, "synthetic_trips": synthetic_trips,
     "gumbel_choice": gumbel_choice, "train_test_split": train_test_split, "null_ll": null_ll, "rho_squared": rho_squared, "attribute_summary": attribute_summary,
-    "attribute_corr": attribute_corr, "transfer_distribution": transfer_distribution, "parameter_bias": parameter_bias,
+    "attribute_corr": attribute_corr, "transfer_distribution": transfer_distribution, "parameter_bias": parameter_bias, "order_times": order_times,
 }
 
 _WALKED = a.with_(a.GRID, a.WALKS)
@@ -170,6 +178,12 @@ SELECT o_orderkey, o_custkey, at_ <= CASE WHEN n >= 2 THEN GREATEST(1, round_eve
     "attribute_summary": _CHOSEN + " UNION ALL ".join(map(_Q, ATTRIBUTES)),
     "attribute_corr": _CHOSEN + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, ROUND(CORR({x}, {y}), 6) AS r FROM choices" for x in ATTRIBUTES for y in ATTRIBUTES),
     "transfer_distribution": _CHOSEN + "SELECT n_transfers, COUNT(*) AS n FROM choices GROUP BY ALL",
+    "order_times": """WITH RECURSIVE leg AS (SELECT l_partkey AS a, LEAD(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, 60 + 10 * l_quantity AS d FROM lineitem),
+link AS (SELECT a, b, AVG(d) AS c FROM leg WHERE b IS NOT NULL AND a <> b GROUP BY a, b),
+busy AS (SELECT l_partkey AS p FROM lineitem GROUP BY l_partkey ORDER BY COUNT(*) DESC, l_partkey LIMIT 10),
+met AS (SELECT 0 AS hops, p AS origin, p AS node, 0::DOUBLE AS s FROM busy
+  UNION ALL SELECT hops + 1, origin, b, MIN(s + c) FROM met JOIN link ON node = a WHERE hops < 16 GROUP BY hops, origin, b)
+SELECT CAST(origin AS VARCHAR) AS origin, CAST(node AS VARCHAR) AS dest, ROUND(MIN(s), 4) AS seconds FROM met GROUP BY origin, node""",
     "parameter_bias": """WITH line AS (SELECT 'line' || l_linenumber AS name, l_discount - 5e-2 AS x, l_returnflag FROM lineitem),
 mean AS (SELECT name, AVG(x) AS t, AVG(x) FILTER (l_returnflag = 'R') AS f FROM line GROUP BY name)
 SELECT name, ROUND(t, 8) AS "true", ROUND(f, 8) AS fitted, ROUND(f - t, 8) AS bias, CASE WHEN t <> 0 THEN ROUND(100 * (f - t) / t, 4) END AS pct_bias FROM mean WHERE f IS NOT NULL""",
