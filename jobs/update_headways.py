@@ -8,7 +8,8 @@ the date and replace the date's partition of ``OUTPUT/headways``: calls that arr
 
 Running again takes nothing twice. A batch that failed half way is repeated under its number and replaces what it left; a call that comes
 in two files counts once, by its id, with the earliest time, least route and least stop of its rows. Calls without an id, time, route or
-stop are left out. An empty folder gives empty tables. The config file names the columns, as SQL expressions over the files' columns.
+stop are left out. A folder whose files have no rows gives empty tables. On a cluster the session's spark.checkpoint.dir must name a folder
+that driver and executors share: gaps are staged there, and deleted when the command ends. The config file names the columns, as SQL expressions over the files' columns.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import config, log, session, write_partitions
 from routelab.operators.gtfs import median_gap_minutes
+from routelab.staging import clear
 
 CALLS = "call_id string, route_id string, stop_id string, second double, service_date date, batch bigint"
 HEADWAYS = "route_id string, stop_id string, n_calls bigint, headway_min double, service_date date"
@@ -87,6 +89,7 @@ def main() -> None:
     try:
         run(spark, args.calls, args.output, args.checkpoint, config("update_headways", args.config))
     finally:
+        clear(spark)
         spark.stop()
 
 

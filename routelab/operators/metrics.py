@@ -8,6 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelab.operators.ranks import exact_quantiles
+from routelab.staging import staged
+
+#: Values of a column up to which a task orders them all.
+MANY_VALUES = 1_000_000
+
 
 def rho_squared(log_likelihood: float, null: float) -> float:
     return 1 - log_likelihood / null
@@ -31,11 +37,21 @@ def comparison(values: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n, mean, std, least, quartiles and greatest of each column; quartiles are exact and interpolated."""
+    """name, n, mean, std, least, quartiles and greatest of each column; quartiles are exact and interpolated.
+
+    Up to MANY_VALUES rows a task orders a column's values; beyond, the quartiles are narrowed down, with the same result.
+    """
     spread = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")
     rows = df.select(spread).select("s.name", "s.x")
     q = lambda p: F.expr(f"percentile(x, {p})")
-    return rows.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("x").alias("max"))
+    plain = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    shown = ["name", "n", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    if df.limit(MANY_VALUES + 1).count() <= MANY_VALUES:
+        return rows.groupBy("name").agg(*plain, q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75")).select(shown)
+    rows = staged(rows, "values")
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("quantile")))
+    quartiles = exact_quantiles(rows, ["name"], "x", [0.25, 0.5, 0.75]).groupBy("name").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return rows.groupBy("name").agg(*plain).join(quartiles, "name", "left").select(shown)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.functions.scalar import gumbel, hashed_uniform, trips_to_draw
+from routelab.operators.ranks import ranked
 
 PAIR = ["origin", "dest"]
 
@@ -43,9 +44,10 @@ def universal_trips(choices: DataFrame, observations: int, seed: int = 42) -> Da
 
 
 def train_test_split(trips: DataFrame, strata: list[str], key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """``trips`` with ``is_test``: of a stratum of n >= 2 rows max(1, round-half-even(n f)), by hashed order of ``key``; of one row none."""
-    w = Window.partitionBy(*strata)
-    order = w.orderBy(hashed_uniform(key, F.lit(seed)), key)
-    n = F.count("*").over(w)
-    tested = F.when(n >= 2, F.greatest(F.lit(1), F.rint(n * F.lit(fraction)).cast("int"))).otherwise(0)
-    return trips.withColumns({"__n": tested, "__at": F.row_number().over(order)}).withColumn("is_test", F.col("__at") <= F.col("__n")).drop("__n", "__at")
+    """``trips`` with ``is_test``: of a stratum of n >= 2 rows max(1, round-half-even(n f)), by hashed order of ``key``; of one row none.
+
+    A stratum may hold all rows: no task orders more than a part of it.
+    """
+    known = ranked(trips, strata, hashed_uniform(key, F.lit(seed)), key, rank="__at", size="__n")
+    tested = F.when(F.col("__n") >= 2, F.greatest(F.lit(1), F.rint(F.col("__n") * F.lit(fraction)).cast("int"))).otherwise(0)
+    return known.withColumn("is_test", F.col("__at") <= tested).drop("__n", "__at")
