@@ -101,9 +101,35 @@ def demand_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.join(known.select(F.col("station_id").alias("origin_station_id"), "total_demand"), "origin_station_id", "left").select("origin_station_id", "dest_station_id", "total_trips", "total_demand")
 
 
+def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar file read back, with what runs on weekdays only: a service runs on the days that have at least its mean of orders."""
+    folder, key = fresh_uri(spark, "calendar"), F.col("o_orderkey")
+    days = a.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("S"), (key % 40).cast("string")).alias("service_id"), F.dayofweek("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    total = days.groupBy("service_id").agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("day") == k, F.col("n"))), F.lit(0)).alias(f"d{k}") for k in range(1, 8)])
+    names = [(d, 2 + k if k < 6 else 1) for k, d in enumerate(tables.DAYS)]
+    tables.write_table(total.select("service_id", *[(F.col(f"d{k}") * 7 >= F.col("all")).cast("int").alias(d) for d, k in names]), f"{folder}/calendar.txt", "csv")
+    return tables.read_calendar(spark, folder).withColumn("weekdays_only", gtfs.runs_on_weekdays_only())
+
+
+def filtered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the trips with one headsign alone, by route and stop: the semi-join of a filtered scan."""
+    f = feed(spark, sf_dir)
+    trips = f["trips"].filter("trip_headsign = 'F'")
+    calls = tables.trip_stop_times(f["stop_times"], trips).join(trips.select("trip_id", "route_id"), "trip_id")
+    return calls.groupBy("route_id", "stop_id").agg(F.count("*").alias("n_calls"), F.min("departure_time").alias("first_departure"))
+
+
+def processed_headways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headway table written as a processed file and read back; no file is an empty table."""
+    folder = fresh_uri(spark, "processed")
+    tables.write_table(headway_table(spark, sf_dir), f"{folder}/headways", "csv")
+    return tables.read_headways(spark, f"{folder}/headways").unionByName(tables.read_headways(spark, f"{folder}/absent"))
+
+
 QUERIES = {
     "gtfs_scan": gtfs_scan, "canonical_trips": canonical_trips, "reference_stops": reference_stops, "headway_table": headway_table, "supernetwork": supernetwork,
-    "ridership_scans": ridership_scans, "demand_dispatch": demand_dispatch,
+    "ridership_scans": ridership_scans, "demand_dispatch": demand_dispatch, "calendar_scan": calendar_scan,
+    "filtered_calls": filtered_calls, "processed_headways": processed_headways,
 }
 
 _ROUTES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in ROUTES)
@@ -140,3 +166,9 @@ UNION ALL SELECT 'pairs', origin, destination, x FROM p""",
     "demand_dispatch": f"""WITH {a.GRID}, {_ENDS}, {_PAIRS}, t AS (SELECT n_name AS name, COALESCE(e.x, 0) + COALESCE(f.x, 0) AS total, e.x IS NULL AND f.x IS NULL AS none FROM nation LEFT JOIN e ON e.name = n_name LEFT JOIN f ON f.name = n_name)
 SELECT CAST(i AS VARCHAR) AS origin_station_id, CAST(j AS VARCHAR) AS dest_station_id, x AS total_trips, CASE WHEN NOT none THEN total END AS total_demand FROM p JOIN t ON t.name = origin""",
 }
+ORACLE_SQL["processed_headways"] = ORACLE_SQL["headway_table"]
+ORACLE_SQL["filtered_calls"] = f"""{FEED} SELECT route_id, stop_id, COUNT(*) AS n_calls, MIN(printf('%02d:%02d:%02d', sec // 3600, sec // 60 % 60, sec % 60)) AS first_departure
+FROM calls_ JOIN trips_ USING (trip_id) WHERE trip_headsign = 'F' GROUP BY route_id, stop_id"""
+_RUNS = ", ".join(f"CAST(COUNT(*) FILTER (day = {(k + 1) % 7}) * 7 >= COUNT(*) AS INT) AS {d}" for k, d in enumerate(tables.DAYS))
+ORACLE_SQL["calendar_scan"] = f"""WITH o AS (SELECT 'S' || (o_orderkey % 40) AS service_id, dayofweek(o_orderdate) AS day FROM orders), c AS (SELECT service_id, {_RUNS} FROM o GROUP BY service_id)
+SELECT *, GREATEST(monday, tuesday, wednesday, thursday, friday) = 1 AND saturday = 0 AND sunday = 0 AS weekdays_only FROM c"""
