@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from routelab.staging import fresh_uri, shared_dir, staged
 
-__all__ = ["fresh_uri", "shared_dir", "spread", "staged", "table", "tidy", "utf8"]
+__all__ = ["fresh_uri", "release", "shared_dir", "spread", "staged", "table", "tidy", "utf8"]
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -35,7 +35,8 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "utf-8")
 
 
-def _release() -> None:
+def release() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -53,7 +54,7 @@ def tidy(run: Callable[[Batches], Iterator[pa.RecordBatch]], every: int = 8) ->
         for n, batch in enumerate(run(batches), 1):
             yield batch
             if n % every == 0:
-                _release()
-        _release()
+                release()
+        release()
 
     return wrapped

@@ -6,7 +6,7 @@ linear hinge-loss model of unit-length rows is fitted by dual coordinate descent
 without the row turns margins into scores.
 
 The fit sees at most ``max_rows`` labelled ids, those of least md5 of the id, and of those, in that order, as many as have feature
-sets of at most ``max_bytes`` together: a documented bound, so that driver memory is bounded. Whole texts make the features.
+sets of at most ``max_bytes`` (four a feature) together: a documented bound, so that driver memory is bounded. Whole texts make the features.
 Scoring covers every row and whole texts, of any length; an empty table gives no rows, and trains a model without features.
 
 Defined cases: a null or empty text has no features; its margin is the bias. Rows with a null label don't train, and neither do
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from routelab.llm.bpe import slices
-from routelab.llm.common import staged, tidy
+from routelab.llm.common import release, staged, tidy
 from routelab.shipping import ship
 
 BITS = 18
@@ -114,17 +114,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows, found, n) + self.c, -50, 50)))
 
 
-def log_count_ratio(sets: list[np.ndarray], good: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratio(sets: list[np.ndarray] | Packed, good: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     counts = np.full((2, SIZE), alpha)
     for s, g in zip(sets, good):
         counts[int(g), s] += 1  # a set's features are distinct
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A sorted set of feature numbers in half its size: how many have each value above their low 16 bits, and these bits."""
+    return np.bincount(found >> 16, minlength=SIZE >> 16).astype("<i4").tobytes() + (found & 0xFFFF).astype("<u2").tobytes()
+
+
+class Packed:
+    """Sets that :func:`packed` made, over views of their bytes; one is unpacked when it is asked for."""
+
+    HEAD = 4 * (SIZE >> 16)
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        raw = self.parts[k]
+        high = np.repeat(np.arange(SIZE >> 16, dtype=np.int32) << 16, np.frombuffer(raw, "<i4", SIZE >> 16))
+        return high | np.frombuffer(raw, "<u2", offset=self.HEAD)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[k] for k in range(len(self)))
+
+
 class Scaled:
     """The values of rows, their features' ratios at unit length: made when a row is visited, so that only the sets take memory."""
 
-    def __init__(self, sets: list[np.ndarray], ratio: np.ndarray):
+    def __init__(self, sets: list[np.ndarray] | Packed, ratio: np.ndarray):
         self.sets, self.ratio = sets, ratio
         self.norms = [max(np.sqrt(v @ v), 1e-12) for v in (ratio[s] for s in sets)]
 
@@ -138,7 +163,7 @@ class Scaled:
         return (self[k] for k in range(len(self)))
 
 
-def descend(sets: list[np.ndarray], values: list[np.ndarray] | Scaled, good: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
+def descend(sets: list[np.ndarray] | Packed, values: list[np.ndarray] | Scaled, good: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1-loss linear SVM with a bias feature of 1: min 1/2 |w|^2 + sum cost * hinge."""
     weights, bias = np.zeros(SIZE), 0.0
     sign, alpha = np.where(good == 1, 1.0, -1.0), np.zeros(len(good))
@@ -177,7 +202,7 @@ def sigmoid_of(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float = 0.9, epochs: int = 20, folds: int = 3) -> Model:
+def fit(sets: list[np.ndarray] | Packed, good: np.ndarray, c: float = 10.0, beta: float = 0.9, epochs: int = 20, folds: int = 3) -> Model:
     """Fit over rows given as arrays of distinct feature numbers and labels 0 or 1."""
     if len(good) == 0 or good.min() == good.max():
         share = float(good.mean()) if len(good) else 0.5
@@ -185,7 +210,7 @@ def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float =
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
 
     def linear(rows: np.ndarray) -> Model:
-        own, y = [sets[k] for k in rows], good[rows]
+        own, y = Packed([sets.parts[k] for k in rows]) if isinstance(sets, Packed) else [sets[k] for k in rows], good[rows]
         ratio = log_count_ratio(own, y)
         values = Scaled(own, ratio)
         share = y.mean()
@@ -203,7 +228,8 @@ def fit(sets: list[np.ndarray], good: np.ndarray, c: float = 10.0, beta: float =
             continue
         other = linear(rest)
         for k in out:
-            margins[k] = other.margins(np.zeros(len(sets[k]), np.int64), sets[k], 1)[0]
+            own = sets[k]
+            margins[k] = other.margins(np.zeros(len(own), np.int64), own, 1)[0]
     model = linear(np.arange(len(good)))
     model.a, model.c = sigmoid_of(margins, good)
     return model
@@ -234,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str =
                 part = batch.slice(start, stop - start)
                 rows, found = features(part.column(2).to_pylist(), words_too)
                 cut = np.searchsorted(rows, np.arange(stop - start + 1))
-                sets = [found[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])]
+                sets = [packed(found[a:b]) for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["id", "y", "found"])
 
     rows = training_rows(docs, labels, label, id_, text, max_rows)
@@ -242,12 +268,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str =
     once = staged(rows.mapInArrow(tidy(run), schema).groupBy("id", "y").agg(F.min("found").alias("found")), "features")
     # max_rows rows of two numbers in this window, and at most as many ids in the broadcast.
     first = Window.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id")
-    upto = once.select("id", F.octet_length("found").alias("size")).withColumn("upto", F.sum("size").over(first)).filter(F.col("upto") <= max_bytes)
+    upto = once.select("id", (2 * (F.octet_length("found") - Packed.HEAD)).alias("size")).withColumn("upto", F.sum("size").over(first)).filter(F.col("upto") <= max_bytes)
     got = once.join(F.broadcast(upto.select("id")), "id").select("id", "y", "found").toArrow()
     ids, good = got["id"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
-    found = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]  # views: the sets are the most of the driver's memory
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], hashlib.md5(found[k]).digest()))
-    model = fit([found[k] for k in order], good[order])
+    views = [x.as_buffer() for x in got["found"]]  # the sets are the most of the driver's memory
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], hashlib.md5(views[k]).digest()))
+    model = fit(Packed([views[k] for k in order]), good[order])
+    del got, views, ids
+    release()
     model.words_too = words_too
     return model
 
