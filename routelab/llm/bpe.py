@@ -4,7 +4,10 @@ Texts are cut by the tokenizer's pattern. Distinct pieces of a batch go into mat
 length. Each round merges, in every row, the leftmost pair of least rank; rows that have none left leave the matrix. Pair
 ranks come from an open-addressing hash table, and only the two pairs beside a merge are looked up again.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes. Repeated rows stay repeated. Other columns pass
+Pieces above ``giant`` bytes (long runs without a cut) take the same merges from a heap, as a matrix would need quadratic time.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes. Texts of any length are taken whole; an empty table gives no
+rows; ids of documents, null or not, aren't looked at. Repeated rows stay repeated. Other columns pass
 through; a column already named like an output is replaced. Nulls in other columns pass through.
 """
 

@@ -14,7 +14,8 @@
 
 Links found span the same classes as all links; pairs within a class are not expanded. Defined cases: null and empty texts have an
 empty set, link with nothing and are their own class. Rows that repeat an id are one document, whose texts' links all count; rows of
-null id take no part and have a null class. Texts of any length are read whole. Other columns are dropped. A table without links gives every document its own class.
+null id take no part and have a null class. Ids are bigints, others raise. Texts of any length are read whole. Other columns are
+dropped. An empty table gives no rows. A table without links gives every document its own class.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ valid and what can't exist stays impossible:
 The permutations depend on the key and the kind of value only: equal values stay equal in all documents, and different numbers
 and dates of one format stay different. Whoever knows the key can undo them: it has no default. Defined cases: null and empty texts
 stay; repeated rows get the same text; every other column passes through, whatever its name; the count column replaces one of its
-name. Texts of any length are read whole; every pattern takes linear time.
+name. Texts of any length are read whole; every pattern takes linear time. An empty table stays
+empty. The key is a literal of the plan: whoever may read plans or event logs can read it.
 """
 
 from __future__ import annotations

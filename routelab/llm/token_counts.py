@@ -5,8 +5,9 @@ size, whichever task gets them; numpy finds the separators of a block at once. A
 carries the number of documents and the place of the last separator across block boundaries.
 
 Defined cases: two separators in a row are an empty document; ids after a file's last separator are a document that isn't
-``ended``; an empty file has no documents. Ids that don't fit the width raise before anything is written. The writer gives null and empty texts no ids; repeated rows become documents of their
-own; other columns are dropped.
+``ended``; an empty file has no documents. Ids that don't fit the width raise before anything is written. The writer gives null and empty texts no ids; repeated rows become documents
+of their own; a null id of a document stays null, an id is a bigint and others raise; other columns are dropped. An empty table
+gives no files and no rows. Texts of any length are written whole, and long documents span any number of blocks.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ directory, finds where a stored member's bytes begin, reads the index and then o
 
 Of records with equal payloads of at least ``least`` bytes those with the smallest page id are responses, the others revisits
 that refer to it and carry no payload. Defined cases: a null html is an empty payload; rows that repeat the smallest id are all
-responses; null ids come last and are responses only where no id is known; a null url is written as ``urn:unknown``. Other
+responses; null ids come last and are responses only where no id is known; ids are bigints, others raise; payloads of any size are one
+record, held whole by the task that writes or reads it; a null url is written as ``urn:unknown``. Other
 columns are dropped. An empty table gives no archive.
 """
 
