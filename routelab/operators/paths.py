@@ -13,10 +13,15 @@ DEFAULT_HEADWAY = 10.0
 
 
 def exploded_links(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row a link: the paths' columns, at (from 0), u, v and the edge's route_id, duration and link_type."""
+    """A row a link: the paths' columns, at (from 0), u, v and the edge's route_id, duration and link_type.
+
+    A path with a link that ``edges`` lacks raises: it would otherwise look shorter than it is.
+    """
     spread = paths.filter(F.size("path") > 1).select("*", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "u")).withColumn("v", F.get("path", F.col("at") + 1))
-    e = edges.select(F.col("from_stop").alias("u"), F.col("to_stop").alias("v"), "route_id", "duration", "link_type")
-    return spread.join(e, ["u", "v"])
+    e = edges.select(F.col("from_stop").alias("u"), F.col("to_stop").alias("v"), "route_id", "duration", "link_type", F.lit(True).alias("__known"))
+    lost = F.raise_error(F.concat(F.lit("a path has a link that the network lacks: "), F.col("u"), F.lit(" to "), F.col("v"))).cast("double")
+    found = spread.join(e, ["u", "v"], "left")
+    return found.withColumn("duration", F.when(F.col("__known"), F.col("duration")).otherwise(lost)).drop("__known")
 
 
 def path_components(paths: DataFrame, edges: DataFrame, headways: DataFrame, keys: list[str], default: float = DEFAULT_HEADWAY) -> DataFrame:

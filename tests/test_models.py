@@ -315,3 +315,12 @@ def test_recursive_likelihood_gradient_is_differences(spark):
         slopes = [(found[1 + 2 * k][0] - found[2 + 2 * k][0]) / (2 * h) for k in range(n)]
         assert found[0][1] == pytest.approx(slopes, rel=1e-4, abs=1e-5)
     assert own(np.full(6, 1e-5)) == nrl.UNSETTLED
+
+
+def test_a_path_with_a_lost_link_raises(spark, toy):
+    edges, headways = toy
+    df = spark.createDataFrame([("A", "D", ["A", "B", "D"]), ("A", "D", ["A", "D"])], "origin string, dest string, path array<string>")
+    assert paths.path_components(df.limit(1), edges, headways, ["origin", "dest"]).count() == 1
+    for table in (paths.path_components(df, edges, headways, ["origin", "dest"]), paths.path_sizes(df, edges, ["origin", "dest"])):
+        with pytest.raises(Exception, match="lacks"):
+            table.collect()
