@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from routelab.config import BusRoute
-from routelab.functions.scalar import TRANSFER, TRANSIT, WALK, gtfs_seconds, haversine_m, pair_ends, prefixed, walk_seconds
+from routelab.functions.scalar import EARTH_RADIUS_M, TRANSFER, TRANSIT, WALK, gtfs_seconds, haversine_m, pair_ends, prefixed, walk_seconds
 from routelab.operators.gtfs import headway_table, median_gap_minutes, pattern_of_routes, signatures
 from routelab.sources.tables import trip_stop_times
 
@@ -49,23 +49,25 @@ def used_stations(stations: DataFrame, edges: DataFrame) -> DataFrame:
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, same: bool = False) -> DataFrame:
     """(a, b, metres) of points (id, lat, lon) within the radius; with ``same`` each unordered pair of one table once.
 
-    An equi-join on grid cells at least as wide as the radius: one side in its own cell, the other in the nine around it. Cells get
-    wider in longitude with latitude, by the widest degree of a band, so no near pair is missed between 89 degrees south and north.
-    Bound: cells don't wrap, so pairs across the 180th meridian, or beyond 89 degrees, may be missed.
+    An equi-join on cubes of space two radii wide, in which the sphere lies: one side in its own cube, the other in each cube that a ball of
+    the radius around it meets, three or four of them on the whole. No straight line is longer than the way along the sphere, so no
+    near pair is missed, at the 180th meridian and the poles neither.
     """
-    degree_m = 111_194.9  # metres of a degree of latitude, rounded down
-    step = radius_m / degree_m * 1.0001
-    band = F.floor(F.col("lat") / step)
-
-    def column_of(row: Column, lon: Column) -> Column:
-        widest = F.least(F.lit(89.0), F.greatest(F.abs(row * step), F.abs((row + 1) * step)))
-        return F.floor(lon * F.cos(F.radians(widest)) / step)
-
-    a = left.select(F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), band.alias("row")).withColumn("column", column_of(F.col("row"), F.col("lon_a")))
-    b = right.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band + d)).alias("row"))
-    b = b.withColumn("column", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: column_of(F.col("row"), F.col("lon_b")) + d)))
+    reach = radius_m * (1 + 1e-9) + 1e-3
+    axes = ["x", "y", "z"]
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+        return df.select(F.col("id").alias(side), F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), *[(EARTH_RADIUS_M * at[c]).alias(c) for c in axes])
+
+    cell = lambda c, off=0.0: F.floor((F.col(c) + off) / (2 * reach))
+    a = placed(left, "a").withColumns({c: cell(c) for c in axes})
+    b = placed(right, "b")
+    for c in axes:
+        b = b.withColumn(c, F.explode(F.array_distinct(F.array(cell(c, -reach), cell(c, reach)))))
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    pairs = a.join(b, ["row", "column"]).select("a", "b", metres.alias("metres")).filter(F.col("metres") <= radius_m)
+    pairs = a.join(b, axes).select("a", "b", metres.alias("metres")).filter(F.col("metres") <= radius_m)
     return pairs.filter("a < b") if same else pairs
 
 

@@ -1,5 +1,8 @@
 """Schedule, network and demand operators on small tables, and the readers."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,25 @@ def test_readers(spark, tmp_path):
     tables.write_table(spark.range(3), str(tmp_path / "out"))
     tables.write_fit(spark, {"a": 1.5, "b": object}, str(tmp_path / "fit"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_near_pairs_across_the_meridian_and_at_the_poles(spark):
+    rng = random.Random(12)
+    points = [(f"m{k}", rng.uniform(-60, 60), 180 - abs(rng.gauss(0, 0.01)) if k % 2 else -180 + abs(rng.gauss(0, 0.01))) for k in range(60)]
+    points += [(f"m{60 + k}", points[k][1] + rng.uniform(-0.01, 0.01), -points[k][2]) for k in range(60)]
+    points += [(f"p{k}", side * (90 - abs(rng.gauss(0, 0.02))), rng.uniform(-180, 180)) for k in range(40) for side in (1, -1)] + [("same1", 10.0, 20.0), ("same2", 10.0, 20.0), ("none", None, 1.0)]
+
+    def metres(p, q):
+        a, b = (math.radians(x) for x in (p[1], q[1]))
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    df = spark.createDataFrame([(f"{k}{p[0]}", *p[1:]) for k, p in enumerate(points)], "id string, lat double, lon double")
+    for radius in (0.0, 900.0, 2500.0):
+        known = [(f"{k}{p[0]}", *p[1:]) for k, p in enumerate(points) if p[1] is not None]
+        want = {tuple(sorted((p[0], q[0]))) for i, p in enumerate(known) for q in known[:i] if metres(p, q) <= radius}
+        got = [(r["a"], r["b"]) for r in network.near_pairs(df, df, radius, same=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert any("m" in a and "m" in b for a, b in want) or radius == 0.0
+        both = [(r["a"], r["b"]) for r in network.near_pairs(df, df, radius).collect()]
+        assert len(both) == 2 * len(want) + len(known)
