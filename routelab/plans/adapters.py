@@ -57,8 +57,11 @@ def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A network that grows with the tables: parts are stops, orders trips that call at their lines' parts in turn, times are means."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    """A network that grows with the tables: parts are stops, orders trips that call at their lines' parts in turn, times are means.
+
+    Lines of an order that share number and part come in the table's order, however its files are split and shuffled.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "_metadata.file_path", "_metadata.row_index")
     legs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), (60.0 + 10.0 * F.col("l_quantity")).alias("d"))
     mean = legs.filter("b is not null and a <> b").groupBy("a", "b").agg(F.avg("d").alias("duration"))
     return staged(mean.select(F.col("a").cast("string").alias("from_stop"), F.col("b").cast("string").alias("to_stop"), "duration"), "parts")

@@ -1,8 +1,9 @@
 """Every core query against its DuckDB oracle; those without one run and have rows."""
 
+import pandas as pd
 import pytest
 
-from routelab.plans import model_queries, registry
+from routelab.plans import adapters, model_queries, registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -40,3 +41,15 @@ def test_hit_rate_draws_sets_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(model_queries.eps, "with_observed", lambda *_: pytest.fail("the observed path is forced in"))
     assert 0 <= QUERIES["hit_rate"](spark, "/root/testdata/sf0.001").first()[0] <= 1
     assert draws == [30]
+
+
+def test_part_edges_take_tied_lines_in_the_order_of_the_table(spark, tmp_path):
+    """Two lines of an order share number and part; the larger file, which Spark reads first, holds the later of them."""
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    files = [[(1, 10, 1, 40.0)], [(1, 10, 1, 5.0), (1, 11, 2, 7.0), *[(n, n, 1, 1.0) for n in range(20, 2000)]]]
+    for first, second in (files, files[::-1]):
+        (tmp_path / f"{len(first)}" / "lineitem.parquet").mkdir(parents=True)
+        for k, rows in enumerate((first, second)):
+            pd.DataFrame(rows, columns=columns).to_parquet(tmp_path / f"{len(first)}" / "lineitem.parquet" / f"part-{k}.parquet")
+        last = second[0][3]
+        assert [tuple(r) for r in adapters.part_edges(spark, str(tmp_path / f"{len(first)}")).collect()] == [("10", "11", 60 + 10 * last)]
