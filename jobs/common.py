@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import logging
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -46,6 +48,20 @@ def write_partitions(df: DataFrame, path: str, keys: list[str], dynamic: bool =
     return rows_seen(seen)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def session(name: str) -> SparkSession:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     return SparkSession.builder.appName(name).getOrCreate()

@@ -7,9 +7,10 @@ node with the next, and writes for each route ``OUTPUT/links`` (flow of a link a
 choice probability that link-based models are compared with) and ``OUTPUT/nodes`` (trips that start, end and pass there), both
 partitioned by route. A route with a link in the input replaces its partition, others stay: routes can be run one by one and again.
 
-Only sums by link are shuffled: Spark counts within each task first. A null text, one without nodes and one of a single node pass no
-link; the latter still starts and ends at its node. Links below ``least_flow`` are left out of ``links``, not out of shares. The config
-file names route and path, as SQL expressions, and the pattern of a node.
+Texts are dealt over all tasks, as a file may hold them in one row group, then cut and counted once: how often a node is followed by
+each other one, and by none. Spark counts within each task first; both tables come from these sums (``OUTPUT/flows``). A null text, one
+without nodes and one of a single node pass no link; the latter still starts and ends at its node. Links below ``least_flow`` are left
+out of ``links``, not out of shares. The config file names route and path, as SQL expressions, and the pattern of a node.
 """
 
 from __future__ import annotations
@@ -24,36 +25,40 @@ if __name__ == "__main__":
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import config, log, rows_seen, session, write_partitions
+from jobs.common import config, log, rows_seen, session, setting, write_partitions
 
 LINKS = "from_node string, to_node string, flow bigint, share double, route string"
+FLOWS = "route string, from_node string, to_node string, flow bigint, starts bigint"
 NODES = "node string, starts bigint, ends bigint, passes bigint, route string"
+# Texts are dealt into so many pieces, of which Spark joins small ones up to this size: a task's counts then fit its memory.
+PIECES, PIECE = 1024, "16m"
 
 
-def node_rows(rows: DataFrame, settings: dict) -> DataFrame:
-    """route and nodes, an array, of every row."""
-    nodes = F.regexp_extract_all(F.expr(settings["path"]).cast("string"), F.lit(settings["node"]), F.lit(0))
-    return rows.select(F.expr(settings["route"]).cast("string").alias("route"), nodes.alias("nodes")).filter(F.size("nodes") > 0)
+def trips(raw: DataFrame, settings: dict) -> DataFrame:
+    """route and nodes, an array, of every row, dealt over all tasks: a file's row groups may be few and large."""
+    rows = raw.select(F.expr(settings["route"]).cast("string").alias("route"), F.expr(settings["path"]).cast("string").alias("path"), F.monotonically_increasing_id().alias("row"))
+    nodes = F.regexp_extract_all("path", F.lit(settings["node"]), F.lit(0))
+    return rows.hint("rebalance", PIECES, "row").select("route", nodes.alias("nodes"))
 
 
-def links(paths: DataFrame) -> DataFrame:
-    """Flow of every link of a route."""
-    pairs = F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("u"), F.slice("nodes", 2, F.size("nodes")).alias("v"))
-    steps = paths.filter(F.size("nodes") > 1).select("route", F.explode(pairs).alias("link"))
-    return steps.groupBy("route", F.col("link.u").alias("from_node"), F.col("link.v").alias("to_node")).agg(F.count("*").alias("flow"))
+def steps(paths: DataFrame) -> DataFrame:
+    """How often each node of a route is followed by each other one, or by none (null) at a trip's end, and how many of these start trips."""
+    # the last node has no follower: arrays_zip pads the shorter array with null
+    pairs = F.arrays_zip(F.col("nodes").alias("u"), F.slice("nodes", 2, F.greatest(F.size("nodes"), F.lit(0))).alias("v"))
+    at = paths.select("route", F.posexplode(pairs).alias("k", "step"))
+    return at.groupBy("route", F.col("step.u").alias("from_node"), F.col("step.v").alias("to_node")).agg(F.count("*").alias("flow"), F.count_if(F.col("k") == 0).alias("starts"))
 
 
-def shares(flows: DataFrame) -> DataFrame:
-    """Links with their share of the flow from their first node."""
-    leaving = flows.groupBy("route", "from_node").agg(F.sum("flow").alias("leaving"))
-    return flows.join(leaving, ["route", "from_node"]).select("from_node", "to_node", "flow", (F.col("flow") / F.col("leaving")).alias("share"), "route")
+def nodes(flows: DataFrame) -> DataFrame:
+    """Trips that start, end and pass at every node of a route; a trip passes as often as its path names the node."""
+    ends = F.coalesce(F.sum(F.when(F.col("to_node").isNull(), F.col("flow"))), F.lit(0))
+    return flows.groupBy("route", F.col("from_node").alias("node")).agg(F.sum("starts").alias("starts"), ends.alias("ends"), F.sum("flow").alias("passes")).select("node", "starts", "ends", "passes", "route")
 
 
-def nodes(paths: DataFrame) -> DataFrame:
-    """Trips that start, end and pass at every node of a route; a trip passes as often as its path names the node."""
-    last = F.size("nodes") - 1
-    at = paths.select("route", last.alias("last"), F.posexplode("nodes").alias("k", "node"))
-    return at.groupBy("route", "node").agg(F.count_if(F.col("k") == 0).alias("starts"), F.count_if(F.col("k") == F.col("last")).alias("ends"), F.count("*").alias("passes")).select("node", "starts", "ends", "passes", "route")
+def shares(flows: DataFrame, at: DataFrame) -> DataFrame:
+    """Links with their share of the flow from their first node: of what passes there and doesn't end."""
+    leaving = at.select("route", F.col("node").alias("from_node"), (F.col("passes") - F.col("ends")).alias("leaving"))
+    return flows.filter("to_node is not null").join(leaving, ["route", "from_node"]).select("from_node", "to_node", "flow", (F.col("flow") / F.col("leaving")).alias("share"), "route")
 
 
 def run(spark: SparkSession, paths_path: str, output: str, settings: dict | None = None) -> dict[str, int]:
@@ -61,15 +66,17 @@ def run(spark: SparkSession, paths_path: str, output: str, settings: dict | None
     settings = settings or config("link_flows")
     for name, schema in (("links", LINKS), ("nodes", NODES)):
         spark.createDataFrame([], schema).write.mode("append").partitionBy("route").parquet(f"{output}/{name}")
-    raw, seen = spark.read.parquet(paths_path), Observation()
-    paths = node_rows(raw, settings)
-    # Flows are summed once, written, and read twice: by link and by first node.
-    flows = write_partitions(links(paths.observe(seen, F.count(F.lit(1)).alias("n"))), f"{output}/flows", ["route"])
-    own = spark.read.schema("from_node string, to_node string, flow bigint, route string").parquet(f"{output}/flows")
-    own = own.join(raw.select(F.expr(settings["route"]).cast("string").alias("route")).distinct(), "route", "left_semi")
-    written = write_partitions(shares(own).filter(F.col("flow") >= settings["least_flow"]), f"{output}/links", ["route"])
-    at = write_partitions(nodes(paths), f"{output}/nodes", ["route"])
-    done = {"read": rows_seen(seen), "flows": flows, "links": written, "nodes": at}
+    # Texts are cut and counted once; links and nodes come from these sums, which the next run replaces.
+    linked, read = Observation(), Observation()
+    summed = steps(trips(spark.read.parquet(paths_path), settings)).observe(linked, F.count("to_node").alias("n"))
+    with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", PIECE):
+        summed.write.mode("overwrite").parquet(f"{output}/flows")
+    flows = spark.read.schema(FLOWS).parquet(f"{output}/flows")
+    at = write_partitions(nodes(flows).observe(read, F.coalesce(F.sum("starts"), F.lit(0)).alias("n")), f"{output}/nodes", ["route"])
+    known = spark.read.schema(NODES).parquet(f"{output}/nodes")
+    with setting(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"):  # larger partitions of nodes are merged with sorted links
+        written = write_partitions(shares(flows, known).filter(F.col("flow") >= settings["least_flow"]), f"{output}/links", ["route"])
+    done = {"read": rows_seen(read), "flows": rows_seen(linked), "links": written, "nodes": at}
     log.info("link flows: %d paths read from %s; %d links and %d nodes written to %s", done["read"], paths_path, written, at, output)
     return done
 

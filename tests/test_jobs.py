@@ -119,6 +119,17 @@ def test_link_flows_of_nothing(spark, tmp_path):
     assert link_flows.table(spark, f"file://{tmp_path}/out").count() == 0
 
 
+def test_link_flows_cut_one_row_group_in_many_tasks_and_once(spark, tmp_path):
+    spark.createDataFrame([(f"a{n} b c", "en") for n in range(400)], "text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    trips = link_flows.trips(spark.read.parquet(f"{tmp_path}/in"), common.config("link_flows"))
+    with common.setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        tasks = trips.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 400 and max(r["count"] for r in tasks) < 200
+    text = link_flows.steps(trips)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("regexp_extract_all") == 1
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
 def test_settings(tmp_path):
     (tmp_path / "own.json").write_text(json.dumps({"least_flow": 3}))
     assert common.config("link_flows", str(tmp_path / "own.json"))["least_flow"] == 3
