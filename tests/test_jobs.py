@@ -5,6 +5,8 @@ import json
 import os
 import subprocess
 import sys
+import time
+from collections import Counter
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -130,6 +132,32 @@ def test_link_flows_cut_one_row_group_in_many_tasks_and_once(spark, tmp_path):
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
 
 
+def test_link_flows_in_rounds_are_whole_and_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(link_flows, "ROUND", 100, raising=False)  # all four rounds
+    texts = [(f"the w{n % 7} the w{n % 11} v{n} of the the w{n % 5}", ("en", "de")[n % 2]) for n in range(150)]
+    spark.createDataFrame(texts, "text string, lang string").write.parquet(f"{tmp_path}/in")
+    want, leaving = Counter(), Counter()
+    for text, lang in texts:
+        w = text.split()
+        want.update((lang, a, b) for a, b in zip(w, w[1:]))
+        leaving.update((lang, a) for a in w[:-1])
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllBlocks()) if b.isShuffle()}
+    for _ in range(2):
+        before = shuffled()
+        done = link_flows.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/out")
+        assert done == {"read": 150, "flows": len(want), "links": len(want), "nodes": len({(lang, w) for text, lang in texts for w in text.split()})}
+        for _ in range(50):  # files are deleted in the background
+            if not shuffled() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffled() - before
+        got = {(r["route"], r["from_node"], r["to_node"]): (r["flow"], r["share"]) for r in link_flows.table(spark, f"file://{tmp_path}/out").collect()}
+        assert got == {k: (n, n / leaving[k[:2]]) for k, n in want.items()}
+        assert spark.read.parquet(f"{tmp_path}/out/flows").count() == 0 and spark.read.parquet(f"{tmp_path}/out/trips").count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_settings(tmp_path):
     (tmp_path / "own.json").write_text(json.dumps({"least_flow": 3}))
     assert common.config("link_flows", str(tmp_path / "own.json"))["least_flow"] == 3
