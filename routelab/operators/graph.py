@@ -19,6 +19,7 @@ from routelab.shipping import ship
 from routelab.staging import Scratch, staged
 
 MAX_BROADCAST_EDGES = 2_000_000
+BUCKET_LINKS = 250_000
 
 Adjacency = dict[str, list[tuple[str, float]]]
 
@@ -104,36 +105,38 @@ def frontier_paths(edges: DataFrame, origins: DataFrame, delta: float | None = N
     """origin, dest, seconds (and path) of every node that the asked origins reach, by delta-stepping over partitioned edges.
 
     The state has a row for each origin and node met so far, nothing else: k origins need k times the nodes. In a round those nodes whose
-    time improved since they were last left, and is below the current bound, send their successors a message; messages to one node are
-    combined with its state in one aggregate. Once none is below, the bound moves on to the bucket of ``delta`` seconds (unset: four
-    mean links) that the nearest open node is in: far nodes aren't left before their time is nearly final. A round is staged; it
-    repeats after a lost executor. Equal times go to the smallest path in string order. ``to_origin`` follows edges backwards: the times
+    time improved since they were last left, and is less than ``delta`` seconds (unset: a quarter of the mean link, or the least link where
+    that is longer) above that of the nearest of them, send their successors a message; messages to one node are combined with its state in
+    one aggregate. So few nodes are left before their time is final, and most links are followed once. Links are dealt by their first node
+    once, into a bucketed table: a round reads them, but shuffles only nodes to leave and messages. A round is staged; it repeats after a
+    lost executor. Equal times go to the smallest path in string order. ``to_origin`` follows edges backwards: the times
     are those from each dest to the origin, and paths end there.
     """
     spark = edges.sparkSession
     tail, head = ("to_stop", "from_stop") if to_origin else ("from_stop", "to_stop")
     with Scratch(spark) as scratch:
-        links = scratch(edges.groupBy(F.col(tail).alias("node"), F.col(head).alias("next")).agg(F.min("duration").cast("double").alias("cost")), "links")
-        delta = delta or 4 * (links.agg(F.avg("cost")).first()[0] or 1.0)
-        nodes = links.select("node").union(links.select("next")).distinct()
+        every = edges.select(F.col(tail).alias("node"), F.col(head).alias("next"), F.col("duration").cast("double").alias("cost"))
+        links = scratch.bucketed(every, "links", "node", max(spark.sparkContext.defaultParallelism, 1 + edges.count() // BUCKET_LINKS))
+        mean, least = links.agg(F.avg("cost"), F.min("cost")).first()
+        delta = delta or max((mean or 4.0) / 4, least or 0.0)
         path = [F.array("node").alias("path")] if with_path else []
-        best = F.struct("seconds", "path") if with_path else F.struct("seconds")
-        start = nodes.join(origins.select(F.col("origin").alias("node")).distinct(), "node", "left_semi")
+        # times alone are least by hash aggregates; a struct would have every message sorted
+        best, found = (F.struct("seconds", "path"), "best.*") if with_path else (F.col("seconds"), F.col("best").alias("seconds"))
+        asked = origins.select(F.col("origin").alias("node"))
+        start = links.select("node").union(links.select("next")).join(asked, "node", "left_semi").distinct()
         known = scratch(start.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("seconds"), *path, F.lit(True).alias("open")), "frontier")
-        bound = delta
         while True:
             nearest = known.filter("open").agg(F.min("seconds")).first()[0]
             if nearest is None:
                 return staged(known.select("origin", F.col("node").alias("dest"), "seconds", *[c for c in known.columns if c == "path"]), "shortest")
-            bound = max(bound, (nearest // delta + 1) * delta)
             onward = F.concat(F.array("next"), "path") if to_origin else F.concat("path", F.array("next"))
-            leaves = F.col("open") & (F.col("seconds") < bound)
-            sent = known.filter(leaves).join(links, "node").select("origin", F.col("next").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"), *([onward.alias("path")] if with_path else []))
+            leaves = F.col("open") & (F.col("seconds") < nearest + delta)
+            sent = known.filter(leaves).hint("shuffle_hash").join(links, "node").select("origin", F.col("next").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"), *([onward.alias("path")] if with_path else []))
             kept = known.withColumns({"open": F.col("open") & ~leaves, "was": F.lit(True)})
             both = kept.unionByName(sent.withColumns({"open": F.lit(True), "was": F.lit(False)}))
             merged = both.groupBy("origin", "node").agg(F.min(best).alias("best"), F.min(F.when(F.col("was"), best)).alias("before"), F.bool_or(F.when(F.col("was"), F.col("open"))).alias("waits"))
             better = F.col("before").isNull() | (F.col("best") < F.col("before"))
-            known = scratch(merged.select("origin", "node", "best.*", (better | F.coalesce("waits", F.lit(False))).alias("open")), "frontier")
+            known = scratch(merged.select("origin", "node", found, (better | F.coalesce("waits", F.lit(False))).alias("open")), "frontier")
 
 
 def min_plus_times(edges: DataFrame) -> DataFrame:

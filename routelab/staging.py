@@ -38,6 +38,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, table: str) -> DataFrame:
+    """:func:`staged` as the table ``table``, dealt by ``key`` into one file for each bucket: joins on ``key`` don't shuffle its rows again."""
+    uri = fresh_uri(df.sparkSession, name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", uri).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def _delete(spark: SparkSession, uri: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
@@ -47,7 +54,7 @@ class Scratch:
     """Stages the tables of one computation and deletes them at its end, whether its result has been staged elsewhere or it failed."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.uris = spark, []
+        self.spark, self.uris, self.tables = spark, [], []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         before = len(_made)
@@ -56,6 +63,14 @@ class Scratch:
         finally:
             self.uris += _made[before:]
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        before = len(_made)
+        self.tables.append(f"{name}_{uuid.uuid4().hex}")
+        try:
+            return bucketed(df, name, key, buckets, self.tables[-1])
+        finally:
+            self.uris += _made[before:]
+
     def __enter__(self) -> Scratch:
         return self
 
@@ -63,6 +78,9 @@ class Scratch:
         self.clear()
 
     def clear(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
         for uri in self.uris:
             _made.remove(uri)
             _delete(self.spark, uri)

@@ -279,6 +279,17 @@ def test_frontier_search_is_all_pairs(spark, monkeypatch):
     assert plain.columns == ["origin", "dest", "seconds"] and plain.count() == len(some)
 
 
+def test_rounds_of_the_frontier_search_neither_shuffle_links_nor_sort_messages(spark, monkeypatch):
+    edges = _random_edges(spark, np.random.default_rng(6), 30, 120)
+    plans, staged, tables = [], graph.Scratch.__call__, len(spark.catalog.listTables())
+    monkeypatch.setattr(graph.Scratch, "__call__", lambda self, df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or staged(self, df, name))
+    found = graph.frontier_paths(edges, edges.select(F.col("from_stop").alias("origin")).union(edges.select("to_stop")), with_path=False)
+    rounds = [text for name, text in plans if name == "frontier"][1:]
+    assert rounds and all("Bucketed: true" in text and "SortAggregate" not in text for text in rounds)
+    assert {(r["origin"], r["dest"], r["seconds"]) for r in found.collect()} == {(r["origin"], r["dest"], r["seconds"]) for r in graph.all_pairs(edges).collect()}
+    assert len(spark.catalog.listTables()) == tables
+
+
 def test_partitioned_values_are_the_kernels(spark, toy, monkeypatch):
     rng = np.random.default_rng(8)
     ring = [(f"n{k}", f"n{(k + 1) % 7}", f"R{k % 3}", 60.0 * (2 + k % 4), "transit") for k in range(7)]
