@@ -41,6 +41,7 @@ PIECES, PIECE = 1024, "16m"
 BUSY, ROUND, ROUNDS = 256, 4_000_000, 4
 SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": PIECE,
+    "spark.sql.files.maxPartitionBytes": PIECE,
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512",
     "spark.sql.maxConcurrentOutputFileWriters": "16",  # a task that meets few routes needn't sort by them
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
